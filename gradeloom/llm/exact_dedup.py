@@ -7,35 +7,12 @@ through; only the others shuffle, and they are compared by their full digest.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm import bloom
 from gradeloom.llm.common import lower_ascii, materialise
 
-#: Bits of one bitmap of bitmap_construct_agg.
-CHUNK = 32768
-
-
-def _slot(digest: Column, function: int, slots: int) -> Column:
-    """Slot of a digest under one hash function; each function has slots of its own."""
-    return F.pmod(F.xxhash64(digest, F.lit(function)), F.lit(slots)) + F.lit(function * slots)
-
-
-def _bit(bitmap: Column, slot: Column) -> Column:
-    position = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), position % 8)), F.lit(2)) == 1, F.lit(False))
-
-
-def repeated_slots(digests: DataFrame, slots: int, functions: int) -> DataFrame:
-    """(chunk, bits) of the slots that at least two rows of column text_sha256 hit."""
-    hit = digests.select(F.explode(F.array(*[_slot(F.col("text_sha256"), i, slots) for i in range(functions)])).alias("slot"))
-    twice = hit.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-
-
 def exact_dedup(docs: DataFrame, *, bits_per_row: int = 16, functions: int = 2, max_bits: int = 1 << 28) -> DataFrame:
     """Mark exact copies: equal after lower-casing A-Z, null counting as empty.
 
@@ -50,18 +27,9 @@ def exact_dedup(docs: DataFrame, *, bits_per_row: int = 16, functions: int = 2,
     added = ("text_sha256", "keep_id", "group_size", "kept")
     docs = docs.drop(*added)
     hashed = docs.withColumn("text_sha256", F.sha2(lower_ascii(F.col("text")), 256))
-    rows = docs.count()
-    slots = min(max(rows * bits_per_row, CHUNK), max_bits) // functions // CHUNK * CHUNK + CHUNK
-    bitmaps = materialise(repeated_slots(hashed, slots, functions), "bloom")
-    marked = hashed
-    flags = []
-    for i in range(functions):
-        side = bitmaps.select(F.col("chunk").alias(f"_chunk{i}"), F.col("bits").alias(f"_bits{i}"))
-        slot = _slot(F.col("text_sha256"), i, slots)
-        marked = marked.join(F.broadcast(side), F.bitmap_bucket_number(slot) == F.col(f"_chunk{i}"), "left")
-        flags.append(_bit(F.col(f"_bits{i}"), slot))
-    maybe = reduce(lambda a, b: a & b, flags)
-    marked = marked.select(*hashed.columns, maybe.alias("_maybe"))
+    slots = bloom.slots_for(docs.count(), bits_per_row=bits_per_row, functions=functions, max_bits=max_bits)
+    filters = bloom.bitmaps(hashed, "text_sha256", slots, functions, repeated=True)
+    marked = bloom.flag(hashed, F.col("text_sha256"), filters, slots, functions, "_maybe")
     single = marked.where("not _maybe").select(
         *hashed.columns, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import materialise, word_count
 
 WEIGHTS = (5, 2, 1)
+#: Rounds of closing documents; each takes at most one a source.
+CLOSING_ROUNDS = 8
 
 
 def targets(sizes: dict, weights: dict, share: float = 1.5, cap: float = 2.0) -> dict:
@@ -128,23 +130,24 @@ def mix_counts(docs: DataFrame, *, weights: dict | None = None, share: float = 1
             where[s, b][p] = int(shard)
     spare = {s: int(np.argmax(dealt[:, n])) if len(dealt) else 0 for n, s in enumerate(ordered)}
     table = [
-        (s, b, copies, bool(part), w, z, cuts.get(s, (None, None))[0] if part else None, cuts.get(s, (None, None))[1], [where[s, b].get(p, spare[s]) for p in range(int(cap) + 1)])
+        (s, b, copies, bool(part), w, z, cuts.get(s, (None, None))[0] if part else None, cuts.get(s, (None, []))[1], [where[s, b].get(p, spare[s]) for p in range(int(cap) + 1)])
         for s, b, copies, part, w, z in rows
     ]
-    kind = "source string, block long, _base int, _part boolean, target double, source_size long, _cut long, _closer long, _shards array<int>"
+    kind = "source string, block long, _base int, _part boolean, target double, source_size long, _cut long, _closers array<long>, _shards array<int>"
     plan = spark.createDataFrame(table, kind).withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
     words = docs.withColumn("size", word_count(F.col("text"))).withColumn("_rank", _key(seed)).withColumn("_at", F.pmod("_rank", F.lit(blocks)))
     found = words.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_block")), "left")
-    more = (F.coalesce(F.col("_part") & (F.col("_rank") <= F.col("_cut")), F.lit(False)) | F.coalesce(F.col("_rank") == F.col("_closer"), F.lit(False))).cast("int")
+    more = (F.coalesce(F.col("_part") & (F.col("_rank") <= F.col("_cut")), F.lit(False)) | F.coalesce(F.array_contains("_closers", F.col("_rank")), F.lit(False))).cast("int")
     found = found.withColumn("copies", F.coalesce(F.col("_base") + more, F.lit(0)))
     return found.withColumn("shards", F.slice("_shards", F.lit(1), F.col("copies"))).select(*words.columns[:-3], "size", "source_size", "target", "copies", "shards")
 
 
 def _cut_last_blocks(spark, sized: DataFrame, rows, gaps) -> dict:
-    """For each source, the rank up to which its partial block is taken, and one closing document.
+    """For each source, the rank up to which its partial block is taken, and closing documents.
 
-    The closing document is the one, of all that the last pass left out, whose size comes
-    nearest to what is still missing. Ranks stand for documents; both steps aggregate.
+    A closing document is the one, of all that the last pass left out, whose size comes
+    nearest to what is still missing. Sources within a thousandth of their target need no
+    more. Ranks stand for documents; both steps aggregate.
     """
     if not gaps:
         return {}
@@ -155,15 +158,21 @@ def _cut_last_blocks(spark, sized: DataFrame, rows, gaps) -> dict:
     ranks = ranks.withColumn("_sum", F.sum("size").over(upto))
     fits = ranks.groupBy("source").agg(F.max(F.when(F.col("_sum") <= F.col("gap"), F.struct("rank", "_sum"))).alias("top"), F.first("gap").alias("gap")).collect()
     left = {r["source"]: (r["top"]["rank"] if r["top"] else None, r["gap"] - (r["top"]["_sum"] if r["top"] else 0)) for r in fits}
-    out = {s: (cut, None) for s, (cut, _) in left.items()}
     passes = passes_of(rows)
-    asked = [(s, b, part_, *left[s]) for s, b, copies, part_, _, _ in rows if s in left and copies == passes[s]]
-    free = spark.createDataFrame(asked, "source string, block long, part boolean, cut long, gap double").withColumnsRenamed({"source": "_source", "block": "_block"})
-    rest = sized.join(free, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).where("not (part and cut is not null and rank <= cut)")
-    near = rest.where("abs(size - gap) < gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("rank"))).alias("best"))
-    for r in near.collect():
-        out[r["source"]] = (out[r["source"]][0], r["best"]["rank"])
-    return out
+    closers: dict = {s: [] for s in left}
+    missing = {s: gap for s, (_, gap) in left.items()}
+    for _ in range(CLOSING_ROUNDS):
+        asked = [(s, b, part_, left[s][0], missing[s], closers[s]) for s, b, copies, part_, want, _ in rows if s in left and copies == passes[s] and missing[s] > 1e-3 * want]
+        if not asked:
+            break
+        free = spark.createDataFrame(asked, "source string, block long, part boolean, cut long, gap double, closers array<long>").withColumnsRenamed({"source": "_source", "block": "_block"})
+        rest = sized.join(free, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).where("not (part and cut is not null and rank <= cut) and not array_contains(closers, rank)")
+        near = rest.where("abs(size - gap) < gap").groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("rank"), F.col("size"))).alias("best")).collect()
+        for r in near:
+            closers[r["source"]].append(r["best"]["rank"])
+            missing[r["source"]] -= r["best"]["size"]
+        missing |= dict.fromkeys(left.keys() - {r["source"] for r in near}, 0.0)
+    return {s: (cut, closers[s]) for s, (cut, _) in left.items()}
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import exact_dedup, mixing, chat
+from gradeloom.llm import chat, exact_dedup, minhash, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_source_mixing": mixing.op3_source_mixing,
+        "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+        "op5_quality_classifier": quality.op5_quality_classifier,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op2_chat_formatting": chat.OP2_SQL}
+    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op2_chat_formatting": chat.OP2_SQL, "op4_minhash_near_dedup": minhash.OP4_SQL}
