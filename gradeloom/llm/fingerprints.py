@@ -14,36 +14,36 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.common import SPACE, materialise
 
-SAMPLES = 32
+#: Samples of a fingerprint: as many groups, each worked out by one row of a term.
+GROUPS, PER_GROUP = 4, 8
+SAMPLES = GROUPS * PER_GROUP
 #: Bits of a packed sample that hold its hash; the other bits order the keys.
 TAG_BITS = 24
-_STEP = 2.0**-31
 
 
-def _uniform(bits: Column) -> Column:
-    """A number in (0, 1) from the low 31 bits."""
-    return (bits.bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") + 0.5) * F.lit(_STEP)
+def _uniform(bits: Column, width: int) -> Column:
+    """A number in (0, 1) from the low ``width`` bits."""
+    return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * F.lit(2.0**-width)
 
 
-def sample_key(term: Column, log_weight: Column, sample: int) -> Column:
+def sample_key(term: Column, log_weight: Column, sample: Column) -> Column:
     """A long whose minimum over the terms is the sample: the key, then a tag of (term, t)."""
-    one, two, three = (F.xxhash64(term, F.lit(3 * sample + i)) for i in range(3))
-    r = -F.ln(_uniform(one) * _uniform(F.shiftrightunsigned(one, 32)))
-    log_c = F.ln(-F.ln(_uniform(two) * _uniform(F.shiftrightunsigned(two, 32))))
-    b = _uniform(three)
+    one, two = F.xxhash64(term, sample), F.xxhash64(sample, term)
+    r = -F.ln(_uniform(one, 32) * _uniform(F.shiftrightunsigned(one, 32), 32))
+    log_c = F.ln(-F.ln(_uniform(two, 21) * _uniform(F.shiftrightunsigned(two, 21), 21)))
+    b = _uniform(F.shiftrightunsigned(two, 42), 22)
     t = F.floor(log_weight / r + b)
-    key = log_c - r * (t - b + F.lit(1.0))
-    level = F.round((F.greatest(F.least(key, F.lit(255.0)), F.lit(-255.0)) + F.lit(256.0)) * F.lit(2.0**29)).cast("long")
-    tag = (F.shiftrightunsigned(three, 32) + t * F.lit(7919)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-    return F.shiftleft(level, TAG_BITS) + tag
+    level = ((log_c - r * (t - b + F.lit(1.0)) + F.lit(256.0)) * F.lit(2.0**29)).cast("long")
+    return F.shiftleft(level, TAG_BITS) + (one + t * F.lit(7919)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
 
 
-def terms(text: Column) -> Column:
-    """Hashes of the pairs of neighbouring words, one for each place; of a single word, its own."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(hashes) == 1, hashes).otherwise(pairs)
+def with_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row for each pair of neighbouring words, as a hash; of a single word, its own."""
+    words = F.split(F.coalesce(F.col(text), F.lit("")), SPACE)
+    hashed = texts.select(*keys, F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)).alias("_h"))
+    n = F.size("_h")
+    pairs = F.zip_with(F.slice("_h", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_h", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return hashed.select(*keys, F.explode(F.when(n == 1, F.col("_h")).otherwise(pairs)).alias("term"))
 
 
 def sketches(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -52,20 +52,22 @@ def sketches(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     Counting and sampling group by ``keys`` and the term, so a table that is partitioned by
     some of the keys already is not shuffled again.
     """
-    placed = texts.select(*keys, F.explode(terms(F.col(text))).alias("term"))
-    weighted = placed.groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("w"))
-    mins = [F.min(sample_key(F.col("term"), F.col("w"), i)).alias(f"s{i}") for i in range(SAMPLES)]
-    return weighted.groupBy(*keys).agg(*mins)
+    weighted = with_terms(texts, keys, text).groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("w"))
+    rows = weighted.select(*keys, "term", "w", F.explode(F.array(*[F.lit(PER_GROUP * g) for g in range(GROUPS)])).alias("first"))
+    mins = [F.min(sample_key(F.col("term"), F.col("w"), F.col("first") + F.lit(i))).alias(f"s{i}") for i in range(PER_GROUP)]
+    return rows.groupBy(*keys, "first").agg(*mins)
 
 
-def signature(tags: str = "s") -> Column:
-    """The tags of all samples as an array of ints."""
-    return F.array(*[F.col(f"{tags}{i}").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).cast("int") for i in range(SAMPLES)])
+def as_text() -> Column:
+    """The samples of one group as hex, six digits each."""
+    tags = [F.col(f"s{i}").bitwiseAND(F.lit((1 << TAG_BITS) - 1)) for i in range(PER_GROUP)]
+    return F.concat(*[F.lpad(F.lower(F.hex(t)), 6, "0") for t in tags])
 
 
-def as_text(sig: Column) -> Column:
-    """A signature as hex, six digits a sample; empty for a document without terms."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda v: F.lpad(F.lower(F.hex(v.cast("long"))), 6, "0")), ""), F.lit(""))
+def _joined(part: Column) -> Column:
+    """The groups of one text in order; null without any."""
+    whole = [F.max(F.when(F.col("first") == PER_GROUP * g, part)) for g in range(GROUPS)]
+    return F.concat(*whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -76,7 +78,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fingerprint) of column text; texts without a word have no row."""
-    return sketches(docs, keys).select(*keys, as_text(signature()).alias("fingerprint"))
+    parts = sketches(docs, keys).select(*keys, "first", as_text().alias("part"))
+    return parts.groupBy(*keys).agg(_joined(F.col("part")).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, *, rows_per_bucket: int = 512, max_buckets: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
@@ -120,8 +123,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     rows = rows.select("bucket", "pos", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     facts = rows.select("bucket", "pos", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     both = rows.select("bucket", "pos", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("_t"))
-    prints = sketches(both.select("bucket", "pos", "_t.which", "_t.text"), ["bucket", "pos", "which"]).select("bucket", "pos", "which", as_text(signature()).alias("p"))
-    prints = prints.groupBy("bucket", "pos").agg(F.max(F.when(F.col("which") == 0, F.col("p"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("p"))).alias("new"))
+    prints = sketches(both.select("bucket", "pos", "_t.which", "_t.text"), ["bucket", "pos", "which"]).select("bucket", "pos", "which", "first", as_text().alias("part"))
+    own, new = (_joined(F.when(F.col("which") == w, F.col("part"))) for w in (0, 1))
+    prints = prints.groupBy("bucket", "pos").agg(own.alias("own"), new.alias("new"))
     found = facts.join(prints, ["bucket", "pos"], "left").withColumns({"own": F.coalesce("own", F.lit("")), "new": F.coalesce("new", F.lit(""))})
     found = found.withColumn("_next", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
     found = found.join(heads.select("bucket", "head_print"), "bucket")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import chat, exact_dedup, fingerprints, minhash, mixing, quality
+from gradeloom.llm import chat, exact_dedup, fingerprints, minhash, mixing, pii, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op5_quality_classifier": quality.op5_quality_classifier,
+        "op6_pii": pii.op6_pii,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
