@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import chat, exact_dedup, fingerprints, minhash, mixing, pii, quality
+from gradeloom.llm import chat, exact_dedup, fingerprints, line_dedup, minhash, mixing, pii, quality
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL, "op2_chat_formatting": chat.OP2_SQL, "op4_minhash_near_dedup": minhash.OP4_SQL}
+    return {"op1_line_dedup": line_dedup.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op2_chat_formatting": chat.OP2_SQL, "op4_minhash_near_dedup": minhash.OP4_SQL}
