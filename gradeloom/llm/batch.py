@@ -46,8 +46,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(21, int(n).bit_length()))
 
 
-def slices(texts: pa.Array):
-    """(first row, data, offsets) of runs of rows of about WINDOW bytes; null is empty."""
+def slices(texts: pa.Array, window: int = WINDOW):
+    """(first row, data, offsets) of runs of rows of about ``window`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -55,7 +55,7 @@ def slices(texts: pa.Array):
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + WINDOW, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + window, side="right")) - 1)
         yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

@@ -5,9 +5,9 @@ together, and fold into a parity bitmap (odd sketch): the bits in which two bitm
 differ estimate the Jaccard similarity, best where it is high. Pairs whose estimate is
 well below the threshold are left; all others are confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs. Equal sets collapse first. Then each member
-meets its bucket's smallest member; buckets whose members are in one component are done.
-In the others only members of different components are compared, sketch by sketch inside
+No bucket is expanded into all its pairs. Equal sets collapse first. Then each document
+meets the smallest one of all its buckets; buckets whose members are in one component are
+done. In the others only members of different components are compared, sketch by sketch inside
 the task, and each member offers its best few partners of each foreign component; the
 few grow fourfold a round until no untried pair is left, so no link is lost to the limit.
 """
@@ -25,21 +25,24 @@ from gradeloom.llm import batch, bloom
 from gradeloom.llm.common import materialise
 from gradeloom.llm.components import components
 
-#: Parity bits of a sketch, as eight longs.
-BITS = 512
+#: Parity bits of a sketch, as longs.
+BITS = 2048
+LONGS = BITS // 64
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """similarity is a percentage. At 85 % a pair shares no band with probability 3e-7;
-    its estimate has a deviation of 0.027, and estimates down to 0.15 less are confirmed."""
+    """similarity is a percentage. At 85 % a pair shares no band with probability 3e-7. All
+    ``samples`` go into the sketches and the first bands * rows of them into band keys; the
+    estimate has a deviation of 0.012, and estimates down to ``margin`` less are confirmed."""
 
     similarity: int = 85
     shingle: int = 5
     bands: int = 32
     rows: int = 6
-    margin: float = 0.15
+    samples: int = 1024
+    margin: float = 0.065
     block: int = 1024
     bloom_bits: int = 1 << 28
 
@@ -71,9 +74,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.concatenate(parts) if parts else value
 
 
-def sketch(starts: np.ndarray, hashes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n, bands) and odd sketches (n, 8) of sets, none of them empty."""
-    k, n = bands * rows, len(starts) - 1
+def sketch(starts: np.ndarray, hashes: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (n, bands) and odd sketches (n, LONGS) of sets, none of them empty."""
+    k, n, bands, rows = s.samples, len(starts) - 1, s.bands, s.rows
     seeds = np.random.default_rng(4).integers(0, 1 << 32, (3, k), dtype=np.uint64).astype(np.uint32)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     low = np.empty((k, n), dtype=np.uint32)
@@ -85,7 +88,7 @@ def sketch(starts: np.ndarray, hashes: np.ndarray, bands: int, rows: int) -> tup
     sample = batch.mix64(low.astype(np.uint64) | (np.arange(k, dtype=np.uint64)[:, None] << np.uint64(32)))
     keys = np.zeros((n, bands), dtype=np.uint64)
     for j in range(rows):
-        keys += (sample[j::rows] * _FACTORS[j]).T
+        keys += (sample[j : bands * rows : rows] * _FACTORS[j]).T
     bit = (sample & np.uint64(BITS - 1)).astype(np.int64)
     parity = np.zeros((n, BITS), dtype=np.uint8)
     for i in range(k):
@@ -101,7 +104,7 @@ def similarity(differing, samples: int):
 def most_differing(settings: Settings) -> int:
     """Bits in which sketches may differ and still be confirmed on the sets."""
     bits = np.arange(BITS // 2)
-    return int(np.flatnonzero(similarity(bits, settings.bands * settings.rows) >= settings.similarity / 100 - settings.margin).max())
+    return int(np.flatnonzero(similarity(bits, settings.samples) >= settings.similarity / 100 - settings.margin).max())
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
@@ -114,11 +117,11 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 size = np.diff(starts)
                 some = size > 0
                 bands = np.zeros((len(size), s.bands), dtype=np.uint64)
-                odd = np.zeros((len(size), 8), dtype=np.uint64)
+                odd = np.zeros((len(size), LONGS), dtype=np.uint64)
                 keys = np.zeros((len(size), 2), dtype=np.uint64)
                 if some.any():
                     begin = starts[:-1][some]
-                    bands[some], odd[some] = sketch(np.append(begin, starts[-1]), hashes, s.bands, s.rows)
+                    bands[some], odd[some] = sketch(np.append(begin, starts[-1]), hashes, s)
                     keys[some, 0] = np.add.reduceat(hashes, begin)
                     keys[some, 1] = np.add.reduceat(batch.mix64(hashes + np.uint64(77)), begin)
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +139,7 @@ def _close(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
     """Pairs (a, b) with differing, the bits in which their sketches differ, at most ``limit``."""
     one = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_sa"))
     two = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_sb"))
-    bits = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(8)), F.lit(0))
+    bits = sum((F.bit_count(F.col("_sa")[i].bitwiseXOR(F.col("_sb")[i])) for i in range(LONGS)), F.lit(0))
     return pairs.join(one, "a").join(two, "b").select("a", "b", bits.alias("differing")).where(F.col("differing") <= limit)
 
 
@@ -174,8 +177,8 @@ def _offers(members: DataFrame, sketches: DataFrame, s: Settings, few: int, limi
 
     def compare(ids, labels, odd, side, i, j):
         left, right = (np.flatnonzero(side == i), np.flatnonzero(side == j)) if i != j else (np.arange(len(ids)), np.arange(len(ids)))
-        for start in range(0, len(left), 256):
-            part = left[start : start + 256]
+        for start in range(0, len(left), 32):
+            part = left[start : start + 32]
             bits = np.bitwise_count(odd[part][:, None, :] ^ odd[right][None, :, :]).sum(axis=2, dtype=np.int64)
             bits[labels[part][:, None] == labels[right][None, :]] = BITS
             p, q = np.nonzero(bits <= limit)
@@ -196,7 +199,7 @@ def _offers(members: DataFrame, sketches: DataFrame, s: Settings, few: int, limi
                     if held and (held[0][0] != group[lo]).any():
                         yield held
                         held = []
-                    odd = b.column(6).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8).view(np.uint64)
+                    odd = b.column(6).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(-1, LONGS).view(np.uint64)
                     held.append((group[lo], *(b.column(c).slice(lo, hi - lo).to_numpy() for c in (3, 4, 5)), odd))
             if held:
                 yield held
@@ -250,50 +253,38 @@ def near_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     keyed = reps.select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
     live = materialise(keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_max"), F.count("*").alias("n")).where("pivot <> _max").drop("_max"), "buckets")
     met = materialise(keyed.join(live, "key"), "members")
-    stars = met.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     ids = met.select("doc_id").distinct()
     sketches = materialise(sigs.select("doc_id", "sketch").join(ids, "doc_id", "left_semi"), "sketches")
-    pairs = materialise(_close(stars, sketches, limit), "pairs")
+    stars = met.where("doc_id <> pivot").groupBy("doc_id").agg(F.min("pivot").alias("b"))
+    pairs = materialise(_close(stars.select(F.col("doc_id").alias("a"), "b"), sketches, limit), "pairs")
 
-    needed = met.where("n > 2").select("doc_id").union(pairs.select("a")).union(pairs.select("b"))
     slots = bloom.slots_for(sketches.count(), bits_per_row=16, functions=2, max_bits=s.bloom_bits)
-    filters = bloom.bitmaps(needed.distinct(), "doc_id", slots, 2)
+    filters = bloom.bitmaps(ids, "doc_id", slots, 2)
     texts = bloom.flag(docs.select("doc_id", "text"), F.col("doc_id"), filters, slots, 2, "_needed").where("_needed").select("doc_id", "text")
     texts = materialise(texts, "texts")
 
-    best = pairs.groupBy("a").agg(F.min(F.struct("differing", "b")).alias("_best")).select("a", "_best.b")
+    tried = todo = pairs.select("a", "b")
     labels = spark.createDataFrame([], "doc_id long, label long")
-    tried = materialise(best, "tried")
-    good = materialise(confirmed(tried, texts, s), "confirmed")
-    labels = _relabel(labels, good)
-    todo = materialise(_foreign(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels), "todo")
-    few, more = 1, True
+    few, more, tired = 1, True, False
     while more or not todo.isEmpty():
-        if not todo.isEmpty():
+        if not tired:
             good = materialise(confirmed(todo, texts, s), "confirmed")
             labels = labels if good.isEmpty() else _relabel(labels, good)
-            tried = materialise(tried.union(todo), "tried")
-        few *= 4
-        named = met.where("n > 2").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n")
+        few *= 64 if tired else 4
+        named = met.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n")
         mixed = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("key")
         open_ = named.join(mixed, "key").select("key", "doc_id", "label", F.ceil(F.col("n") / s.block).cast("long").alias("blocks"))
         offers = materialise(_offers(open_, sketches, s, few, limit), "offers")
         more = not offers.where("more").isEmpty()
         todo = materialise(offers.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "todo")
+        tired = todo.isEmpty()
+        tried = tried if tired else materialise(tried.union(todo), "tried")
     reps_of = member.withColumnRenamed("rep", "_rep").join(labels.select(F.col("doc_id").alias("_rep"), "label"), "_rep", "left").select("doc_id", F.coalesce("label", "_rep").alias("_component"))
     found = materialise(reps_of.union(labels.select("doc_id", "label")).distinct(), "components")
     out = sigs.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _foreign(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    la = labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    joined = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_components(docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import chat, exact_dedup, fingerprints, line_dedup, minhash, mixing, pii, quality, sharding
+from gradeloom.llm import chat, exact_dedup, fingerprints, line_dedup, minhash, mixing, pieces, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_pii": pii.op6_pii,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_sentencepiece": pieces.op10_sentencepiece,
         "op9_sharding": sharding.op9_sharding,
     }
 
