@@ -2,10 +2,539 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gradeloom.functions import text as tx
+from gradeloom.operators import agreement as ag
+from gradeloom.operators import argue, library, panel, redact, segment, store, textstats
+from gradeloom.plans.inputs import BANDS_SQL, ITEMS_SQL, PAIRS_SQL, VOTES_SQL, bands, items, table, votes
+from gradeloom.streaming import progress
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _scale_votes(spark, sf_dir):
+    return votes(spark, sf_dir).withColumns({"level": F.lit(None).cast("string"), "evidence": F.concat(F.lit("e"), F.col("judge").cast("string")), "observation": F.concat(F.lit("o"), F.col("judge").cast("string"))})
+
+
+def _level_votes(spark, sf_dir, kind):
+    names = F.element_at(F.array(*map(F.lit, ("no_cumple", "parcial", "cumple") if kind == "weighted" else ("no_cumple", "cumple"))), (F.col("score") % (3 if kind == "weighted" else 2)).cast("int") + 1)
+    return _scale_votes(spark, sf_dir).withColumn("level", names).withColumn("score", F.lit(None).cast("int"))
+
+
+_MEDIANS = "m as (select doc_id, section_id, item, quantile_disc(score, 0.5) as median, max(score) - min(score) as spread, count(score) as n_votes from votes group by 1, 2, 3)"
+
+
+@query(f"""with {VOTES_SQL}, {_MEDIANS}, {BANDS_SQL},
+t as (select doc_id, cast(sum(coalesce(median, 0)) as double) as total, cast(count(*) filter (n_votes > 0 and spread >= 2) as bigint) as flagged from m group by 1)
+select doc_id, total, round(total / 24 * 100, 2) as pct, flagged, (select label from bands where min <= round(total / 24 * 100, 2) order by min desc limit 1) as band from t""")
+def score_flagship(spark, sf_dir):
+    """Votes to item medians, totals, flags and a quality band."""
+    c = panel.consolidate(_scale_votes(spark, sf_dir), "scale")
+    t = c.groupBy(F.col("eval_id").alias("doc_id")).agg(F.sum(F.coalesce("median", F.lit(0))).cast("double").alias("total"), F.count_if("flagged").alias("flagged"))
+    t = t.withColumns({"pct": F.round(F.col("total") / 24 * 100, 2), "rubric_id": F.lit("r")})
+    return panel.with_band(t, bands(spark), "pct").select("doc_id", "total", "pct", "flagged", "band")
+
+
+@query(f"with {VOTES_SQL}, {_MEDIANS} select doc_id, section_id, 'i' || cast(item as varchar) as item_id, cast(n_votes as int) as n_votes, median, spread, coalesce(spread >= 2, false) as flagged from m")
+def item_consolidation(spark, sf_dir):
+    return panel.consolidate(_scale_votes(spark, sf_dir), "scale").select(F.col("eval_id").alias("doc_id"), "section_id", "item_id", "n_votes", "median", "spread", "flagged")
+
+
+@query(f"with {VOTES_SQL}, {_MEDIANS} select doc_id, section_id, cast(sum(coalesce(median, 0)) as double) as subtotal, cast(count(*) filter (n_votes > 0) as bigint) as judged from m group by 1, 2")
+def section_subtotals(spark, sf_dir):
+    c = panel.consolidate(_scale_votes(spark, sf_dir), "scale")
+    return c.groupBy(F.col("eval_id").alias("doc_id"), "section_id").agg(F.sum(F.coalesce("median", F.lit(0))).cast("double").alias("subtotal"), F.count_if(F.col("n_votes") > 0).alias("judged"))
+
+
+@query(f"""with {VOTES_SQL}, l as (select doc_id, item, score % 2 as o from votes), m as (select doc_id, item, quantile_disc(o, 0.5) as med, max(o) - min(o) as spread from l group by 1, 2)
+select doc_id, 'i' || cast(item as varchar) as item_id, case med when 1 then 'cumple' when 0 then 'no_cumple' end as level, coalesce(spread >= 1, false) as flagged from m""")
+def dichotomous_majority(spark, sf_dir):
+    c = panel.consolidate(_level_votes(spark, sf_dir, "dichotomous"), "dichotomous")
+    return c.select(F.col("eval_id").alias("doc_id"), "item_id", panel.level_of("dichotomous", F.col("median")).alias("level"), "flagged")
+
+
+@query(f"""with {VOTES_SQL}, {ITEMS_SQL}, m as (select doc_id, item, quantile_disc(score % 3, 0.5) as med from votes group by 1, 2)
+select doc_id, 'i' || cast(item as varchar) as item_id, case med when 2 then 'cumple' when 1 then 'parcial' when 0 then 'no_cumple' end as level,
+  cast(case when med >= 2 then weight when med = 1 then coalesce(partial, round(weight / 2, 2)) else 0 end as double) as points from m join items using (item)""")
+def weighted_three_level(spark, sf_dir):
+    c = panel.consolidate(_level_votes(spark, sf_dir, "weighted"), "weighted").join(F.broadcast(items(spark).select("item_id", "weight", "partial")), "item_id")
+    return c.select(F.col("eval_id").alias("doc_id"), "item_id", panel.level_of("weighted", F.col("median")).alias("level"), panel.points("weighted", F.col("median"), F.col("weight"), F.col("partial")).alias("points"))
+
+
+@query(f"""with {VOTES_SQL}, {_MEDIANS} select doc_id, round(100.0 * count(*) filter (n_votes > 0 and spread >= 2) / count(*) filter (n_votes > 0), 2) as disagreement_pct,
+  coalesce(string_agg(section_id || '.i' || cast(item as varchar), ',' order by section_id, item) filter (n_votes > 0 and spread >= 2), '') as flagged_items from m group by 1""")
+def disagreement_rate(spark, sf_dir):
+    c = panel.consolidate(_scale_votes(spark, sf_dir), "scale").join(F.broadcast(items(spark).select("item_id", "pos")), "item_id").withColumn("judged", F.col("n_votes") > 0)
+    stats = panel.panel_stats(c, spark.createDataFrame([], "eval_id long, judge int, section_id string"))
+    return stats.select(F.col("eval_id").alias("doc_id"), "disagreement_pct", F.array_join("flagged_items", ",").alias("flagged_items"))
+
+
+@query(f"""with {VOTES_SQL} select doc_id, count(*) filter (score is null) as gaps, count(*) filter (score is null) > 0 as incomplete,
+  coalesce(string_agg('juez' || cast(judge as varchar) || ' ' || item_id, ',' order by judge, item) filter (score is null), '') as gap_list from votes group by 1""")
+def panel_gaps(spark, sf_dir):
+    v = votes(spark, sf_dir)
+    gap = F.when(F.col("score").isNull(), F.struct("judge", "item", F.concat(F.lit("juez"), F.col("judge").cast("string"), F.lit(" "), "item_id").alias("t")))
+    g = v.groupBy("doc_id").agg(F.count_if(F.col("score").isNull()).alias("gaps"), F.array_sort(F.collect_list(gap)).alias("_g"))
+    return g.select("doc_id", "gaps", (F.col("gaps") > 0).alias("incomplete"), F.array_join(F.transform("_g", lambda x: x["t"]), ",").alias("gap_list"))
+
+
+@query(f"""with {VOTES_SQL}, {_MEDIANS} select v.doc_id, v.item_id, min(v.judge) as judge, min_by('o' || cast(v.judge as varchar), v.judge) as observation
+  from votes v join m on v.doc_id = m.doc_id and v.item = m.item and v.score = m.median group by 1, 2""")
+def representative_vote(spark, sf_dir):
+    c = panel.consolidate(_scale_votes(spark, sf_dir), "scale").where("median is not null")
+    return c.select(F.col("eval_id").alias("doc_id"), "item_id", F.substring("observation", 2, 9).cast("int").alias("judge"), "observation")
+
+
+def _weekly(spark, sf_dir):
+    """Evaluations of every document: a third complete, a third weekly, the rest weekly without weeks."""
+    v = _scale_votes(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("eval_id"))
+    mode = F.when(F.col("eval_id") % 3 == 0, "complete").otherwise("weekly")
+    weeks = F.when(F.col("eval_id") % 3 == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    evals = docs.select("eval_id", F.lit("r").alias("rubric_id"), mode.alias("mode"), weeks.alias("weeks"), F.lit(True).alias("with_admin"))
+    sections = spark.createDataFrame([("r", "S01", 1, "One", 12.0, False), ("r", "S02", 2, "Two", 12.0, False)], "rubric_id string, section_id string, pos int, name string, max double, admin boolean")
+    week_map = spark.createDataFrame([("r", 1, "S01")], "rubric_id string, week int, section_id string")
+    active = panel.active_sections(evals, sections, week_map)
+    segments = docs.select("eval_id", F.explode(F.array(F.lit("S01"), F.lit("S02"))).alias("section_id"))
+    words = F.when(F.col("section_id") == "S02", F.col("eval_id") % 9).otherwise(F.lit(50)).cast("int")
+    segments = segments.select("eval_id", "section_id", (F.col("eval_id") % 7 != 0).alias("present"), words.alias("words"), F.lit(None).cast("int").alias("own_words"))
+    conversion = spark.createDataFrame([("r", 3 * g, 3 * g + 2, g) for g in range(9)], "rubric_id string, min int, max int, grade int")
+    return panel.score_documents(v, items(spark), sections, segments, evals, active, bands(spark), conversion, "scale")
+
+
+_WEEKLY_SQL = f"""with {VOTES_SQL}, {_MEDIANS}, {BANDS_SQL},
+s as (select doc_id, section_id, sum(coalesce(median, 0)) as pts from m group by 1, 2),
+k as (select s.*, case when doc_id % 3 = 0 then 'complete' else 'weekly' end as mode, not (doc_id % 3 = 1 and section_id = 'S02') as active,
+  doc_id % 7 <> 0 and (section_id = 'S01' or doc_id % 9 >= 5) as open from s),
+t as (select doc_id, min(mode) as mode, cast(sum(case when active and open then pts else 0 end) as double) as total, cast(sum(case when active then 12 else 0 end) as double) as active_max from k group by 1),
+u as (select *, case when mode = 'weekly' or active_max <> 24 then round(total / active_max * 100, 2) end as normalised from t)"""
+
+
+@query(_WEEKLY_SQL + " select doc_id, mode, total, active_max, normalised from u")
+def progressive_normalised(spark, sf_dir):
+    return _weekly(spark, sf_dir)["totals"].select(F.col("eval_id").alias("doc_id"), "mode", "total", "active_max", "normalised")
+
+
+@query(_WEEKLY_SQL + " select doc_id, (select label from bands where min <= coalesce(normalised, total) order by min desc limit 1) as band from u")
+def quality_band(spark, sf_dir):
+    return _weekly(spark, sf_dir)["totals"].select(F.col("eval_id").alias("doc_id"), "band")
+
+
+@query(_WEEKLY_SQL + " select doc_id, case when mode = 'complete' and active_max = 24 then cast(round_even(total, 0) as int) // 3 end as grade from u")
+def grade_conversion(spark, sf_dir):
+    return _weekly(spark, sf_dir)["totals"].select(F.col("eval_id").alias("doc_id"), "grade")
+
+
+_OPEN = "doc_id % 7 <> 0 and (section_id = 'S01' or doc_id % 9 >= 5)"
+
+
+@query(_WEEKLY_SQL + f""" select doc_id, section_id, case when doc_id % 3 = 1 and section_id = 'S02' then 'inactive' when doc_id % 7 = 0 then 'missing' when not ({_OPEN}) then 'empty' else 'open' end as state,
+  case when doc_id % 3 = 1 and section_id = 'S02' then null when {_OPEN} then cast(pts as double) else 0 end as subtotal from k""")
+def section_states(spark, sf_dir):
+    return _weekly(spark, sf_dir)["sections"].select(F.col("eval_id").alias("doc_id"), "section_id", "state", "subtotal")
+
+
+_QWK = "1 - sum((a - b) * (a - b)) / nullif(sum(a * a) + sum(b * b) - 2.0 * sum(a) * sum(b) / count(*), 0)"
+
+
+def _pairs(spark, sf_dir):
+    return ag.rater_pairs(votes(spark, sf_dir), ["doc_id", "item"], "judge")
+
+
+@query(f"with {PAIRS_SQL} select ja as judge_a, jb as judge_b, count(*) as n, round({_QWK}, 6) as qwk from pairs group by 1, 2")
+def qwk_pairs(spark, sf_dir):
+    p = _pairs(spark, sf_dir).groupBy(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b"))
+    return p.agg(F.count("*").alias("n"), F.round(ag.qwk(F.col("a"), F.col("b")), 6).alias("qwk"))
+
+
+_TOTALS_SQL = VOTES_SQL + """, totals as (select doc_id, judge, sum(coalesce(score, 0)) as score from votes group by 1, 2),
+pt as (select a.doc_id, a.judge as ja, b.judge as jb, a.score as a0, b.score as b0 from totals a join totals b on a.doc_id = b.doc_id and a.judge < b.judge)"""
+
+
+def _totals(spark, sf_dir):
+    return votes(spark, sf_dir).groupBy("doc_id", "judge").agg(F.sum(F.coalesce("score", F.lit(0))).alias("score"))
+
+
+@query(f"""with {_TOTALS_SQL}, labels as (select ja, jb, v, dense_rank() over (partition by ja, jb order by v) as p from (select distinct ja, jb, unnest([a0, b0]) as v from pt)),
+d as (select pt.ja, pt.jb, x.p as a, y.p as b from pt join labels x on x.ja = pt.ja and x.jb = pt.jb and x.v = a0 join labels y on y.ja = pt.ja and y.jb = pt.jb and y.v = b0)
+select ja as judge_a, jb as judge_b, round({_QWK}, 6) as qwk from d group by 1, 2""")
+def qwk_totals_dense(spark, sf_dir):
+    p = ag.dense_labels(ag.rater_pairs(_totals(spark, sf_dir), ["doc_id"], "judge"), ["rater_a", "rater_b"])
+    return p.groupBy(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b")).agg(F.round(ag.qwk(F.col("a"), F.col("b")), 6).alias("qwk"))
+
+
+@query(f"with {PAIRS_SQL} select ja as judge_a, jb as judge_b, round(avg((a = b)::int), 6) as exact, round(avg((abs(a - b) <= 1)::int), 6) as adjacent, round(avg(abs(a - b)), 6) as mae from pairs group by 1, 2")
+def exact_adjacent_mae(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, sf_dir).groupBy(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b")).agg(F.round(ag.exact(a, b), 6).alias("exact"), F.round(ag.adjacent(a, b), 6).alias("adjacent"), F.round(ag.mean_error(a, b), 6).alias("mae"))
+
+
+@query(f"""with {_TOTALS_SQL}, r as (select *, rank() over (partition by ja, jb order by a0) + (count(*) over (partition by ja, jb, a0) - 1) / 2.0 as ra,
+  rank() over (partition by ja, jb order by b0) + (count(*) over (partition by ja, jb, b0) - 1) / 2.0 as rb from pt)
+select ja as judge_a, jb as judge_b, round(corr(a0, b0), 6) as pearson, round(corr(ra, rb), 6) as spearman from r group by 1, 2""")
+def pearson_spearman(spark, sf_dir):
+    keys = ["rater_a", "rater_b"]
+    p = ag.rater_pairs(_totals(spark, sf_dir), ["doc_id"], "judge")
+    both = p.groupBy(*keys).agg(ag.pearson(F.col("a"), F.col("b")).alias("pearson")).join(ag.spearman(p, keys), keys)
+    return both.select(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b"), F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@query(f"""with {_TOTALS_SQL}, x as (select cast(score as double) as x, doc_id, judge from totals),
+w as (select count(distinct doc_id) as n, count(distinct judge) as k, sum(x) as s, sum(x * x) as ss from x),
+tt as (select sum(t * t) as tt from (select sum(x) as t from x group by doc_id)), rr as (select sum(r * r) as rr from (select sum(x) as r from x group by judge)),
+q as (select n, k, ss, s * s / (n * k) as base, tt / k - s * s / (n * k) as ssr, rr / n - s * s / (n * k) as ssc from w, tt, rr),
+z as (select n, k, ssr / (n - 1) as msr, ssc / (k - 1) as msc, (ss - base - ssr - ssc) / ((n - 1) * (k - 1)) as mse from q)
+select n, k, round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) as icc from z""")
+def icc_totals(spark, sf_dir):
+    return ag.icc21(_totals(spark, sf_dir).withColumnRenamed("judge", "rater"), "doc_id").select("n", "k", F.round("icc", 6).alias("icc"))
+
+
+@query("""select v as value, case when v is null then 'no calculable' when v < 0 then 'pobre' when v <= 0.20 then 'leve' when v <= 0.40 then 'aceptable' when v <= 0.60 then 'moderado'
+  when v <= 0.80 then 'sustancial' else 'casi perfecto' end as words, count(*) as n from (select round((doc_id % 130 - 20) / 100.0, 2)::double as v from documents) group by 1, 2""")
+def landis_koch(spark, sf_dir):
+    v = table(spark, sf_dir, "documents").select(F.round((F.col("doc_id") % 130 - 20) / 100.0, 2).alias("value"))
+    return v.select("value", ag.interpret_kappa(F.col("value")).alias("words")).groupBy("value", "words").agg(F.count("*").alias("n"))
+
+
+@query(f"with {PAIRS_SQL}, q as (select ja, jb, {_QWK} as q from pairs group by 1, 2) select round(avg(q), 6) as mean, count(q) as pairs from q")
+def pairwise_mean(spark, sf_dir):
+    return ag.mean_pairwise(ag.agreement_table(_pairs(spark, sf_dir), ["rater_a", "rater_b"])).select(F.round("mean", 6).alias("mean"), "pairs")
+
+
+@query(f"with {PAIRS_SQL} select doc_id, ja as judge_a, jb as judge_b, count(*) as n, round({_QWK}, 6) as qwk from pairs group by grouping sets ((ja, jb), (ja, jb, doc_id))")
+def human_baseline(spark, sf_dir):
+    """Kappa of each pair of raters over all items, and by document, in one pass over the pairs."""
+    p = _pairs(spark, sf_dir).select("doc_id", F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b"), "a", "b")
+    return p.groupingSets([["judge_a", "judge_b"], ["judge_a", "judge_b", "doc_id"]], "judge_a", "judge_b", "doc_id").agg(F.count("*").alias("n"), F.round(ag.qwk(F.col("a"), F.col("b")), 6).alias("qwk")).select("doc_id", "judge_a", "judge_b", "n", "qwk")
+
+
+@query(f"with {VOTES_SQL} select doc_id, item, quantile_disc(score, 0.5) as lower_median, cast(median(score) as double) as median from votes group by 1, 2")
+def juror_medians(spark, sf_dir):
+    return ag.juror_medians(votes(spark, sf_dir), ["doc_id", "item"])
+
+
+@query("""with p as (select quality as a, cast(case when n_chars > 900 then 1 else 0 end as int) as b, lang from labels join documents using (doc_id))
+select lang, a as quality, b as long_text, count(*) as n from p group by 1, 2, 3""")
+def label_confusion(spark, sf_dir):
+    p = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return p.groupBy("lang", "quality", (F.col("n_chars") > 900).cast("int").alias("long_text")).agg(F.count("*").alias("n"))
+
+
+@query(f"with p as (select quality as a, toxic as b, source from labels join documents using (doc_id)) select source, count(*) as n, round({_QWK}, 6) as qwk, round(avg((a = b)::int), 6) as exact from p group by 1")
+def label_agreement(spark, sf_dir):
+    p = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumnsRenamed({"quality": "a", "toxic": "b"})
+    return p.groupBy("source").agg(F.count("*").alias("n"), F.round(ag.qwk(F.col("a"), F.col("b")), 6).alias("qwk"), F.round(ag.exact(F.col("a"), F.col("b")), 6).alias("exact"))
+
+
+_SOURCES = [f"src{i}" for i in range(20)]
+_REPS = 200
+
+
+def _boot_weight(rep, project):
+    return (rep * 7 + project * 13 + (rep * project) % 11) % 4
+
+
+@query(f"""with {PAIRS_SQL}, s as (select cast(substr(d.source, 4) as int) as project, ja, jb, count(*) as n, sum(a) as sa, sum(b) as sb, sum(a * a) as saa, sum(b * b) as sbb, sum(a * b) as sab
+  from pairs join documents d using (doc_id) group by 1, 2, 3),
+w as (select rep, project, (rep * 7 + project * 13 + (rep * project) % 11) % 4 as w from range(0, {_REPS}) r(rep), range(0, 20) p(project)),
+e as (select ja, jb, rep, 1 - (sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sab)) / nullif(sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sa) * sum(w * sb) / nullif(sum(w * n), 0), 0) as q from s join w using (project) group by 1, 2, 3)
+select ja as judge_a, jb as judge_b, round(quantile_cont(q, 0.025), 6) as low, round(quantile_cont(q, 0.975), 6) as high, count(q) as replicates from e where q is not null group by 1, 2""")
+def bootstrap_interval(spark, sf_dir):
+    """Percentile interval of each pair's kappa over resampled sources, with weights that SQL can compute."""
+    by = ["rater_a", "rater_b"]
+    pairs = _pairs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    rows = [(r, f"src{p}", float(_boot_weight(r, p))) for r in range(_REPS) for p in range(20)]
+    out = ag.bootstrap_qwk(ag.project_sums(pairs, by, "source"), spark.createDataFrame(rows, "rep int, project string, w double"), by)
+    return out.select(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "replicates")
+
+
+@query()
+def bootstrap_seeded(spark, sf_dir):
+    """The same with 2000 replicates drawn from seed 42."""
+    by = ["rater_a", "rater_b"]
+    pairs = _pairs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return ag.bootstrap_qwk(ag.project_sums(pairs, by, "source"), ag.bootstrap_weights(spark, _SOURCES), by)
+
+
+@query(f"""with {VOTES_SQL} select a.judge as run_a, b.judge as run_b, count(*) as n, round(1 - sum((a.score - b.score) * (a.score - b.score)) / nullif(sum(a.score * a.score) + sum(b.score * b.score) - 2.0 * sum(a.score) * sum(b.score) / count(*), 0), 6) as qwk,
+  round(100 * avg((a.score = b.score)::int), 2) as identical_pct from votes a join votes b on a.doc_id = b.doc_id and a.item = b.item and a.judge < b.judge where a.score is not null and b.score is not null group by 1, 2""")
+def retest_runs(spark, sf_dir):
+    runs = votes(spark, sf_dir).select(F.col("judge").alias("run"), F.col("doc_id").alias("project"), "item_id", "score")
+    return ag.retest(runs).withColumn("qwk", F.round("qwk", 6))
+
+
+@query(f"with {_TOTALS_SQL} select doc_id as project, round(stddev_pop(score), 3) as sd, count(*) as runs from totals group by 1")
+def retest_spread(spark, sf_dir):
+    return ag.run_spread(votes(spark, sf_dir).select(F.col("judge").alias("run"), F.col("doc_id").alias("project"), F.coalesce("score", F.lit(0)).alias("score")))
+
+
+@query("select user_id, event_id, event_type from (select *, max(ts) over (partition by user_id) as top from events) where ts = top")
+def latest_evaluation(spark, sf_dir):
+    """Newest events of each user; ties stay."""
+    return store.latest_per_project(table(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "event_id", "event_type")
+
+
+@query("""select user_id, max_by(event_type, (ts, event_id)) filter (event_type <> 'click') as state, round(max_by(value, (ts, event_id)) filter (value > 10), 6) as total from events group by 1""")
+def state_log_coalesce(spark, sf_dir):
+    """Partial updates folded: the last value that is not null of each column."""
+    log = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("state"), F.when(F.col("value") > 10, F.col("value")).alias("total"))
+    return store.current_state(log, "user_id", "at", ["state", "total"]).select("user_id", "state", F.round("total", 6).alias("total"))
+
+
+@query(f"""with {VOTES_SQL}, {_MEDIANS} select v.doc_id, v.item_id, string_agg('juez' || cast(judge as varchar) || '=' || coalesce(cast(score as varchar), ''), '|' order by judge) as votes,
+  cast(coalesce(max(m.spread) >= 2, false) as int) as flagged from votes v join m on m.doc_id = v.doc_id and m.item = v.item group by 1, 2""")
+def items_csv_shape(spark, sf_dir):
+    from gradeloom.sources.files import items_csv
+
+    return items_csv(panel.consolidate(_scale_votes(spark, sf_dir), "scale")).select(F.col("eval_id").alias("doc_id"), "item_id", "votes", "flagged")
+
+
+@query(f"with {VOTES_SQL}, {_MEDIANS} select doc_id, cast(sum(coalesce(median, 0)) as double) as total, cast(sum(coalesce(median, 0)) filter (section_id = 'S01') as double) as sub_S01, cast(sum(coalesce(median, 0)) filter (section_id = 'S02') as double) as sub_S02 from m group by 1")
+def consolidated_pivot(spark, sf_dir):
+    from gradeloom.sources.files import consolidated
+
+    s = section_subtotals(spark, sf_dir).withColumnRenamed("doc_id", "eval_id")
+    return consolidated(s.groupBy("eval_id").agg(F.sum("subtotal").alias("total")), s, ["S01", "S02"]).withColumnRenamed("eval_id", "doc_id")
+
+
+_ASCII = r"[\x20\x09-\x0D]+"
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-záéíóúñü]+')"
+
+
+@query(f"select doc_id, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_ASCII}'), lambda w: w <> '')) as int) as words, cast(len({_TOKENS}) as int) as letter_tokens from documents")
+def word_stats(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.n_words(t).alias("words"), F.size(tx.letter_tokens(t)).alias("letter_tokens"))
+
+
+@query(f"select doc_id, case when len({_TOKENS}) >= 50 then round(len(list_distinct({_TOKENS})) / len({_TOKENS}), 4) end as ttr from documents")
+def ttr(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.type_token_ratio(tx.letter_tokens(F.coalesce("text", F.lit("")))).alias("ttr"))
+
+
+@query(f"""with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: len(list_filter(regexp_split_to_array(s, '{_ASCII}'), lambda w: w <> ''))), lambda n: n >= 3) as n from documents)
+select doc_id, case when len(n) > 0 then round(list_sum(n) / len(n), 2) end as mean_sentence_words from s""")
+def sentence_length(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.mean_sentence_words(F.col("text")).alias("mean_sentence_words"))
+
+
+_SYLL = "(len(regexp_extract_all(lower(coalesce(text, '')), '[aeiouáéíóúü]+')) + len(regexp_extract_all(lower(coalesce(text, '')), '[aeoáéó][íú]|[íú][aeoáéó]')))"
+_SENT = r"greatest(1, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g') <> '')))"
+
+
+@query(f"""with r as (select doc_id, len({_TOKENS})::double as w, {_SYLL}::double as y, {_SENT} as s from documents),
+e as (select doc_id, case when w >= 30 then round(greatest(0.0, least(120.0, 206.84 - 60.0 * (y / w) - 1.02 * (w / s))), 2) end as ease from r)
+select doc_id, ease, case when ease is null then null when ease >= 80 then 'very easy' when ease >= 65 then 'easy' when ease >= 55 then 'normal' when ease >= 40 then 'somewhat hard' else 'hard' end as band from e""")
+def readability_band(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.readability(F.coalesce("text", F.lit(""))).alias("ease"))
+    return d.select("doc_id", "ease", tx.ease_band(F.col("ease")).alias("band"))
+
+
+@query()
+def mtld(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.letter_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return d.select("doc_id", F.when(F.size("t") >= 50, textstats.mtld(F.col("t"))).alias("mtld"))
+
+
+@query(f"with {VOTES_SQL} select doc_id, round(count(*) filter (n > 0) / count(*), 4) as completeness, cast(coalesce(sum(n) filter (n > 0), 0) as bigint) as words from (select doc_id, section_id, count(score) - 8 as n from votes group by 1, 2) group by 1")
+def completeness(spark, sf_dir):
+    s = votes(spark, sf_dir).groupBy("doc_id", "section_id").agg((F.count("score") - 8).alias("words")).withColumn("present", F.col("words") > 0)
+    return textstats.completeness(s)
+
+
+_MAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]*[A-Za-z0-9_]"
+
+
+@query(f"select doc_id, sha256(regexp_replace(coalesce(text, ''), '{_MAIL}', '[CORREO]', 'g')) as redacted_sha256 from documents")
+def redact_emails(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact.redact_emails(F.coalesce("text", F.lit(""))), 256).alias("redacted_sha256"))
+
+
+@query(f"select lang, cast(sum(len(regexp_extract_all(coalesce(text, ''), '{_MAIL}'))) as bigint) as emails, count(*) filter (regexp_matches(coalesce(text, ''), '{_MAIL}')) as docs from documents group by 1")
+def redaction_counts(spark, sf_dir):
+    n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_MAIL), F.lit(0)))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(n).alias("emails"), F.count_if(n > 0).alias("docs"))
+
+
+@query()
+def redact_documents(spark, sf_dir):
+    """Numbered placeholders over each document as a single page, and what was replaced."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_no"), "text")
+    clean, reports, _ = redact.redact(pages)
+    total = F.aggregate(F.map_values("counts"), F.lit(0), lambda a, v: a + v)
+    return clean.join(reports, "doc_id").select("doc_id", F.length("text").alias("n_chars"), total.alias("replaced"), F.size("warnings").alias("warnings"))
+
+
+@query("select conv_id, row_number() over (partition by conv_id order by turn) as n, turn, role from conversations")
+def turns_order(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"), "turn", "role")
+
+
+@query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n = 1")
+def conversation_latest(spark, sf_dir):
+    return store.upsert_last(table(spark, sf_dir, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", "role")
+
+
+@query("""with q as (select conv_id, turn, sha256(role || chr(1) || text) as request_id from conversations),
+d as (select request_id, min((conv_id, turn)) as k from q group by 1), r as (select distinct request_id from q where (conv_id * 7 + turn) % 3 = 0)
+select request_id from d where request_id not in (select request_id from r)""")
+def requests_pending(spark, sf_dir):
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat("role", F.lit("\x01"), "text"), 256).alias("request_id"))
+    answers = q.where("(conv_id * 7 + turn) % 3 = 0").select("request_id", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"))
+    return store.pending(q, answers).select("request_id")
+
+
+@query("""with c as (select conv_id, turn, length(text) as tokens, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) as s, row_number() over (partition by conv_id order by turn) as n from conversations)
+select conv_id, turn, tokens from c where s <= 900 or n = 1""")
+def token_budget_cut(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("tokens"))
+    return panel.prefix_within_budget(c, 900, ["conv_id"], ["turn"])
+
+
+_PRICES = [("user", 0.15, 0.60), ("assistant", 2.5, 10.0)]
+_PRICES_SQL = "prices(model, usd_in, usd_out) as (values ('user', 0.15, 0.60), ('assistant', 2.5, 10.0))"
+
+
+@query(f"""with {_PRICES_SQL}, c as (select conv_id, role, length(text) as ti, turn + 1 as tout from conversations)
+select conv_id as eval_id, cast(sum(ti) as bigint) as tokens_in, cast(sum(tout) as bigint) as tokens_out, case when bool_or(role = 'assistant') then round(sum(ti * usd_in / 1e6 + tout * usd_out / 1e6), 6) end as usd
+from c left join prices on model = role group by 1""")
+def cost_rollup(spark, sf_dir):
+    calls = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("eval_id"), F.col("role").alias("model"), F.when(F.col("role") == "assistant", "judge").otherwise("other").alias("role"), F.length("text").cast("long").alias("tokens_in"), (F.col("turn") + 1).cast("long").alias("tokens_out"))
+    return panel.cost_rollup(calls, spark.createDataFrame(_PRICES, "model string, usd_in double, usd_out double"))
+
+
+@query(f"""with {_PRICES_SQL}, r as (select role as model, count(*) as requests, cast(sum(length(text) + 200) as bigint) as tokens_in from conversations group by 1)
+select r.model, requests, tokens_in, requests * 900 as tokens_out, round((tokens_in * usd_in + requests * 900 * usd_out) / 1e6 * 0.5, 6) as usd from r left join prices p on p.model = r.model""")
+def batch_cost(spark, sf_dir):
+    r = table(spark, sf_dir, "conversations").select(F.col("role").alias("model"), F.length("text").cast("long").alias("tokens"))
+    return store.batch_cost(r, spark.createDataFrame(_PRICES, "model string, usd_in double, usd_out double"))
+
+
+@query("""with s as (select a.vec_id as query_id, b.vec_id as passage_id, list_dot_product(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a, embeddings b where a.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by similarity desc, passage_id) as rank from s) select query_id, passage_id, round(similarity, 6) as similarity, rank from r where rank <= 2""")
+def passages_topk(spark, sf_dir):
+    """The two nearest vectors, exactly, of every vector whose id is divisible by 100."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vector"))
+    q = e.where("passage_id % 100 = 0").withColumnRenamed("passage_id", "query_id")
+    return library.nearest(q, e).select("query_id", "passage_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("select source as book, cast(count(*) as bigint) as fragments from documents group by 1")
+def fragments_per_book(spark, sf_dir):
+    return library.fragments_per_book(table(spark, sf_dir, "documents").withColumnRenamed("source", "book"))
+
+
+@query()
+def library_chunks(spark, sf_dir):
+    """Passages of every document, as a library is filled."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return library.chunks(pages).select("id", "book", "page", F.length("text").alias("n_chars"))
+
+
+_PAGES = [
+    (1, 1, "PROYECTO DE TESIS\nAUTOR: Ana Pérez\n1. Título\nSistema de riego"), (1, 2, "ÍNDICE\n1. Título ...... 1\n2. Problema ...... 3"),
+    (1, 3, "1.1. Problema central del estudio\nEl riego falla.\n1.2. Formulación de problema\n¿Cómo se riega?"), (1, 4, "texto .... 3\notro .... 5\nfin ..... 9\nREFERENCIAS\nRamos, A. (2015). Riego."),
+    (2, 1, "2. Objetivos\nObjetivo general: medir.\nJustificación"), (2, 2, "esto es una línea de prosa muy larga que no parece un encabezado porque pasa de noventa letras y sigue\nANEXOS"),
+]
+_ALIASES = [("S01", 1, "titulo"), ("S02", 2, "problema"), ("S02", 2, "formulacion del problema"), ("S03", 3, "objetivos"), ("S03", 3, "objetivo general"), ("S05", 5, "justificacion")]
+_PAGES_SQL = "pages(doc_id, page_no, text) as (values " + ", ".join(f"({d}, {p}, '{t}')" for d, p, t in _PAGES) + ")"
+
+
+def _fixture_pages(spark):
+    return spark.createDataFrame(_PAGES, "doc_id int, page_no int, text string")
+
+
+@query(f"""with {_PAGES_SQL}, l as (select doc_id, page_no, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as ls from pages)
+select doc_id, page_no, len(list_filter(ls[1:8], lambda x: regexp_matches(lower(x), '^\\s*([ií]ndice|tabla de contenido|contenido)s?\\b'))) > 0 or len(list_filter(ls, lambda x: regexp_matches(x, '\\.{{2,}}\\s*\\d{{1,4}}\\s*$'))) >= 3 as is_toc from l""")
+def toc_pages(spark, sf_dir):
+    return segment.toc_pages(_fixture_pages(spark))
+
+
+@query()
+def heading_candidates(spark, sf_dir):
+    return segment.headings(_fixture_pages(spark)).select("doc_id", "line_idx", "heading", "number", "label")
+
+
+@query("select s.section_id, a.alias, case when s.n = a.alias then 3 when starts_with(s.n, a.alias) and length(s.n) <= length(a.alias) + 30 then 2 when starts_with(a.alias, s.n) and length(s.n) >= 6 then 2 "
+       "when contains(' ' || s.n || ' ', ' ' || a.alias || ' ') and length(s.n) <= length(a.alias) + 45 then 1 else 0 end as score "
+       "from (values ('x', 'problema central'), ('y', 'objetivo'), ('z', 'formulacion de problema'), ('w', 'el problema de hoy'), ('v', 'titulo')) s(section_id, n), "
+       "(values ('titulo'), ('problema'), ('formulacion de problema'), ('objetivos'), ('objetivo general'), ('justificacion')) a(alias)")
+def alias_scores(spark, sf_dir):
+    s = spark.createDataFrame([("x", "problema central"), ("y", "objetivo"), ("z", "formulacion de problema"), ("w", "el problema de hoy"), ("v", "titulo")], "section_id string, n string")
+    a = spark.createDataFrame([(x,) for x in ("titulo", "problema", "formulacion de problema", "objetivos", "objetivo general", "justificacion")], "alias string")
+    return s.crossJoin(F.broadcast(a)).select("section_id", "alias", segment.alias_score(F.col("n"), F.col("alias")).alias("score"))
+
+
+@query()
+def segment_documents(spark, sf_dir):
+    aliases = spark.createDataFrame(_ALIASES, "section_id string, pos int, alias string")
+    sections = spark.createDataFrame([("S01", "Título", 1), ("S02", "Problema", 2), ("S03", "Objetivos", 3), ("S05", "Justificación", 5)], "section_id string, name string, pos int")
+    return segment.index_report(segment.segment(_fixture_pages(spark), aliases, sections))
+
+
+_CITES = [(1, "garcía", "2020"), (1, "lópez", "2019"), (1, "ramos", "2024"), (2, "díaz", "2021")]
+_REFS = [(1, "garcía", "2020"), (1, "zéniz ramos", "2024"), (1, "torres", "2018"), (2, "díaz", "2020")]
+
+
+@query("with c(doc_id, s, y) as (values " + ", ".join(map(str, _CITES)) + "), r(doc_id, s, y) as (values " + ", ".join(map(str, _REFS)) + """)
+select doc_id, s as surname, y as year from c where not exists (select 1 from r where r.doc_id = c.doc_id and r.y = c.y and (r.s = c.s or len(list_intersect(list_filter(string_split(r.s, ' '), lambda t: length(t) >= 3), list_filter(string_split(c.s, ' '), lambda t: length(t) >= 3))) > 0))""")
+def citations_unmatched(spark, sf_dir):
+    kind = "doc_id int, surname string, year string"
+    return textstats.unmatched(spark.createDataFrame(_CITES, kind), spark.createDataFrame(_REFS, kind))
+
+
+@query("select core, minor, case when core = 0 then case when minor = 0 then 5 when minor = 1 then 4 else 3 end when core = 1 then case when minor <= 1 then 3 else 2 end when core = 2 then 2 else 1 end as note "
+       "from (select doc_id % 4 as core, (doc_id // 4) % 4 as minor from documents) group by 1, 2")
+def coherence_note(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("core"), F.expr("(doc_id div 4) % 4").alias("minor")).distinct()
+    return d.select("core", "minor", argue.coherence_note(F.col("core"), F.col("minor")).alias("note"))
+
+
+@query("""with f as (select conv_id as doc_id, turn as sentence_id, case (conv_id + turn) % 6 when 0 then 'afirmacion' when 1 then 'dato' when 2 then 'garantia' when 3 then 'respaldo' when 4 then 'refutacion' else 'ninguno' end as f, turn - 1 as ans from conversations),
+c as (select doc_id, count(*) filter (f = 'afirmacion') as a, count(*) filter (f in ('dato', 'garantia', 'respaldo')) as g, count(*) filter (f = 'refutacion') as r, count(*) filter (f = 'refutacion' and ans >= 0) as ok,
+  count(distinct f) filter (f <> 'ninguno') as parts from f group by 1)
+select doc_id, parts as parts, round(parts / 6.0, 3) as index, case when a = 0 then 0 when g = 0 then 1 when r = 0 then 2 when ok = 0 then 3 when ok = 1 then 4 else 5 end as level from c""")
+def toulmin_level(spark, sf_dir):
+    names = F.array(*map(F.lit, ("afirmacion", "dato", "garantia", "respaldo", "refutacion", "ninguno")))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sentence_id"), "turn")
+    labels = c.select("doc_id", "sentence_id", F.element_at(names, ((F.col("doc_id") + F.col("turn")) % 6 + 1).cast("int")).alias("function"), (F.col("turn") - 1).alias("answered_in"), F.col("turn").alias("pos"))
+    sentences = c.select("doc_id", "sentence_id", F.lit("una frase").alias("sentence"))
+    return argue.argument_scores(labels, sentences).select("doc_id", F.col("parts").cast("long").alias("parts"), "index", "level")
+
+
+@query("select user_id as evaluation_id, max_by(event_type, (ts, event_id)) as last_kind, count(*) as events from events group by 1")
+def progress_last_status(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("evaluation_id"), F.col("event_type").alias("kind"), F.struct("ts", "event_id").alias("ts"))
+    return progress.last_status(e).select("evaluation_id", "last_kind", "events")
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type as kind, count(*) as n from events group by 1, 2")
+def progress_counts(spark, sf_dir):
+    """Events by kind and hour: an extension, in batch what the stream computes."""
+    e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"))
+    return progress.counts_by_window(e, "1 hour").select(F.col("window.start").alias("start"), "kind", "n")
