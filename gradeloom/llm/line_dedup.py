@@ -118,7 +118,12 @@ def occurrences(docs: DataFrame, with_text: bool) -> DataFrame:
 
 
 def _of_texts(texts: DataFrame, kind: str) -> DataFrame:
-    """Explode lines (line, text) into their block keys, or into their deletion forms."""
+    """Lines (line, text) by their block keys; or (line, text, places) by their deletion forms.
+
+    A form is emitted for the places (see block_keys) in which a line met another: as the
+    longer line, without each code point of that block; as the shorter one, whole.
+    """
+    columns = ["line", "text"] if kind == "blocks" else ["line", "text", "places"]
 
     def run(batches):
         for b in batches:
@@ -129,26 +134,35 @@ def _of_texts(texts: DataFrame, kind: str) -> DataFrame:
                 lines = b.column(0).slice(lo, len(offsets) - 1)
                 if kind == "blocks":
                     keys = block_keys(prefix, cuts[:-1], cuts[1:], BLOCKS)
-                    owner, place, keys = np.repeat(np.arange(len(keys)), keys.shape[1]), np.zeros(keys.size, dtype=np.int64), keys.ravel()
-                    yield pa.RecordBatch.from_arrays([lines.take(pa.array(owner)), pa.array(keys.view(np.int64)), pa.array(place)], names=["line", "key", "place"])
-                    continue
-                for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    keys = deletion_keys(prefix, int(a), int(z))
-                    yield pa.RecordBatch.from_arrays([lines.take(pa.array(np.full(len(keys), i))), pa.array(keys.view(np.int64)), pa.array(np.arange(-1, len(keys) - 1))], names=["line", "key", "place"])
-
-    return texts.select("line", "text").mapInArrow(run, "line binary, key long, place long")
+                    owner, place, keys = np.repeat(np.arange(len(keys)), keys.shape[1]), np.tile(np.arange(keys.shape[1]), len(keys)), keys.ravel()
+                else:
+                    owner, place, keys = [], [], []
+                    met = b.column(2).slice(lo, len(offsets) - 1)
+                    for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        every, n = deletion_keys(prefix, int(a), int(z)), int(z - a)
+                        js = np.array(met[i].as_py())
+                        use = [np.zeros(1, dtype=np.int64)] if (js >= BLOCKS).any() else []
+                        use += [1 + np.arange(j * n // BLOCKS, (j + 1) * n // BLOCKS) for j in js[js < BLOCKS]]
+                        use = np.unique(np.concatenate(use))
+                        owner.append(np.full(len(use), i))
+                        place.append(use - 1)
+                        keys.append(every[use])
+                    owner, place, keys = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((owner, np.int64), (place, np.int64), (keys, np.uint64)))
+                yield pa.RecordBatch.from_arrays([lines.take(pa.array(owner)), pa.array(keys.view(np.int64)), pa.array(place)], names=["line", "key", "place"])
+
+    return texts.select(*columns).mapInArrow(run, "line binary, key long, place long")
 
 
 def near_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (line, other) of different lines within one edit, in stars, both ways.
 
-    ``lines`` has line and at (its earliest place), ``texts`` line and text. Forms equal in
+    ``lines`` has line and at (its earliest place), ``texts`` line, text and places. Forms equal in
     key and place left out differ in one code point there: any two of their lines are within
     one edit, so each is linked with the earliest alone. A line that equals a form of
     another is one code point shorter.
     """
-    forms = _of_texts(texts, "forms").join(lines.select("line", "at"), "line")
-    own = forms.where("place = -1").select("key", F.col("line").alias("other"), F.col("at").alias("other_at"))
+    forms = materialise(_of_texts(texts, "forms").join(lines.select("line", "at"), "line"), "forms")
+    own = forms.where("place = -1").select("key", F.col("line").alias("other"))
     cut = forms.where("place >= 0")
     group = cut.groupBy("key", "place").agg(F.min(F.struct("at", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     swap = cut.join(group, ["key", "place"]).select("line", F.col("first.line").alias("other"))
@@ -159,6 +173,13 @@ def near_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return near.union(near.select(F.col("other").alias("line"), F.col("line").alias("other")))
 
 
+def _holding(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``keys``; a Bloom filter goes first, so that few others shuffle."""
+    slots = bloom.slots_for(keys.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
+    near = bloom.flag(rows, F.col(key), bloom.bitmaps(keys, key, slots, 2), slots, 2, "_maybe").where("_maybe").drop("_maybe")
+    return near.join(keys.select(key), key, "left_semi")
+
+
 def line_keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All occurrences (doc_id, line_no, line), and (line, keep, links) of lines that repeat.
 
@@ -169,16 +190,17 @@ def line_keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = F.struct("doc_id", "line_no")
     distinct = materialise(found.groupBy("line").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.min("extra").alias("halves")), "distinct")
     halves = distinct.where("halves is not null").select("line", F.explode(F.array_distinct("halves")).alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    maybe = materialise(halves.join(shared, "key").select("line").distinct(), "maybe")
+    shared = materialise(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    maybe = materialise(_holding(halves, shared, "key").select("line").distinct(), "maybe")
     slots = bloom.slots_for(maybe.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
     filters = bloom.bitmaps(maybe, "line", slots, 2)
     texts = bloom.flag(occurrences(docs, True).withColumnRenamed("extra", "text"), F.col("line"), filters, slots, 2, "_maybe").where("_maybe").drop("_maybe")
     first = maybe.join(distinct.select("line", "at.doc_id", "at.line_no"), "line")
     texts = materialise(texts.join(first, ["line", "doc_id", "line_no"], "left_semi").select("line", "text").dropDuplicates(["line"]), "texts")
-    blocks = _of_texts(texts, "blocks").select("line", "key").distinct()
-    close = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    survivors = materialise(texts.join(blocks.join(close, "key").select("line").distinct(), "line", "left_semi"), "survivors")
+    blocks = materialise(_of_texts(texts, "blocks"), "blocks")
+    close = materialise(blocks.groupBy("key").agg(F.count_distinct("line").alias("n")).where("n > 1").select("key"), "close")
+    met = _holding(blocks, close, "key").groupBy("line").agg(F.collect_set("place").alias("places"))
+    survivors = materialise(texts.join(met, "line"), "survivors")
     links = materialise(near_links(distinct.select("line", "at"), survivors).distinct(), "links")
     other = distinct.select(F.col("line").alias("other"), F.col("at").alias("other_at"))
     best = links.join(other, "other").groupBy("line").agg(F.min("other_at").alias("near"), F.count("*").alias("links"))
@@ -200,7 +222,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped", "n_links")
     places, keep = line_keepers(docs)
-    hit = places.join(keep, "line").select("doc_id", "line_no", "links", (F.struct("doc_id", "line_no") != F.col("keep")).alias("gone"))
+    hit = _holding(places, keep, "line").join(keep, "line").select("doc_id", "line_no", "links", (F.struct("doc_id", "line_no") != F.col("keep")).alias("gone"))
     changes = hit.groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.col("line_no"))).alias("_gone"), F.sum("links").alias("_links"))
     changes = materialise(changes.where("size(_gone) > 0 or _links > 0"), "changes")
     slots = bloom.slots_for(changes.count(), bits_per_row=16, functions=2, max_bits=1 << 28)

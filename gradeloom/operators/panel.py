@@ -39,7 +39,10 @@ def level_of(kind: str, median: Column) -> Column:
     if kind == "scale":
         return median.cast("string")
     names = ("no_cumple", "parcial", "cumple") if kind == "weighted" else ("no_cumple", "cumple")
-    return F.element_at(F.array(*map(F.lit, names)), median + 1)
+    level = F.lit(None).cast("string")
+    for place, name in enumerate(names):
+        level = F.when(median == place, name).otherwise(level)
+    return level
 
 
 def points(kind: str, median: Column, weight: Column, partial: Column) -> Column:

@@ -42,8 +42,8 @@ def _scale_votes(spark, sf_dir):
 
 
 def _level_votes(spark, sf_dir, kind):
-    names = F.element_at(F.array(*map(F.lit, ("no_cumple", "parcial", "cumple") if kind == "weighted" else ("no_cumple", "cumple"))), (F.col("score") % (3 if kind == "weighted" else 2)).cast("int") + 1)
-    return _scale_votes(spark, sf_dir).withColumn("level", names).withColumn("score", F.lit(None).cast("int"))
+    level = panel.level_of(kind, F.col("score") % (3 if kind == "weighted" else 2))
+    return _scale_votes(spark, sf_dir).withColumn("level", level).withColumn("score", F.lit(None).cast("int"))
 
 
 _MEDIANS = "m as (select doc_id, section_id, item, quantile_disc(score, 0.5) as median, max(score) - min(score) as spread, count(score) as n_votes from votes group by 1, 2, 3)"
