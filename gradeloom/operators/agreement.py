@@ -159,4 +159,4 @@ def run_spread(runs: DataFrame) -> DataFrame:
 
 def juror_medians(scores: DataFrame, on: list[str], value: str = "score") -> DataFrame:
     """Item-level lower median and the interpolated one, side by side."""
-    return scores.groupBy(*on).agg(F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("lower_median"), F.median(value).alias("median"))
+    return scores.groupBy(*on).agg(F.expr(f"percentile_disc(0.5) within group (order by {value})").cast("int").alias("lower_median"), F.median(value).alias("median"))

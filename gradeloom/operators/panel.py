@@ -203,10 +203,11 @@ def cost_rollup(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
     calls: eval_id, model, role (judge or other), tokens_in, tokens_out. prices: model, usd_in, usd_out per million.
     """
-    usd = F.col("tokens_in") * F.col("usd_in") / 1e6 + F.col("tokens_out") * F.col("usd_out") / 1e6
+    exact = "decimal(12,4)"
+    usd = F.col("tokens_in") * F.col("usd_in").cast(exact) + F.col("tokens_out") * F.col("usd_out").cast(exact)
     priced = calls.join(prices, "model", "left").withColumn("_usd", usd)
     known = F.bool_or((F.col("role") == "judge") & F.col("_usd").isNotNull())
-    return priced.groupBy("eval_id").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.when(known, F.round(F.sum("_usd"), 6)).alias("usd"))
+    return priced.groupBy("eval_id").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.when(known, F.round(F.sum("_usd"), 0).cast("double") / 1e6).alias("usd"))
 
 
 def call_plan(status: DataFrame, judges: DataFrame) -> DataFrame:

@@ -421,7 +421,7 @@ _PRICES_SQL = "prices(model, usd_in, usd_out) as (values ('user', 0.15, 0.60), (
 
 
 @query(f"""with {_PRICES_SQL}, c as (select conv_id, role, length(text) as ti, turn + 1 as tout from conversations)
-select conv_id as eval_id, cast(sum(ti) as bigint) as tokens_in, cast(sum(tout) as bigint) as tokens_out, case when bool_or(role = 'assistant') then round(sum(ti * usd_in / 1e6 + tout * usd_out / 1e6), 6) end as usd
+select conv_id as eval_id, cast(sum(ti) as bigint) as tokens_in, cast(sum(tout) as bigint) as tokens_out, case when bool_or(role = 'assistant') then round(sum(ti * usd_in + tout * usd_out), 0)::double / 1e6 end as usd
 from c left join prices on model = role group by 1""")
 def cost_rollup(spark, sf_dir):
     calls = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("eval_id"), F.col("role").alias("model"), F.when(F.col("role") == "assistant", "judge").otherwise("other").alias("role"), F.length("text").cast("long").alias("tokens_in"), (F.col("turn") + 1).cast("long").alias("tokens_out"))
