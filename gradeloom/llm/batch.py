@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -46,8 +47,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(21, int(n).bit_length()))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and would keep their largest batch."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(texts: pa.Array, window: int = WINDOW):
     """(first row, data, offsets) of runs of rows of about ``window`` bytes; null is empty."""
+    yield from _slices(texts, window)
+    give_back()
+
+
+def _slices(texts: pa.Array, window: int):
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_binary()).fill_null(b"")

@@ -60,7 +60,7 @@ def load(path: str = MODEL, kind: str = "bpe") -> Model:
     return Model(pieces, tuple(sp.get_score(i) for i in ids), normal, tuple(at.get(f"<0x{b:02X}>", sp.unk_id()) for b in range(256)), sp.unk_id(), kind)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tables(model: Model):
     """Sorted hashes of the pieces, and per id: first and last code point, rank, bytes."""
     ids = np.array([i for i, n in enumerate(model.normal) if n])
@@ -82,7 +82,7 @@ def _tables(model: Model):
     return h[order], ids[order], first, last, rank, data, starts, np.array(model.scores)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _maybe(model: Model) -> np.ndarray:
     """Whether some piece's hash has these first 20 bits."""
     out = np.zeros(1 << 20, dtype=bool)
@@ -245,7 +245,7 @@ def encode_distinct(words: list[str], model: Model) -> tuple[np.ndarray, np.ndar
 def encode_texts(texts: pa.Array, model: Model) -> list[np.ndarray]:
     """Ids of each text; a null or empty text has none."""
     out: list[np.ndarray] = []
-    for _, data, offsets in batch.slices(texts, 3 * batch.WINDOW):
+    for _, data, offsets in batch.slices(texts, 2 * batch.WINDOW):
         rows = [data[a:b].tobytes().replace(SPACE.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         rows = [b" " + r if r else r for r in rows]
         data = np.frombuffer(b"".join(rows), dtype=np.uint8)

@@ -89,7 +89,7 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.threshold, -30, 30)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, *, partners: int = 48, penalty: float = 1e-3, seed: int = 5) -> Ranker:
+def fit_pairs(x: np.ndarray, y: np.ndarray, *, partners: int = 16, penalty: float = 1e-3, seed: int = 5) -> Ranker:
     """Fit strengths to pairs (label 1 over label 0): each row meets ``partners`` of the other label.
 
     Without rows of both labels all strengths are 0, so every score is a half.
