@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the session has Spark's default, so that a batch of long texts stays small.
+ARROW_ROWS = "2000"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -24,6 +26,8 @@ def ship_package(spark: SparkSession) -> None:
             if path.suffix in (".py", ".json", ".csv", ".md") and "__pycache__" not in path.parts:
                 out.write(path, path.relative_to(package.parent).as_posix())
     context.addPyFile(str(archive))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     _SHIPPED.add(context.applicationId)
 
 
