@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import exact_dedup, minhash, mixing, pieces, quality
 from gradeloom.llm.common import materialise, table
+from gradeloom.session import ship_package
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking, fitted on the labelled ones of the corpus, does not reject."""
+    ship_package(spark)
     ranker = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, ranker).where("predicted = 1").select(*docs.columns)
 
@@ -26,6 +28,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies."""
+    ship_package(spark)
     gone = minhash.near_components(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -37,6 +40,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row."""
+    ship_package(spark)
     encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.load())
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
