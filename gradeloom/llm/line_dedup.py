@@ -173,11 +173,15 @@ def near_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return near.union(near.select(F.col("other").alias("line"), F.col("line").alias("other")))
 
 
+def _likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``keys``, by a Bloom filter, and few others."""
+    slots = bloom.slots_for(keys.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
+    return bloom.flag(rows, F.col(key), bloom.bitmaps(keys, key, slots, 2), slots, 2, "_maybe").where("_maybe").drop("_maybe")
+
+
 def _holding(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ``keys``; a Bloom filter goes first, so that few others shuffle."""
-    slots = bloom.slots_for(keys.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
-    near = bloom.flag(rows, F.col(key), bloom.bitmaps(keys, key, slots, 2), slots, 2, "_maybe").where("_maybe").drop("_maybe")
-    return near.join(keys.select(key), key, "left_semi")
+    return _likely(rows, keys, key).join(keys.select(key), key, "left_semi")
 
 
 def line_keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +226,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped", "n_links")
     places, keep = line_keepers(docs)
-    hit = _holding(places, keep, "line").join(keep, "line").select("doc_id", "line_no", "links", (F.struct("doc_id", "line_no") != F.col("keep")).alias("gone"))
+    # A common line's places meet its one row of keep in a single join, which Spark can split.
+    hit = _likely(places, keep, "line").join(keep, "line").select("doc_id", "line_no", "links", (F.struct("doc_id", "line_no") != F.col("keep")).alias("gone"))
     changes = hit.groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.col("line_no"))).alias("_gone"), F.sum("links").alias("_links"))
     changes = materialise(changes.where("size(_gone) > 0 or _links > 0"), "changes")
     slots = bloom.slots_for(changes.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
