@@ -7,29 +7,37 @@ not define its result by a path's score: the fold applies merges, the best-ranke
 two neighbouring symbols first, the leftmost of equals.
 
 ``encode_words`` builds and folds the lattice with Spark joins and higher-order functions
-for a table of words. ``encode`` does the same for whole documents, with numpy inside each
-task over the distinct words of a batch, and moves no rows between tasks.
+for a table of words. ``encode`` takes a corpus' distinct words through it and joins their ids
+back to the documents, chunk by chunk. ``encode_distinct`` is the same with numpy: ``encode``
+leaves it the words of more than LONG code points, and tests compare the two.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.llm import batch
+from gradeloom.llm.common import materialise
 from gradeloom.llm.line_dedup import _part, _prefix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of more code points are merged one by one with a heap instead of all at once.
 LONG = 96
+#: A word of a text, before which a space is put: a newline, or spaces and what follows them.
+WORDS = r"\n| +[^ \n]*+|[^ \n]++"
+#: Rows of a chunk, as a power of two: a task holds one chunk's texts at once.
+CHUNK_BITS = 11
 
 
 @dataclass(frozen=True, eq=False)
@@ -242,8 +250,8 @@ def encode_distinct(words: list[str], model: Model) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def encode_texts(texts: pa.Array, model: Model) -> list[np.ndarray]:
-    """Ids of each text; a null or empty text has none."""
+def encode_texts(texts: pa.Array, model: Model, distinct: Callable = encode_distinct) -> list[np.ndarray]:
+    """Ids of each text; a null or empty text has none. ``distinct`` gives the ids of distinct words."""
     out: list[np.ndarray] = []
     for _, data, offsets in batch.slices(texts, 2 * batch.WINDOW):
         rows = [data[a:b].tobytes().replace(SPACE.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -261,7 +269,7 @@ def encode_texts(texts: pa.Array, model: Model) -> list[np.ndarray]:
         end = np.append(start[1:], len(data))
         _, first, word = np.unique(batch.span_hashes(batch.prefix_hashes(data), start, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        ids, cuts = encode_distinct([raw[a:b].decode().replace(" ", SPACE) for a, b in zip(start[first], end[first], strict=True)], model)
+        ids, cuts = distinct([raw[a:b].decode().replace(" ", SPACE) for a, b in zip(start[first], end[first], strict=True)], model)
         sizes = np.diff(cuts)[word]
         flat = ids[_ragged(cuts[word], sizes)]
         owner = np.searchsorted(offsets, start, side="right") - 1
@@ -282,20 +290,58 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` plus ids (array of ints) of column text.
 
     A null or empty text has an empty array. U+2581 in a text is a space to the model, so it
-    decodes to one. A column ids of ``docs`` is replaced. Nothing is shuffled.
+    decodes to one. A column ids of ``docs`` is replaced. ``docs`` is read twice and must be
+    split alike both times, as a table of files is: a chunk is up to 2**CHUNK_BITS rows of one
+    partition, in whose order they stay. The distinct words of all chunks are encoded once, and each
+    chunk is joined with the ids of its own words.
     """
     docs = docs.drop("ids")
+    chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
+    found = F.regexp_extract_all(F.concat(F.lit(" "), F.replace("text", F.lit(SPACE), F.lit(" "))), F.lit(WORDS), F.lit(0))
+    used = docs.select(chunk.alias("_chunk"), "text").where("text <> ''").select("_chunk", F.explode(F.array_distinct(found)).alias("word"))
+    used = materialise(used.select("_chunk", F.replace("word", F.lit(" "), F.lit(SPACE)).alias("word")).distinct(), "words")
+    # Few bytes but much work: by a number of its own, so that it is not put into fewer tasks.
+    words = used.select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").distinct()
+    short = encode_words(words.where(F.length("word") <= LONG), model).select("word", "ids")
+    coded = materialise(short.unionByName(_encode_long(words.where(F.length("word") > LONG), model)), "coded")
+    placed = docs.select(chunk.alias("_chunk"), F.monotonically_increasing_id().alias("_row"), "*")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    text, names = docs.columns.index("text"), [*docs.columns, "ids"]
+    text, names = placed.columns.index("text"), [*docs.columns, "ids"]
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows.column("_row")).to_numpy()
+        if (order[1:] < order[:-1]).any():
+            rows = rows.take(order)
+        values = pa.concat_arrays(known.column("word").chunks or [pa.array([], pa.string())])
+        lists = pa.concat_arrays(known.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))])
+        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+
+        def look_up(words: list[str], _: Model) -> tuple[np.ndarray, np.ndarray]:
+            where = pc.index_in(pa.array(words, type=values.type), value_set=values).to_numpy(zero_copy_only=False)
+            if np.isnan(where.astype(float)).any():
+                raise ValueError("docs were split differently when they were read again")
+            where = where.astype(np.int64)
+            sizes = at[where + 1] - at[where]
+            return flat[_ragged(at[where], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+
+        ids = encode_texts(rows.column(text), model, look_up)
+        cuts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+        column = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids) if ids else np.zeros(0), type=pa.int32()))
+        return pa.table([*rows.columns[2:], column], names=names)
+
+    own = used.join(coded, "word").select("_chunk", "word", "ids")
+    return placed.groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(run, schema)
+
+
+def _encode_long(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) of words whose fold would take the square of their length."""
 
     def run(batches):
         for b in batches:
-            ids = encode_texts(b.column(text), model)
-            cuts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids) if ids else np.zeros(0), type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=names)
+            ids, cuts = encode_distinct(b.column(0).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(ids, type=pa.int32()))], names=["word", "ids"])
 
-    return docs.mapInArrow(run, schema)
+    return words.mapInArrow(run, "word string, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -321,10 +367,11 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, pieces): the pieces of each distinct word, by Spark joins and folds alone.
+    """(word, pieces, ids): the pieces of each distinct word, by Spark joins and folds alone.
 
     Substrings of bounded length are exploded, joined to the piece table, grouped by word
-    and folded. A code point that is no piece stands for itself. Words have SPACE for spaces.
+    and folded. A code point that is no piece stands for itself and has the ids of its bytes. Words
+    have SPACE for spaces.
     The piece table is broadcast; it is as large as the model, not as the data.
     """
     table = F.broadcast(piece_table(words.sparkSession, model))
@@ -333,37 +380,47 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     parts = at.select("word", "p", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("p") + 1))).alias("l"))
     edges = parts.select("word", "p", "l", F.substring("word", F.col("p"), F.col("l")).alias("piece")).join(table, "piece", "left").where("id is not null or l = 1")
     value = F.coalesce("rank", F.lit((1 << 40))).cast("double") if model.kind == "bpe" else F.coalesce("score", F.lit(min(model.scores) - 10.0))
-    grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct((F.col("p") * 4096 + F.col("l")).alias("k"), value.alias("v")))).alias("edge"))
+    entry = F.struct((F.col("p") * 4096 + F.col("l")).alias("k"), F.struct(value.alias("v"), "id").alias("e"))
+    grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(entry)).alias("edge"))
     fold = _spark_merges if model.kind == "bpe" else _spark_viterbi
-    return grouped.select("word", fold(F.col("word"), F.col("edge"), model.longest).alias("pieces"))
+    # A column of its own: inside a lambda the fold would run again for each piece.
+    folded = grouped.select("word", "edge", fold(F.col("word"), F.col("edge"), model.longest).alias("cuts"))
+    begin, size = (lambda i: F.element_at("cuts", i)), (lambda i: F.element_at("cuts", i + 1) - F.element_at("cuts", i))
+    each = F.sequence(F.lit(1), F.size("cuts") - 1)
+    of_byte = F.array(*[F.lit(i) for i in model.byte_id])
+    spelt = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda j: F.element_at(of_byte, F.conv(F.substring(F.hex(c), j * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
+    piece = lambda i: F.substring("word", begin(i), size(i))
+    known = lambda i: F.try_element_at("edge", begin(i) * 4096 + size(i))["id"]
+    ids = F.flatten(F.transform(each, lambda i: F.when(known(i).isNull(), spelt(piece(i))).otherwise(F.array(known(i)))))
+    return folded.select("word", F.transform(each, piece).alias("pieces"), ids.alias("ids"))
 
 
 def _spark_merges(word, edge, longest):
     start = F.sequence(F.lit(1), F.length(word) + 1)
 
     def merge(cuts, _):
-        ways = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(1))), lambda i: F.struct(F.try_element_at(edge, F.element_at(cuts, i) * 4096 + F.try_element_at(cuts, i + 2) - F.element_at(cuts, i)).alias("v"), i.alias("i")))
+        ways = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(1))), lambda i: F.struct(F.try_element_at(edge, F.element_at(cuts, i) * 4096 + F.try_element_at(cuts, i + 2) - F.element_at(cuts, i))["v"].alias("v"), i.alias("i")))
         best = F.array_min(F.filter(ways, lambda w: w["v"].isNotNull() & (w["v"] < float(1 << 40))))
-        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c, k: k != best["i"]))
+        # Bound to a lambda's variable, or the filter would look for it again at each cut.
+        return F.transform(F.array(best), lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c, k: k != b["i"])))[0]
 
-    cuts = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge)
-    return F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.substring(word, F.element_at(cuts, i), F.element_at(cuts, i + 1) - F.element_at(cuts, i)))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge)
 
 
 def _spark_viterbi(word, edge, longest):
     begin = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("l")))
 
     def step(best, end):
-        ways = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), end)), lambda n: F.struct((F.element_at(best, end - n + 1)["s"] + F.try_element_at(edge, (end - n + 1) * 4096 + n)).alias("s"), (-n).alias("l")))
+        ways = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), end)), lambda n: F.struct((F.element_at(best, end - n + 1)["s"] + F.try_element_at(edge, (end - n + 1) * 4096 + n)["v"]).alias("s"), (-n).alias("l")))
         top = F.array_max(F.filter(ways, lambda w: w["s"].isNotNull()))
         return F.concat(best, F.array(F.struct(top["s"].alias("s"), (-top["l"]).alias("l"))))
 
     best = F.aggregate(F.sequence(F.lit(1), F.length(word)), begin, step)
     back = F.aggregate(
-        F.sequence(F.lit(1), F.length(word)), F.struct(F.length(word).alias("p"), F.array().cast("array<string>").alias("out")),
+        F.sequence(F.lit(1), F.length(word)), F.struct(F.length(word).alias("p"), F.array(F.length(word) + 1).alias("out")),
         lambda acc, _: F.when(acc["p"] <= 0, acc).otherwise(F.struct(
             (acc["p"] - F.element_at(best, acc["p"] + 1)["l"]).alias("p"),
-            F.concat(F.array(F.substring(word, acc["p"] - F.element_at(best, acc["p"] + 1)["l"] + 1, F.element_at(best, acc["p"] + 1)["l"])), acc["out"]).alias("out"))),
+            F.concat(F.array(acc["p"] - F.element_at(best, acc["p"] + 1)["l"] + 1), acc["out"]).alias("out"))),
     )
     return back["out"]
 

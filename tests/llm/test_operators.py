@@ -270,6 +270,19 @@ def test_spark_fold_agrees_with_the_batched_one(spark, kind):
             assert got[w] == [model.pieces[i] for i in ids[a:z]]
 
 
+@pytest.mark.skipif(not MODELS, reason="no tokenizer files here")
+def test_documents_are_encoded_by_joins_and_folds(spark, monkeypatch):
+    import sentencepiece
+
+    sp, model, seen = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.load(), []
+    by_joins = pieces.encode_words
+    monkeypatch.setattr(pieces, "encode_words", lambda words, m: seen.append(1) or by_joins(words, m))
+    texts = [None, "", " a", "  two  spaces\nand\tlines ", "x" * 300, "▁odd▁ straße 日本語 \U0001f600 z\n\n", "\n", "the same the same"]
+    rows = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = [(r.text, r.ids) for r in pieces.encode(rows, model).collect()]
+    assert seen and got == [(t, sp.encode(t or "")) for t in texts]
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
