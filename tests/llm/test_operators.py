@@ -294,3 +294,12 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
         docs = pipeline.materialise(out, "test")
     encoded = pipeline.STAGES[4][1](spark, docs, SF)
     assert encoded.count() == docs.count()
+
+
+def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(100)]
+    copy = lambda n: " ".join(words[: 100 - n] + [f"x{n}y{i}" for i in range(n)])
+    texts = [copy(0), copy(10), copy(12)]  # 86 of 106 shingles are shared, 84 of 108, and 84 of 108
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_stage(spark, docs, "").collect()) == [0, 2]
