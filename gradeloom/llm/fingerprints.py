@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import SPACE, materialise
 
 #: Samples of a fingerprint: as many groups, each worked out by one row of a term.
-GROUPS, PER_GROUP = 4, 8
+GROUPS, PER_GROUP = 16, 8
 SAMPLES = GROUPS * PER_GROUP
 #: Bits of a packed sample that hold its hash; the other bits order the keys.
 TAG_BITS = 24
@@ -72,7 +72,8 @@ def _joined(part: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of agreeing samples of two fingerprint texts; two empty ones are alike, one is not."""
-    agree = sum((F.substring(a, 6 * i + 1, 6) == F.substring(b, 6 * i + 1, 6)).cast("int") for i in range(SAMPLES))
+    same = lambda i: F.substring(a, i, F.lit(6)) == F.substring(b, i, F.lit(6))
+    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(6 * SAMPLES - 5), F.lit(6)), same))
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(agree / F.lit(float(SAMPLES)))
 
 
