@@ -61,6 +61,12 @@ def give_back() -> None:
     _trim()(0)
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices starts[0] .. starts[0] + sizes[0] - 1, starts[1] .. and so on."""
+    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    return np.arange(len(shift)) + shift
+
+
 def slices(texts: pa.Array, window: int = WINDOW):
     """(first row, data, offsets) of runs of rows of about ``window`` bytes; null is empty."""
     yield from _slices(texts, window)

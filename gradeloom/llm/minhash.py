@@ -5,11 +5,12 @@ together, and fold into a parity bitmap (odd sketch): the bits in which two bitm
 differ estimate the Jaccard similarity, best where it is high. Pairs whose estimate is
 well below the threshold are left; all others are confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs. Equal sets collapse first. Then each document
-meets the smallest one of all its buckets; buckets whose members are in one component are
-done. In the others only members of different components are compared, sketch by sketch inside
-the task, and each member offers its best few partners of each foreign component; the
-few grow fourfold a round until no untried pair is left, so no link is lost to the limit.
+No bucket is expanded into its pairs. Equal sets collapse first. Then each document meets
+the one of its buckets' members that shares most buckets; buckets whose members are in one
+component are done. In the others, members of different components are compared inside the
+task: sketch by sketch, which names the members that have a close partner, then these on
+their full sets, of which only the links that join components come out. So no link that matters
+is lost, and rows grow with the members of a bucket, not with its pairs.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ class Settings:
     rows: int = 6
     samples: int = 1024
     margin: float = 0.065
-    block: int = 1024
+    block: int = 512
     bloom_bits: int = 1 << 28
 
 
@@ -143,84 +145,149 @@ def _close(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", bits.alias("differing")).where(F.col("differing") <= limit)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, hashes): the distinct shingles of whole texts, sorted."""
+
+    def run(batches):
+        for b in batches:
+            for lo, data, offsets in batch.slices(b.column(1)):
+                starts, hashes = shingles(data, offsets, s.shingle)
+                lists = pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(lists)), lists], names=["doc_id", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>").where("size(hashes) > 0")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches):
         for b in batches:
-            left, right = [[shingles(d, o, s.shingle) for _, d, o in batch.slices(b.column(i))] for i in (2, 3)]
-            sets = [[h[x:y] for starts, h in side for x, y in zip(starts[:-1], starts[1:], strict=True)] for side in (left, right)]
-            keep = []
-            for x, y in zip(*sets, strict=True):
+            keep = np.zeros(b.num_rows, dtype=bool)
+            for i in range(b.num_rows):
+                x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= s.similarity * (len(x) + len(y) - common))
-            mask = pa.array(keep, type=pa.bool_())
+                keep[i] = 100 * common >= s.similarity * (len(x) + len(y) - common)
+            mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
+    one = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_ha"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_hb"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "_ha", "_hb").mapInArrow(run, "a long, b long")
 
 
-def _offers(members: DataFrame, sketches: DataFrame, s: Settings, few: int, limit: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose sketches are close, and more.
+def _cells(members: DataFrame, block: int) -> DataFrame:
+    """Members (key, doc_id, label) of mixed buckets by the cells in which they are compared.
 
-    Buckets are cut into blocks; each pair of blocks is a group of its own. A member offers
-    its ``few`` best partners of each other component; more says that it has others.
+    A bucket of up to ``block`` members is one cell. In a larger one the members of its
+    largest component need no comparison with each other: they and the others are cut into
+    blocks, and a cell is a block of others with any block. With few others, as after the
+    stars, that makes about two rows a member however large the bucket is.
+    """
+    by_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("_main"), F.sum("n").alias("_n"), F.count("*").alias("_labels")).where("_labels > 1")
+    placed = members.join(main, "key")
+    whole = F.col("_n") <= block
+    others = F.when(whole, 1).otherwise(F.ceil((F.col("_n") - F.col("_main.n")) / block)).cast("long")
+    mains = F.when(whole, 0).otherwise(F.ceil(F.col("_main.n") / block)).cast("long")
+    is_main = ~whole & (F.col("label") == F.col("_main.label"))
+    deal = F.xxhash64("doc_id")
+    x = F.when(whole, F.lit(0).cast("long")).when(is_main, F.col("_others") + F.pmod(deal, F.col("_mains"))).otherwise(F.pmod(deal, F.col("_others")))
+    last = F.when(is_main, F.col("_others")).otherwise(F.col("_others") + F.col("_mains")) - 1
+    placed = placed.withColumns({"_others": others, "_mains": mains}).withColumns({"x": x, "_last": last})
+    placed = placed.select("key", "doc_id", "label", "x", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_y"))
+    return placed.select("key", F.least("x", "_y").alias("i"), F.greatest("x", "_y").alias("j"), "x", "doc_id", "label")
+
+
+def _cell_by_cell(batches, columns: int):
+    """The cells of batches sorted by (key, i, j), each as a list of column pieces from x on."""
+    held, name = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        group = np.column_stack([b.column(c).to_numpy() for c in range(3)])
+        cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(group)], strict=True):
+            if held and name != tuple(group[lo]):
+                yield name, held
+                held = []
+            name = tuple(group[lo])
+            held.append([b.column(c).slice(lo, hi - lo) for c in range(3, columns)])
+    if held:
+        yield name, held
+
+
+def _longs(held: list, column: int, width: int) -> np.ndarray:
+    return np.concatenate([h[column].flatten().to_numpy(zero_copy_only=False) for h in held]).reshape(-1, width).view(np.uint64)
+
+
+def _doubtful(cells: DataFrame, sketches: DataFrame, s: Settings, limit: int) -> DataFrame:
+    """Members (key, i, j, x, doc_id, label) with a partner of another component whose sketch is close.
+
+    A pair counts in the first of the buckets that both are in, so that it is settled once.
     """
-    with_sketch = members.join(sketches.select("doc_id", "sketch"), "doc_id")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    placed = with_sketch.withColumn("x", block)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    placed = placed.select("key", "doc_id", "label", "sketch", "x", other.alias("y"))
-    placed = placed.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "doc_id", "label", "sketch")
-
-    def compare(ids, labels, odd, side, i, j):
-        left, right = (np.flatnonzero(side == i), np.flatnonzero(side == j)) if i != j else (np.arange(len(ids)), np.arange(len(ids)))
-        for start in range(0, len(left), 32):
-            part = left[start : start + 32]
-            bits = np.bitwise_count(odd[part][:, None, :] ^ odd[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            bits[labels[part][:, None] == labels[right][None, :]] = BITS
-            p, q = np.nonzero(bits <= limit)
-            if len(p):
-                yield ids[part[p]], ids[right[q]], labels[right[q]], bits[p, q]
-                if i != j:
-                    yield ids[right[q]], ids[part[p]], labels[part[p]], bits[p, q]
 
     def run(batches):
-        def groups():
-            held = []
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                group = np.column_stack([b.column(c).to_numpy() for c in range(3)])
-                cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-                for lo, hi in zip([0, *cut], [*cut, len(group)], strict=True):
-                    if held and (held[0][0] != group[lo]).any():
-                        yield held
-                        held = []
-                    odd = b.column(6).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(-1, LONGS).view(np.uint64)
-                    held.append((group[lo], *(b.column(c).slice(lo, hi - lo).to_numpy() for c in (3, 4, 5)), odd))
-            if held:
-                yield held
-
-        for held in groups():
-            side, ids, labels, odd = (np.concatenate([h[c] for h in held]) for c in (1, 2, 3, 4))
+        for (key, i, j), held in _cell_by_cell(batches, 8):
+            x, ids, labels = (np.concatenate([h[c].to_numpy() for h in held]) for c in range(3))
             if (labels == labels[0]).all():
                 continue
-            found = list(compare(ids, labels, odd, side, held[0][0][1], held[0][0][2]))
-            if not found:
-                continue
-            a, b, lab, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((b, bits, lab, a))
-            a, b, lab, bits = a[order], b[order], lab[order], bits[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (lab[1:] != lab[:-1])])
-            rank = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-            best, others = rank < few, np.append(rank[1:], 0) == few
-            lo, hi = np.minimum(a[best], b[best]), np.maximum(a[best], b[best])
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(others[best])], names=["a", "b", "more"])
+            bands, odd = _longs(held, 3, s.bands), _longs(held, 4, LONGS)
+            left, right = (np.flatnonzero(x == i), np.flatnonzero(x == j)) if i != j else (np.arange(len(ids)), np.arange(len(ids)))
+            found = np.zeros(len(ids), dtype=bool)
+            for start in range(0, len(left), 32):
+                part = left[start : start + 32]
+                bits = np.bitwise_count(odd[part][:, None, :] ^ odd[right][None, :, :]).sum(axis=2, dtype=np.int64)
+                p, q = np.nonzero((bits <= limit) & (labels[part][:, None] != labels[right][None, :]))
+                if len(p):
+                    one, two = part[p], right[q]
+                    first = bands[one, (bands[one] == bands[two]).argmax(axis=1)].view(np.int64)
+                    here = first == key
+                    found[one[here]] = found[two[here]] = True
+            at = np.flatnonzero(found)
+            if len(at):
+                same = [pa.array(np.full(len(at), v)) for v in (key, i, j)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(x[at]), pa.array(ids[at]), pa.array(labels[at])], names=["key", "i", "j", "x", "doc_id", "label"])
+
+    with_sketch = cells.join(sketches, "doc_id").select("key", "i", "j", "x", "doc_id", "label", "bands", "sketch")
+    return with_sketch.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, i long, j long, x long, doc_id long, label long")
+
+
+def _joining(doubtful: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) on the full sets that join components: in a cell, a forest of them at most."""
 
-    return placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, more boolean").distinct()
+    def run(batches):
+        for (_, i, j), held in _cell_by_cell(batches, 7):
+            x, ids, labels = (np.concatenate([h[c].to_numpy() for h in held]) for c in range(3))
+            size = np.concatenate([pc.list_value_length(h[3]).to_numpy() for h in held]).astype(np.int64)
+            _, flat = np.unique(np.concatenate([h[3].flatten().to_numpy(zero_copy_only=False) for h in held]), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(size)])
+            _, root = np.unique(labels, return_inverse=True)
+            mark = np.zeros(int(flat.max(initial=0)) + 1, dtype=np.uint8)
+            left, right = (np.flatnonzero(x == i), np.flatnonzero(x == j)) if i != j else (np.arange(len(ids)), np.arange(len(ids)))
+            edges = []
+            for p in left:
+                ratio = np.minimum(size[p], size[right]) * 100 >= s.similarity * np.maximum(size[p], size[right])
+                others = right[(root[right] != root[p]) & ratio]
+                if i == j:
+                    others = others[others > p]
+                if not len(others):
+                    continue
+                mark[flat[at[p] : at[p + 1]]] = 1
+                for lo in range(0, len(others), 256):
+                    some = others[lo : lo + 256]
+                    cuts = np.concatenate([[0], np.cumsum(size[some])])
+                    common = np.add.reduceat(mark[flat[batch.ragged(at[some], size[some])]], cuts[:-1], dtype=np.int64)
+                    for q in some[100 * common >= s.similarity * (size[p] + size[some] - common)]:
+                        if root[q] != root[p]:
+                            root[root == root[q]] = root[p]
+                            edges.append((ids[p], ids[q]))
+                mark[flat[at[p] : at[p + 1]]] = 0
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    with_set = doubtful.join(sets, "doc_id").select("key", "i", "j", "x", "doc_id", "label", "hashes")
+    return with_set.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -251,34 +318,28 @@ def near_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     member = placed.where("doc_id <> rep").select("doc_id", "rep")
     reps = placed.where("doc_id = rep").select("doc_id", "bands", "sketch")
     keyed = reps.select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
-    live = materialise(keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_max"), F.count("*").alias("n")).where("pivot <> _max").drop("_max"), "buckets")
-    met = materialise(keyed.join(live, "key"), "members")
+    live = materialise(keyed.groupBy("key").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max"), F.count("*").alias("n")).where("_min <> _max").select("key", "n"), "buckets")
+    met = keyed.join(live, "key")
+    # The document that shares most buckets is likely the one that others were copied from.
+    met = materialise(met.join(met.groupBy("doc_id").agg(F.sum("n").alias("weight")), "doc_id").select("key", "doc_id", "weight"), "members")
     ids = met.select("doc_id").distinct()
-    sketches = materialise(sigs.select("doc_id", "sketch").join(ids, "doc_id", "left_semi"), "sketches")
-    stars = met.where("doc_id <> pivot").groupBy("doc_id").agg(F.min("pivot").alias("b"))
-    pairs = materialise(_close(stars.select(F.col("doc_id").alias("a"), "b"), sketches, limit), "pairs")
+    sketches = materialise(sigs.select("doc_id", "bands", "sketch").join(ids, "doc_id", "left_semi"), "sketches")
+    first = F.struct("weight", (-F.col("doc_id")).alias("minus"))
+    centre = met.groupBy("key").agg(F.max(first).alias("centre"))
+    stars = met.join(centre, "key").where("doc_id <> -centre.minus").groupBy("doc_id").agg(F.max("centre").alias("centre"))
+    pairs = materialise(_close(stars.select(F.col("doc_id").alias("a"), (-F.col("centre.minus")).alias("b")), sketches, limit), "pairs")
 
     slots = bloom.slots_for(sketches.count(), bits_per_row=16, functions=2, max_bits=s.bloom_bits)
     filters = bloom.bitmaps(ids, "doc_id", slots, 2)
-    texts = bloom.flag(docs.select("doc_id", "text"), F.col("doc_id"), filters, slots, 2, "_needed").where("_needed").select("doc_id", "text")
-    texts = materialise(texts, "texts")
-
-    tried = todo = pairs.select("a", "b")
-    labels = spark.createDataFrame([], "doc_id long, label long")
-    few, more, tired = 1, True, False
-    while more or not todo.isEmpty():
-        if not tired:
-            good = materialise(confirmed(todo, texts, s), "confirmed")
-            labels = labels if good.isEmpty() else _relabel(labels, good)
-        few *= 64 if tired else 4
-        named = met.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n")
-        mixed = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("key")
-        open_ = named.join(mixed, "key").select("key", "doc_id", "label", F.ceil(F.col("n") / s.block).cast("long").alias("blocks"))
-        offers = materialise(_offers(open_, sketches, s, few, limit), "offers")
-        more = not offers.where("more").isEmpty()
-        todo = materialise(offers.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "todo")
-        tired = todo.isEmpty()
-        tried = tried if tired else materialise(tried.union(todo), "tried")
+    needed = bloom.flag(docs.select("doc_id", "text"), F.col("doc_id"), filters, slots, 2, "_needed").where("_needed")
+    sets = materialise(shingle_sets(needed, s), "sets")
+
+    good = materialise(confirmed(pairs, sets, s), "confirmed")
+    labels = _relabel(spark.createDataFrame([], "doc_id long, label long"), good)
+    named = met.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    doubtful = materialise(_doubtful(_cells(named, s.block), sketches, s, limit), "doubtful")
+    more = materialise(_joining(doubtful, sets, s), "joining")
+    labels = _relabel(labels, more)
     reps_of = member.withColumnRenamed("rep", "_rep").join(labels.select(F.col("doc_id").alias("_rep"), "label"), "_rep", "left").select("doc_id", F.coalesce("label", "_rep").alias("_component"))
     found = materialise(reps_of.union(labels.select("doc_id", "label")).distinct(), "components")
     out = sigs.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))

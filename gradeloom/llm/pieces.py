@@ -197,13 +197,6 @@ def fold_viterbi(edges: np.ndarray, cuts: np.ndarray, scores: np.ndarray, unknow
     return np.sort(np.concatenate(starts)) if starts else np.zeros(0, dtype=np.int64)
 
 
-def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices starts[0] .. starts[0] + sizes[0] - 1, starts[1] .. and so on."""
-    total = int(sizes.sum())
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    return np.arange(total) + shift
-
-
 def encode_distinct(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(ids, cuts): the ids of word i are ids[cuts[i]:cuts[i + 1]]; words have SPACE for spaces."""
     _, _, _, _, rank, _, _, scores = _tables(model)
@@ -241,7 +234,7 @@ def encode_distinct(words: list[str], model: Model) -> tuple[np.ndarray, np.ndar
             n[lone] = [len(r) for r in raw]
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             piece = np.repeat(piece, n)
-            piece[_ragged(first[lone], n[lone])] = np.array(model.byte_id)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+            piece[batch.ragged(first[lone], n[lone])] = np.array(model.byte_id)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
             word = np.repeat(word, n)
         out.append(piece)
         counts.append(np.bincount(word, minlength=len(part)))
@@ -271,7 +264,7 @@ def encode_texts(texts: pa.Array, model: Model, distinct: Callable = encode_dist
         raw = data.tobytes()
         ids, cuts = distinct([raw[a:b].decode().replace(" ", SPACE) for a, b in zip(start[first], end[first], strict=True)], model)
         sizes = np.diff(cuts)[word]
-        flat = ids[_ragged(cuts[word], sizes)]
+        flat = ids[batch.ragged(cuts[word], sizes)]
         owner = np.searchsorted(offsets, start, side="right") - 1
         row_cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=sizes, minlength=len(rows)).astype(np.int64))])
         out += [flat[a:b] for a, b in zip(row_cuts[:-1], row_cuts[1:], strict=True)]
@@ -282,7 +275,7 @@ def decode_ids(ids: np.ndarray, model: Model) -> str:
     """The text of ids: pieces in a row, byte pieces as bytes, without the space put before it."""
     *_, data, starts, _ = _tables(model)
     ids = np.asarray(ids, dtype=np.int64)
-    raw = data[_ragged(starts[ids], starts[ids + 1] - starts[ids])].tobytes() if len(ids) else b""
+    raw = data[batch.ragged(starts[ids], starts[ids + 1] - starts[ids])].tobytes() if len(ids) else b""
     return raw.removeprefix(b" ").decode(errors="replace")
 
 
@@ -322,7 +315,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 raise ValueError("docs were split differently when they were read again")
             where = where.astype(np.int64)
             sizes = at[where + 1] - at[where]
-            return flat[_ragged(at[where], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+            return flat[batch.ragged(at[where], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
         ids = encode_texts(rows.column(text), model, look_up)
         cuts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
