@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-Texts fall into words (a run of spaces and what follows it, or a newline). The lattice of
-a word has an edge for each of its substrings, of bounded length, that is a piece. A model
-of kind unigram takes the path of the best total score (Viterbi). A model of kind BPE does
-not define its result by a path's score: the fold applies merges, the best-ranked edge over
-two neighbouring symbols first, the leftmost of equals.
+Texts fall into parts at every place that no piece of the model crosses: before spaces,
+around newlines and wherever two neighbours stand together in no piece. Neither merges nor
+a best path cross such a place, so parts can be encoded one by one. The lattice of a part has
+an edge for each of its substrings, of bounded length, that is a piece. A model of kind unigram
+takes the path of the best total score (Viterbi). A model of kind BPE does not define its
+result by a path's score: the fold applies merges, the best-ranked edge over two neighbouring
+symbols first, the leftmost of equals.
 
 ``encode_words`` builds and folds the lattice with Spark joins and higher-order functions
-for a table of words. ``encode`` takes a corpus' distinct words through it and joins their ids
-back to the documents, chunk by chunk. ``encode_distinct`` is the same with numpy: ``encode``
-leaves it the words of more than LONG code points, and tests compare the two.
+for a table of parts. ``encode`` takes a corpus' distinct parts through it and joins their
+ids back to the documents. ``encode_distinct`` is the same with numpy: ``encode`` leaves it
+the parts of more than LONG code points, and tests compare the two.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of more code points are merged one by one with a heap instead of all at once.
 LONG = 96
-#: A word of a text, before which a space is put: a newline, or spaces and what follows them.
-WORDS = r"\n| +[^ \n]*+|[^ \n]++"
 #: Rows of a chunk, as a power of two: a task holds one chunk's texts at once.
 CHUNK_BITS = 11
+#: Parts whose ids are sent to all tasks, and the rows in a sample of which they are looked for.
+COMMON_PARTS, SAMPLED_ROWS = 1 << 19, 30_000
 
 
 @dataclass(frozen=True, eq=False)
@@ -243,83 +245,196 @@ def encode_distinct(words: list[str], model: Model) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def encode_texts(texts: pa.Array, model: Model, distinct: Callable = encode_distinct) -> list[np.ndarray]:
-    """Ids of each text; a null or empty text has none. ``distinct`` gives the ids of distinct words."""
-    out: list[np.ndarray] = []
-    for _, data, offsets in batch.slices(texts, 2 * batch.WINDOW):
-        rows = [data[a:b].tobytes().replace(SPACE.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        rows = [b" " + r if r else r for r in rows]
-        data = np.frombuffer(b"".join(rows), dtype=np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        if not len(data):
-            out += [np.zeros(0, np.int32)] * len(rows)
-            continue
-        gap, line = data == 32, data == 10
-        begins = np.zeros(len(data), dtype=bool)
-        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-        begins[1:] |= (gap[1:] & ~gap[:-1]) | line[1:] | line[:-1]
-        start = np.flatnonzero(begins)
-        end = np.append(start[1:], len(data))
-        _, first, word = np.unique(batch.span_hashes(batch.prefix_hashes(data), start, end), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        ids, cuts = distinct([raw[a:b].decode().replace(" ", SPACE) for a, b in zip(start[first], end[first], strict=True)], model)
-        sizes = np.diff(cuts)[word]
-        flat = ids[batch.ragged(cuts[word], sizes)]
-        owner = np.searchsorted(offsets, start, side="right") - 1
-        row_cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=sizes, minlength=len(rows)).astype(np.int64))])
-        out += [flat[a:b] for a, b in zip(row_cuts[:-1], row_cuts[1:], strict=True)]
-    return out
+@lru_cache(maxsize=1)
+def _neighbours(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
+    """A number for each code point (0: in no piece), and by two numbers whether some piece has them as neighbours."""
+    pieces = [np.array([ord(c) for c in p], dtype=np.int64) for p, n in zip(model.pieces, model.normal, strict=True) if n]
+    used = np.unique(np.concatenate(pieces))
+    number = np.zeros(0x110000, dtype=np.int32)
+    number[used] = np.arange(1, len(used) + 1)
+    n = len(used) + 1
+    beside = np.zeros(n * n, dtype=bool)
+    beside[np.concatenate([number[p[:-1]] * np.int64(n) + number[p[1:]] for p in pieces])] = True
+    return number, beside, n
+
+
+def parts_of(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(points, start, end, row): code points, with SPACE for spaces and one put before each text, and the parts in them."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    some = np.flatnonzero(np.diff(at) > 0)
+    points = np.insert(points, at[some], ord(SPACE))
+    points[points == 32] = ord(SPACE)
+    first = at[some] + np.arange(len(some))
+    number, beside, n = _neighbours(model)
+    k = number[points]
+    begins = np.ones(len(points), dtype=bool)
+    begins[1:] = ~beside[k[:-1] * np.int64(n) + k[1:]]
+    begins[first] = True
+    start = np.flatnonzero(begins)
+    return points, start, np.append(start[1:], len(points)), some[np.searchsorted(first, start, side="right") - 1] if len(start) else start
+
+
+def _as_words(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    return [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(start, end, strict=True)]
+
+
+@dataclass(frozen=True)
+class Known:
+    """Ids of some parts by the hashes of their code points: a table with open places, then id lists."""
+
+    place: np.ndarray
+    hashes: np.ndarray
+    ids: np.ndarray
+    cuts: np.ndarray
+
+    @staticmethod
+    def of(words: list[str], ids: np.ndarray, cuts: np.ndarray) -> Known:
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        hashes = batch.span_hashes(_prefix(points), at[:-1], at[1:])
+        place = np.full(1 << max(4, (2 * len(words)).bit_length()), -1, dtype=np.int32)
+        left, probe = np.arange(len(words)), 0
+        while len(left):
+            slot = ((hashes[left] + np.uint64(probe)) & np.uint64(len(place) - 1)).astype(np.int64)
+            free = place[slot] < 0
+            place[slot[free]] = left[free]
+            left, probe = left[place[slot] != left], probe + 1
+        return Known(place, hashes, ids, cuts)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Which part has this hash; -1 for none."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        left, probe = np.arange(len(h)), 0
+        while len(left):
+            at = self.place[((h[left] + np.uint64(probe)) & np.uint64(len(self.place) - 1)).astype(np.int64)]
+            left, at = left[at >= 0], at[at >= 0]
+            same = self.hashes[at] == h[left]
+            out[left[same]] = at[same]
+            left, probe = left[~same], probe + 1
+        return out
+
+
+def _found(points: np.ndarray, start: np.ndarray, end: np.ndarray, known: Known) -> np.ndarray:
+    at = known.find(batch.span_hashes(_prefix(points), start, end))
+    at[end - start > LONG] = -1
+    return at
+
+
+def encode_texts(texts: pa.Array, model: Model, known: Known | None = None, distinct: Callable = encode_distinct) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, cuts): the ids of text i are ids[cuts[i]:cuts[i + 1]]; a null or empty text has none.
+
+    ``distinct`` gives the ids of the distinct parts that are not ``known``.
+    """
+    known = known or Known.of([], np.zeros(0, np.int32), np.zeros(1, np.int64))
+    out, counts = [], []
+    for _, data, offsets in batch.slices(texts, batch.WINDOW):
+        points, start, end, row = parts_of(data, offsets, model)
+        at = _found(points, start, end, known)
+        new = np.flatnonzero(at < 0)
+        words = pc.dictionary_encode(pa.array(_as_words(points, start[new], end[new]), type=pa.string()))
+        ids, cuts = distinct(words.dictionary.to_pylist(), model)
+        at[new] = len(known.cuts) - 1 + words.indices.to_numpy()
+        begin = np.concatenate([known.cuts[:-1], len(known.ids) + cuts[:-1]])
+        size = np.concatenate([np.diff(known.cuts), np.diff(cuts)])[at]
+        out.append(np.concatenate([known.ids, ids])[batch.ragged(begin[at], size)])
+        counts.append(np.bincount(row, weights=size, minlength=len(offsets) - 1).astype(np.int64))
+    sizes = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def decode_ids(ids: np.ndarray, model: Model) -> str:
-    """The text of ids: pieces in a row, byte pieces as bytes, without the space put before it."""
+def decode_ids(ids: np.ndarray, cuts: np.ndarray, model: Model) -> list[str]:
+    """The text of each run of ids: pieces in a row, byte pieces as bytes, without the space put before it."""
     *_, data, starts, _ = _tables(model)
     ids = np.asarray(ids, dtype=np.int64)
-    raw = data[batch.ragged(starts[ids], starts[ids + 1] - starts[ids])].tobytes() if len(ids) else b""
-    return raw.removeprefix(b" ").decode(errors="replace")
+    sizes = starts[ids + 1] - starts[ids]
+    raw = data[batch.ragged(starts[ids], sizes)].tobytes()
+    at = np.concatenate([[0], np.cumsum(sizes)])[cuts]
+    return [raw[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, cuts) of a column of lists; null is empty."""
+    lists = pa.concat_arrays(column.chunks or [pa.array([], pa.list_(pa.int32()))]) if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _parts(texts: DataFrame, model: Model, known=None) -> DataFrame:
+    """The distinct (word, n) of texts, the last column, that are not known; by the other columns, which are numbers, and stretch."""
+
+    def run(batches):
+        for b in batches:
+            for lo, data, offsets in batch.slices(b.column(b.num_columns - 1)):
+                points, start, end, row = parts_of(data, offsets, model)
+                if known is not None:
+                    new = np.flatnonzero(_found(points, start, end, known.value) < 0)
+                    start, end, row = start[new], end[new], row[new]
+                kept = [c.slice(lo, len(offsets) - 1).take(pa.array(row)) for c in b.columns[:-1]]
+                group = sum((batch.mix64(c.to_numpy()) for c in kept), np.zeros(len(row), np.uint64))
+                _, one, n = np.unique(batch.span_hashes(_prefix(points), start, end) + group, return_index=True, return_counts=True)
+                kept = [c.take(pa.array(one)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(_as_words(points, start[one], end[one]), type=pa.string()), pa.array(n)], names=[*names, "word", "n"])
+
+    *names, _ = texts.columns
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields[:-1], T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
+
+
+def common_parts(docs: DataFrame, model: Model, rows: int = SAMPLED_ROWS, parts: int = COMMON_PARTS) -> Known:
+    """The ids of the parts that are most frequent in a sample of about ``rows`` rows, at most ``parts`` of them.
+
+    They spare most parts of the corpus the join and change no result.
+    """
+    count = docs.count()
+    seen = _parts((docs.sample(min(1.0, rows / count), 7) if count > rows else docs).select("text"), model).where(F.length("word") <= LONG)
+    top = seen.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "word").limit(parts)
+    found = encode_words(_spread(top.select("word")), model).select("word", "ids").toArrow()
+    return Known.of(found.column("word").to_pylist(), *_lists(found.column("ids")))
+
+
+def _spread(words: DataFrame) -> DataFrame:
+    # Few bytes but much work: by a number of its own, so that it is not put into fewer tasks.
+    return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` plus ids (array of ints) of column text.
 
     A null or empty text has an empty array. U+2581 in a text is a space to the model, so it
-    decodes to one. A column ids of ``docs`` is replaced. ``docs`` is read twice and must be
-    split alike both times, as a table of files is: a chunk is up to 2**CHUNK_BITS rows of one
-    partition, in whose order they stay. The distinct words of all chunks are encoded once, and each
-    chunk is joined with the ids of its own words.
+    decodes to one. A column ids of ``docs`` is replaced. ``docs`` is read three times and must
+    be split alike, as a table of files is: a chunk is up to 2**CHUNK_BITS rows of one partition,
+    in whose order they stay. The distinct parts of all texts go through ``encode_words``, the most
+    frequent ones first: these are sent to all tasks, at most COMMON_PARTS of them. The ids of
+    the others are joined to the chunks they are in.
     """
-    docs = docs.drop("ids")
+    docs, spark = docs.drop("ids"), docs.sparkSession
+    known = spark.sparkContext.broadcast(common_parts(docs, model))
     chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
-    found = F.regexp_extract_all(F.concat(F.lit(" "), F.replace("text", F.lit(SPACE), F.lit(" "))), F.lit(WORDS), F.lit(0))
-    used = docs.select(chunk.alias("_chunk"), "text").where("text <> ''").select("_chunk", F.explode(F.array_distinct(found)).alias("word"))
-    used = materialise(used.select("_chunk", F.replace("word", F.lit(" "), F.lit(SPACE)).alias("word")).distinct(), "words")
-    # Few bytes but much work: by a number of its own, so that it is not put into fewer tasks.
-    words = used.select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").distinct()
+    used = materialise(_parts(docs.select(chunk.alias("_chunk"), "text"), model, known).select("_chunk", "word"), "words")
+    words = _spread(used.select("word")).distinct()
     short = encode_words(words.where(F.length("word") <= LONG), model).select("word", "ids")
     coded = materialise(short.unionByName(_encode_long(words.where(F.length("word") > LONG), model)), "coded")
     placed = docs.select(chunk.alias("_chunk"), F.monotonically_increasing_id().alias("_row"), "*")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     text, names = placed.columns.index("text"), [*docs.columns, "ids"]
 
-    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
         order = pc.sort_indices(rows.column("_row")).to_numpy()
         if (order[1:] < order[:-1]).any():
             rows = rows.take(order)
-        values = pa.concat_arrays(known.column("word").chunks or [pa.array([], pa.string())])
-        lists = pa.concat_arrays(known.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))])
-        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        values = pa.concat_arrays(own.column("word").chunks or [pa.array([], pa.string())])
+        flat, at = _lists(own.column("ids"))
 
         def look_up(words: list[str], _: Model) -> tuple[np.ndarray, np.ndarray]:
-            where = pc.index_in(pa.array(words, type=values.type), value_set=values).to_numpy(zero_copy_only=False)
-            if np.isnan(where.astype(float)).any():
+            where = pc.index_in(pa.array(words, type=values.type), value_set=values)
+            if where.null_count:
                 raise ValueError("docs were split differently when they were read again")
-            where = where.astype(np.int64)
+            where = where.to_numpy().astype(np.int64)
             sizes = at[where + 1] - at[where]
             return flat[batch.ragged(at[where], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
-        ids = encode_texts(rows.column(text), model, look_up)
-        cuts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-        column = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids) if ids else np.zeros(0), type=pa.int32()))
+        ids, cuts = encode_texts(rows.column(text), model, known.value, look_up)
+        column = pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(ids, type=pa.int32()))
         return pa.table([*rows.columns[2:], column], names=names)
 
     own = used.join(coded, "word").select("_chunk", "word", "ids")
@@ -345,9 +460,14 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = b.column(at)
-            texts = [None if not ids[i].is_valid else decode_ids(ids[i].values.to_numpy(), model) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, type=pa.string())], names=names)
+            ids, cuts = _lists(b.column(at))
+            texts, lo = [], 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + batch.WINDOW // 4, side="right")) - 1)
+                texts += decode_ids(ids[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], model)
+                lo = hi
+            decoded = pc.if_else(pc.is_valid(b.column(at)), pa.array(texts, type=pa.string()), pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, decoded], names=names)
 
     return encoded.mapInArrow(run, schema)
 
@@ -360,7 +480,7 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, pieces, ids): the pieces of each distinct word, by Spark joins and folds alone.
+    """(word, pieces, ids): the pieces of each word, of which ``words`` has every one once, by Spark joins and folds alone.
 
     Substrings of bounded length are exploded, joined to the piece table, grouped by word
     and folded. A code point that is no piece stands for itself and has the ids of its bytes. Words
@@ -369,7 +489,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """
     table = F.broadcast(piece_table(words.sparkSession, model))
     n = F.length("word")
-    at = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), n)).alias("p"))
+    at = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("p"))
     parts = at.select("word", "p", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("p") + 1))).alias("l"))
     edges = parts.select("word", "p", "l", F.substring("word", F.col("p"), F.col("l")).alias("piece")).join(table, "piece", "left").where("id is not null or l = 1")
     value = F.coalesce("rank", F.lit((1 << 40))).cast("double") if model.kind == "bpe" else F.coalesce("score", F.lit(min(model.scores) - 10.0))
@@ -389,15 +509,18 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
 
 
 def _spark_merges(word, edge, longest):
-    start = F.sequence(F.lit(1), F.length(word) + 1)
+    start = F.struct(F.sequence(F.lit(1), F.length(word) + 1).alias("cuts"), F.lit(0).alias("last"))
 
-    def merge(cuts, _):
-        ways = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(1))), lambda i: F.struct(F.try_element_at(edge, F.element_at(cuts, i) * 4096 + F.try_element_at(cuts, i + 2) - F.element_at(cuts, i))["v"].alias("v"), i.alias("i")))
-        best = F.array_min(F.filter(ways, lambda w: w["v"].isNotNull() & (w["v"] < float(1 << 40))))
+    def merge(acc, _):
+        cuts = acc["cuts"]
+        ways = F.transform(F.sequence(F.lit(1), F.size(cuts) - 2), lambda i: F.struct(F.try_element_at(edge, F.element_at(cuts, i) * 4096 + F.element_at(cuts, i + 2) - F.element_at(cuts, i))["v"].alias("v"), i.alias("i")))
+        best = F.array_min(F.filter(ways, lambda w: w["v"] < float(1 << 40)))
         # Bound to a lambda's variable, or the filter would look for it again at each cut.
-        return F.transform(F.array(best), lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c, k: k != b["i"])))[0]
+        next_ = F.transform(F.array(best), lambda b: F.when(b.isNull(), F.struct(cuts.alias("cuts"), F.lit(1).alias("last"))).otherwise(
+            F.struct(F.filter(cuts, lambda c, k: k != b["i"]).alias("cuts"), F.lit(0).alias("last"))))[0]
+        return F.when((acc["last"] == 1) | (F.size(cuts) < 3), acc).otherwise(next_)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, merge)["cuts"]
 
 
 def _spark_viterbi(word, edge, longest):
