@@ -23,10 +23,16 @@ def slot(key: Column, function: int, slots: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(function)), F.lit(slots)) + F.lit(function * slots)
 
 
-def _bit(bitmap: Column, at: Column) -> Column:
-    position = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), position % 8)), F.lit(2)) == 1, F.lit(False))
+def _longs(bitmap: Column) -> Column:
+    """A bitmap's bytes as an array of longs, eight bytes each, the first one highest."""
+    eight = lambda i: F.conv(F.hex(F.substring(bitmap, i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.lit(CHUNK // 64 - 1)), eight)
+
+
+def _bit(longs: Column, at: Column) -> Column:
+    position = F.bitmap_bit_position(at).cast("int")
+    shift = F.lit(56) - F.floor(position % 64 / 8).cast("int") * 8 + position % 8
+    return F.coalesce(F.getbit(F.get(longs, F.floor(position / 64).cast("int")), shift) == 1, F.lit(False))
 
 
 def bitmaps(keys: DataFrame, key: str, slots: int, functions: int, repeated: bool = False) -> DataFrame:
@@ -44,7 +50,7 @@ def flag(rows: DataFrame, key: Column, filters: DataFrame, slots: int, functions
     """
     columns, tests = rows.columns, []
     for i in range(functions):
-        side = filters.select(F.col("chunk").alias(f"_chunk{i}"), F.col("bits").alias(f"_bits{i}"))
+        side = filters.select(F.col("chunk").alias(f"_chunk{i}"), _longs(F.col("bits")).alias(f"_bits{i}"))
         at = slot(key, i, slots)
         rows = rows.join(F.broadcast(side), F.bitmap_bucket_number(at) == F.col(f"_chunk{i}"), "left")
         tests.append(_bit(F.col(f"_bits{i}"), at))

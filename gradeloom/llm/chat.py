@@ -39,7 +39,8 @@ class Mapping:
 
     A list layout names the list and, in it, the fields of role and text. A flat layout
     names (role, fields); fields that are present and not empty are joined by a blank line,
-    and a turn without any is left out, unless its field is required.
+    and a turn without any is left out, unless its field is required. ``renamed`` layouts call
+    the speakers by other names, which become user and assistant.
     """
 
     name: str
@@ -47,14 +48,15 @@ class Mapping:
     optional: tuple[str, ...] = ()
     items: tuple[str, str, str] | None = None
     parts: bool = False
+    renamed: bool = False
     flat: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
 
 MAPPINGS = (
     Mapping("messages", ("messages[].content", "messages[].role"), ("system",), items=("messages", "role", "content"), flat=(("system", ("system",)),)),
     Mapping("message_parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"), items=("messages", "role", "content"), parts=True),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), ("system",), items=("conversations", "from", "value"), flat=(("system", ("system",)),)),
-    Mapping("turns", ("turns[].speaker", "turns[].text"), items=("turns", "speaker", "text")),
+    Mapping("conversations", ("conversations[].from", "conversations[].value"), ("system",), items=("conversations", "from", "value"), renamed=True, flat=(("system", ("system",)),)),
+    Mapping("turns", ("turns[].speaker", "turns[].text"), items=("turns", "speaker", "text"), renamed=True),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), flat=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("prompt_completion", ("completion", "prompt"), ("system",), flat=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("prompt_response", ("prompt", "response"), ("system",), flat=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -134,7 +136,7 @@ def _apply(m: Mapping, record: Column) -> Column:
         kind = "array<struct<type:string,text:string>>" if m.parts else "string"
         found = F.from_json(record, f"`{at}` array<struct<`{role}`:string,`{text}`:{kind}>>")[at]
         says = (lambda x: F.array_join(F.transform(x[text], lambda p: F.coalesce(p["text"], F.lit(""))), "")) if m.parts else (lambda x: x[text])
-        parts.append(F.transform(found, lambda x: _turn(_role(x[role]), says(x))).cast(TURNS))
+        parts.append(F.transform(found, lambda x: _turn(_role(x[role]) if m.renamed else F.coalesce(x[role], F.lit("")), says(x))).cast(TURNS))
     return F.concat(*[F.coalesce(p, F.array().cast(TURNS)) for p in parts])
 
 
@@ -142,9 +144,10 @@ def canonical_turns(records: DataFrame, column: str = "record", mappings=MAPPING
     """Add layout, schema_fingerprint and turns to a table of JSON records.
 
     turns is null where no mapping fits, where the record is null or not JSON; a null or
-    missing text is an empty one, a null role an empty string. Nothing is dropped.
+    missing text is an empty one, a null role an empty string. Nothing is dropped. Columns of
+    ``records`` with the added names are replaced.
     """
-    records = with_fingerprint(records, column, mappings)
+    records = with_fingerprint(records.drop("turns", "layout", "schema_fingerprint"), column, mappings)
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
         turns = F.when(F.col("layout") == m.name, _apply(m, F.col(column))).otherwise(turns)
@@ -154,7 +157,8 @@ def canonical_turns(records: DataFrame, column: str = "record", mappings=MAPPING
 def records_from_rows(rows: DataFrame) -> DataFrame:
     """One JSON record of the messages layout for each conv_id of a table with a row a turn.
 
-    Turns are in the order of turn, then role and text, so ties and reruns agree.
+    Turns are in the order of turn (null first), then role and text, so ties and reruns agree;
+    repeated turns stay. Null roles and texts are empty. A conversation is one record.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
@@ -214,23 +218,28 @@ def format_chat(records: DataFrame) -> DataFrame:
             spans.append(loss and [{"start": a, "end": b} for a, b in loss] if loss is not None else None)
         return pd.DataFrame({"formatted": texts, "loss_spans": spans})
 
+    records = records.drop("formatted", "loss_spans")
     return records.withColumn("_chat", of("turns")).select("*", "_chat.formatted", "_chat.loss_spans").drop("_chat")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of formatted and loss_spans finds, as counts and digests."""
+    """What a reader of formatted and loss_spans finds, as counts and digests; nulls where formatted is null."""
 
     @F.pandas_udf("struct<n_turns:long,turns_sha256:string,loss_chars:long,loss_sha256:string,formatted_chars:long>")
     def of(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
         for text, loss in zip(texts, spans, strict=True):
+            if text is None:
+                rows.append((None,) * 5)
+                continue
             turns = read_chat(text)
             said = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
             whole = hashlib.sha256()
             for role, words in turns:
                 whole.update(f"{role}\n{words}\n".encode())
             rows.append((len(turns), whole.hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
-        return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names[::2]})
 
     return formatted.withColumn("_read", of("formatted", "loss_spans")).select("conv_id", "_read.*")
 

@@ -2,7 +2,8 @@
 
 Pass one sets a bit for every hash slot that two or more rows hit. Pass two looks
 each row up: a row whose slots are not all set is surely single and passes straight
-through; only the others shuffle, and they are compared by their full digest.
+through; only the others are written once, with a number of their own, and shuffle; they
+are compared by their full digest.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from gradeloom.llm import bloom
 from gradeloom.llm.common import lower_ascii, materialise
 
-def exact_dedup(docs: DataFrame, *, bits_per_row: int = 16, functions: int = 2, max_bits: int = 1 << 28) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, *, bits_per_row: int = 16, functions: int = 2, max_bits: int = 1 << 31) -> DataFrame:
     """Mark exact copies: equal after lower-casing A-Z, null counting as empty.
 
     Returns all rows and columns of ``docs`` plus text_sha256 (of the normalised text),
@@ -33,10 +35,9 @@ def exact_dedup(docs: DataFrame, *, bits_per_row: int = 16, functions: int = 2,
     single = marked.where("not _maybe").select(
         *hashed.columns, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    several = marked.where("_maybe").drop("_maybe").withColumn("_row", F.monotonically_increasing_id())
-    groups = materialise(
-        several.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_top"), F.count("*").alias("group_size")), "groups"
-    ).withColumnRenamed("text_sha256", "_sha")
+    several = materialise(marked.where("_maybe").drop("_maybe").withColumn("_row", F.monotonically_increasing_id()), "several")
+    groups = several.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "_row")).alias("_top"), F.count("*").alias("group_size"))
+    groups = materialise(groups, "groups").withColumnRenamed("text_sha256", "_sha")
     joined = several.join(groups, F.col("text_sha256") == F.col("_sha")).select(
         *hashed.columns, F.col("_top.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_top._row")).alias("kept")
     )

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import materialise, word_count
 
 WEIGHTS = (5, 2, 1)
-#: Rounds of closing documents; each takes at most one a source.
-CLOSING_ROUNDS = 8
+#: Sums by (source, block) that the driver holds; with many sources, each has fewer blocks.
+PLAN_ROWS = 1 << 20
+COUNTED = ("size", "source_size", "target", "copies", "shards")
 
 
 def targets(sizes: dict, weights: dict, share: float = 1.5, cap: float = 2.0) -> dict:
@@ -63,12 +64,12 @@ def _key(seed: int):
     return F.xxhash64(F.col("doc_id"), F.lit(seed))
 
 
-def plan_mix(docs: DataFrame, *, weights: dict | None, share: float, cap: float, blocks: int, seed: int):
+def plan_mix(sized: DataFrame, *, weights: dict | None, share: float, cap: float, blocks: int, seed: int):
     """The mix as small tables: by source, and by source and block.
 
     Only sums by (source, block) reach the driver: at most ``blocks`` rows a source.
     """
-    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("rank")).withColumn("block", F.pmod("rank", F.lit(blocks))), "sizes")
+    sized = sized.withColumn("block", F.pmod("rank", F.lit(blocks)))
     sums = sized.groupBy("source", "block").agg(F.sum("size").alias("words")).toPandas()
     size = defaultdict(int)
     by_source: dict = defaultdict(list)
@@ -118,9 +119,11 @@ def mix_counts(docs: DataFrame, *, weights: dict | None = None, share: float = 1
     lacks weighs nothing. No row has more than ``cap`` copies. Reruns agree. Columns of
     ``docs`` with the names above are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "shards")
+    docs = docs.drop(*COUNTED)
     spark = docs.sparkSession
-    sized, rows, quotas, draws, gaps, wanted, ordered = plan_mix(docs, weights=weights, share=share, cap=cap, blocks=blocks, seed=seed)
+    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("rank")), "sizes")
+    blocks = max(1, min(blocks, PLAN_ROWS // max(1, sized.select("source").distinct().count())))
+    sized, rows, quotas, draws, gaps, wanted, ordered = plan_mix(sized, weights=weights, share=share, cap=cap, blocks=blocks, seed=seed)
     cuts = _cut_last_blocks(spark, sized, rows, gaps)
     shards = max(1, min(sum(quotas), int(sum(wanted.values()) // words_per_shard) + 1))
     dealt = split_quotas(np.array(quotas, dtype=np.int64), shards, seed) if quotas else np.zeros((1, 0), dtype=np.int64)
@@ -146,8 +149,9 @@ def _cut_last_blocks(spark, sized: DataFrame, rows, gaps) -> dict:
     """For each source, the rank up to which its partial block is taken, and closing documents.
 
     A closing document is the one, of all that the last pass left out, whose size comes
-    nearest to what is still missing. Sources within a thousandth of their target need no
-    more. Ranks stand for documents; both steps aggregate.
+    nearest to what is still missing. Rounds of them, each of at most one a source, go on until
+    a source is within a thousandth of its target or no document brings it nearer. Ranks stand
+    for documents; both steps aggregate.
     """
     if not gaps:
         return {}
@@ -161,7 +165,7 @@ def _cut_last_blocks(spark, sized: DataFrame, rows, gaps) -> dict:
     passes = passes_of(rows)
     closers: dict = {s: [] for s in left}
     missing = {s: gap for s, (_, gap) in left.items()}
-    for _ in range(CLOSING_ROUNDS):
+    while True:
         asked = [(s, b, part_, left[s][0], missing[s], closers[s]) for s, b, copies, part_, want, _ in rows if s in left and copies == passes[s] and missing[s] > 1e-3 * want]
         if not asked:
             break
@@ -178,11 +182,13 @@ def _cut_last_blocks(spark, sized: DataFrame, rows, gaps) -> dict:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each document as often as it was drawn, by shard, shuffled within it.
 
-    Adds shard and copy to the columns of ``docs``; takes the options of mix_counts.
+    Adds shard and copy to the columns of ``docs``, replacing those of these names; takes the
+    options of mix_counts.
     """
-    seed = options.get("seed", 11)
-    counted = mix_counts(docs, **options)
-    drawn = counted.where("copies > 0").select(*docs.columns, F.posexplode("shards").alias("copy", "shard"))
+    docs, seed = docs.drop("shard", "copy"), options.get("seed", 11)
+    own = docs.withColumnsRenamed({c: f"_own_{c}" for c in COUNTED if c in docs.columns})
+    drawn = mix_counts(own, **options).where("copies > 0").select(*own.columns, F.posexplode("shards").alias("copy", "shard"))
+    drawn = drawn.withColumnsRenamed({f"_own_{c}": c for c in COUNTED})
     return drawn.repartition("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(seed + 1)))
 
 

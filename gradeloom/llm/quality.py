@@ -29,6 +29,9 @@ NAMES = (
     "same_as_two_before", "distinct_share", "log_distinct", "top_word_share", "repeated_line_share", "long_word_share",
 )
 
+#: Pairs whose differences are held at once.
+STRETCH = 1 << 15
+
 
 def features(texts: pa.Array) -> np.ndarray:
     """One row of NAMES for each text; a null text is an empty one."""
@@ -89,7 +92,7 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.threshold, -30, 30)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, *, partners: int = 16, penalty: float = 1e-3, seed: int = 5) -> Ranker:
+def fit_pairs(x: np.ndarray, y: np.ndarray, *, partners: int = 48, penalty: float = 1e-3, seed: int = 5) -> Ranker:
     """Fit strengths to pairs (label 1 over label 0): each row meets ``partners`` of the other label.
 
     Without rows of both labels all strengths are 0, so every score is a half.
@@ -103,12 +106,14 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, *, partners: int = 16, penalty: floa
     draw = np.random.default_rng(seed)
     winner = np.concatenate([np.repeat(good, partners), draw.choice(good, len(bad) * partners)])
     loser = np.concatenate([draw.choice(bad, len(good) * partners), np.repeat(bad, partners)])
-    gram_rows = z[winner] - z[loser]
     w = np.zeros(f)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(gram_rows @ w, -30, 30)))
-        gradient = gram_rows.T @ (1 - p) / len(p) - penalty * w
-        hessian = (gram_rows * (p * (1 - p))[:, None]).T @ gram_rows / len(p) + penalty * np.eye(f)
+        gradient, hessian = -penalty * w, penalty * np.eye(f)
+        for lo in range(0, len(winner), STRETCH):
+            pair = z[winner[lo : lo + STRETCH]] - z[loser[lo : lo + STRETCH]]
+            p = 1 / (1 + np.exp(-np.clip(pair @ w, -30, 30)))
+            gradient += pair.T @ (1 - p) / len(winner)
+            hessian += (pair * (p * (1 - p))[:, None]).T @ pair / len(winner)
         step = np.linalg.solve(hessian, gradient)
         w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -128,8 +133,8 @@ def _threshold(strength: np.ndarray, y: np.ndarray) -> float:
 
 
 def held_out(doc_id):
-    """Rows that are never learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Rows that are never learnt from; a row without doc_id is none of them and has no label."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000) -> Ranker:

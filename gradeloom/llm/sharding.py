@@ -1,22 +1,33 @@
 """Size-tiered shards under a versioned manifest, in Spark functions and file renames only.
 
-Arrivals are written as small immutable files. Files of similar size are one tier (powers
-of ``fanout``); a tier with at least ``fanout`` files is merged into files of the target
-size. Every change writes the next version of the manifest to a folder of its own name
-and then renames it, which fails if that version is there already: readers see either the
-old version or the new one, and of two writers one loses and can try again.
+Each arrival is one run: a folder of small immutable files. Runs whose files are of similar
+size are one tier (powers of ``fanout``); a tier that has at least ``fanout`` files is merged
+into one run of files of the target size. Every change writes the next version of the
+manifest, a table of files, to a folder of its own name and then renames it, which fails if
+that version is there already: readers see either the old version or the new one, and of
+two writers one loses and tries again on top of the other's version.
+
+A version's rows are read from the one folder of all runs, by a join with the runs of its
+manifest, which prunes the other folders; no list of files goes through the driver.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.llm.common import new_folder
 
-MANIFEST = "path string, bytes long, rows long, version long"
+MANIFEST = "run string, file string, bytes long, rows long, version long, columns string"
+#: Columns that ``read`` adds; those of these names in a table are left out when it is appended.
+ADDED = ("shard_run", "shard", "shard_bytes")
+#: How often a writer that lost tries again.
+TRIES = 20
 
 
 def _path(spark: SparkSession, name: str):
@@ -27,17 +38,20 @@ def _files(spark: SparkSession, root: str):
     return _path(spark, root).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The committed versions that are still kept, ascending."""
+    fs, at = _files(spark, root), _path(spark, f"{root}/manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[1:]) for n in names if n.startswith("v"))
+
+
 def version(spark: SparkSession, root: str) -> int:
     """The newest committed version, 0 before the first."""
-    fs, at = _files(spark, root), _path(spark, f"{root}/manifest")
-    if not fs.exists(at):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
+    return max(versions(spark, root), default=0)
 
 
 def manifest(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
-    """The files (path, bytes, rows, version that added them) of a version, the newest by default."""
+    """The files (run, file, bytes, rows, version that added them, columns) of a version, the newest by default."""
     at = version(spark, root) if at is None else at
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/v{at:08d}") if at else spark.createDataFrame([], MANIFEST)
 
@@ -49,7 +63,7 @@ class Conflict(RuntimeError):
 def commit(spark: SparkSession, root: str, files: DataFrame, at: int) -> int:
     """Make ``files`` version ``at`` by one rename."""
     staged, final = f"{root}/staged-{uuid.uuid4().hex}", f"{root}/manifest/v{at:08d}"
-    files.select("path", "bytes", "rows", "version").coalesce(1).write.parquet(staged)
+    files.select("run", "file", "bytes", "rows", "version", "columns").write.parquet(staged)
     fs = _files(spark, root)
     fs.mkdirs(_path(spark, f"{root}/manifest"))
     jvm = spark._jvm
@@ -65,88 +79,143 @@ def commit(spark: SparkSession, root: str, files: DataFrame, at: int) -> int:
     return at
 
 
-def described(spark: SparkSession, folder: str, at: int) -> DataFrame:
-    """Manifest rows of the data files under a folder."""
-    rows = spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
-    return rows.withColumn("version", F.lit(at).cast("long"))
+def _write_run(rows: DataFrame, root: str) -> tuple[str, DataFrame]:
+    """Write a run; its name and the manifest rows of those of its files that have rows."""
+    spark, run = rows.sparkSession, f"r{uuid.uuid4().hex}"
+    folder = f"{root}/data/shard_run={run}"
+    rows.write.option("compression", "zstd").parquet(folder)
+    written = spark.read.schema(rows.schema).parquet(folder)
+    files = written.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+    return run, files.select(F.lit(run).alias("run"), "file", "bytes", "rows", F.lit(rows.schema.json()).alias("columns"))
 
 
-def append(docs: DataFrame, root: str, arrival: str | None = None) -> int:
-    """Write ``docs`` as small immutable shards (each task's rows, by arrival) and commit them.
-
-    Nothing moves between tasks. Without rows nothing is committed. Returns the version.
+def _commit_change(spark: SparkSession, root: str, added: DataFrame, change: Callable[[DataFrame], DataFrame | None]) -> int | None:
+    """Commit what ``change`` makes of the newest manifest, plus ``added``; None if it makes nothing of it."""
+    for _ in range(TRIES):
+        at = version(spark, root)
+        kept = change(manifest(spark, root, at))
+        if kept is None:
+            return None
+        try:
+            return commit(spark, root, kept.unionByName(added.withColumn("version", F.lit(at + 1).cast("long"))), at + 1)
+        except Conflict:
+            continue
+    raise Conflict(f"{TRIES} tries at {root}")
+
+
+def columns_of(spark: SparkSession, root: str, at: int | None = None) -> T.StructType:
+    """The columns of a version: those of all its runs by name, in the order in which they came."""
+    seen: dict[str, T.StructField] = {}
+    kinds = manifest(spark, root, at).groupBy("columns").agg(F.min("version").alias("since")).orderBy("since", "columns")
+    for row in kinds.collect():
+        for field in T.StructType.fromJson(json.loads(row["columns"])).fields:
+            known = seen.setdefault(field.name, T.StructField(field.name, field.dataType))
+            if known.dataType != field.dataType:
+                raise ValueError(f"column {field.name} is {known.dataType.simpleString()} in some runs and {field.dataType.simpleString()} in others")
+    return T.StructType(list(seen.values()))
+
+
+def append(docs: DataFrame, root: str) -> int:
+    """Write ``docs`` as one run of small immutable shards, a file a task, and commit it.
+
+    Nothing moves between tasks. Returns the version; without rows nothing is committed. All
+    rows and values are kept, repeated and null ones too. Columns may be new: older rows have
+    null in them. A column of another type than before is an error. Columns named like
+    those that ``read`` adds are left out.
     """
-    spark = docs.sparkSession
-    at = version(spark, root) + 1
-    folder = f"{root}/data/{at:08d}-{uuid.uuid4().hex}"
-    writer = docs.write.option("compression", "zstd")
-    (writer.partitionBy(arrival) if arrival else writer).parquet(folder)
-    added = described(spark, folder, at)
+    spark, docs = docs.sparkSession, docs.drop(*ADDED)
+    at = version(spark, root)
+    before = {f.name: f.dataType for f in columns_of(spark, root, at)}
+    for field in docs.schema:
+        if before.get(field.name, field.dataType) != field.dataType:
+            raise ValueError(f"column {field.name} was {before[field.name].simpleString()}, not {field.dataType.simpleString()}")
+    run, added = _write_run(docs, root)
     if added.isEmpty():
-        return at - 1
-    return commit(spark, root, manifest(spark, root, at - 1).unionByName(added), at)
+        _files(spark, root).delete(_path(spark, f"{root}/data/shard_run={run}"), True)
+        return at
+    return _commit_change(spark, root, added, lambda files: files)
 
 
 def tiers(files: DataFrame, *, base: int, fanout: int) -> DataFrame:
-    """Add tier: 0 up to ``base`` bytes, one more for each factor of ``fanout``."""
-    ratio = F.greatest(F.col("bytes") / F.lit(base), F.lit(1.0))
-    return files.withColumn("tier", F.floor(F.log(float(fanout), ratio) + F.lit(1e-9)).cast("int"))
+    """(run, files, bytes, tier) of runs: tier 0 up to ``base`` bytes a file, one more for each factor of ``fanout``."""
+    runs = files.groupBy("run").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    ratio = F.greatest(F.col("bytes") / F.col("files") / F.lit(base), F.lit(1.0))
+    return runs.withColumn("tier", F.floor(F.log(float(fanout), ratio) + F.lit(1e-9)).cast("int"))
 
 
-def compact(spark: SparkSession, root: str, *, target_bytes: int = 64 << 20, base: int = 1 << 20, fanout: int = 4, vacuum: bool = True) -> int:
+def compact(spark: SparkSession, root: str, *, target_bytes: int = 64 << 20, base: int = 1 << 20, fanout: int = 4) -> int:
     """Merge tiers until none has ``fanout`` files below the target; returns the version.
 
-    A merge reads files of one tier only, so its inputs are alike in size; they are packed
+    A merge reads runs of one tier only, so its inputs are alike in size; they are packed
     into as many files as the target needs, without a shuffle. Rows neither change nor get
-    lost. The files of replaced versions are deleted at the end if ``vacuum``.
+    lost. Runs whose files have about the target size are never rewritten. A merge whose inputs
+    another writer has merged meanwhile is thrown away. Old files stay until ``vacuum``.
     """
-    columns = None
     while True:
-        at = version(spark, root)
         files = manifest(spark, root)
-        small = tiers(files, base=base, fanout=fanout).where(F.col("bytes") < 0.75 * target_bytes)
-        ripe = small.groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).where(F.col("n") >= fanout).orderBy("tier").first()
+        small = tiers(files, base=base, fanout=fanout).where(F.col("bytes") < 0.75 * target_bytes * F.col("files"))
+        ripe = small.groupBy("tier").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes")).where(F.col("files") >= fanout).orderBy("tier").first()
         if ripe is None:
-            break
-        merged = small.where(F.col("tier") == ripe["tier"])
-        paths = [r["path"] for r in merged.select("path").toLocalIterator()]
-        columns = columns or spark.read.parquet(paths[0]).columns
-        folder = f"{root}/data/{at + 1:08d}-{uuid.uuid4().hex}"
-        out = max(1, min(len(paths) // 2, round(ripe["bytes"] / target_bytes)))
-        spark.read.parquet(*paths).select(*columns).coalesce(out).write.option("compression", "zstd").parquet(folder)
-        added = described(spark, folder, at + 1)
-        kept = files.join(merged.select("path"), "path", "left_anti")
-        commit(spark, root, kept.unionByName(added), at + 1)
-    if vacuum:
-        _vacuum(spark, root)
-    return version(spark, root)
-
-
-def _vacuum(spark: SparkSession, root: str) -> None:
-    """Delete data folders of which the newest version has no file; readers of older versions lose."""
-    fs, used = _files(spark, root), manifest(spark, root).select(F.regexp_extract("path", "/data/([^/]+)/", 1).alias("run")).distinct()
-    keep = {r["run"] for r in used.collect()}
-    data = _path(spark, f"{root}/data")
-    for status in fs.listStatus(data) if fs.exists(data) else []:
-        if status.getPath().getName() not in keep:
-            fs.delete(status.getPath(), True)
+            return version(spark, root)
+        merged = small.where(F.col("tier") == ripe["tier"]).select("run")
+        out = max(1, min(ripe["files"] // 2, round(ripe["bytes"] / target_bytes)))
+        run, added = _write_run(_rows(spark, root, merged, columns_of(spark, root)).drop("shard_run").coalesce(out), root)
 
+        def without(now: DataFrame, inputs=merged, taken=merged.count()) -> DataFrame | None:
+            there = now.select("run").distinct().join(inputs, "run", "left_semi").count()
+            return now.join(inputs, "run", "left_anti") if there == taken else None
 
-def read(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
-    """The rows of a version, each with the shard it is in, the shard's size and its tier."""
-    files = manifest(spark, root, at)
-    paths = [r["path"] for r in files.select("path").toLocalIterator()]
-    name = F.regexp_replace(F.regexp_extract("_metadata.file_path", "/data/(.+)$", 1), "-[0-9a-f]{8,}[^/]*", "")
-    rows = spark.read.parquet(*paths)
-    return rows.select("*", name.alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.col("_metadata.file_path").alias("_file"))
+        if _commit_change(spark, root, added, without) is None:
+            _files(spark, root).delete(_path(spark, f"{root}/data/shard_run={run}"), True)
 
 
-def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents after they arrived in twelve uneven parts and were compacted: the shard of each."""
+def vacuum(spark: SparkSession, root: str, *, keep: int = 10) -> int:
+    """Delete runs that only versions older than the newest ``keep`` have, then these versions.
+
+    Runs that no version has, as those of a writer at work, are left alone. Returns the
+    number of runs deleted.
+    """
+    every = versions(spark, root)
+    old, kept = every[:-keep], every[-keep:]
+    if not old:
+        return 0
+    runs = lambda which: spark.read.schema(MANIFEST).parquet(*[f"{root}/manifest/v{v:08d}" for v in which]).select("run").distinct()
+    fs, gone = _files(spark, root), 0
+    for row in runs(old).join(runs(kept), "run", "left_anti").toLocalIterator():
+        gone += fs.delete(_path(spark, f"{root}/data/shard_run={row['run']}"), True)
+    for v in old:
+        fs.delete(_path(spark, f"{root}/manifest/v{v:08d}"), True)
+    return gone
+
+
+def _rows(spark: SparkSession, root: str, runs: DataFrame, columns: T.StructType) -> DataFrame:
+    """The rows of some runs, with shard_run."""
+    schema = T.StructType([*columns.fields, T.StructField("shard_run", T.StringType())])
+    return spark.read.schema(schema).option("basePath", f"{root}/data").parquet(f"{root}/data").join(runs.select(F.col("run").alias("shard_run")).distinct(), "shard_run", "left_semi")
+
+
+def read(spark: SparkSession, root: str, at: int | None = None) -> DataFrame:
+    """The rows of a version, each with shard_run, shard (its file) and shard_bytes; none before the first."""
+    at = version(spark, root) if at is None else at
+    if not at:
+        return spark.createDataFrame([], "shard_run string, shard string, shard_bytes long")
+    columns = columns_of(spark, root, at)
+    schema = T.StructType([*columns.fields, T.StructField("shard_run", T.StringType())])
+    rows = spark.read.schema(schema).option("basePath", f"{root}/data").parquet(f"{root}/data")
+    rows = rows.select("*", F.concat_ws("/", "shard_run", "_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
+    runs = manifest(spark, root, at).select(F.col("run").alias("shard_run")).distinct()
+    return rows.join(runs, "shard_run", "left_semi").select(*columns.names, *ADDED)
+
+
+def op9_sharding(spark, sf_dir: str, arrivals: int = 8) -> DataFrame:
+    """All documents after they arrived in uneven parts, each appended and committed, and were compacted twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = new_folder(spark, "shards")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(144))
-    append(docs.withColumn("arrival", F.floor(F.sqrt(part.cast("double"))).cast("int")), root, "arrival")
-    at = compact(spark, root)
-    found = read(spark, root)
+    part = F.floor(F.sqrt(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals**2)).cast("double")))
+    for n in range(arrivals):
+        append(docs.where(part == n), root)
+        if n % 4 == 3:
+            compact(spark, root)
+    at = version(spark, root)
+    found = read(spark, root, at)
     return found.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("text_chars"), "shard", "shard_bytes", F.lit(at).cast("long").alias("version"))

@@ -49,7 +49,8 @@ def test_exact_dedup(docs, empty):
     for i, t in enumerate(TEXTS):
         groups.setdefault(low(t), []).append(i)
     assert got == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
-    assert exact_dedup.exact_dedup(docs.union(docs)).where("kept").count() == len(groups)
+    for twice in (docs.union(docs), docs.withColumn("doc_id", F.lit(None).cast("long")).repartition(3)):
+        assert exact_dedup.exact_dedup(twice).where("kept").count() == len(groups)
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
@@ -104,6 +105,10 @@ def test_mixing(spark, docs, empty):
         want[key] = target
     assert all(abs(taken[k] - want[k]) <= max(7, 0.01 * want[k]) for k in want)
     assert mixing.mix(many).count() == sum(v[0] for v in one.values())
+    clash = many.withColumns({"shard": F.lit("x"), "copy": F.lit("y"), "size": F.lit("z")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == ["doc_id", "text", "source", "size", "copy", "shard"] and {r.size for r in mixed.select("size").distinct().collect()} == {"z"}
+    assert mixing.mix_counts(many.union(many)).where("copies > 2").count() == 0
     assert mixing.mix_counts(docs).count() == len(TEXTS)
     assert mixing.mix_counts(empty).count() == 0
 
@@ -157,6 +162,11 @@ def test_layouts_become_the_same_turns(spark):
     got = chat.format_chat(chat.canonical_turns(spark.createDataFrame(list(enumerate(records)), "n int, record string"))).orderBy("n").collect()
     assert all([(t.role, t.text) for t in r.turns] == [("user", "hi"), ("assistant", "yo")] for r in got[:6])
     assert all(r.turns is None and r.formatted is None for r in got[6:])
+    assert [r.n_turns for r in chat.digests(chat.format_chat(chat.canonical_turns(spark.createDataFrame([(0, records[0], 1), (1, None, 1)], "conv_id int, record string, turns int")))).orderBy("conv_id").collect()] == [2, None]
+    own = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", None), (1, 1, "gpt", None), (1, None, None, "b")], "conv_id long, turn int, role string, text string")
+    (kept,) = chat.canonical_turns(chat.records_from_rows(own)).collect()
+    assert [(t.role, t.text) for t in kept.turns] == [("", "b"), ("human", "a"), ("gpt", ""), ("gpt", "")]
+    assert chat.format_chat(chat.canonical_turns(chat.records_from_rows(own.limit(0)))).count() == 0
 
 
 def test_quality_is_learnt_from_rows_not_held_out(spark, docs, empty):
@@ -164,6 +174,8 @@ def test_quality_is_learnt_from_rows_not_held_out(spark, docs, empty):
     ranker = quality.train(d, labels)
     rows = quality.score_quality(d, ranker).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).select("quality", "predicted", "score").collect()
     assert sum(r.quality == r.predicted for r in rows) / len(rows) > 0.85
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.93
     assert all(0 <= r.score <= 1 for r in quality.score_quality(docs, ranker).collect())
     flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert np.allclose(quality.train(d, flipped).weights, ranker.weights)
@@ -248,17 +260,36 @@ def test_likeness_is_near_the_generalised_jaccard(spark):
 
 
 def test_sharding(spark, tmp_path):
+    """Against a list of rows: every version reads as what had been appended by then."""
     root = f"file://{tmp_path}/store"
-    for n in range(5):
-        sharding.append(spark.range(10 * n, 10 * n + 10).toDF("doc_id").coalesce(1), root)
-    assert sharding.append(spark.createDataFrame([], "doc_id long"), root) == 5
-    before = {r.path for r in sharding.manifest(spark, root).collect()}
-    at = sharding.compact(spark, root, target_bytes=1 << 20, base=1 << 10, fanout=4, vacuum=False)
-    assert at > 5 and sharding.manifest(spark, root).count() < len(before)
-    assert sorted(r.doc_id for r in sharding.read(spark, root).collect()) == list(range(50))
-    assert sharding.read(spark, root, 3).count() == 30
+    assert sharding.read(spark, root).count() == 0 and sharding.compact(spark, root) == 0
+    held, by_version = [], {0: 0}
+    for n in range(6):
+        rows = [(i, None if i % 4 == 0 else "é" * i) for i in range(10 * n, 10 * n + 10)] + [(1, "again")]
+        kind = "doc_id long, text string"
+        if n >= 4:
+            rows, kind = [(*r, "new") for r in rows], kind + ", extra string"
+        at = sharding.append(spark.createDataFrame(rows, kind).withColumn("shard", F.lit("clash")).coalesce(1), root)
+        held += [(r[0], r[1], r[2] if len(r) > 2 else None) for r in rows]
+        by_version[at] = len(held)
+        if n == 3:
+            at = sharding.compact(spark, root, target_bytes=1 << 20, base=1 << 10, fanout=4)
+            by_version[at] = len(held)
+            assert sharding.manifest(spark, root).count() == 1
+    assert sharding.append(spark.createDataFrame([], "doc_id long, text string, extra string"), root) == at == sharding.version(spark, root)
+    got = sharding.read(spark, root)
+    assert sorted(((r.doc_id, r.text, r.extra) for r in got.collect()), key=str) == sorted(held, key=str)
+    sizes = {(f"{r.run}/{r.file}", r.bytes): r.rows for r in sharding.manifest(spark, root).collect()}
+    assert {(r.shard, r.shard_bytes): r["count"] for r in got.groupBy("shard", "shard_bytes").count().collect()} == sizes
+    assert all(sharding.read(spark, root, v).count() == n for v, n in by_version.items())
     with pytest.raises(sharding.Conflict):
         sharding.commit(spark, root, sharding.manifest(spark, root), at)
+    with pytest.raises(ValueError):
+        sharding.append(spark.createDataFrame([("x",)], "doc_id string"), root)
+    lost = tmp_path / "store" / "data" / "shard_run=rwriteratwork"
+    lost.mkdir()
+    assert sharding.vacuum(spark, root, keep=3) == 4 and lost.exists()
+    assert sharding.read(spark, root).count() == len(held) and sharding.versions(spark, root) == [at - 2, at - 1, at]
 
 
 MODELS = pytest.importorskip("os").path.exists(pieces.MODEL)
