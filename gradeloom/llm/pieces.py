@@ -39,7 +39,7 @@ LONG = 96
 #: Rows of a chunk, as a power of two: a task holds one chunk's texts at once.
 CHUNK_BITS = 11
 #: Parts whose ids are sent to all tasks, and the rows in a sample of which they are looked for.
-COMMON_PARTS, SAMPLED_ROWS = 1 << 19, 30_000
+COMMON_PARTS, SAMPLED_ROWS = 1 << 20, 60_000
 
 
 @dataclass(frozen=True, eq=False)
@@ -346,11 +346,16 @@ def encode_texts(texts: pa.Array, model: Model, known: Known | None = None, dist
 def decode_ids(ids: np.ndarray, cuts: np.ndarray, model: Model) -> list[str]:
     """The text of each run of ids: pieces in a row, byte pieces as bytes, without the space put before it."""
     *_, data, starts, _ = _tables(model)
-    ids = np.asarray(ids, dtype=np.int64)
-    sizes = starts[ids + 1] - starts[ids]
-    raw = data[batch.ragged(starts[ids], sizes)].tobytes()
-    at = np.concatenate([[0], np.cumsum(sizes)])[cuts]
-    return [raw[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+    texts, lo = [], 0
+    while lo < len(cuts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + batch.WINDOW // 4, side="right")) - 1)
+        part = np.asarray(ids[cuts[lo] : cuts[hi]], dtype=np.int64)
+        sizes = starts[part + 1] - starts[part]
+        raw = data[batch.ragged(starts[part], sizes)].tobytes()
+        at = np.concatenate([[0], np.cumsum(sizes)])[cuts[lo : hi + 1] - cuts[lo]]
+        texts += [raw[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        lo = hi
+    return texts
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -397,26 +402,29 @@ def _spread(words: DataFrame) -> DataFrame:
     return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
 
 
-def encode(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` plus ids (array of ints) of column text.
+def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame:
+    """All rows and columns of ``docs`` plus ids (array of ints) of column text; and decoded, their text, if asked for.
 
     A null or empty text has an empty array. U+2581 in a text is a space to the model, so it
-    decodes to one. A column ids of ``docs`` is replaced. ``docs`` is read three times and must
+    decodes to one. Columns ids and decoded of ``docs`` are replaced. ``docs`` is read three times and must
     be split alike, as a table of files is: a chunk is up to 2**CHUNK_BITS rows of one partition,
     in whose order they stay. The distinct parts of all texts go through ``encode_words``, the most
     frequent ones first: these are sent to all tasks, at most COMMON_PARTS of them. The ids of
     the others are joined to the chunks they are in.
     """
-    docs, spark = docs.drop("ids"), docs.sparkSession
+    docs, spark = docs.drop("ids", "decoded"), docs.sparkSession
     known = spark.sparkContext.broadcast(common_parts(docs, model))
     chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
     used = materialise(_parts(docs.select(chunk.alias("_chunk"), "text"), model, known).select("_chunk", "word"), "words")
-    words = _spread(used.select("word")).distinct()
+    used = _spread(used)
+    # The chunk is asked for, so that both sides of the join below need the same columns and one shuffle.
+    words = used.groupBy("word").agg(F.min("_chunk").alias("_first")).where("_first is not null").select("word")
     short = encode_words(words.where(F.length("word") <= LONG), model).select("word", "ids")
-    coded = materialise(short.unionByName(_encode_long(words.where(F.length("word") > LONG), model)), "coded")
+    coded = short.unionByName(_encode_long(words.where(F.length("word") > LONG), model))
     placed = docs.select(chunk.alias("_chunk"), F.monotonically_increasing_id().alias("_row"), "*")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    text, names = placed.columns.index("text"), [*docs.columns, "ids"]
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * and_decode]
+    schema, text = T.StructType([*docs.schema.fields, *added]), placed.columns.index("text")
+    names = schema.names
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
         order = pc.sort_indices(rows.column("_row")).to_numpy()
@@ -434,8 +442,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
             return flat[batch.ragged(at[where], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
         ids, cuts = encode_texts(rows.column(text), model, known.value, look_up)
-        column = pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(ids, type=pa.int32()))
-        return pa.table([*rows.columns[2:], column], names=names)
+        columns = [*rows.columns[2:], pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(ids, type=pa.int32()))]
+        return pa.table(columns + [pa.array(decode_ids(ids, cuts, model), type=pa.string())] * and_decode, names=names)
 
     own = used.join(coded, "word").select("_chunk", "word", "ids")
     return placed.groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(run, schema)
@@ -461,11 +469,7 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, cuts = _lists(b.column(at))
-            texts, lo = [], 0
-            while lo < b.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + batch.WINDOW // 4, side="right")) - 1)
-                texts += decode_ids(ids[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo], model)
-                lo = hi
+            texts = decode_ids(ids, cuts, model)
             decoded = pc.if_else(pc.is_valid(b.column(at)), pa.array(texts, type=pa.string()), pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, decoded], names=names)
 
@@ -543,7 +547,7 @@ def _spark_viterbi(word, edge, longest):
 
 def digests(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids_sha256 (ids as text, comma-joined), round_trip."""
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
+    both = encode(docs.select("doc_id", "text"), model, and_decode=True)
     text = F.coalesce("text", F.lit(""))
     return both.select(
         "doc_id", F.length(text).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"),

@@ -331,6 +331,8 @@ def test_documents_are_encoded_by_joins_and_folds(spark, monkeypatch):
     rows = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     got = [(r.text, r.ids) for r in pieces.encode(rows, model).collect()]
     assert seen and got == [(t, sp.encode(t or "")) for t in texts]
+    back = {(r.text, r.decoded) for r in pieces.decode(pieces.encode(rows, model), model).collect()}
+    assert back == {(r.text, r.decoded) for r in pieces.encode(rows, model, and_decode=True).collect()} and (" a", " a") in back
 
 
 def test_pipeline_keeps_what_its_stages_keep(spark):
