@@ -54,8 +54,8 @@ def letter_tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences by final punctuation, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " "))), lambda s: s != "")
+    """Sentences, trimmed, without empty ones; final punctuation ends one before white space or at the end, so 3.14 stays whole."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)[.!?]+(?:\s|$)"), lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " "))), lambda s: s != "")
 
 
 def type_token_ratio(tokens: Column, least: int = 50) -> Column:
@@ -75,37 +75,51 @@ def syllables(text: Column) -> Column:
     return F.regexp_count(low, F.lit("[aeiouáéíóúü]+")) + F.regexp_count(low, F.lit("[aeoáéó][íú]|[íú][aeoáéó]"))
 
 
-def readability(text: Column) -> Column:
-    """Fernández-Huerta ease of reading from words, sentences and syllables; null below 30 words."""
+def _per_word(text: Column) -> tuple[Column, Column]:
+    """Syllables a word and words a sentence."""
     words = F.size(letter_tokens(text)).cast("double")
-    per_sentence = words / F.greatest(F.size(sentences(text)), F.lit(1))
-    return F.when(words >= 30, F.round(F.greatest(F.lit(0.0), F.least(F.lit(120.0), 206.84 - 60.0 * F.try_divide(syllables(text).cast("double"), words) - 1.02 * per_sentence)), 2))
+    return F.coalesce(F.try_divide(syllables(text).cast("double"), words), F.lit(0.0)), words / F.greatest(F.size(sentences(text)), F.lit(1))
+
+
+def readability(text: Column) -> Column:
+    """Fernández-Huerta ease of reading, 2 places; null below 30 words."""
+    spoken, long = _per_word(text)
+    return F.when(n_words(text) >= 30, F.round(206.84 - 60.0 * spoken - 1.02 * long, 2))
 
 
 def szigriszt(text: Column) -> Column:
-    """Szigriszt-Pazos perspicuity; null below 30 words."""
-    words = F.size(letter_tokens(text)).cast("double")
-    per_sentence = words / F.greatest(F.size(sentences(text)), F.lit(1))
-    return F.when(words >= 30, F.round(F.greatest(F.lit(0.0), F.least(F.lit(120.0), 206.835 - 62.3 * F.try_divide(syllables(text).cast("double"), words) - per_sentence)), 2))
+    """Szigriszt-Pazos perspicuity, 2 places; null below 30 words."""
+    spoken, long = _per_word(text)
+    return F.when(n_words(text) >= 30, F.round(206.835 - 62.3 * spoken - long, 2))
 
 
-def ease_band(value: Column) -> Column:
-    return (
-        F.when(value.isNull(), None).when(value >= 80, "very easy").when(value >= 65, "easy").when(value >= 55, "normal").when(value >= 40, "somewhat hard").otherwise("hard")
-    )
+#: Least ease of each band.
+EASE_BANDS = (
+    (90, "muy fácil"), (80, "fácil"), (70, "algo fácil"), (60, "normal"),
+    (50, "algo difícil"), (30, "difícil"), (0, "muy difícil"),
+)
 
 
-def hedges(sentence: Column) -> Column:
-    """Hedging expressions of a sentence, as written."""
-    return F.regexp_extract_all(sentence, F.lit(r"(?iu)(?<![\p{L}\d_])(" + "|".join(HEDGES) + r")(?![\p{L}\d_])"), F.lit(0))
+def ease_band(value: Column) -> Column:
+    """The band's name; below zero the last one's."""
+    band = F.when(value.isNull(), None)
+    for least, name in EASE_BANDS:
+        band = band.when(value >= least, name)
+    return band.otherwise(EASE_BANDS[-1][1])
 
 
 #: Expressions that soften a claim.
 HEDGES = (
-    "probablemente", "posiblemente", "presumiblemente", "aparentemente", "al parecer", "quiz[aá]s?", "tal vez",
-    "podr[ií]an?", "pudieran?", "pueden? que", "es posible que", "es probable que", "suelen?", "tienden? a",
-    "en general", "generalmente", "por lo general", "habitualmente", "frecuentemente", "a menudo",
-    "en la mayor[ií]a de", "en gran medida", "en cierta medida", "en parte", "solo en parte", "parcialmente",
-    "relativamente", "en principio", "parecen? que", "sugieren? que", "se estima que",
-    "pr[aá]cticamente (?:nul[oa]s?|inexistentes?|ningun[oa]?s?|imposibles?|todos?|todas?|iguales?|ausentes?)",
+    r"probablemente", r"posiblemente", r"presumiblemente", r"aparentemente", r"al parecer", r"quiz[aá]s?",
+    r"tal vez", r"podr[ií]a(n)?", r"pudiera(n)?", r"puede(n)? que", r"es posible que", r"es probable que",
+    r"suele(n)?", r"tiende(n)? a", r"en general", r"generalmente", r"por lo general", r"habitualmente",
+    r"frecuentemente", r"a menudo", r"en la mayor[ií]a de", r"en gran medida", r"en cierta medida",
+    r"en parte", r"solo en parte", r"parcialmente", r"relativamente", r"en principio",
+    r"parece(n)? que", r"sugiere(n)? que", r"se estima que",
+    r"pr[aá]cticamente (nul[oa]s?|inexistentes?|ningun[oa]?s?|imposibles?|todos?|todas?|iguales?|ausentes?)",
 )
+
+
+def hedges(sentence: Column) -> Column:
+    """Hedging expressions of a sentence, as written."""
+    return F.regexp_extract_all(sentence, F.lit(r"(?iuU)\b(" + "|".join(HEDGES) + r")\b"), F.lit(0))

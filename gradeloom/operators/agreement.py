@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def qwk_from_sums(n: Column, a: Column, b: Column, aa: Column, bb: Column, ab: Column) -> Column:
-    """Quadratic weighted kappa from n, sums, sums of squares and of products; null if undefined."""
-    return 1 - F.try_divide(aa + bb - 2 * ab, aa + bb - F.try_divide(2 * a * b, n))
+    """Quadratic weighted kappa from n, sums, sums of squares and of products; 1 where all labels are one."""
+    return F.coalesce(1 - F.try_divide(aa + bb - 2 * ab, aa + bb - F.try_divide(2 * a * b, n)), F.lit(1.0))
 
 
 def qwk(a: Column, b: Column) -> Column:
@@ -110,20 +112,22 @@ def icc21(scores: DataFrame, target: str, keys: list[str] | None = None, rater:
     return j.select(*keys, n.cast("long").alias("n"), k.cast("long").alias("k"), F.when((n >= 3) & (k >= 2), value_).alias("icc"))
 
 
-def bootstrap_weights(spark, projects: list, replicates: int = 2000, seed: int = 42) -> DataFrame:
+def bootstrap_weights(projects: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """(rep, project, w): how often each project is drawn in each resample of all projects.
 
-    ``projects`` are the rated projects of one validation study, tens to hundreds.
+    ``projects`` has project, the rated ones of one validation study; they are drawn from in
+    their order. The draws follow one seed, one after another, so one task makes them.
     """
-    draw = random.Random(seed)
-    rows = []
-    for rep in range(replicates):
-        times: dict = {}
-        for _ in projects:
-            p = projects[draw.randrange(len(projects))]
-            times[p] = times.get(p, 0) + 1
-        rows += [(rep, p, float(w)) for p, w in times.items()]
-    return spark.createDataFrame(rows, "rep int, project string, w double")
+
+    def run(batches):
+        names = [p for b in batches for p in b["project"]]
+        draw = random.Random(seed)
+        for rep in range(replicates if names else 0):
+            times = Counter(draw.randrange(len(names)) for _ in names)
+            yield pd.DataFrame({"rep": rep, "project": [names[i] for i in times], "w": [float(n) for n in times.values()]})
+
+    ordered = projects.select(F.col("project").cast("string")).distinct().coalesce(1).sortWithinPartitions("project")
+    return ordered.mapInPandas(run, "rep int, project string, w double")
 
 
 def project_sums(pairs: DataFrame, by: list[str], project: str) -> DataFrame:
@@ -133,10 +137,10 @@ def project_sums(pairs: DataFrame, by: list[str], project: str) -> DataFrame:
 
 
 def bootstrap_qwk(sums: DataFrame, weights: DataFrame, by: list[str], confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of the kappa over resampled projects; undefined replicates are left out."""
+    """Percentile interval of the kappa over resampled projects; replicates without a rated item are left out."""
     w = F.col("w")
     each = sums.join(weights, "project").groupBy(*by, "rep").agg(*[F.sum(w * F.col(c)).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    each = each.withColumn("q", qwk_from_sums(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])).where("q is not null")
+    each = each.withColumn("q", qwk_from_sums(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])).where("n > 0")
     tail = (1 - confidence) / 2
     return each.groupBy(*by).agg(F.percentile("q", tail).alias("low"), F.percentile("q", 1 - tail).alias("high"), F.count("*").alias("replicates"))
 

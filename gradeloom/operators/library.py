@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 
 def chunks(pages: DataFrame, size: int = 900, least: int = 120) -> DataFrame:
-    """Paragraphs of a page gathered up to ``size`` characters; pieces of ``least`` and fewer go.
+    """Lines of a page gathered up to ``size`` characters; pieces of ``least`` and fewer go.
 
-    pages: book, page, text. A piece closes when the next paragraph would make it too long.
+    pages: book, page, text. Lines are trimmed and keep their inner spacing, blank ones go. A piece
+    closes when the next line would make it, with the space before each line, too long.
     """
-    paragraphs = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), strip), lambda p: p != "")
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
 
     def step(acc, p):
         full = (acc["open"] != "") & (F.length(acc["open"]) + F.length(p) > size)
         return F.struct(
-            F.when(full | (acc["open"] == ""), p).otherwise(F.concat(acc["open"], F.lit(" "), p)).alias("open"),
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+            F.concat(F.when(full, "").otherwise(acc["open"]), F.lit(" "), p).alias("open"),
+            F.when(full, F.concat(acc["done"], F.array(F.substr(acc["open"], F.lit(2))))).otherwise(acc["done"]).alias("done"),
         )
 
-    whole = F.aggregate(paragraphs, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda c: F.length(c) > least))
-    each = pages.select("book", "page", F.posexplode(whole).alias("n", "text"))
+    whole = F.aggregate(lines, start, step, lambda acc: F.concat(acc["done"], F.array(F.substr(acc["open"], F.lit(2)))))
+    each = pages.select("book", "page", F.posexplode(F.filter(whole, lambda c: F.length(c) > least)).alias("n", "text"))
     return each.select(F.concat_ws("_", "book", F.concat(F.lit("p"), "page"), "n").alias("id"), "book", "page", "text")
 
 
@@ -55,7 +57,12 @@ def nearest(queries: DataFrame, passages: DataFrame, k: int = 2) -> DataFrame:
 
 
 def section_query(items: DataFrame, sections: DataFrame, criteria: int = 4) -> DataFrame:
-    """The text a section is looked up by: its name and its first criteria."""
+    """The text a section is looked up by: its name and its first criteria, with the model's prefix."""
     first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "criterion"))), 1, criteria)
     texts = items.groupBy("section_id").agg(F.array_join(F.transform(first, lambda c: c["criterion"]), " ").alias("_c"))
-    return sections.join(texts, "section_id").select("section_id", F.concat_ws(". ", "name", "_c").alias("query"))
+    return sections.join(texts, "section_id").select("section_id", F.concat(F.lit("query: "), "name", F.lit(". Criterios: "), "_c").alias("query"))
+
+
+def shown_passage(text: Column, book: Column, page: Column, most: int = 400) -> Column:
+    """A passage as judges are shown it: its first characters, book and page."""
+    return F.concat(F.lit("«"), F.substring(text, 1, most), F.lit("» ("), book, F.lit(", pág. "), page.cast("string"), F.lit(")"))

@@ -54,23 +54,26 @@ def points(kind: str, median: Column, weight: Column, partial: Column) -> Column
     return F.when(median >= 2, weight).when(median == 1, F.coalesce(partial, F.round(weight / 2, 2))).otherwise(0.0).cast("double")
 
 
-def first_votes(votes: DataFrame, order: str | None = None) -> DataFrame:
-    """The first vote of each judge for each item, by ``order`` if there is such a column."""
+def first_votes(votes: DataFrame, order: str) -> DataFrame:
+    """The first vote of each judge for each item, by ``order``."""
     keys = ["eval_id", "judge", "section_id", "item_id"]
-    if order is None:
-        return votes.dropDuplicates(keys)
     rest = [c for c in votes.columns if c not in (*keys, order)]
     return votes.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_v")).select(*keys, "_v.*")
 
 
-def consolidate(votes: DataFrame, kind: str) -> DataFrame:
+def consolidate(votes: DataFrame, kind: str, order: str | None = None) -> DataFrame:
     """One row for each voted (eval_id, section_id, item_id): median, spread, flag, texts and votes.
 
+    A judge has one vote for an item: the first by the column ``order``. Without such a
+    column repeated votes have no order, and the least of them by content counts.
+
     The texts are those of the lowest-numbered judge whose vote is the median. Judges of an
     item are few, so a group is small; the votes of different items shuffle once.
     """
+    votes = votes if order is None else first_votes(votes, order)
     vote = F.struct(F.col("judge").cast("int").alias("judge"), ordinal(kind, F.col("level"), F.col("score")).alias("o"), "level", "score", "evidence", "observation")
     grouped = votes.groupBy("eval_id", "section_id", "item_id").agg(F.array_sort(F.collect_list(vote)).alias("_all"))
+    grouped = grouped.withColumn("_all", F.filter("_all", lambda v, i: (i == 0) | (v["judge"] != F.get(F.col("_all"), i - 1)["judge"])))
     valid = F.filter("_all", lambda v: v["o"].isNotNull())
     out = grouped.withColumn("_v", valid).withColumn("median", lower_median(F.transform("_v", lambda v: v["o"])))
     spread = F.array_max(F.transform("_v", lambda v: v["o"])) - F.array_min(F.transform("_v", lambda v: v["o"]))
@@ -103,7 +106,8 @@ def active_sections(evals: DataFrame, sections: DataFrame, week_map: DataFrame)
 
 def item_scores(items: DataFrame, consolidated: DataFrame, status: DataFrame, kind: str) -> DataFrame:
     """All items of all active sections. status: eval_id, section_id, state (missing, empty, open)."""
-    base = status.where("state <> 'inactive'").join(items, "section_id")
+    by = ["rubric_id", "section_id"] if "rubric_id" in status.columns and "rubric_id" in items.columns else ["section_id"]
+    base = status.where("state <> 'inactive'").join(items, by)
     joined = base.join(consolidated, ["eval_id", "section_id", "item_id"], "left")
     open_, voted = F.col("state") == "open", F.col("median").isNotNull()
     floor = F.lit("0" if kind == "scale" else "no_cumple")
@@ -193,7 +197,7 @@ def dimension_scores(votes: DataFrame) -> DataFrame:
 def score_documents(votes: DataFrame, items: DataFrame, sections: DataFrame, segments: DataFrame, evals: DataFrame, active: DataFrame, bands: DataFrame, conversion: DataFrame, kind: str) -> dict[str, DataFrame]:
     """The whole chain; the tables of each level by name."""
     status = section_status(segments, sections, evals, active)
-    scored = item_scores(items.select("section_id", "item_id", "pos", "weight", "partial"), consolidate(votes, kind), status, kind)
+    scored = item_scores(items.select(*[c for c in ("rubric_id", "section_id", "item_id", "pos", "weight", "partial") if c in items.columns]), consolidate(votes, kind), status, kind)
     by_section = section_scores(status, scored)
     return {"items": scored, "sections": by_section, "totals": with_grade(with_band(totals(by_section, evals), bands), conversion)}
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.text import ease_band, letter_tokens, mean_sentence_words, n_words, readability, szigriszt, type_token_ratio
 
+#: How citations and entries of a reference list are written.
 SURNAME = r"[A-ZÁÉÍÓÚÑ][\p{L}\p{N}_'\-]+"
 NARRATIVE = rf"({SURNAME})(?:\s*(?:,|y|e|&)\s*{SURNAME})*(?:\s+et\s+al\.?)?\s*\((\d{{4}})[a-z]?\)"
 IN_BRACKETS = r"\(([^()]*\d{4}[a-z]?[^()]*)\)"
@@ -19,26 +20,35 @@ ENTRY = rf"^\s*({SURNAME}(?:\s+{SURNAME})?)\s*,"
 
 
 def mtld(tokens: Column, threshold: float = 0.72, least: int = 10) -> Column:
-    """Lexical diversity by factors that close as the ratio falls, both ways; null without tokens.
+    """Lexical diversity: tokens a factor, mean of both directions, 2 places; 0 without factors, null without tokens.
 
-    The state is the set of a stretch's words, so this is one Arrow-batched function.
+    A stretch of ``least`` tokens or more is a factor as soon as its ratio of distinct tokens is
+    below the threshold, unless it is the last; the last counts by how far its ratio has fallen.
+    The state is the set of a stretch's tokens, so this is one Arrow-batched function.
     """
 
+    def factors(ids: list) -> float:
+        begin, whole = 0, 0
+        while True:
+            seen: set = set()
+            for end in range(begin, len(ids)):
+                seen.add(ids[end])
+                size = end - begin + 1
+                if size >= least and len(seen) < threshold * size and end < len(ids) - 1:
+                    begin, whole = end + 1, whole + 1
+                    break
+            else:
+                return whole + (1 - len(seen) / (len(ids) - begin)) / (1 - threshold)
+
     @F.pandas_udf("double")
     def of(batch: pd.Series) -> pd.Series:
-        def one_way(words):
-            factors, seen, count, ratio = 0.0, set(), 0, 1.0
-            for w in words:
-                count += 1
-                seen.add(w)
-                ratio = len(seen) / count
-                if ratio < threshold and count >= least:
-                    factors, seen, count, ratio = factors + 1, set(), 0, 1.0
-            if count:
-                factors += (1 - ratio) / (1 - threshold)
-            return len(words) / factors if factors else float(len(words))
-
-        return batch.map(lambda ws: None if ws is None or not len(ws) else (one_way(list(ws)) + one_way(list(ws)[::-1])) / 2)
+        def both(words):
+            if words is None or not len(words):
+                return None
+            parts = [factors(w) for w in (list(words), list(words)[::-1])]
+            return sum(len(words) / f if f > 0 else 0.0 for f in parts) / 2
+
+        return batch.map(both)
 
     return F.round(of(tokens), 2)
 

@@ -159,7 +159,7 @@ def section_states(spark, sf_dir):
     return _weekly(spark, sf_dir)["sections"].select(F.col("eval_id").alias("doc_id"), "section_id", "state", "subtotal")
 
 
-_QWK = "1 - sum((a - b) * (a - b)) / nullif(sum(a * a) + sum(b * b) - 2.0 * sum(a) * sum(b) / count(*), 0)"
+_QWK = "case when count(distinct a) = 1 and min(a) = min(b) and max(a) = max(b) then 1.0 else 1 - sum((a - b) * (a - b)) / (sum(a * a) + sum(b * b) - 2.0 * sum(a) * sum(b) / count(*)) end"
 
 
 def _pairs(spark, sf_dir):
@@ -251,34 +251,36 @@ def label_agreement(spark, sf_dir):
     return p.groupBy("source").agg(F.count("*").alias("n"), F.round(ag.qwk(F.col("a"), F.col("b")), 6).alias("qwk"), F.round(ag.exact(F.col("a"), F.col("b")), 6).alias("exact"))
 
 
-_SOURCES = [f"src{i}" for i in range(20)]
-_REPS = 200
+_REPS = 2000
 
 
-def _boot_weight(rep, project):
-    return (rep * 7 + project * 13 + (rep * project) % 11) % 4
+def _projects(spark, sf_dir):
+    """Rated pairs by source, a null one being a project of its own."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("<null>")).alias("source"))
+    return ag.project_sums(_pairs(spark, sf_dir).join(sources, "doc_id"), ["rater_a", "rater_b"], "source")
 
 
-@query(f"""with {PAIRS_SQL}, s as (select cast(substr(d.source, 4) as int) as project, ja, jb, count(*) as n, sum(a) as sa, sum(b) as sb, sum(a * a) as saa, sum(b * b) as sbb, sum(a * b) as sab
+@query(f"""with {PAIRS_SQL}, s as (select coalesce(d.source, '<null>') as source, ja, jb, count(*) as n, sum(a) as sa, sum(b) as sb, sum(a * a) as saa, sum(b * b) as sbb, sum(a * b) as sab
   from pairs join documents d using (doc_id) group by 1, 2, 3),
-w as (select rep, project, (rep * 7 + project * 13 + (rep * project) % 11) % 4 as w from range(0, {_REPS}) r(rep), range(0, 20) p(project)),
-e as (select ja, jb, rep, 1 - (sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sab)) / nullif(sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sa) * sum(w * sb) / nullif(sum(w * n), 0), 0) as q from s join w using (project) group by 1, 2, 3)
-select ja as judge_a, jb as judge_b, round(quantile_cont(q, 0.025), 6) as low, round(quantile_cont(q, 0.975), 6) as high, count(q) as replicates from e where q is not null group by 1, 2""")
+p as (select source, row_number() over (order by source) as k from (select distinct source from s)),
+w as (select rep, source, (rep * 7 + k * 13 + (rep * k) % 11) % 4 as w from range(0, {_REPS}) r(rep), p),
+e as (select ja, jb, rep, sum(w * n) as n, coalesce(1 - (sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sab)) / nullif(sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sa) * sum(w * sb) / nullif(sum(w * n), 0), 0), 1.0) as q from s join w using (source) group by 1, 2, 3)
+select ja as judge_a, jb as judge_b, round(quantile_cont(q, 0.025), 6) as low, round(quantile_cont(q, 0.975), 6) as high, count(q) as replicates from e where n > 0 group by 1, 2""")
 def bootstrap_interval(spark, sf_dir):
     """Percentile interval of each pair's kappa over resampled sources, with weights that SQL can compute."""
-    by = ["rater_a", "rater_b"]
-    pairs = _pairs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    rows = [(r, f"src{p}", float(_boot_weight(r, p))) for r in range(_REPS) for p in range(20)]
-    out = ag.bootstrap_qwk(ag.project_sums(pairs, by, "source"), spark.createDataFrame(rows, "rep int, project string, w double"), by)
+    sums = _projects(spark, sf_dir)
+    ranked = sums.select("project").distinct().select("project", F.row_number().over(Window.orderBy("project")).alias("k"))
+    rep = F.explode(F.sequence(F.lit(0), F.lit(_REPS - 1))).alias("rep")
+    weights = ranked.select("project", "k", rep).select("rep", "project", ((F.col("rep") * 7 + F.col("k") * 13 + F.col("rep") * F.col("k") % 11) % 4).cast("double").alias("w"))
+    out = ag.bootstrap_qwk(sums, weights, ["rater_a", "rater_b"])
     return out.select(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "replicates")
 
 
 @query()
 def bootstrap_seeded(spark, sf_dir):
     """The same with 2000 replicates drawn from seed 42."""
-    by = ["rater_a", "rater_b"]
-    pairs = _pairs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return ag.bootstrap_qwk(ag.project_sums(pairs, by, "source"), ag.bootstrap_weights(spark, _SOURCES), by)
+    sums = _projects(spark, sf_dir)
+    return ag.bootstrap_qwk(sums, ag.bootstrap_weights(sums.select("project"), _REPS), ["rater_a", "rater_b"])
 
 
 @query(f"""with {VOTES_SQL} select a.judge as run_a, b.judge as run_b, count(*) as n, round(1 - sum((a.score - b.score) * (a.score - b.score)) / nullif(sum(a.score * a.score) + sum(b.score * b.score) - 2.0 * sum(a.score) * sum(b.score) / count(*), 0), 6) as qwk,
@@ -306,7 +308,7 @@ def state_log_coalesce(spark, sf_dir):
     return store.current_state(log, "user_id", "at", ["state", "total"]).select("user_id", "state", F.round("total", 6).alias("total"))
 
 
-@query(f"""with {VOTES_SQL}, {_MEDIANS} select v.doc_id, v.item_id, string_agg('juez' || cast(judge as varchar) || '=' || coalesce(cast(score as varchar), ''), '|' order by judge) as votes,
+@query(f"""with {VOTES_SQL}, {_MEDIANS} select v.doc_id, v.item_id, string_agg('juez' || cast(judge as varchar) || '=' || coalesce(cast(score as varchar), 'None'), '|' order by judge) as votes,
   cast(coalesce(max(m.spread) >= 2, false) as int) as flagged from votes v join m on m.doc_id = v.doc_id and m.item = v.item group by 1, 2""")
 def items_csv_shape(spark, sf_dir):
     from gradeloom.sources.files import items_csv
@@ -337,19 +339,23 @@ def ttr(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.type_token_ratio(tx.letter_tokens(F.coalesce("text", F.lit("")))).alias("ttr"))
 
 
-@query(f"""with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: len(list_filter(regexp_split_to_array(s, '{_ASCII}'), lambda w: w <> ''))), lambda n: n >= 3) as n from documents)
+@query(f"""with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+(?:[\\x20\\x09-\\x0D]|$)'), lambda s: len(list_filter(regexp_split_to_array(s, '{_ASCII}'), lambda w: w <> ''))), lambda n: n >= 3) as n from documents)
 select doc_id, case when len(n) > 0 then round(list_sum(n) / len(n), 2) end as mean_sentence_words from s""")
 def sentence_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.mean_sentence_words(F.col("text")).alias("mean_sentence_words"))
 
 
 _SYLL = "(len(regexp_extract_all(lower(coalesce(text, '')), '[aeiouáéíóúü]+')) + len(regexp_extract_all(lower(coalesce(text, '')), '[aeoáéó][íú]|[íú][aeoáéó]')))"
-_SENT = r"greatest(1, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g') <> '')))"
+_SENT = r"greatest(1, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+(?:[\x20\x09-\x0D]|$)'), lambda s: regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g') <> '')))"
 
 
-@query(f"""with r as (select doc_id, len({_TOKENS})::double as w, {_SYLL}::double as y, {_SENT} as s from documents),
-e as (select doc_id, case when w >= 30 then round(greatest(0.0, least(120.0, 206.84 - 60.0 * (y / w) - 1.02 * (w / s))), 2) end as ease from r)
-select doc_id, ease, case when ease is null then null when ease >= 80 then 'very easy' when ease >= 65 then 'easy' when ease >= 55 then 'normal' when ease >= 40 then 'somewhat hard' else 'hard' end as band from e""")
+_WORDS = f"len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_ASCII}'), lambda w: w <> ''))"
+
+
+@query(f"""with r as (select doc_id, {_WORDS} as words, len({_TOKENS})::double as w, {_SYLL}::double as y, {_SENT} as s from documents),
+e as (select doc_id, case when words >= 30 then round(206.84 - 60.0 * coalesce(y / nullif(w, 0), 0) - 1.02 * (w / s), 2) end as ease from r)
+select doc_id, ease, case when ease is null then null when ease >= 90 then 'muy fácil' when ease >= 80 then 'fácil' when ease >= 70 then 'algo fácil' when ease >= 60 then 'normal'
+  when ease >= 50 then 'algo difícil' when ease >= 30 then 'difícil' else 'muy difícil' end as band from e""")
 def readability_band(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", tx.readability(F.coalesce("text", F.lit(""))).alias("ease"))
     return d.select("doc_id", "ease", tx.ease_band(F.col("ease")).alias("band"))
@@ -452,7 +458,7 @@ def fragments_per_book(spark, sf_dir):
 @query()
 def library_chunks(spark, sf_dir):
     """Passages of every document, as a library is filled."""
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
     return library.chunks(pages).select("id", "book", "page", F.length("text").alias("n_chars"))
 
 
@@ -462,50 +468,68 @@ _PAGES = [
     (2, 1, "2. Objetivos\nObjetivo general: medir.\nJustificación"), (2, 2, "esto es una línea de prosa muy larga que no parece un encabezado porque pasa de noventa letras y sigue\nANEXOS"),
 ]
 _ALIASES = [("S01", 1, "titulo"), ("S02", 2, "problema"), ("S02", 2, "formulacion del problema"), ("S03", 3, "objetivos"), ("S03", 3, "objetivo general"), ("S05", 5, "justificacion")]
-_PAGES_SQL = "pages(doc_id, page_no, text) as (values " + ", ".join(f"({d}, {p}, '{t}')" for d, p, t in _PAGES) + ")"
+_PAGES_SQL = "pages(doc_id, page_no, text) as (select doc_id, 1, coalesce(text, '') from documents union all values " + ", ".join(f"({-d}, {p}, '{t}')" for d, p, t in _PAGES) + ")"
 
 
-def _fixture_pages(spark):
-    return spark.createDataFrame(_PAGES, "doc_id int, page_no int, text string")
+def _pages(spark, sf_dir):
+    """Every document as one page, and some pages of a thesis."""
+    own = spark.createDataFrame([(-d, p, t) for d, p, t in _PAGES], "doc_id long, page_no int, text string")
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_no"), "text").unionByName(own)
 
 
 @query(f"""with {_PAGES_SQL}, l as (select doc_id, page_no, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as ls from pages)
 select doc_id, page_no, len(list_filter(ls[1:8], lambda x: regexp_matches(lower(x), '^\\s*([ií]ndice|tabla de contenido|contenido)s?\\b'))) > 0 or len(list_filter(ls, lambda x: regexp_matches(x, '\\.{{2,}}\\s*\\d{{1,4}}\\s*$'))) >= 3 as is_toc from l""")
 def toc_pages(spark, sf_dir):
-    return segment.toc_pages(_fixture_pages(spark))
+    return segment.toc_pages(_pages(spark, sf_dir))
 
 
 @query()
 def heading_candidates(spark, sf_dir):
-    return segment.headings(_fixture_pages(spark)).select("doc_id", "line_idx", "heading", "number", "label")
+    return segment.headings(_pages(spark, sf_dir)).select("doc_id", "line_idx", "heading", "number", "label")
+
+
+_NAMES = ("problema central", "objetivo", "formulacion de problema", "el problema de hoy", "titulo")
+_LOOKED_FOR = ("titulo", "problema", "formulacion de problema", "objetivos", "objetivo general", "justificacion")
 
 
-@query("select s.section_id, a.alias, case when s.n = a.alias then 3 when starts_with(s.n, a.alias) and length(s.n) <= length(a.alias) + 30 then 2 when starts_with(a.alias, s.n) and length(s.n) >= 6 then 2 "
-       "when contains(' ' || s.n || ' ', ' ' || a.alias || ' ') and length(s.n) <= length(a.alias) + 45 then 1 else 0 end as score "
-       "from (values ('x', 'problema central'), ('y', 'objetivo'), ('z', 'formulacion de problema'), ('w', 'el problema de hoy'), ('v', 'titulo')) s(section_id, n), "
-       "(values ('titulo'), ('problema'), ('formulacion de problema'), ('objetivos'), ('objetivo general'), ('justificacion')) a(alias)")
+@query("with s(section_id, n) as (select cast(doc_id as varchar), regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[^a-z ]', '', 'g') from documents union all values " + ", ".join(f"('-{i}', '{n}')" for i, n in enumerate(_NAMES)) + """)
+select s.section_id, a.alias, case when s.n = a.alias then 3 when starts_with(s.n, a.alias) and length(s.n) <= length(a.alias) + 30 then 2 when starts_with(a.alias, s.n) and length(s.n) >= 6 then 2
+  when contains(' ' || s.n || ' ', ' ' || a.alias || ' ') and length(s.n) <= length(a.alias) + 45 then 1 else 0 end as score from s, (values """ + ", ".join(f"('{a}')" for a in _LOOKED_FOR) + ") a(alias)")
 def alias_scores(spark, sf_dir):
-    s = spark.createDataFrame([("x", "problema central"), ("y", "objetivo"), ("z", "formulacion de problema"), ("w", "el problema de hoy"), ("v", "titulo")], "section_id string, n string")
-    a = spark.createDataFrame([(x,) for x in ("titulo", "problema", "formulacion de problema", "objetivos", "objetivo general", "justificacion")], "alias string")
-    return s.crossJoin(F.broadcast(a)).select("section_id", "alias", segment.alias_score(F.col("n"), F.col("alias")).alias("score"))
+    """The first line of every document, and some headings, against aliases."""
+    first = F.regexp_replace(F.lower(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))), "[^a-z ]", "")
+    s = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("section_id"), first.alias("n"))
+    s = s.unionByName(spark.createDataFrame([(f"-{i}", n) for i, n in enumerate(_NAMES)], "section_id string, n string"))
+    return s.select("section_id", "n", F.explode(F.array(*map(F.lit, _LOOKED_FOR))).alias("alias")).select("section_id", "alias", segment.alias_score(F.col("n"), F.col("alias")).alias("score"))
 
 
 @query()
 def segment_documents(spark, sf_dir):
     aliases = spark.createDataFrame(_ALIASES, "section_id string, pos int, alias string")
     sections = spark.createDataFrame([("S01", "Título", 1), ("S02", "Problema", 2), ("S03", "Objetivos", 3), ("S05", "Justificación", 5)], "section_id string, name string, pos int")
-    return segment.index_report(segment.segment(_fixture_pages(spark), aliases, sections))
+    return segment.index_report(segment.segment(_pages(spark, sf_dir), aliases, sections))
 
 
-_CITES = [(1, "garcía", "2020"), (1, "lópez", "2019"), (1, "ramos", "2024"), (2, "díaz", "2021")]
-_REFS = [(1, "garcía", "2020"), (1, "zéniz ramos", "2024"), (1, "torres", "2018"), (2, "díaz", "2020")]
+_CITES = [(-1, "garcía", "2020"), (-1, "lópez", "2019"), (-1, "ramos", "2024"), (-2, "díaz", "2021")]
+_REFS = [(-1, "garcía", "2020"), (-1, "zéniz ramos", "2024"), (-1, "torres", "2018"), (-2, "díaz", "2020")]
 
 
-@query("with c(doc_id, s, y) as (values " + ", ".join(map(str, _CITES)) + "), r(doc_id, s, y) as (values " + ", ".join(map(str, _REFS)) + """)
+@query("with c(doc_id, s, y) as (select doc_id, lang || ' ' || coalesce(source, 'anon'), cast(2000 + n_chars % 20 as varchar) from documents union all values " + ", ".join(map(str, _CITES)) + """),
+r(doc_id, s, y) as (select doc_id, coalesce(source, 'anon'), cast(2000 + (n_chars + doc_id % 2) % 20 as varchar) from documents union all values """ + ", ".join(map(str, _REFS)) + """)
 select doc_id, s as surname, y as year from c where not exists (select 1 from r where r.doc_id = c.doc_id and r.y = c.y and (r.s = c.s or len(list_intersect(list_filter(string_split(r.s, ' '), lambda t: length(t) >= 3), list_filter(string_split(c.s, ' '), lambda t: length(t) >= 3))) > 0))""")
 def citations_unmatched(spark, sf_dir):
-    kind = "doc_id int, surname string, year string"
-    return textstats.unmatched(spark.createDataFrame(_CITES, kind), spark.createDataFrame(_REFS, kind))
+    """A citation and a reference made of each document's columns, and some of a thesis."""
+    d, kind = table(spark, sf_dir, "documents"), "doc_id long, surname string, year string"
+    who, year = F.coalesce("source", F.lit("anon")), lambda n: (2000 + n % 20).cast("string").alias("year")
+    cited = d.select("doc_id", F.concat("lang", F.lit(" "), who).alias("surname"), year(F.col("n_chars")))
+    listed = d.select("doc_id", who.alias("surname"), year(F.col("n_chars") + F.col("doc_id") % 2))
+    return textstats.unmatched(cited.unionByName(spark.createDataFrame(_CITES, kind)), listed.unionByName(spark.createDataFrame(_REFS, kind)))
+
+
+@query()
+def citation_reports(spark, sf_dir):
+    """Citations and references of every whole text."""
+    return textstats.citation_report(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.col("text").alias("full_text")))
 
 
 @query("select core, minor, case when core = 0 then case when minor = 0 then 5 when minor = 1 then 4 else 3 end when core = 1 then case when minor <= 1 then 3 else 2 end when core = 2 then 2 else 1 end as note "

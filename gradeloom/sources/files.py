@@ -27,7 +27,7 @@ def _paragraph(node) -> str:
             continue
         if at.tag == f"{_W}t":
             out.append(at.text or "")
-        elif at.tag in (f"{_W}tab", f"{_W}br"):
+        elif at.tag in (f"{_W}tab", f"{_W}br", f"{_W}cr"):
             out.append("\t" if at.tag.endswith("tab") else "\n")
         stack += reversed(list(at))
     return "".join(out)
@@ -42,9 +42,10 @@ def docx_lines(content: bytes) -> list[str]:
         if node.tag == f"{_W}p":
             out.append(_paragraph(node))
         elif node.tag == f"{_W}tbl":
-            for row in node.iter(f"{_W}tr"):
-                cells = ["\n".join(filter(str.strip, map(_paragraph, c.iter(f"{_W}p")))).strip() for c in row.iter(f"{_W}tc")]
-                out.append(" | ".join(c for c in cells if c))
+            for row in node.findall(f"{_W}tr"):
+                cells = ["\n".join(filter(str.strip, map(_paragraph, c.iter(f"{_W}p")))).strip() for c in row.findall(f"{_W}tc")]
+                if any(cells):
+                    out.append(" | ".join(cells))
     return out
 
 
@@ -95,21 +96,21 @@ def read_jurors(spark: SparkSession, path: str) -> DataFrame:
     return last.select(F.col("proyecto_id").alias("project"), F.col("jurado_id").alias("rater"), "item_id", F.col("puntaje").cast("int").alias("score"))
 
 
-RESULT = "proyecto_id string, rubric_id string, secciones array<struct<id:string,items:array<struct<id:string,nivel_final:string>>>>"
+RESULT = "project_id string, rubric_id string, secciones array<struct<id:string,items:array<struct<id:string,nivel_final:long>>>>"
 
 
 def read_results(spark: SparkSession, path: str, rubric: str | None = None) -> DataFrame:
-    """Final integer levels from result files; of one project the last file by name counts."""
+    """Final levels that are integers, not texts, from result files; of one project the last file by name counts."""
     rows = spark.read.schema(RESULT).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_name"))
     rows = rows if rubric is None else rows.where(F.col("rubric_id") == rubric)
-    last = rows.groupBy("proyecto_id").agg(F.max_by("secciones", "_file").alias("secciones"))
-    items = last.select(F.col("proyecto_id").alias("project"), F.explode("secciones").alias("s")).select("project", F.explode("s.items").alias("i"))
-    return items.where(F.col("i.nivel_final").rlike(r"^\d+$")).select("project", F.col("i.id").alias("item_id"), F.col("i.nivel_final").cast("int").alias("score"))
+    last = rows.groupBy("project_id").agg(F.max_by("secciones", "_file").alias("secciones"))
+    items = last.select(F.col("project_id").alias("project"), F.explode("secciones").alias("s")).select("project", F.explode("s.items").alias("i"))
+    return items.where("i.nivel_final is not null").select("project", F.col("i.id").alias("item_id"), F.col("i.nivel_final").cast("int").alias("score"))
 
 
 def items_csv(scored: DataFrame) -> DataFrame:
-    """Item rows as the CSV has them: votes as k=v|k=v, flags as 0 or 1."""
-    votes = F.array_join(F.transform(F.array_sort(F.map_entries("votes")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "|")
+    """Item rows as the CSV has them: votes as k=v|k=v (None for a missing one), flags as 0 or 1."""
+    votes = F.array_join(F.transform(F.array_sort(F.map_entries("votes")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None")))), "|")
     return scored.withColumn("votes", F.coalesce(votes, F.lit(""))).withColumn("flagged", F.col("flagged").cast("int"))
 
 

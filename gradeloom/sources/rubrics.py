@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 SCHEMA = """id string, nombre string, tipo string, escala map<string,double>,
 secciones array<struct<id:string,nombre:string,puntaje_max:double,aliases:array<string>,
   items:array<struct<id:string,criterio:string,peso:double,parcial:double,referencia:string>>>>,
-niveles array<struct<min:double,max:double,etiqueta:string,accion:string>>,
-conversion array<struct<min:int,max:int,nota:int>>"""
+niveles_calidad array<struct<min:double,max:double,etiqueta:string,accion:string>>,
+conversion_vigesimal array<struct<min:int,max:int,nota:int>>"""
 
 
 def read_rubrics(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +23,8 @@ def rubric_tables(rubrics: DataFrame) -> dict[str, DataFrame]:
     aliases = sections.select("rubric_id", F.col("s.id").alias("section_id"), "pos", F.explode("s.aliases").alias("alias"))
     items = sections.select("rubric_id", "tipo", F.col("s.id").alias("section_id"), F.posexplode("s.items").alias("pos", "i"))
     items = items.select("rubric_id", "section_id", F.col("i.id").alias("item_id"), "pos", F.col("i.criterio").alias("criterion"), F.col("i.peso").alias("weight"), F.when(F.col("tipo") != "dicotomica", F.col("i.parcial")).alias("partial"), F.col("i.referencia").alias("reference"))
-    bands = rubrics.select(F.col("id").alias("rubric_id"), F.posexplode("niveles").alias("pos", "b")).select("rubric_id", "pos", F.col("b.min").alias("min"), F.col("b.max").alias("max"), F.col("b.etiqueta").alias("label"), F.col("b.accion").alias("action"))
-    conversion = rubrics.select(F.col("id").alias("rubric_id"), F.explode("conversion").alias("c")).select("rubric_id", F.col("c.min").alias("min"), F.col("c.max").alias("max"), F.col("c.nota").alias("grade"))
+    bands = rubrics.select(F.col("id").alias("rubric_id"), F.posexplode("niveles_calidad").alias("pos", "b")).select("rubric_id", "pos", F.col("b.min").alias("min"), F.col("b.max").alias("max"), F.col("b.etiqueta").alias("label"), F.col("b.accion").alias("action"))
+    conversion = rubrics.select(F.col("id").alias("rubric_id"), F.explode("conversion_vigesimal").alias("c")).select("rubric_id", F.col("c.min").alias("min"), F.col("c.max").alias("max"), F.col("c.nota").alias("grade"))
     return {"sections": head, "aliases": aliases, "items": items, "bands": bands, "conversion": conversion}
 
 

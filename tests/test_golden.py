@@ -74,7 +74,7 @@ def test_bootstrap_weights_follow_the_seed(spark):
         for _ in names:
             key = (rep, names[draw.randrange(3)])
             want[key] = want.get(key, 0) + 1
-    got = {(r["rep"], r["project"]): r["w"] for r in ag.bootstrap_weights(spark, names, 5, 42).where("w > 0").collect()}
+    got = {(r["rep"], r["project"]): r["w"] for r in ag.bootstrap_weights(spark.createDataFrame([(n,) for n in names], "project string"), 5, 42).collect()}
     assert got == want
 
 
@@ -135,6 +135,62 @@ def test_latest_keeps_ties_and_upsert_the_last(spark):
     assert store.upsert_last(rows, ["project"], "at").count() == 2
 
 
-def test_chunks_keep_long_passages(spark):
-    pages = spark.createDataFrame([("b", 1, "x" * 500 + "\n\n" + "y" * 500 + "\n\n" + "z" * 20)], "book string, page int, text string")
-    assert library.chunks(pages).count() >= 1
+def test_chunks_part_at_lines(spark):
+    def of(text):
+        rows = library.chunks(spark.createDataFrame([("b", 1, text)], "book string, page int, text string")).orderBy("id").collect()
+        return [r.text for r in rows]
+
+    assert of("x" * 500 + "\n\n" + "y" * 500 + "\n" + "z" * 20) == ["x" * 500, "y" * 500 + " " + "z" * 20]
+    assert of("a  b " * 30 + "\n" + "c" * 5) == [("a  b " * 30).strip() + " " + "c" * 5]
+    # The space before a line counts: 450 + 1 + 449 is within 900, one more is not.
+    assert [len(x) for x in of("x" * 450 + "\n" + "y" * 449)] == [900] and [len(x) for x in of("x" * 450 + "\n" + "y" * 450)] == [450, 450]
+    assert of("short") == []
+
+
+def test_one_label_agrees_with_itself(spark):
+    of = lambda a, b: spark.createDataFrame(list(zip(a, b, strict=True)), "a int, b int").agg(ag.qwk(F.col("a"), F.col("b"))).first()[0]
+    assert of([2, 2, 2], [2, 2, 2]) == 1.0 and of([2, 2], [1, 1]) == 0.0
+
+
+def test_lexical_diversity(spark):
+    texts = [["w"] * 60, [f"w{i}" for i in range(60)], [], None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t array<string>").select("i", textstats.mtld(F.col("t")).alias("m")).orderBy("i").collect()
+    assert [r.m for r in rows] == [7.3, 0.0, None, None]
+
+
+def test_sentences_and_bands(spark):
+    text = "El valor es 3.14 en total. Hoy no llueve aquí! ¿Y mañana qué pasa? fin"
+    assert spark.range(1).select(tx.sentences(F.lit(text))).first()[0] == ["El valor es 3.14 en total", "Hoy no llueve aquí", "¿Y mañana qué pasa", "fin"]
+    values = spark.createDataFrame([(float(v),) for v in (130, 90, 89.99, 75, 60, 50, 30, 29.9, -5)] + [(None,)], "v double")
+    assert [r[0] for r in values.select(tx.ease_band(F.col("v"))).collect()] == ["muy fácil", "muy fácil", "fácil", "algo fácil", "normal", "algo difícil", "difícil", "muy difícil", "muy difícil", None]
+    of = lambda words: spark.range(1).select(tx.readability(F.lit("sol " * words))).first()[0]
+    assert of(29) is None and of(30) == round(206.84 - 60 - 1.02 * 30, 2)
+
+
+def test_argument_sentences(spark):
+    text = "1. Planteamiento\nEl sistema mide la\nhumedad del suelo cada día. Según Ramos et al. Esto sigue igual siempre.\n• Una viñeta con cinco palabras\nSolo tres aquí"
+    got = spark.range(1).select(argue.sentences_of(F.lit(text))).first()[0]
+    assert got == ["El sistema mide la humedad del suelo cada día.", "Según Ramos et al. Esto sigue igual siempre.", "Una viñeta con cinco palabras"]
+
+
+def test_a_judge_votes_once(spark):
+    rows = [(1, 1, "S01", "a", None, s, "e", "o", n) for n, s in enumerate((3, 0))] + [(1, 2, "S01", "a", None, 2, "e", "o", 2)]
+    votes = spark.createDataFrame(rows, VOTE + ", n int")
+    assert panel.consolidate(votes, "scale", "n").first()["votes"] == {"juez1": "3", "juez2": "2"}
+    assert panel.consolidate(votes.drop("n"), "scale").first()["votes"] == {"juez1": "0", "juez2": "2"}
+
+
+def test_names_are_found_by_role(spark):
+    first = "AUTORES:\nBach. PÉREZ SOTO, Ana\nLuis de la Cruz Díaz\nuna línea cualquiera\nJuan Torres Vega\nASESOR: Dr. Rosa Lima Paz\nMg. Iván Ríos Mora"
+    second = "CO-ASESORA\nDr. Olga Paz Ruiz\nApellidos y nombres: Vela Rojas, Eva\norcid.org/0000-0001-2345-678X DNI N° 87654321 y 12345678, cel. 987 654 321"
+    later = "Ana Pérez\nSoto citó a LUIS DE LA CRUZ DÍAZ; el 12345678 queda, DNI: 87654321 no"
+    pages = [(1, 1, first), (1, 2, second), (1, 9, later), (2, 1, None)]
+    clean, reports, secret = redact.redact(spark.createDataFrame(pages, "doc_id int, page_no int, text string"))
+    mapping = {r.placeholder: r.original for r in secret.where("doc_id = 1").collect()}
+    assert {k: v for k, v in mapping.items() if "AUTOR" in k} == {"[AUTOR_1]": "PÉREZ SOTO, Ana", "[AUTOR_2]": "Luis de la Cruz Díaz"}
+    assert [mapping[f"[ASESOR_{i}]"] for i in (1, 2, 3, 4)] == ["Rosa Lima Paz", "Iván Ríos Mora", "Olga Paz Ruiz", "Vela Rojas, Eva"]
+    text = {r.page_no: r.text for r in clean.where("doc_id = 1").collect()}
+    assert text[9] == "[AUTOR_1] citó a [AUTOR_2]; el 12345678 queda, [DNI_1] no"
+    assert "[ORCID_1]" in text[2] and "[DNI_1] y [DNI_2], cel. [TELEFONO_1]" in text[2]
+    by_doc = {r.doc_id: r for r in reports.collect()}
+    assert by_doc[1].counts["dni"] == 3 and by_doc[1].warnings == [] and len(by_doc[2].warnings) == 2 and by_doc[2].counts == {}
