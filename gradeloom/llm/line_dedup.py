@@ -14,14 +14,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import batch, bloom
 from gradeloom.llm.common import materialise
 
-#: Lines of fewer code points have no neighbourhood: one edit changes too much of them.
-MIN_CHARS = 16
+#: Lines of fewer code points match only if equal, unless the caller says otherwise: one edit changes too much of them.
+LEAST_CHARS = 16
 HALVES, BLOCKS = 2, 16
 _TABLE = batch.mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
@@ -95,26 +95,37 @@ def _keys_as_arrow(keys: np.ndarray) -> pa.Array:
     return pa.array(list(keys.view(np.int64)), type=pa.list_(pa.int64()))
 
 
-def occurrences(docs: DataFrame, with_text: bool) -> DataFrame:
-    """A row for each line that is not blank: doc_id, line_no, line (128-bit key), halves or text."""
+def row_key() -> Column:
+    """Tells rows of one doc_id apart, the same whenever and however a table is read."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: shuffled at every size, so that plans do not change with it."""
+    return df.hint("merge")
+
+
+def occurrences(docs: DataFrame, with_text: bool, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """A row for each line that is not blank: doc_id, row, line_no, line (128-bit key), halves or text."""
 
     def run(batches):
         for b in batches:
-            for lo, data, offsets in batch.slices(b.column(1)):
+            for lo, data, offsets in batch.slices(b.column(2)):
                 owner, number, start, end, points, texts = _lines(data, offsets)
                 keys = pa.array([xxhash.xxh3_128_digest(t) for t in texts], type=pa.binary())
                 if with_text:
                     extra = pa.array([t.decode() for t in texts], type=pa.string())
                 else:
                     halves = [None] * len(texts)
-                    long = np.flatnonzero(end - start >= MIN_CHARS)
+                    long = np.flatnonzero(end - start >= least_chars)
                     for i, k in zip(long, block_keys(_prefix(points), start[long], end[long], HALVES).view(np.int64), strict=True):
                         halves[i] = k
                     extra = pa.array(halves, type=pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(offsets) - 1).take(pa.array(owner)), pa.array(number), keys, extra], names=["doc_id", "line_no", "line", "extra"])
+                ids = [b.column(i).slice(lo, len(offsets) - 1).take(pa.array(owner)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(number), keys, extra], names=["doc_id", "row", "line_no", "line", "extra"])
 
     kind = "string" if with_text else "array<long>"
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id long, line_no long, line binary, extra {kind}")
+    return docs.where("doc_id is not null").select("doc_id", row_key().alias("row"), "text").mapInArrow(run, f"doc_id long, row long, line_no long, line binary, extra {kind}")
 
 
 def _of_texts(texts: DataFrame, kind: str) -> DataFrame:
@@ -161,92 +172,92 @@ def near_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     one edit, so each is linked with the earliest alone. A line that equals a form of
     another is one code point shorter.
     """
-    forms = materialise(_of_texts(texts, "forms").join(lines.select("line", "at"), "line"), "forms")
+    forms = materialise(_of_texts(texts, "forms").join(_grown(lines.select("line", "at")), "line"), "forms")
     own = forms.where("place = -1").select("key", F.col("line").alias("other"))
     cut = forms.where("place >= 0")
     group = cut.groupBy("key", "place").agg(F.min(F.struct("at", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    swap = cut.join(group, ["key", "place"]).select("line", F.col("first.line").alias("other"))
-    drop = cut.join(own, "key").select("line", "other")
+    swap = cut.join(_grown(group), ["key", "place"]).select("line", F.col("first.line").alias("other"))
+    drop = cut.join(_grown(own), "key").select("line", "other")
     pairs = swap.union(drop).where("line <> other").distinct()
     one, two = texts.select("line", F.col("text").alias("_t")), texts.select(F.col("line").alias("other"), F.col("text").alias("_o"))
-    near = pairs.join(one, "line").join(two, "other").where(F.levenshtein("_t", "_o", 1).between(0, 1)).select("line", "other")
+    near = pairs.join(_grown(one), "line").join(_grown(two), "other").where(F.levenshtein("_t", "_o", 1).between(0, 1)).select("line", "other")
     return near.union(near.select(F.col("other").alias("line"), F.col("line").alias("other")))
 
 
 def _likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ``keys``, by a Bloom filter, and few others."""
-    slots = bloom.slots_for(keys.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
+    slots = bloom.slots_for(keys.count(), bits_per_row=16, functions=2, max_bits=1 << 31)
     return bloom.flag(rows, F.col(key), bloom.bitmaps(keys, key, slots, 2), slots, 2, "_maybe").where("_maybe").drop("_maybe")
 
 
 def _holding(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ``keys``; a Bloom filter goes first, so that few others shuffle."""
-    return _likely(rows, keys, key).join(keys.select(key), key, "left_semi")
+    return _likely(rows, keys, key).join(_grown(keys.select(key)), key, "left_semi")
 
 
-def line_keepers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All occurrences (doc_id, line_no, line), and (line, keep, links) of lines that repeat.
+def line_keepers(docs: DataFrame, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
+    """All occurrences (doc_id, row, line_no, line), and (line, at, keep) of lines that repeat or have a like one.
 
-    keep is the place (doc_id, line_no) of the earliest line equal to this one or within one
-    edit of it; links is the number of different lines that were linked to it.
+    at is the earliest place (doc_id, row, line_no) of the line, keep the earliest of lines equal
+    to it or within one edit of it.
     """
-    found = materialise(occurrences(docs, False), "lines")
-    at = F.struct("doc_id", "line_no")
+    found = materialise(occurrences(docs, False, least_chars), "lines")
+    at = F.struct("doc_id", "row", "line_no")
     distinct = materialise(found.groupBy("line").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.min("extra").alias("halves")), "distinct")
     halves = distinct.where("halves is not null").select("line", F.explode(F.array_distinct("halves")).alias("key"))
     shared = materialise(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     maybe = materialise(_holding(halves, shared, "key").select("line").distinct(), "maybe")
-    slots = bloom.slots_for(maybe.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
+    slots = bloom.slots_for(maybe.count(), bits_per_row=16, functions=2, max_bits=1 << 31)
     filters = bloom.bitmaps(maybe, "line", slots, 2)
     texts = bloom.flag(occurrences(docs, True).withColumnRenamed("extra", "text"), F.col("line"), filters, slots, 2, "_maybe").where("_maybe").drop("_maybe")
-    first = maybe.join(distinct.select("line", "at.doc_id", "at.line_no"), "line")
-    texts = materialise(texts.join(first, ["line", "doc_id", "line_no"], "left_semi").select("line", "text").dropDuplicates(["line"]), "texts")
+    first = _grown(maybe).join(distinct.select("line", "at.doc_id", "at.row", "at.line_no"), "line")
+    texts = materialise(texts.join(_grown(first), ["line", "doc_id", "row", "line_no"], "left_semi").select("line", "text").dropDuplicates(["line"]), "texts")
     blocks = materialise(_of_texts(texts, "blocks"), "blocks")
     close = materialise(blocks.groupBy("key").agg(F.count_distinct("line").alias("n")).where("n > 1").select("key"), "close")
     met = _holding(blocks, close, "key").groupBy("line").agg(F.collect_set("place").alias("places"))
-    survivors = materialise(texts.join(met, "line"), "survivors")
+    survivors = materialise(texts.join(_grown(met), "line"), "survivors")
     links = materialise(near_links(distinct.select("line", "at"), survivors).distinct(), "links")
-    other = distinct.select(F.col("line").alias("other"), F.col("at").alias("other_at"))
-    best = links.join(other, "other").groupBy("line").agg(F.min("other_at").alias("near"), F.count("*").alias("links"))
-    keep = distinct.join(best, "line", "left").where("copies > 1 or links is not null")
-    keep = keep.select("line", F.least("at", F.coalesce("near", "at")).alias("keep"), F.coalesce("links", F.lit(0)).alias("links"))
-    return found.select("doc_id", "line_no", "line"), materialise(keep, "keep")
+    best = links.join(_grown(distinct.select(F.col("line").alias("other"), F.col("at").alias("near"))), "other").groupBy("line").agg(F.min("near").alias("near"))
+    keep = distinct.join(_grown(best), "line", "left").where("copies > 1 or near is not null")
+    return found.drop("extra"), materialise(keep.select("line", "at", F.least("at", F.coalesce("near", "at")).alias("keep")), "keep")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs`` with repeated lines taken out of text, plus n_lines, n_dropped, n_links.
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """All rows of ``docs`` with repeated lines taken out of text, plus n_lines, n_dropped, n_near.
 
     Lines are parted by newlines. Of lines that are equal, or within one edit (insertion,
-    deletion or substitution of a code point) and both of at least 16 code points, the
-    earliest by doc_id and line stays; a line goes if an earlier one is that near. Blank
-    lines stay. n_links counts, over the document's lines, links to different lines. Texts
-    without a dropped line, null ones among them, are unchanged; a null or empty text has no
-    lines. Rows without doc_id are returned as they are; rows of one doc_id are taken for one
-    document. Columns of ``docs`` with the added names are replaced.
+    deletion or substitution of a code point) and both of at least ``least_chars`` code points,
+    the earliest by doc_id and line stays (rows of one doc_id with different texts are told apart
+    by a hash of the text); a line goes if an earlier one is that near. Blank lines stay. n_near
+    counts the lines that went though no earlier line equals them. Texts without a dropped line,
+    null ones among them, are unchanged; a null or empty text has no lines. Rows without doc_id
+    are returned as they are. Rows that are equal in doc_id and text count as one and
+    have one result. Columns of ``docs`` with the added names are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped", "n_links")
-    places, keep = line_keepers(docs)
+    docs = docs.drop("n_lines", "n_dropped", "n_near")
+    places, keep = line_keepers(docs, least_chars)
+    place = F.struct("doc_id", "row", "line_no")
     # A common line's places meet its one row of keep in a single join, which Spark can split.
-    hit = _likely(places, keep, "line").join(keep, "line").select("doc_id", "line_no", "links", (F.struct("doc_id", "line_no") != F.col("keep")).alias("gone"))
-    changes = hit.groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.col("line_no"))).alias("_gone"), F.sum("links").alias("_links"))
-    changes = materialise(changes.where("size(_gone) > 0 or _links > 0"), "changes")
-    slots = bloom.slots_for(changes.count(), bits_per_row=16, functions=2, max_bits=1 << 28)
-    filters = bloom.bitmaps(changes, "doc_id", slots, 2)
+    hit = _likely(places, keep, "line").join(_grown(keep), "line").where(place != F.col("keep"))
+    changes = hit.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("_gone"), F.count_if(place == F.col("at")).alias("_near"))
+    changes = materialise(changes.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone", "_near"), "changes")
+    slots = bloom.slots_for(changes.count(), bits_per_row=16, functions=2, max_bits=1 << 31)
+    filters = bloom.bitmaps(changes, "_row", slots, 2)
     lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    marked = bloom.flag(docs.withColumn("n_lines", lines), F.coalesce("doc_id", F.lit(-1)), filters, slots, 2, "_maybe")
+    marked = bloom.flag(docs.withColumns({"n_lines": lines, "_key": row_key()}), F.col("_key"), filters, slots, 2, "_maybe")
     zero = F.lit(0).cast("long")
-    same = marked.where("not _maybe").drop("_maybe").withColumns({"n_dropped": zero, "n_links": zero})
-    joined = marked.where("_maybe").drop("_maybe").join(changes.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    same = marked.where("not _maybe").drop("_maybe", "_key").withColumns({"n_dropped": zero, "n_near": zero})
+    joined = marked.where("_maybe").join(_grown(changes), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
     gone = F.transform("_gone", lambda x: x.cast("int"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_g", i)), "\n")
     joined = joined.withColumn("_g", gone).withColumn("text", F.when(F.size("_g") > 0, kept).otherwise(F.col("text")))
-    joined = joined.withColumns({"n_dropped": F.when(F.col("_id").isNull(), zero).otherwise(F.size("_g").cast("long")), "n_links": F.coalesce("_links", zero)})
+    joined = joined.withColumns({"n_dropped": F.coalesce(F.size("_g"), F.lit(0)).cast("long"), "n_near": F.coalesce("_near", zero)})
     return same.unionByName(joined.select(*same.columns))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "n_near", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP1_SQL = """
@@ -259,9 +270,9 @@ p as materialized (select a.line, min(b.at) as near from (select *, length(line)
   and (left(a.line, (greatest(a.n, b.n) // 2)::int) = left(b.line, (greatest(a.n, b.n) // 2)::int)
     or right(a.line, (greatest(a.n, b.n) - greatest(a.n, b.n) // 2)::int) = right(b.line, (greatest(a.n, b.n) - greatest(a.n, b.n) // 2)::int))
   where levenshtein(a.line, b.line) <= 1 group by a.line),
-k as (select l.doc_id, l.line_no, l.line, coalesce((l.doc_id, l.line_no) = least(d.at, coalesce(p.near, d.at)), true) as stays
+k as (select l.doc_id, l.line_no, l.line, coalesce((l.doc_id, l.line_no) = least(d.at, coalesce(p.near, d.at)), true) as stays, (l.doc_id, l.line_no) = d.at as first
   from l left join d using (line) left join p using (line)),
-g as (select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_dropped, coalesce(string_agg(line, chr(10) order by line_no) filter (stays), '') as kept from k group by doc_id)
-select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, length(coalesce(kept, '')) as kept_chars, sha256(coalesce(kept, '')) as kept_sha256
+g as (select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_dropped, count(*) filter (not stays and first) as n_near, coalesce(string_agg(line, chr(10) order by line_no) filter (stays), '') as kept from k group by doc_id)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, coalesce(n_near, 0) as n_near, length(coalesce(kept, '')) as kept_chars, sha256(coalesce(kept, '')) as kept_sha256
 from documents left join g using (doc_id)
 """

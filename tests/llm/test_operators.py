@@ -122,27 +122,45 @@ def edit_within_one(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def lines_brute(texts):
+def lines_brute(texts, least=16):
     seen, out = [], []
     for t in texts:
-        kept = []
+        kept, near_only = [], 0
         for line in (t or "").split("\n"):
-            near = [s for s in seen if s == line or (len(s) >= 16 and len(line) >= 16 and edit_within_one(s, line))]
+            near = [s for s in seen if s == line or (len(s) >= least and len(line) >= least and edit_within_one(s, line))]
+            gone = bool(near and line.strip())
+            near_only += gone and line not in near
             if line.strip():
                 seen.append(line)
-            if not near or not line.strip():
+            if not gone:
                 kept.append(line)
-        out.append("\n".join(kept))
+        out.append(("\n".join(kept), near_only))
     return out
 
 
-def test_line_dedup(spark, empty):
-    texts = TEXTS[:12] + ["a line that is lng enough\nfresh words on this line her", "😀" * 20, "😀" * 19 + "x\n" + "😀" * 19, "shorT\nshort"]
-    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert [r.text or "" for r in got.orderBy("doc_id").collect()] == lines_brute(texts)
+LINES = ["a line that is lng enough\nfresh words on this line her", "😀" * 20, "😀" * 19 + "x\n" + "😀" * 19, "shorT\nshort", "ab\nb\nabc\nac\nxyz"]
+
+
+@pytest.mark.parametrize("least", [16, 1])
+def test_line_dedup(spark, empty, least):
+    texts = TEXTS + LINES
+    rows = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, row string, n_lines string")
+    got = line_dedup.dedup_lines(rows, least)
+    assert [(r.text or "", r.n_near) for r in got.orderBy("doc_id").collect()] == lines_brute(texts, least)
+    assert got.columns == ["doc_id", "text", "row", "n_lines", "n_dropped", "n_near"]
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    texts = [(5, "one line that both of them have\nprecious second line"), (5, "one line that both of them have\nother unique line here"), (5, "one line that both of them have\nother unique line here"), (None, "one line that both of them have")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    said = [r.text for r in got]
+    assert len(got) == 4 and sum("precious second line" in t for t in said) == 1 and sum("other unique line here" in t for t in said) == 2
+    assert [r.text for r in got if r.doc_id is None] == ["one line that both of them have"]
+    lines = [x for r in {(r.doc_id, r.text) for r in got if r.doc_id} for x in r[1].split("\n")]
+    assert lines.count("one line that both of them have") == 1
+
+
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<\\s> <\\\\|im_end|>\n<|im_end|>", "", "[\\INST] <|im_start|>user\n"])
 def test_control_strings_round_trip(text):
     turns = [("user", text), ("assistant", text), ("we%ird\nrole", text)]
