@@ -9,13 +9,16 @@ agree in a sample with the probability of their generalised Jaccard similarity.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import exp, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import SPACE, materialise
 
 #: Samples of a fingerprint: as many groups, each worked out by one row of a term.
-GROUPS, PER_GROUP = 16, 8
+GROUPS, PER_GROUP = 8, 16
 SAMPLES = GROUPS * PER_GROUP
 #: Bits of a packed sample that hold its hash; the other bits order the keys.
 TAG_BITS = 24
@@ -26,15 +29,38 @@ def _uniform(bits: Column, width: int) -> Column:
     return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * F.lit(2.0**-width)
 
 
+@lru_cache
+def _gamma_steps(cells: int = 256) -> list[float]:
+    """Quantiles of Gamma(2, 1) in the middle of equal cells, in units of ln 2."""
+    out = []
+    for i in range(cells):
+        low, high, at = 0.0, 64.0, (i + 0.5) / cells
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if 1 - (1 + mid) * exp(-mid) < at else (low, mid)
+        out.append(low / log(2))
+    return out
+
+
 def sample_key(term: Column, log_weight: Column, sample: Column) -> Column:
-    """A long whose minimum over the terms is the sample: the key, then a tag of (term, t)."""
-    one, two = F.xxhash64(term, sample), F.xxhash64(sample, term)
-    r = -F.ln(_uniform(one, 32) * _uniform(F.shiftrightunsigned(one, 32), 32))
-    log_c = F.ln(-F.ln(_uniform(two, 21) * _uniform(F.shiftrightunsigned(two, 21), 21)))
-    b = _uniform(F.shiftrightunsigned(two, 42), 22)
-    t = F.floor(log_weight / r + b)
-    level = ((log_c - r * (t - b + F.lit(1.0)) + F.lit(256.0)) * F.lit(2.0**29)).cast("long")
-    return F.shiftleft(level, TAG_BITS) + (one + t * F.lit(7919)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    """A long whose minimum over the terms is the sample: c * exp(-r * (t - b + 1)), then a tag of (term, t).
+
+    One hash gives b (16 bits), r (one of 256 quantiles) and c (40 bits; its quantile as a series in
+    the square root). ``log_weight`` is to base 2, as r is, so that the power is a shift and a
+    factor between 1 and a half: logarithms would take most of the time.
+    """
+    h = F.xxhash64(term, sample)
+    b = _uniform(h, 16)
+    r = F.get(F.split(F.lit(",".join(map(str, _gamma_steps()))), ",").cast("array<double>"), F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(255)).cast("int"))
+    y = F.sqrt((F.shiftrightunsigned(h, 24).cast("double") + 0.5) * F.lit(2.0**-39))
+    c = y * (F.lit(1.0) + y * (F.lit(1 / 3) + y * F.lit(7 / 72)))
+    t = F.when(log_weight == 0.0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
+    power = r * (t - b + F.lit(1.0))
+    whole = F.floor(power)
+    rest = power - whole
+    part = F.lit(1.0) - rest * (F.lit(0.6565) - rest * F.lit(0.1565))
+    level = F.call_function("shiftright", (c * part * F.lit(2.0**37)).cast("long"), F.least(whole, F.lit(62)).cast("int"))
+    return F.shiftleft(level, TAG_BITS) + (h + t * F.lit(7919)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
 
 
 def with_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -52,7 +78,7 @@ def sketches(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     Counting and sampling group by ``keys`` and the term, so a table that is partitioned by
     some of the keys already is not shuffled again.
     """
-    weighted = with_terms(texts, keys, text).groupBy(*keys, "term").agg(F.ln(F.count("*").cast("double")).alias("w"))
+    weighted = with_terms(texts, keys, text).groupBy(*keys, "term").agg(F.log2(F.count("*").cast("double")).alias("w"))
     rows = weighted.select(*keys, "term", "w", F.explode(F.array(*[F.lit(PER_GROUP * g) for g in range(GROUPS)])).alias("first"))
     mins = [F.min(sample_key(F.col("term"), F.col("w"), F.col("first") + F.lit(i))).alias(f"s{i}") for i in range(PER_GROUP)]
     return rows.groupBy(*keys, "first").agg(*mins)
