@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def qwk_from_sums(n: Column, a: Column, b: Column, aa: Column, bb: Column, ab: Column) -> Column:
-    """Quadratic weighted kappa from n, sums, sums of squares and of products; 1 where all labels are one."""
-    return F.coalesce(1 - F.try_divide(aa + bb - 2 * ab, aa + bb - F.try_divide(2 * a * b, n)), F.lit(1.0))
+def qwk_from_sums(n: Column, a: Column, b: Column, aa: Column, bb: Column, ab: Column, fixed_labels: bool = False) -> Column:
+    """Quadratic weighted kappa from n, sums, sums of squares and of products.
+
+    Where all labels are one it is 1, or null if the labels are a fixed scale.
+    """
+    kappa = 1 - F.try_divide(aa + bb - 2 * ab, aa + bb - F.try_divide(2 * a * b, n))
+    return kappa if fixed_labels else F.coalesce(kappa, F.lit(1.0))
 
 
-def qwk(a: Column, b: Column) -> Column:
+def qwk(a: Column, b: Column, fixed_labels: bool = False) -> Column:
     """Aggregate: quadratic weighted kappa of two columns of contiguous labels."""
     a, b = a.cast("double"), b.cast("double")
-    return qwk_from_sums(F.count("*").cast("double"), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b))
+    return qwk_from_sums(F.count("*").cast("double"), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b), fixed_labels)
 
 
 def exact(a: Column, b: Column) -> Column:
@@ -137,10 +141,10 @@ def project_sums(pairs: DataFrame, by: list[str], project: str) -> DataFrame:
 
 
 def bootstrap_qwk(sums: DataFrame, weights: DataFrame, by: list[str], confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of the kappa over resampled projects; replicates without a rated item are left out."""
+    """Percentile interval of the kappa on a fixed scale over resampled projects; undefined replicates are left out."""
     w = F.col("w")
     each = sums.join(weights, "project").groupBy(*by, "rep").agg(*[F.sum(w * F.col(c)).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    each = each.withColumn("q", qwk_from_sums(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])).where("n > 0")
+    each = each.withColumn("q", qwk_from_sums(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")], fixed_labels=True)).where("q is not null")
     tail = (1 - confidence) / 2
     return each.groupBy(*by).agg(F.percentile("q", tail).alias("low"), F.percentile("q", 1 - tail).alias("high"), F.count("*").alias("replicates"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import small
+
 
 def chunks(pages: DataFrame, size: int = 900, least: int = 120) -> DataFrame:
     """Lines of a page gathered up to ``size`` characters; pieces of ``least`` and fewer go.
@@ -45,10 +47,10 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, passages: DataFrame, k: int = 2) -> DataFrame:
     """The k nearest passages (passage_id, vector) of each query (query_id, vector), exactly.
 
-    Queries are a rubric's sections, some dozens, and are broadcast; each task keeps k
-    a query before anything is shuffled, so passages are scanned once and never moved.
+    Queries are a rubric's sections, some dozens. Where their number is small they are
+    broadcast, and each task keeps k a query before anything is shuffled.
     """
-    scored = passages.select("passage_id", F.col("vector").alias("_v")).crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))
+    scored = passages.select("passage_id", F.col("vector").alias("_v")).crossJoin(small(queries.select("query_id", F.col("vector").alias("_q"))))
     scored = scored.select("query_id", "passage_id", cosine(F.col("_q"), F.col("_v")).alias("similarity"))
     order = [F.col("similarity").desc(), F.col("passage_id")]
     local = scored.withColumn("_part", F.pmod(F.xxhash64("passage_id"), F.lit(64)))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import small
+
 KINDS = ("weighted", "scale", "dichotomous")
 #: Texts that stand for missing work.
 MISSING_SECTION = "Sección no encontrada en el proyecto."
@@ -216,7 +218,7 @@ def cost_rollup(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 def call_plan(status: DataFrame, judges: DataFrame) -> DataFrame:
     """(eval_id, judge, section_id) to ask: open sections only. judges is the panel, a few rows."""
-    return status.where("state = 'open'").select("eval_id", "section_id").crossJoin(F.broadcast(judges.select("judge", "model", "role")))
+    return status.where("state = 'open'").select("eval_id", "section_id").crossJoin(small(judges.select("judge", "model", "role")))
 
 
 def prefix_within_budget(requests: DataFrame, limit: int, keys: list[str], order: list[str], size: str = "tokens") -> DataFrame:

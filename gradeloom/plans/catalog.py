@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as tx
 from gradeloom.operators import agreement as ag
-from gradeloom.operators import argue, library, panel, redact, segment, store, textstats
+from gradeloom.operators import argue, library, panel, redact, segment, store, textstats, validation
 from gradeloom.plans.inputs import BANDS_SQL, ITEMS_SQL, PAIRS_SQL, VOTES_SQL, bands, items, table, votes
 from gradeloom.streaming import progress
 
@@ -264,8 +264,8 @@ def _projects(spark, sf_dir):
   from pairs join documents d using (doc_id) group by 1, 2, 3),
 p as (select source, row_number() over (order by source) as k from (select distinct source from s)),
 w as (select rep, source, (rep * 7 + k * 13 + (rep * k) % 11) % 4 as w from range(0, {_REPS}) r(rep), p),
-e as (select ja, jb, rep, sum(w * n) as n, coalesce(1 - (sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sab)) / nullif(sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sa) * sum(w * sb) / nullif(sum(w * n), 0), 0), 1.0) as q from s join w using (source) group by 1, 2, 3)
-select ja as judge_a, jb as judge_b, round(quantile_cont(q, 0.025), 6) as low, round(quantile_cont(q, 0.975), 6) as high, count(q) as replicates from e where n > 0 group by 1, 2""")
+e as (select ja, jb, rep, 1 - (sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sab)) / nullif(sum(w * saa) + sum(w * sbb) - 2.0 * sum(w * sa) * sum(w * sb) / nullif(sum(w * n), 0), 0) as q from s join w using (source) group by 1, 2, 3)
+select ja as judge_a, jb as judge_b, round(quantile_cont(q, 0.025), 6) as low, round(quantile_cont(q, 0.975), 6) as high, count(q) as replicates from e where q is not null group by 1, 2""")
 def bootstrap_interval(spark, sf_dir):
     """Percentile interval of each pair's kappa over resampled sources, with weights that SQL can compute."""
     sums = _projects(spark, sf_dir)
@@ -283,6 +283,46 @@ def bootstrap_seeded(spark, sf_dir):
     return ag.bootstrap_qwk(sums, ag.bootstrap_weights(sums.select("project"), _REPS), ["rater_a", "rater_b"])
 
 
+def _study(spark, sf_dir):
+    """Judge 1 as the system, the others as jurors."""
+    v = votes(spark, sf_dir).where("score is not null").select(F.col("doc_id").alias("project"), "item_id", F.col("judge").cast("string").alias("rater"), "score")
+    return v.where("rater = '1'").drop("rater"), v.where("rater <> '1'")
+
+
+_FIXED_QWK = "1 - sum((a - b) * (a - b)) / nullif(sum(a * a) + sum(b * b) - 2.0 * sum(a) * sum(b) / count(*), 0)"
+_STUDY_SQL = VOTES_SQL + """, v as (select doc_id, item, judge, score from votes where score is not null),
+j as (select doc_id, item, quantile_disc(score, 0.5) as b from v where judge <> 1 group by 1, 2), i as (select v.score as a, j.b from v join j using (doc_id, item) where judge = 1),
+jt as (select doc_id, median(t) as b from (select doc_id, judge, sum(score) as t from v where judge <> 1 group by 1, 2) group by 1), t as (select x.a, jt.b from (select doc_id, sum(score) as a from v where judge = 1 group by 1) x join jt using (doc_id))"""
+
+
+@query(f"with {VOTES_SQL} select cast(y.judge as varchar) as rater, count(*) as n_items, round({_FIXED_QWK}, 6) as qwk, round(avg((a = b)::int), 6) as exact, round(avg((abs(a - b) <= 1)::int), 6) as adjacent "
+       "from (select doc_id, item, score as a from votes where judge = 1 and score is not null) x join (select doc_id, item, judge, score as b from votes where judge <> 1 and score is not null) y using (doc_id, item) group by 1")
+def validation_by_juror(spark, sf_dir):
+    return validation.against_jurors(*_study(spark, sf_dir)).select("rater", "n_items", *[F.round(c, 6).alias(c) for c in ("qwk", "exact", "adjacent")])
+
+
+@query(f"with {_STUDY_SQL}, r as (select count(*) as n_items, round({_FIXED_QWK}, 6) as qwk_items, round(avg((a = b)::int), 6) as exact, round(avg((abs(a - b) <= 1)::int), 6) as adjacent from i) "
+       "select r.*, n_projects, mae_totals, pearson from r, (select count(*) as n_projects, round(avg(abs(a - b)), 6) as mae_totals, round(corr(a, b), 6) as pearson from t)")
+def validation_by_median(spark, sf_dir):
+    rounded = ("qwk_items", "exact", "adjacent", "mae_totals", "pearson")
+    return validation.against_median(*_study(spark, sf_dir)).select("n_items", "n_projects", *[F.round(c, 6).alias(c) for c in rounded])
+
+
+@query(f"with {VOTES_SQL}, p as (select a.judge as ja, b.judge as jb, a.score as a, b.score as b from votes a join votes b on a.doc_id = b.doc_id and a.item = b.item and a.judge < b.judge where a.score is not null and b.score is not null) "
+       f"select cast(ja as varchar) as judge_a, cast(jb as varchar) as judge_b, count(*) as n, round({_QWK}, 6) as qwk from p group by 1, 2")
+def panel_internal(spark, sf_dir):
+    v = votes(spark, sf_dir).select(F.col("doc_id").alias("project"), "item_id", F.col("judge").cast("string").alias("judge"), F.col("score").cast("string").alias("level"))
+    return validation.panel_agreement(v).withColumn("qwk", F.round("qwk", 6))
+
+
+@query()
+def validation_report(spark, sf_dir):
+    system, jurors = _study(spark, sf_dir)
+    v = votes(spark, sf_dir).select(F.col("doc_id").alias("project"), "item_id", F.col("judge").cast("string").alias("judge"), F.col("score").cast("string").alias("level"))
+    # Projects are all documents here, so a few replicates stand for the study's 2000.
+    return validation.report(system, jurors, v, ag.bootstrap_weights(system.select("project"), 20))
+
+
 @query(f"""with {VOTES_SQL} select a.judge as run_a, b.judge as run_b, count(*) as n, round(1 - sum((a.score - b.score) * (a.score - b.score)) / nullif(sum(a.score * a.score) + sum(b.score * b.score) - 2.0 * sum(a.score) * sum(b.score) / count(*), 0), 6) as qwk,
   round(100 * avg((a.score = b.score)::int), 2) as identical_pct from votes a join votes b on a.doc_id = b.doc_id and a.item = b.item and a.judge < b.judge where a.score is not null and b.score is not null group by 1, 2""")
 def retest_runs(spark, sf_dir):

@@ -121,6 +121,34 @@ def consolidated(totals: DataFrame, sections: DataFrame, section_ids: list[str])
     return totals.join(wide, "eval_id", "left")
 
 
+#: Columns of the consolidated table, and where they come from.
+METRICS = {
+    "fernandez_huerta": "ease", "szigriszt_pazos": "perspicuity", "ttr": "ttr", "mtld": "mtld", "palabras_totales": "words",
+    "longitud_media_oracion": "mean_sentence_words", "citas_en_texto": "n_citations", "referencias_en_lista": "n_references",
+    "n_citas_sin_referencia": "n_unreferenced", "n_referencias_nunca_citadas": "n_uncited", "secciones_presentes": "sections_present",
+}
+PANEL = {"pct_discrepancia": "disagreement_pct", "n_items_discrepantes": "n_flagged", "panel_incompleto": "incomplete"}
+COHERENCE = {"coherencia_global": "note", "contradicciones_nucleo": "core", "contradicciones_menores": "minor"}
+DIMENSIONS = ("coherencia_interna", "formalidad_registro", "claridad_tono")
+
+
+def consolidated_row(base: DataFrame, dimensions: DataFrame, metrics: DataFrame, panel: DataFrame, argument: DataFrame, coherence: DataFrame, argued: tuple[str, ...] = ("S02", "S05")) -> DataFrame:
+    """One row a document: ``base`` (see consolidated) with the columns of all analyses; null where one was not run.
+
+    dimensions: eval_id, dimension, median; argument: eval_id, section_id, index, level; the
+    others have a row for each eval_id, with the columns that the tables above name.
+    """
+    voices = dimensions.groupBy("eval_id").pivot("dimension", list(DIMENSIONS)).agg(F.first("median")).withColumnsRenamed({d: f"trans_{d}" for d in DIMENSIONS})
+    pick = lambda table, names: table.select("eval_id", *[F.col(c).alias(n) for n, c in names.items()])
+    of = lambda c, s: F.max(F.when(F.col("section_id") == s, F.col(c)))
+    each = [x for s in argued for x in (of("index", s).alias(f"toulmin_indice_{s}"), of("level", s).alias(f"toulmin_nivel_{s}"))]
+    argued_ = argument.groupBy("eval_id").agg(F.round(F.avg("index"), 3).alias("toulmin_indice_proyecto"), *each)
+    sides = (voices, pick(metrics, METRICS), pick(panel, PANEL).withColumn("panel_incompleto", F.col("panel_incompleto").cast("int")), argued_, pick(coherence, COHERENCE))
+    for side in sides:
+        base = base.join(side, "eval_id", "left")
+    return base.withColumn("panel_incompleto", F.coalesce("panel_incompleto", F.lit(0)))
+
+
 def union_rows(frames: list[DataFrame]) -> DataFrame:
     """Rows of tables with different columns, in the order the columns first appear."""
     out = frames[0]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradeloom.functions.text import fold_accents
+
 SCHEMA = """id string, nombre string, tipo string, escala map<string,double>,
 secciones array<struct<id:string,nombre:string,puntaje_max:double,aliases:array<string>,
   items:array<struct<id:string,criterio:string,peso:double,parcial:double,referencia:string>>>>,
@@ -28,34 +30,102 @@ def rubric_tables(rubrics: DataFrame) -> dict[str, DataFrame]:
     return {"sections": head, "aliases": aliases, "items": items, "bands": bands, "conversion": conversion}
 
 
+#: How the Markdown sources of rubrics are written.
+HEADING = r"^\*\*(\d{1,2})\\?\.\s*(.+?)\s*\\?\[M[áa]ximo:\s*(\d+)\s*pts?\\?\.?\]\*\*\s*$"
+REFERENCE = r"^_Referencia:\s*(.+?)_\s*$"
+ITEM = r"^\d{1,2}\.\d{1,2}$"
+SUBTOTAL = r"\*\*(\d+(?:\.\d+)?)\*\*"
+BANDS_TITLE = "ESCALA DE INTERPRETACI"
+RANGE, BELOW = r"^(\d+)\s*-\s*(\d+)$", r"(?i)^(?:Menor\s+a|<)\s*(\d+)$"
+BLOCK, BLOCK_ITEM = r"^##\s+(.+?)\s*$", r"^0*(\d{1,2})$"
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, text) of one file, in order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "text"))
+    """(source, line_no, text): trimmed lines of each file, in order."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), "value")
+    return whole.select("source", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "text")).withColumn("text", F.trim("text"))
+
+
+def _unescaped(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\\([\\.\[\]()\-_*])", "$1"))
+
+
+def _cells(lines: DataFrame) -> DataFrame:
+    """Table rows with their cells."""
+    cells = F.transform(F.split(F.regexp_replace("text", r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    return lines.where(F.startswith("text", F.lit("|"))).withColumn("cells", cells)
+
+
+def _since(lines: DataFrame, found: Column, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Add the last value of ``found`` up to each line of its source."""
+    return lines.withColumn(name, F.last(found, ignorenulls=True).over(Window.partitionBy("source", *within).orderBy("line_no")))
+
+
+def _condensed(reference: Column) -> Column:
+    """The book by its short name, then those parts that name a chapter or pages."""
+    parts = F.transform(F.split(F.regexp_replace(reference, r"Hern[áa]ndez-Sampieri\s*\(2018\),?", "HS2018"), ";"), lambda p: F.trim(p))
+    useful = F.filter(parts, lambda p, i: (i == 0) | p.contains("Cap.") | p.contains("pp."))
+    return F.trim(F.replace(F.array_join(useful, "; "), F.lit("HS2018 ,"), F.lit("HS2018")))
 
 
-def parse_markdown(lines: DataFrame, section: str = r"^#{2,3}\s*(?:\d+[.)]\s*)?(.+?)\s*\((\d+(?:\.\d+)?)\s*(?:puntos|pts)\)", row: str = r"^\|\s*(\d+(?:\.\d+)*)\s*\|\s*(.+?)\s*\|\s*(\d+(?:[.,]\d+)?)\s*(?:\|\s*(\d+(?:[.,]\d+)?)?\s*)?\|") -> tuple[DataFrame, DataFrame]:
-    """Sections (name, max, pos) and items (item_id, criterion, weight, partial) of headed tables.
+def parse_rubric(lines: DataFrame, three_levels: bool) -> dict[str, DataFrame]:
+    """sections, items and warnings of rubrics whose sections are headed by number, name and maximum.
 
-    A row belongs to the last heading above it. One file is a few hundred lines, so the
-    window over it is one partition by nature. The source is read as it is, never mended.
+    lines: source, line_no, text. Rows of items have a weight and, with three levels, a partial
+    value two cells on. What the source says is never mended; what does not fit is a warning.
     """
-    order = Window.orderBy("line_no")
-    marked = lines.withColumns({"_name": F.regexp_extract("text", section, 1), "_max": F.regexp_extract("text", section, 2)})
-    marked = marked.withColumn("_head", F.when(F.col("_name") != "", F.struct(F.col("line_no").alias("at"), F.col("_name").alias("name"), F.col("_max").cast("double").alias("max"))))
-    marked = marked.withColumn("_in", F.last("_head", ignorenulls=True).over(order))
-    heads = marked.where("_head is not null").select("_head.*").withColumn("pos", F.row_number().over(Window.orderBy("at")) - 1)
-    number = lambda g: F.replace(F.regexp_extract("text", row, g), F.lit(","), F.lit(".")).try_cast("double")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("text", row, 2), r"\\([^\w\s])", "$1"), r"\*\*", ""))
-    items = marked.where(F.col("text").rlike(row) & F.col("_in").isNotNull()).select(F.col("_in.at").alias("at"), "line_no", F.regexp_extract("text", row, 1).alias("item_id"), plain.alias("criterion"), number(3).alias("weight"), number(4).alias("partial"))
-    return heads, items
-
-
-def parse_bands(lines: DataFrame, row: str = r"^\|\s*(\d+(?:[.,]\d+)?)\s*(?:[-–a]|\+|y más)?[^|]*\|\s*([^|]+?)\s*\|\s*([^|]*?)\s*\|") -> DataFrame:
-    """Bands (min, max, label, action): a band ends a hundredth below the next higher one."""
-    rows = lines.where(F.col("text").rlike(row)).select(F.replace(F.regexp_extract("text", row, 1), F.lit(","), F.lit(".")).cast("double").alias("min"), F.regexp_extract("text", row, 2).alias("label"), F.regexp_extract("text", row, 3).alias("action"))
-    above = F.lag("min").over(Window.orderBy(F.col("min").desc()))
-    return rows.withColumn("max", F.round(F.coalesce(above - 0.01, F.lit(100.0)), 2))
+    head = F.when(F.col("text").rlike(HEADING), F.struct(F.regexp_extract("text", HEADING, 1).cast("int").alias("number"), _unescaped(F.regexp_extract("text", HEADING, 2)).alias("name"), F.regexp_extract("text", HEADING, 3).cast("double").alias("max")))
+    inside = _since(lines.withColumn("_head", head), F.col("_head"), "s").where("s is not null").withColumn("section", F.col("s.number"))
+    noted = F.when(F.col("text").rlike(REFERENCE), _condensed(_unescaped(F.regexp_extract("text", REFERENCE, 1))))
+    inside = _since(inside, noted, "reference", ("section",))
+    sections = inside.where("_head is not null").select("source", F.format_string("S%02d", F.col("section")).alias("section_id"), "section", F.col("s.name").alias("name"), F.col("s.max").alias("max"))
+    rows = _cells(inside)
+    at = rows.where((F.size("cells") >= (5 if three_levels else 4)) & F.get("cells", F.lit(0)).rlike(ITEM))
+    partial = F.get("cells", F.lit(4)).try_cast("double") if three_levels else F.lit(None).cast("double")
+    items = at.select("source", F.format_string("S%02d", F.col("section")).alias("section_id"), "section", "line_no", F.get("cells", F.lit(0)).alias("item_id"), _unescaped(F.get("cells", F.lit(1))).alias("criterion"), F.get("cells", F.lit(2)).try_cast("double").alias("weight"), partial.alias("partial"), *([F.col("reference")] if three_levels else []))
+    readable = F.col("weight").isNotNull() & (F.col("partial").isNotNull() if three_levels else F.lit(True))
+    sums = items.where(readable).groupBy("source", "section_id").agg(F.round(F.sum("weight"), 2).alias("weights"), F.count("*").alias("n"))
+    told = sections.join(sums, ["source", "section_id"], "left")
+    unread = items.where(~readable).select("source", F.concat("section_id", F.lit(": row "), "item_id", F.lit(" has unreadable numbers")).alias("warning"))
+    empty = told.where("n is null").select("source", F.concat("section_id", F.lit(": no items")).alias("warning"))
+    off = told.where("weights <> max").select("source", F.concat("section_id", F.lit(": weights add up to "), F.col("weights").cast("string"), F.lit(", maximum "), F.col("max").cast("string")).alias("warning"))
+    said = F.regexp_extract(F.get("cells", F.lit(2)), SUBTOTAL, 1).try_cast("double")
+    totals = rows.where((F.size("cells") >= 3) & F.upper(F.get("cells", F.lit(1))).contains("SUBTOTAL") & (said != F.col("s.max")))
+    totals = totals.select("source", F.concat(F.format_string("S%02d", F.col("section")), F.lit(": subtotal "), said.cast("string"), F.lit(", maximum "), F.col("s.max").cast("string")).alias("warning"))
+    astray = items.where(F.substring_index("item_id", ".", 1).cast("int") != F.col("section")).select("source", F.concat(F.lit("item "), "item_id", F.lit(" outside its section "), F.col("section").cast("string")).alias("warning"))
+    warnings = unread.union(empty).union(off).union(totals).union(astray)
+    return {"sections": sections, "items": items.where(readable), "warnings": warnings}
+
+
+def parse_bands(lines: DataFrame) -> DataFrame:
+    """Bands (source, min, max, label, action) of the table of interpretation; each ends a hundredth below the next higher one."""
+    titled = _since(lines, F.when(F.upper("text").contains(BANDS_TITLE), F.lit(True)), "_in").where("_in")
+    rows = _cells(titled).where(F.size("cells") >= 3)
+    span = F.trim(F.replace(_unescaped(F.get("cells", F.lit(0))), F.lit("**"), F.lit("")))
+    low = F.when(span.rlike(RANGE), F.regexp_extract(span, RANGE, 1).try_cast("double")).when(span.rlike(BELOW), 0.0)
+    label = F.trim(F.substring_index(_unescaped(F.get("cells", F.lit(1))), " - ", 1))
+    rows = rows.select("source", low.alias("min"), F.when(span.rlike(RANGE), F.regexp_extract(span, RANGE, 2).try_cast("double")).otherwise(0.0).alias("_top"), label.alias("label"), _unescaped(F.get("cells", F.lit(2))).alias("action")).where("min is not null")
+    above = F.lag("min").over(Window.partitionBy("source").orderBy(F.col("min").desc()))
+    return rows.select("source", "min", F.round(F.coalesce(above - 0.01, "_top"), 2).alias("max"), "label", "action")
+
+
+def parse_form(lines: DataFrame, weight: float = 3.0) -> dict[str, DataFrame]:
+    """sections, items and conversion of a form: titled blocks of numbered items, and a table of grades."""
+    title = F.when(F.col("text").rlike(BLOCK), F.struct("line_no", F.regexp_extract("text", BLOCK, 1).alias("name")))
+    inside = _since(lines.withColumn("_head", title), F.col("_head"), "b").where("b is not null")
+    grades = fold_accents(F.col("b.name")).rlike("conversion|vigesimal")
+    heads = inside.where(F.col("_head").isNotNull() & ~grades).select("source", F.col("line_no").alias("at"), F.col("b.name").alias("name"))
+    heads = heads.withColumn("section_id", F.format_string("B%02d", F.row_number().over(Window.partitionBy("source").orderBy("at"))))
+    rows = _cells(inside).where(F.size("cells") >= 2)
+    number, second = F.regexp_extract(F.get("cells", F.lit(0)), BLOCK_ITEM, 1), F.get("cells", F.lit(1))
+    items = rows.where(~grades & (number != "")).select("source", F.col("b.line_no").alias("at"), number.alias("item_id"), _unescaped(second).alias("criterion"), F.lit(weight).alias("weight"))
+    items = items.join(heads.select("source", "at", "section_id"), ["source", "at"]).drop("at")
+    span = _unescaped(F.get("cells", F.lit(0)))
+    low = F.when(span.rlike(RANGE), F.regexp_extract(span, RANGE, 1).try_cast("int")).when(span.rlike(BELOW), 0)
+    high = F.when(span.rlike(RANGE), F.regexp_extract(span, RANGE, 2).try_cast("int")).when(span.rlike(BELOW), F.regexp_extract(span, BELOW, 1).try_cast("int") - 1)
+    conversion = rows.where(grades).select("source", low.alias("min"), high.alias("max"), second.try_cast("int").alias("grade")).where("min is not null and grade is not null")
+    sections = heads.join(items.groupBy("source", "section_id").agg(F.sum("weight").alias("max")), ["source", "section_id"], "left").select("source", "section_id", "name", F.coalesce("max", F.lit(0.0)).alias("max"))
+    return {"sections": sections, "items": items, "conversion": conversion}
 
 
 def check_weights(items: DataFrame, sections: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as tx
 from gradeloom.operators import agreement as ag
-from gradeloom.operators import argue, library, panel, redact, store, textstats
+from gradeloom.operators import argue, library, panel, redact, store, textstats, validation
+from gradeloom.sources import files, rubrics
 
 VOTE = "eval_id int, judge int, section_id string, item_id string, level string, score int, evidence string, observation string"
 
@@ -150,6 +151,8 @@ def test_chunks_part_at_lines(spark):
 def test_one_label_agrees_with_itself(spark):
     of = lambda a, b: spark.createDataFrame(list(zip(a, b, strict=True)), "a int, b int").agg(ag.qwk(F.col("a"), F.col("b"))).first()[0]
     assert of([2, 2, 2], [2, 2, 2]) == 1.0 and of([2, 2], [1, 1]) == 0.0
+    fixed = spark.createDataFrame([(2, 2)], "a int, b int").agg(ag.qwk(F.col("a"), F.col("b"), fixed_labels=True)).first()[0]
+    assert fixed is None
 
 
 def test_lexical_diversity(spark):
@@ -194,3 +197,75 @@ def test_names_are_found_by_role(spark):
     assert "[ORCID_1]" in text[2] and "[DNI_1] y [DNI_2], cel. [TELEFONO_1]" in text[2]
     by_doc = {r.doc_id: r for r in reports.collect()}
     assert by_doc[1].counts["dni"] == 3 and by_doc[1].warnings == [] and len(by_doc[2].warnings) == 2 and by_doc[2].counts == {}
+
+
+STUDY = {"tesis_a": (3, 2, 3, 1), "tesis_b": (2, 2, 1, 0), "tesis_c": (3, 3, 2, 2), "tesis_d": (1, 0, 1, 2)}
+
+
+def study(spark):
+    """Juror 1 scores as the system does, juror 2 a level less on the first item."""
+    system = [(p, str(i), s) for p, scores in STUDY.items() for i, s in enumerate(scores, 1)]
+    jurors = [(p, i, r, max(0, s - (r == "J2" and i == "1"))) for p, i, s in system for r in ("J1", "J2")]
+    return spark.createDataFrame(system, "project string, item_id string, score int"), spark.createDataFrame(jurors, "project string, item_id string, rater string, score int")
+
+
+def test_validation_study(spark):
+    system, jurors = study(spark)
+    by = {r.rater: r for r in validation.against_jurors(system, jurors).collect()}
+    assert (by["J1"].qwk, by["J1"].exact, by["J1"].n_items) == (1.0, 1.0, 16) and by["J2"].qwk < 1
+    row = validation.against_median(system, jurors).first()
+    assert 0 < row.qwk_items < 1 and row.adjacent == 1.0 and row.mae_totals == 0.5 and row.pearson > 0.9 and row.n_projects == 4
+    items, totals = validation.human_baseline(jurors)
+    assert round(items.where("project is null").first()["qwk"], 4) == 0.8667 and items.where("project is not null").count() == 4
+    assert totals.first()["n_projects"] == 4
+    votes = [(p, str(i), f"juez{j}", str(max(0, s - (j == 3)))) for p, scores in STUDY.items() for i, s in enumerate(scores, 1) for j in (1, 2, 3)]
+    votes = spark.createDataFrame(votes, "project string, item_id string, judge string, level string")
+    own = {(r.judge_a, r.judge_b): round(r.qwk, 4) for r in validation.panel_agreement(votes).collect()}
+    assert own == {("juez1", "juez2"): 1.0, ("juez1", "juez3"): 0.6216, ("juez2", "juez3"): 0.6216}
+    weights = ag.bootstrap_weights(system.select("project"), 50)
+    bounds = {r.measure: r for r in validation.median_intervals(system, jurors, weights).collect()}
+    assert bounds["qwk_items"].low <= row.qwk_items <= bounds["qwk_items"].high and bounds["mae_totals"].low == 0.5
+    assert {r.part for r in validation.report(system, jurors, votes, weights).collect()} == {"against juror", "against median", "interval", "jurors, items", "jurors, totals", "panel"}
+    pairs, spread, icc = validation.retest_report(system.withColumn("run", F.explode(F.array(F.lit("r1"), F.lit("r2")))))
+    assert pairs.first()["identical_pct"] == 100 and {r.sd for r in spread.collect()} == {0.0} and round(icc.first()["icc"], 6) == 1
+
+
+def test_rubric_sources(spark):
+    weighted = """**1\\. Título del proyecto \\[Máximo: 3 pts\\]**
+_Referencia: Hernández-Sampieri (2018), Cap. 2, pp. 35-36; criterios propios; Cap. 3_
+| **N** | **Criterio** | **Peso** | x | **Parcial** |
+| --- | --- | --- | --- | --- |
+| 1.1 | El título \\(breve\\) dice qué | 2 | 0 | 1 |
+| 1.2 | Otro criterio | 1.5 | 0 | 0.75 |
+| | SUBTOTAL | **4** | | |
+**2. Problema [Máximo: 5 pts]**
+| 2.1 | Mal | x | 0 | y |
+**ESCALA DE INTERPRETACIÓN**
+| Rango | Nivel | Acción |
+| --- | --- | --- |
+| 90 - 100 | Excelente - A | Aprobar |
+| 75 - 89 | Bueno | Mejorar |
+| Menor a 75 | Malo | Rehacer |"""
+    lines = lambda text: spark.createDataFrame([("f", i, x.strip()) for i, x in enumerate(text.split("\n"))], "source string, line_no int, text string")
+    found = rubrics.parse_rubric(lines(weighted), True)
+    assert [(r.section_id, r.name, r.max) for r in found["sections"].orderBy("section_id").collect()] == [("S01", "Título del proyecto", 3.0), ("S02", "Problema", 5.0)]
+    assert [(r.item_id, r.criterion, r.weight, r.partial, r.reference) for r in found["items"].orderBy("item_id").collect()] == [
+        ("1.1", "El título (breve) dice qué", 2.0, 1.0, "HS2018 Cap. 2, pp. 35-36; Cap. 3"), ("1.2", "Otro criterio", 1.5, 0.75, "HS2018 Cap. 2, pp. 35-36; Cap. 3")]
+    assert sorted(r.warning for r in found["warnings"].collect()) == ["S01: subtotal 4.0, maximum 3.0", "S01: weights add up to 3.5, maximum 3.0", "S02: no items", "S02: row 2.1 has unreadable numbers"]
+    assert [(r.min, r.max, r.label) for r in rubrics.parse_bands(lines(weighted)).orderBy(F.desc("min")).collect()] == [(90.0, 100.0, "Excelente"), (75.0, 89.99, "Bueno"), (0.0, 74.99, "Malo")]
+    form = "## TÍTULO\n| N° | Ítem |\n| --- | --- |\n| 01 | Es claro |\n| 02 | Es breve |\n## CONVERSIÓN A NOTA VIGESIMAL\n| Puntaje | Nota |\n| 86 - 90 | 18 |\n| < 10 | 1 |"
+    parts = rubrics.parse_form(lines(form))
+    assert [(r.section_id, r.name, r.max) for r in parts["sections"].collect()] == [("B01", "TÍTULO", 6.0)] and parts["items"].count() == 2
+    assert sorted((r.min, r.max, r.grade) for r in parts["conversion"].collect()) == [(0, 9, 1), (86, 90, 18)]
+
+
+def test_consolidated_row(spark):
+    base = spark.createDataFrame([(1, 80.0), (2, 50.0)], "eval_id int, total double")
+    dims = spark.createDataFrame([(1, "claridad_tono", 4)], "eval_id int, dimension string, median int")
+    metrics = spark.createDataFrame([(1, *range(11))], "eval_id int, " + ", ".join(f"{c} int" for c in files.METRICS.values()))
+    own = spark.createDataFrame([(1, 2.35, 2, True)], "eval_id int, disagreement_pct double, n_flagged int, incomplete boolean")
+    argument = spark.createDataFrame([(1, "S02", 0.5, 3), (1, "S05", 1.0, 5)], "eval_id int, section_id string, index double, level int")
+    coherence = spark.createDataFrame([(1, 3, 1, 0)], "eval_id int, note int, core int, minor int")
+    one, two = files.consolidated_row(base, dims, metrics, own, argument, coherence).orderBy("eval_id").collect()
+    assert (one.trans_claridad_tono, one.fernandez_huerta, one.pct_discrepancia, one.panel_incompleto, one.toulmin_indice_proyecto, one.toulmin_nivel_S05, one.coherencia_global) == (4, 0, 2.35, 1, 0.75, 5, 3)
+    assert two.panel_incompleto == 0 and two.mtld is None and two.toulmin_indice_S02 is None
