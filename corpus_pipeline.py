@@ -20,31 +20,31 @@ NEAR = minhash.Settings(similarity=80, rows=5, margin=0.08)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking, fitted on the labelled ones of the corpus, does not reject."""
+    """Documents that the ranking, fitted on the labelled ones of the corpus, does not reject; null texts are empty ones."""
     ship_package(spark)
     ranker = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, ranker).where("predicted = 1").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact copies."""
+    """One document of each group of exact copies (null and empty texts are one): that of the largest id, nulls lowest."""
     return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
+    """One document, that of the smallest id, of each group of near copies; those without words or id all stay."""
     ship_package(spark)
     gone = minhash.near_components(docs, NEAR).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, by output shard, shuffled within it."""
+    """Documents as often as the mix takes them (none to twice), by output shard, shuffled within it; a null source is one."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row."""
+    """The token ids of each row; none for a null or empty text."""
     ship_package(spark)
     encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.load())
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
@@ -58,7 +58,8 @@ STAGES = [
     ("SentencePiece encoding", pieces_stage),
 ]
 
-#: The ranking and the hashed draw have no SQL; tests hold run() against a plain Python version.
+#: The ranking and the hashed draw have no SQL; a test holds run()'s rows against plain versions of the
+#: stages, the draw against its targets and bounds.
 ORACLE_SQL = None
 
 

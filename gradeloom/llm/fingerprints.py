@@ -109,25 +109,59 @@ def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(_joined(F.col("part")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, *, rows_per_bucket: int = 512, max_buckets: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are not above the value, by looking at every 64th first."""
+    below = lambda found: F.size(F.filter(found, lambda x: x <= value))
+    coarse = below(_longs(cuts[::64]))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * 64 + below(F.slice(_longs(cuts), F.greatest(coarse - 1, F.lit(0)) * 64 + 1, 64)))
+
+
+def with_bucket(docs: DataFrame, *, rows_per_bucket: int = 512, ranges: int = 4096, parts: int = 1 << 20) -> DataFrame:
+    """Add hash (of text) and bucket, a long: descending buckets follow descending ids, then ascending hashes.
+
+    Ids are cut at ``ranges`` quantiles, and a range into parts of equal width. An id that has more
+    rows than a range, or none (last), is cut by the hash. So a bucket has few rows whatever
+    the ids are, but for rows that are equal in id and text.
+    """
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    n = docs.count()
+    k = max(1, min(ranges, n // rows_per_bucket))
+    marks = F.percentile_approx("doc_id", [i / k for i in range(k)], 10 * ranges)
+    seen = docs.agg(marks.alias("cuts"), F.max("doc_id").alias("high")).first()
+    found, high = seen["cuts"] or [0], seen["high"] or 0
+    hot = {x for x, y in zip(found, found[1:], strict=False) if x == y}
+    cuts = sorted({*found, *(x + 1 for x in hot)})
+    some = max(1, min(parts, n // k // rows_per_bucket))
+    steps = [max(1, -(-(z - a) // some)) for a, z in zip(cuts, [*cuts[1:], high + 1], strict=True)]
+    at = F.greatest(_range_of(F.col("doc_id"), cuts), F.lit(1))
+    one_id = F.array_contains(_longs(sorted(hot) or [high + 1]), F.col("doc_id"))
+    share = F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * max(1, min(parts - 1, n // rows_per_bucket))).cast("long")
+    by_id = F.expr("_o div _s")
+    part = F.when(F.col("doc_id").isNull() | one_id, F.lit(parts - 1) - share).otherwise(by_id)
+    docs = docs.withColumns({"_at": F.coalesce(at, F.lit(0)).cast("long"), "_o": F.col("doc_id") - F.get(_longs(cuts), (at - 1).cast("int")), "_s": F.get(_longs(steps), (at - 1).cast("int"))})
+    return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("_at")) * parts + part).drop("_at", "_o", "_s")
+
+
+def with_next(docs: DataFrame, **options: int) -> tuple[DataFrame, DataFrame]:
     """Rows (bucket, pos, doc_id, text, next_text) and heads (bucket, head_text, head_print).
 
     The next document is the one before it by doc_id; the smallest is followed by the
-    largest. Null texts are empty, null ids come last, rows of one id are ordered by text.
-    Ids fall into ranges of equal width, so no window holds the whole table; where a range
-    ends, the first row of the next one that has rows is joined in. The ranges themselves
-    are at most ``max_buckets`` (or as many as the ids' spread makes at that width).
+    largest. Null texts are empty, null ids come last, rows of one id are ordered by a hash of
+    their text. Windows are over buckets (see with_bucket); where one ends, the first row
+    of the next one that has rows is joined in. The buckets themselves are at most some millions.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    seen = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = seen["lo"] or 0, seen["hi"] or 0
-    width = max(1, (hi - lo + 1) // max(1, min(seen["n"] // rows_per_bucket, max_buckets)))
-    docs = docs.withColumn("bucket", F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(1 << 62))))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    top = docs.groupBy("bucket").agg(F.max("doc_id").alias("_top"))
-    after = F.coalesce(F.lead("bucket").over(Window.orderBy(F.col("bucket").desc())), F.first("bucket").over(Window.orderBy(F.col("bucket").desc())))
+    docs = with_bucket(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), **options)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("text")]
+    top = docs.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("minus"), "hash")).alias("_top"))
+    down = Window.orderBy(F.col("bucket").desc())
+    after = F.coalesce(F.lead("bucket").over(down), F.first("bucket").over(down))
     follows = materialise(top.select("bucket", "_top", after.alias("_after")), "ranges")
-    first = docs.join(F.broadcast(follows.select(F.col("bucket").alias("_b"), "_top")), (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_top")))
+    heads_at = follows.select(F.col("bucket").alias("_b"), (-F.col("_top.minus")).alias("_id"), F.col("_top.hash").alias("_hash"))
+    first = docs.join(heads_at, (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
     first = first.groupBy("bucket").agg(F.min("text").alias("text"))
     first = materialise(first, "heads")
     printed = first.select(F.col("bucket").alias("_after"), F.col("text").alias("head_text")).join(fingerprints(first, ["bucket"]).withColumnsRenamed({"bucket": "_after", "fingerprint": "head_print"}), "_after", "left")
@@ -141,7 +175,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as
-    many of the next document. Texts without a word have an empty fingerprint.
+    many of the next document (see with_next, also for null ids and repeated rows). Null texts are
+    empty; texts without a word have an empty fingerprint. Other columns are not looked at.
     """
     rows, heads = with_next(docs)
     n = F.length("text")

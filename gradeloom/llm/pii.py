@@ -182,9 +182,16 @@ def find_pii(docs: DataFrame, field: crf.Field) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {spans}, spans {spans}")
 
 
+_FIELDS: dict[int, crf.Field] = {}
+
+
 def trained_field(spark: SparkSession) -> crf.Field:
-    table = labelled_examples(spark).collect()
-    return crf.train([(r["text"], [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in table])
+    """The field fitted to the labelled table, once a process: fitting takes many passes over the same rows."""
+    table = [(r["text"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"])) for r in labelled_examples(spark).collect()]
+    key = hash(tuple(table))
+    if key not in _FIELDS:
+        _FIELDS[key] = crf.train(table)
+    return _FIELDS[key]
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

@@ -60,12 +60,12 @@ def near_brute(texts, least=85):
         w = WORD.findall(low(t))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
     root = list(range(len(texts)))
-    for _ in texts:
-        for a in range(len(texts)):
-            for b in range(a):
-                n = len(sets[a] & sets[b])
-                if n and 100 * n >= least * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
+    for a in range(len(texts)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= least * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low_, high = sorted((root[a], root[b]))
+                root = [low_ if r == high else r for r in root]
     return {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
@@ -259,6 +259,19 @@ def test_fingerprints(spark, docs):
     assert rows[2].near_next > 0.8 and rows[6].near_next == 0
 
 
+def test_next_document_whatever_the_ids_are(spark):
+    ids = [0, -7, 10**12, *range(500, 560), *[77] * 40, *[None] * 30]
+    rows = [(i, f"text {n} of {i}" if n % 9 else None, "x") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string")
+    hashed = [(r.doc_id, r.text or "", r.h) for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    order = sorted(hashed, key=lambda r: (r[0] is None, -(r[0] or 0), r[2], r[1]))
+    want = Counter((r[0], r[1], nxt[1]) for r, nxt in zip(order, order[1:] + order[:1], strict=True))
+    placed, heads = fingerprints.with_next(docs, rows_per_bucket=4, ranges=16)
+    assert Counter((r.doc_id, r.text, r.next_text) for r in placed.collect()) == want
+    assert placed.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 20 and heads.count() > 15
+    assert fingerprints.compare_with_next(docs.limit(0)).count() == 0
+
+
 def test_likeness_is_near_the_generalised_jaccard(spark):
     draw = np.random.default_rng(3)
     texts = []
@@ -366,6 +379,48 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     assert encoded.count() == docs.count()
 
 
+@pytest.mark.skipif(not MODELS, reason="no tokenizer files here")
+def test_pipeline_run_against_plain_python(spark, tmp_path):
+    """run() over a table with awkward rows, stage by stage against plain versions of the stages."""
+    import sentencepiece
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = base.where("length(text) > 400").orderBy("doc_id").limit(60)
+    copies = clean.limit(9).selectExpr("doc_id + 100000 as doc_id", "upper(text) as text", "lang", "source", "n_chars")
+    near = clean.limit(7).selectExpr("doc_id + 200000 as doc_id", "concat(text, ' and one more tail of words') as text", "lang", "cast(null as string) as source", "n_chars")
+    odd = spark.createDataFrame([(300001, None, "en", "s", 0), (300002, "", "en", "s", 0), (300003, "  \n", None, None, None)], base.schema)
+    docs = base.unionByName(copies).unionByName(near).unionByName(odd)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = pipeline.run(spark, str(tmp_path)).collect()
+
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    ranker = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = ranker.score(quality.features(pa.array([t for _, t, _, _ in rows], type=pa.string())))
+    good = [r for r, s in zip(rows, scores, strict=True) if s >= 0.5]
+    assert 0 < len(good) < len(rows)
+    last = {}
+    for r in sorted(good):
+        last[low(r[1])] = r
+    single = sorted(last.values())
+    component = near_brute([r[1] for r in single], 80)
+    kept = {r[0]: r for i, r in enumerate(single) if component[i][1] == i}
+    times = Counter(r.doc_id for r in out)
+    assert times.keys() <= kept.keys() and max(times.values()) <= 2
+    size = {i: len(WORD.findall(r[1] or "")) for i, r in kept.items()}
+    by_source = Counter()
+    for i, r in kept.items():
+        by_source[r[3]] += size[i]
+    want = mixing.targets(dict(by_source), mixing.cycled_weights(by_source))
+    for s in want:
+        taken = sum(n * size[i] for i, n in times.items() if kept[i][3] == s)
+        assert abs(taken - want[s]) <= max(0.02 * want[s], max(size[i] for i in kept if kept[i][3] == s))
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for r in out:
+        assert (r.ids, r.n_tokens, r.lang, r.source) == ((ids := sp.encode(kept[r.doc_id][1] or "")), len(ids), kept[r.doc_id][2], kept[r.doc_id][3])
+
+
 def test_pipeline_takes_near_copies_from_four_fifths_on(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     words = [f"w{i}" for i in range(100)]
