@@ -1,7 +1,7 @@
 """A linear-chain conditional random field over word shapes, in numpy.
 
 Tokens are runs of letters and digits, or single other characters. A token's class is its
-shape, or the kind of cue word it is; the classes of five neighbouring tokens score its
+shape, or the kind of cue word it is; the classes of the tokens around it score its
 label, and a matrix scores neighbouring labels. Labels are kinds of spans, 0 for none.
 """
 
@@ -15,11 +15,11 @@ from gradeloom.llm import batch
 
 KINDS = ("name", "national_id", "secret", "tel")
 LABELS = 1 + len(KINDS)
-NEAR = (-2, -1, 0, 1, 2)
+NEAR = (-3, -2, -1, 0, 1, 2)
 
 #: Words that announce personal data, by kind of cue.
 CUES = (
-    ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "senor", "senora", "sr"),
+    ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "senor", "senora", "sr", "sra"),
     ("name", "named", "called", "signed", "nombre", "nom", "contact"),
     ("tel", "phone", "call", "fax", "mobile", "telefon", "telephone", "cell"),
     ("ssn", "passport", "dni", "nin", "passeport", "pasaporte", "ausweis"),

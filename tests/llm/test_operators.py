@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import chat, crf, exact_dedup, fingerprints, line_dedup, minhash, mixing, pieces, pii, quality, registry, sharding
 from tests.conftest import SF, assert_same
+from tests.llm.pii_sentences import SEEN, UNSEEN
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -245,6 +246,25 @@ def test_field_finds_what_patterns_do_not(spark, docs, empty):
     assert pii.find_pii(docs, field).count() == len(TEXTS) and pii.find_pii(empty, field).count() == 0
 
 
+@pytest.mark.parametrize("sentences", [SEEN, UNSEEN], ids=["seen", "unseen"])
+def test_field_on_hand_written_sentences(spark, sentences):
+    texts, gold = [], []
+    for line in sentences.strip().split("\n"):
+        text, marked = "", set()
+        for part in re.split(r"(\{\w+:[^}]*\})", line):
+            kind, _, said = part.strip("{}").partition(":") if part.startswith("{") else (None, "", part)
+            if kind:
+                marked.add((kind, len(text), len(text) + len(said)))
+            text += said
+        texts.append(text)
+        gold.append(marked)
+    found = [{s for s in every if s[0] in crf.KINDS} for _, every in pii.find(pa.array(texts), pii.trained_field(spark))]
+    for kind in crf.KINDS:
+        of = lambda spans: {(i, *s) for i, x in enumerate(spans) for s in x if s[0] == kind}  # noqa: B023, E731
+        right = len(of(found) & of(gold))
+        assert right >= 0.9 * len(of(found)) and right >= 0.9 * len(of(gold)), kind
+
+
 def test_fingerprints(spark, docs):
     texts = [BASE, BASE, BASE + " tail", "", None, "nothing alike in here at all", "é😀 " * 7]
     rows = fingerprints.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
