@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as tx
 from gradeloom.operators import agreement as ag
-from gradeloom.operators import argue, library, panel, redact, store, textstats, validation
+from gradeloom.operators import argue, library, panel, redact, segment, store, textstats, validation
 from gradeloom.sources import files, rubrics
 
 VOTE = "eval_id int, judge int, section_id string, item_id string, level string, score int, evidence string, observation string"
@@ -269,3 +269,20 @@ def test_consolidated_row(spark):
     one, two = files.consolidated_row(base, dims, metrics, own, argument, coherence).orderBy("eval_id").collect()
     assert (one.trans_claridad_tono, one.fernandez_huerta, one.pct_discrepancia, one.panel_incompleto, one.toulmin_indice_proyecto, one.toulmin_nivel_S05, one.coherencia_global) == (4, 0, 2.35, 1, 0.75, 5, 3)
     assert two.panel_incompleto == 0 and two.mtld is None and two.toulmin_indice_S02 is None
+
+
+def test_gaps_are_filled_by_conventions(spark):
+    cover = "UNIVERSIDAD PRIVADA DEL VALLE\nFACULTAD DE INGENIERÍA\nSistema de riego automático para el control de la humedad\nLínea de investigación: agua"
+    general = "Técnica de contrastación: experimental\ncon grupo de control y dos mediciones sucesivas\n4. Línea de investigación\nnada"
+    pages = spark.createDataFrame([(1, 1, cover), (1, 2, general), (2, 1, "Título: Riego por goteo en los valles del norte")], "doc_id int, page_no int, text string")
+    problem = "El riego falla. ¿De qué manera influye el sistema\nen la humedad del suelo? ¿Corta?"
+    rows = [(1, "S01", False, "", 0), (1, "S02", True, problem, 16), (1, "S03", False, "", 0), (1, "S12", True, "", 0), (2, "S01", False, "", 0), (2, "S02", False, "", 0)]
+    found = spark.createDataFrame([(d, s, s, None, None, None, w, x, p) for d, s, p, x, w in rows], "doc_id int, section_id string, name string, heading string, page_no int, last_page int, words int, text string, present boolean")
+    out, warnings = segment.complete(found, pages, spark.createDataFrame([("titulo",)], "alias string"))
+    got = {(r.doc_id, r.section_id): (r.present, r.text) for r in out.collect()}
+    assert got[1, "S01"] == (True, "Sistema de riego automático para el control de la humedad")
+    assert got[1, "S03"] == (True, "¿De qué manera influye el sistema en la humedad del suelo?")
+    assert got[1, "S12"] == (True, "De acuerdo con la técnica de contrastación: experimental con grupo de control y dos mediciones sucesivas")
+    assert got[2, "S01"] == (True, "Riego por goteo en los valles del norte") and got[2, "S02"] == (False, "")
+    told = {(r.doc_id, r.section_id, r.warning) for r in warnings.collect()}
+    assert (2, None, "only 1 of 2 sections found") in told and (1, "S12", "taken from: Generalidades: técnica de contrastación") in told
