@@ -175,9 +175,11 @@ def with_grade(scores: DataFrame, conversion: DataFrame) -> DataFrame:
 def panel_stats(scored: DataFrame, gaps: DataFrame) -> DataFrame:
     """Share of flagged items, the flagged ones in rubric order, and whether a judge left a gap.
 
-    gaps: eval_id, judge, section_id of calls that failed.
+    gaps: eval_id, judge, section_id of calls that failed. Sections are in the order of
+    section_pos, or of their ids where ``scored`` has no such column.
     """
-    marked = F.transform(F.array_sort(F.collect_list(F.when(F.col("flagged"), F.struct("section_id", "pos", "item_id")))), lambda x: F.concat_ws(".", x["section_id"], x["item_id"]))
+    place = "section_pos" if "section_pos" in scored.columns else "section_id"
+    marked = F.transform(F.array_sort(F.collect_list(F.when(F.col("flagged"), F.struct(F.col(place).alias("at"), "section_id", "pos", "item_id")))), lambda x: F.concat_ws(".", x["section_id"], x["item_id"]))
     stats = scored.groupBy("eval_id").agg(
         F.round(F.coalesce(F.try_divide(100.0 * F.count_if("flagged"), F.count_if("judged")), F.lit(0.0)), 2).alias("disagreement_pct"), marked.alias("flagged_items")
     )
