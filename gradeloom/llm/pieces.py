@@ -38,8 +38,8 @@ SPACE = "▁"
 LONG = 96
 #: Rows of a chunk, as a power of two: a task holds one chunk's texts at once.
 CHUNK_BITS = 11
-#: Parts whose ids are sent to all tasks, and the rows in a sample of which they are looked for.
-COMMON_PARTS, SAMPLED_ROWS = 1 << 20, 60_000
+#: Parts whose ids are sent to all tasks; they are looked for in a share of the rows, and so many at most.
+COMMON_PARTS, SAMPLED_SHARE, SAMPLED_ROWS = 1 << 20, 0.25, 60_000
 
 
 @dataclass(frozen=True, eq=False)
@@ -385,13 +385,13 @@ def _parts(texts: DataFrame, model: Model, known=None) -> DataFrame:
     return texts.mapInArrow(run, T.StructType([*texts.schema.fields[:-1], T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
 
 
-def common_parts(docs: DataFrame, model: Model, rows: int = SAMPLED_ROWS, parts: int = COMMON_PARTS) -> Known:
-    """The ids of the parts that are most frequent in a sample of about ``rows`` rows, at most ``parts`` of them.
+def common_parts(docs: DataFrame, model: Model, share: float = SAMPLED_SHARE, rows: int = SAMPLED_ROWS, parts: int = COMMON_PARTS) -> Known:
+    """The ids of the parts that are most frequent in a share of the rows, about ``rows`` at most; at most ``parts`` of them.
 
     They spare most parts of the corpus the join and change no result.
     """
-    count = docs.count()
-    seen = _parts((docs.sample(min(1.0, rows / count), 7) if count > rows else docs).select("text"), model).where(F.length("word") <= LONG)
+    some = docs.sample(min(share, rows / max(1, docs.count())), 7)
+    seen = _parts(some.select("text"), model).where(F.length("word") <= LONG)
     top = seen.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "word").limit(parts)
     found = encode_words(_spread(top.select("word")), model).select("word", "ids").toArrow()
     return Known.of(found.column("word").to_pylist(), *_lists(found.column("ids")))
