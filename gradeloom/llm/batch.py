@@ -31,20 +31,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(1 << bits, base, dtype=np.uint64)
-        p[0] = 1
-        np.cumprod(p, out=p)
-        out.append(p)
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least ``n`` of them."""
-    return _powers(max(21, int(n).bit_length()))
+    """Powers of the hash base and of its inverse, at least ``n`` of them; the most asked for so far are kept."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        made = []
+        for base in (_BASE, _INVERSE):
+            p = np.full(1 << max(20, int(n).bit_length()), base, dtype=np.uint64)
+            p[0] = 1
+            np.cumprod(p, out=p)
+            made.append(p)
+        _POWERS[:] = made
+    return _POWERS[0], _POWERS[1]
 
 
 @lru_cache(maxsize=1)

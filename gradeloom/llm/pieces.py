@@ -36,6 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of more code points are merged one by one with a heap instead of all at once.
 LONG = 96
+#: Bytes of text that are cut into parts at once.
+STRETCH = batch.WINDOW // 2
 #: Rows of a chunk, as a power of two: a task holds one chunk's texts at once.
 CHUNK_BITS = 11
 #: Parts whose ids are sent to all tasks; they are looked for in a share of the rows, and so many at most.
@@ -328,7 +330,7 @@ def encode_texts(texts: pa.Array, model: Model, known: Known | None = None, dist
     """
     known = known or Known.of([], np.zeros(0, np.int32), np.zeros(1, np.int64))
     out, counts = [], []
-    for _, data, offsets in batch.slices(texts, batch.WINDOW):
+    for _, data, offsets in batch.slices(texts, STRETCH):
         points, start, end, row = parts_of(data, offsets, model)
         at = _found(points, start, end, known)
         new = np.flatnonzero(at < 0)
@@ -370,7 +372,7 @@ def _parts(texts: DataFrame, model: Model, known=None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo, data, offsets in batch.slices(b.column(b.num_columns - 1)):
+            for lo, data, offsets in batch.slices(b.column(b.num_columns - 1), STRETCH):
                 points, start, end, row = parts_of(data, offsets, model)
                 if known is not None:
                     new = np.flatnonzero(_found(points, start, end, known.value) < 0)
