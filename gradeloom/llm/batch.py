@@ -133,3 +133,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
         parts.append((start + a, end + a, span_hashes(prefix_hashes(d), start, end)))
     start, end, h = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.int64, np.int64, np.uint64), strict=True))
     return np.searchsorted(offsets, start, side="right") - 1, start, end, h
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a slice as one binary array, in order, and how many of them each row has."""
+    word = ~_SPACE[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    rows = offsets[:-1][offsets[:-1] < len(data)]
+    begins[rows] = word[rows]
+    packed, cuts = data[word], np.flatnonzero(begins[word])
+    counts = np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+    ends = np.append(cuts, len(packed)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(packed)]), counts

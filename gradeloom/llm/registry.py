@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import chat, exact_dedup, fingerprints, line_dedup, minhash, mixing, pieces, pii, quality, sharding
+from gradeloom.llm import chat, exact_dedup, fingerprints, line_dedup, minhash, mixing, pieces, pii, quality, runs, sharding
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "op9_sharding": sharding.op9_sharding,
+        "op12_periodic_runs": runs.op12_periodic_runs,
     }
 
 
