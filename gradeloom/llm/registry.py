@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import chat, exact_dedup, fingerprints, line_dedup, minhash, mixing, pieces, pii, quality, runs, sharding
+from gradeloom.llm import chat, exact_dedup, fingerprints, line_dedup, minhash, mixing, pieces, pii, quality, runs, sharding, wavelet
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "op9_sharding": sharding.op9_sharding,
         "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_token_output": wavelet.op13_token_output,
     }
 
 
