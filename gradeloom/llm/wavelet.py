@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import batch
 from gradeloom.llm.common import new_folder
+from gradeloom.session import small
 
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a shard, and the id that ends a document.
 SHARD, END = 1 << 21, 2
+MOST_HEADERS = 100_000
 #: Bytes of text that are encoded at once, and how many words' ids a worker keeps.
-STRETCH, KEPT_WORDS = 4 << 20, 1 << 20
+STRETCH, KEPT_WORDS = 4 << 20, 3 << 19
+#: Words that are encoded as one text, and the control character that stands between them.
+JOINED, APART = 200, "\x01"
 MAGIC = b"WMX1"
 SHARDS = "part int, seq int, n_docs long, n_tokens long, doc_ids array<long>, sizes array<long>, matrix binary"
 COLUMNS = [column.split()[0] for column in SHARDS.split(", ")]
@@ -161,12 +165,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
+        (self.between,) = self.model.encode(APART, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
         self.slots: dict[bytes, int] = {}
         self.flat, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words; JOINED at once, which takes half the time, with a control character in between that has an id of its own."""
+        plain = [w.replace(APART, "") for w in words]
+        lines = [f" {APART} ".join([*plain[i : i + JOINED], ""]) for i in range(0, len(words), JOINED)]
+        coded = self.model.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(c.ids for c in coded), dtype=np.uint32)
+        ends = np.flatnonzero(ids == self.between)
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not keep words apart")
+        ids, sizes = ids[ids != self.between], np.diff(ends, prepend=-1) - 1
+        for i in [i for i, w in enumerate(words) if APART in w]:
+            own = np.array(self.model.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32)
+            at = int(sizes[:i].sum())
+            ids, sizes[i] = np.concatenate([ids[:at], own, ids[at + sizes[i] :]]), len(own)
+        return ids, sizes
+
     def words(self, words: np.ndarray) -> np.ndarray:
         """Slots of distinct words: slot i has the ids flat[start[i]:start[i + 1]]."""
         slots = np.fromiter(map(self.slots.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -176,9 +197,7 @@ class Encoder:
             return self.words(words)
         new = [words[i] for i in missing]
         if new:
-            coded = [c.ids for c in self.model.encode_batch_fast([w.decode(errors="replace") for w in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(new))
-            ids = np.fromiter(chain.from_iterable(coded), dtype=np.uint32, count=int(sizes.sum()))
+            ids, sizes = self._encoded([w.decode(errors="replace") for w in new])
             slots[missing] = np.arange(len(new)) + len(self.start) - 1
             self.flat, self.start = np.concatenate([self.flat, ids]), np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
             self.slots.update(zip(new, slots[missing].tolist(), strict=True))
@@ -285,7 +304,8 @@ def open_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shards of a folder plus start, the number of ids before each.
 
     The sums of the parts, as many rows as tasks wrote, go through the driver; a window adds up the
-    shards of each part, from their headers alone.
+    shards of each part, from their headers alone. They are broadcast to the shards if they are at
+    most MOST_HEADERS.
     """
     shards = spark.read.schema(SHARDS).parquet(folder)
     headers = shards.select("part", "seq", "n_tokens")
@@ -297,7 +317,7 @@ def open_shards(spark: SparkSession, folder: str) -> DataFrame:
     parts = spark.createDataFrame(rows, "part int, before long")
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     starts = headers.join(F.broadcast(parts), "part").select("part", "seq", (F.col("before") + within).alias("start"))
-    return shards.join(starts, ["part", "seq"])
+    return shards.join(small(starts, MOST_HEADERS), ["part", "seq"])
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:

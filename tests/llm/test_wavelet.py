@@ -12,7 +12,7 @@ from tests.conftest import SF
 
 AWKWARD = [
     "", None, " \n\t ", "Hello, World!", "it's we'll THEY'VE 'tis don't", "<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|>", "é é ́x ﬁ Å Σας ΣΑΣ", "漢字 かな 😀👍🏽", "12 345 6.7e-8",
-    "no break space　wide", "x" * 5000, "ab " * 30_000, "…!?.,;: «q» ''s 's", "İstanbul ǅ ŉ", "\x00 \x01\x1c\x1d y\x85z",
+    "no break space　wide", "x" * 5000, "ab " * 30_000, "…!?.,;: «q» ''s 's", "İstanbul ǅ ŉ", "\x00 \x01\x1c\x1d y\x85z \x01 a\x01 \x01\x01\x01b", "a\x01b",
 ]
 
 
