@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import materialise
+
 
 def qwk_from_sums(n: Column, a: Column, b: Column, aa: Column, bb: Column, ab: Column, fixed_labels: bool = False) -> Column:
     """Quadratic weighted kappa from n, sums, sums of squares and of products.
@@ -74,6 +77,21 @@ def dense_labels(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.drop("a", "b").withColumnsRenamed({"_a": "a", "_b": "b"})
 
 
+def observed_qwk(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, qwk): kappa of each group of pairs on the labels that occur in it, each counting as its place among them.
+
+    Pairs are counted by their two labels first, so as many rows as there are combinations move.
+    """
+    cells = pairs.groupBy(*by, "a", "b").agg(F.count("*").cast("double").alias("w"))
+    labels = cells.select(*by, F.explode(F.array("a", "b")).alias("v")).distinct()
+    labels = labels.withColumn("p", F.dense_rank().over(Window.partitionBy(*by).orderBy("v")).cast("double"))
+    for side in ("a", "b"):
+        cells = cells.join(labels.select(*by, F.col("v").alias(side), F.col("p").alias(f"_{side}")), [*by, side])
+    w, a, b = F.col("w"), F.col("_a"), F.col("_b")
+    kappa = qwk_from_sums(F.sum(w), F.sum(w * a), F.sum(w * b), F.sum(w * a * a), F.sum(w * b * b), F.sum(w * a * b))
+    return cells.groupBy(*by).agg(F.sum(w).cast("long").alias("n"), kappa.alias("qwk"))
+
+
 def spearman(pairs: DataFrame, by: list[str]) -> DataFrame:
     ranked = pairs.withColumns({"_ra": average_rank("a", by), "_rb": average_rank("b", by)})
     return ranked.groupBy(*by).agg(pearson(F.col("_ra"), F.col("_rb")).alias("spearman"))
@@ -134,6 +152,45 @@ def bootstrap_weights(projects: DataFrame, replicates: int = 2000, seed: int = 4
     return ordered.mapInPandas(run, "rep int, project string, w double")
 
 
+def numbered(values: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(distinct values of column ``name`` with k, their place from 0 in its order; how many there are).
+
+    A sort over ranges gives each value its place in its task, the tasks' sizes the rest; those alone reach the driver.
+    """
+    rows = materialise(values.select(name).where(F.col(name).isNotNull()).distinct().sort(name).withColumn("_i", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_i", 33).cast("int")
+    sizes = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    starts = values.sparkSession.createDataFrame(starts, "_part int, _before long")
+    placed = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.select(name, (F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).alias("k")), before
+
+
+def resampled(projects: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """(rep, project, w): as ``bootstrap_weights``, but every replicate has a generator of its own, so tasks draw side by side.
+
+    The generator is counted by (seed, rep), the projects by their order, so the weights are the same
+    however rows are split. A task holds one replicate's numbers at a time.
+    """
+    places, n = numbered(projects.select(F.col("project").cast("string").alias("project")), "project")
+
+    def run(batches):
+        for b in batches:
+            for rep in b["rep"] if n else ():
+                draw = np.random.Generator(np.random.Philox(key=np.array([seed, rep], dtype=np.uint64)))
+                times = np.bincount(draw.integers(0, n, n), minlength=n)
+                for lo in range(0, n, 100_000):
+                    k = np.flatnonzero(times[lo : lo + 100_000]) + lo
+                    yield pd.DataFrame({"rep": np.full(len(k), rep, dtype=np.int32), "k": k, "w": times[k].astype(float)})
+
+    spark = projects.sparkSession
+    reps = spark.range(replicates, numPartitions=min(replicates, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))).select(F.col("id").cast("int").alias("rep"))
+    return reps.mapInPandas(run, "rep int, k long, w double").join(places, "k").select("rep", "project", "w")
+
+
 def project_sums(pairs: DataFrame, by: list[str], project: str) -> DataFrame:
     """What a kappa needs of each project, added over its items."""
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
@@ -156,7 +213,10 @@ def mean_pairwise(table: DataFrame, by: list[str] | None = None, value: str = "q
 def retest(runs: DataFrame) -> DataFrame:
     """By pair of runs: kappa and share of identical items. runs: run, project, item_id, score."""
     pairs = rater_pairs(runs, ["project", "item_id"], "run")
-    return pairs.groupBy(F.col("rater_a").alias("run_a"), F.col("rater_b").alias("run_b")).agg(F.count("*").alias("n"), qwk(F.col("a"), F.col("b")).alias("qwk"), F.round(100 * exact(F.col("a"), F.col("b")), 2).alias("identical_pct"))
+    by = ["run_a", "run_b"]
+    pairs = pairs.withColumnsRenamed({"rater_a": "run_a", "rater_b": "run_b"})
+    same = pairs.groupBy(*by).agg(F.round(100 * exact(F.col("a"), F.col("b")), 2).alias("identical_pct"))
+    return observed_qwk(pairs, by).join(same, by)
 
 
 def run_spread(runs: DataFrame) -> DataFrame:

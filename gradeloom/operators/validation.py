@@ -75,7 +75,7 @@ def panel_agreement(votes: DataFrame) -> DataFrame:
     """
     number = F.coalesce(*[F.when(F.col("level") == name, n) for name, n in LEVELS.items()], F.col("level").try_cast("int"))
     pairs = ag.rater_pairs(votes.withColumn("_n", number), ["project", "item_id"], "judge", "_n")
-    return pairs.groupBy(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b")).agg(F.count("*").alias("n"), ag.qwk(F.col("a"), F.col("b")).alias("qwk"))
+    return ag.observed_qwk(pairs.withColumnsRenamed({"rater_a": "judge_a", "rater_b": "judge_b"}), ["judge_a", "judge_b"])
 
 
 def human_baseline(jurors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -162,14 +162,20 @@ def section_states(spark, sf_dir):
 _QWK = "case when count(distinct a) = 1 and min(a) = min(b) and max(a) = max(b) then 1.0 else 1 - sum((a - b) * (a - b)) / (sum(a * a) + sum(b * b) - 2.0 * sum(a) * sum(b) / count(*)) end"
 
 
+def _dense(pairs: str, keys: str = "ja, jb") -> str:
+    """d: the pairs with each label as its place among those that occur in its group."""
+    return f"""labels as (select {keys}, v, dense_rank() over (partition by {keys} order by v) as p from (select distinct {keys}, unnest([a, b]) as v from {pairs})),
+d as (select {keys}, x.p as a, y.p as b, q.a = q.b as same from {pairs} q join labels x using ({keys}) join labels y using ({keys}) where x.v = q.a and y.v = q.b)"""
+
+
 def _pairs(spark, sf_dir):
     return ag.rater_pairs(votes(spark, sf_dir), ["doc_id", "item"], "judge")
 
 
-@query(f"with {PAIRS_SQL} select ja as judge_a, jb as judge_b, count(*) as n, round({_QWK}, 6) as qwk from pairs group by 1, 2")
+@query(f"with {PAIRS_SQL}, {_dense('pairs')} select ja as judge_a, jb as judge_b, count(*) as n, round({_QWK}, 6) as qwk from d group by 1, 2")
 def qwk_pairs(spark, sf_dir):
-    p = _pairs(spark, sf_dir).groupBy(F.col("rater_a").alias("judge_a"), F.col("rater_b").alias("judge_b"))
-    return p.agg(F.count("*").alias("n"), F.round(ag.qwk(F.col("a"), F.col("b")), 6).alias("qwk"))
+    p = _pairs(spark, sf_dir).withColumnsRenamed({"rater_a": "judge_a", "rater_b": "judge_b"})
+    return ag.observed_qwk(p, ["judge_a", "judge_b"]).withColumn("qwk", F.round("qwk", 6))
 
 
 _TOTALS_SQL = VOTES_SQL + """, totals as (select doc_id, judge, sum(coalesce(score, 0)) as score from votes group by 1, 2),
@@ -269,7 +275,7 @@ select ja as judge_a, jb as judge_b, round(quantile_cont(q, 0.025), 6) as low, r
 def bootstrap_interval(spark, sf_dir):
     """Percentile interval of each pair's kappa over resampled sources, with weights that SQL can compute."""
     sums = _projects(spark, sf_dir)
-    ranked = sums.select("project").distinct().select("project", F.row_number().over(Window.orderBy("project")).alias("k"))
+    ranked = ag.numbered(sums, "project")[0].withColumn("k", F.col("k") + 1)
     rep = F.explode(F.sequence(F.lit(0), F.lit(_REPS - 1))).alias("rep")
     weights = ranked.select("project", "k", rep).select("rep", "project", ((F.col("rep") * 7 + F.col("k") * 13 + F.col("rep") * F.col("k") % 11) % 4).cast("double").alias("w"))
     out = ag.bootstrap_qwk(sums, weights, ["rater_a", "rater_b"])
@@ -278,9 +284,9 @@ def bootstrap_interval(spark, sf_dir):
 
 @query()
 def bootstrap_seeded(spark, sf_dir):
-    """The same with 2000 replicates drawn from seed 42."""
+    """The same with 2000 replicates, each drawn by a generator of its own under seed 42."""
     sums = _projects(spark, sf_dir)
-    return ag.bootstrap_qwk(sums, ag.bootstrap_weights(sums.select("project"), _REPS), ["rater_a", "rater_b"])
+    return ag.bootstrap_qwk(sums, ag.resampled(sums, _REPS), ["rater_a", "rater_b"])
 
 
 def _study(spark, sf_dir):
@@ -308,8 +314,8 @@ def validation_by_median(spark, sf_dir):
     return validation.against_median(*_study(spark, sf_dir)).select("n_items", "n_projects", *[F.round(c, 6).alias(c) for c in rounded])
 
 
-@query(f"with {VOTES_SQL}, p as (select a.judge as ja, b.judge as jb, a.score as a, b.score as b from votes a join votes b on a.doc_id = b.doc_id and a.item = b.item and a.judge < b.judge where a.score is not null and b.score is not null) "
-       f"select cast(ja as varchar) as judge_a, cast(jb as varchar) as judge_b, count(*) as n, round({_QWK}, 6) as qwk from p group by 1, 2")
+@query(f"with {VOTES_SQL}, p as (select a.judge as ja, b.judge as jb, a.score as a, b.score as b from votes a join votes b on a.doc_id = b.doc_id and a.item = b.item and a.judge < b.judge where a.score is not null and b.score is not null), "
+       f"{_dense('p')} select cast(ja as varchar) as judge_a, cast(jb as varchar) as judge_b, count(*) as n, round({_QWK}, 6) as qwk from d group by 1, 2")
 def panel_internal(spark, sf_dir):
     v = votes(spark, sf_dir).select(F.col("doc_id").alias("project"), "item_id", F.col("judge").cast("string").alias("judge"), F.col("score").cast("string").alias("level"))
     return validation.panel_agreement(v).withColumn("qwk", F.round("qwk", 6))
@@ -319,12 +325,10 @@ def panel_internal(spark, sf_dir):
 def validation_report(spark, sf_dir):
     system, jurors = _study(spark, sf_dir)
     v = votes(spark, sf_dir).select(F.col("doc_id").alias("project"), "item_id", F.col("judge").cast("string").alias("judge"), F.col("score").cast("string").alias("level"))
-    # Projects are all documents here, so a few replicates stand for the study's 2000.
-    return validation.report(system, jurors, v, ag.bootstrap_weights(system.select("project"), 20))
+    return validation.report(system, jurors, v, ag.resampled(system, _REPS))
 
 
-@query(f"""with {VOTES_SQL} select a.judge as run_a, b.judge as run_b, count(*) as n, round(1 - sum((a.score - b.score) * (a.score - b.score)) / nullif(sum(a.score * a.score) + sum(b.score * b.score) - 2.0 * sum(a.score) * sum(b.score) / count(*), 0), 6) as qwk,
-  round(100 * avg((a.score = b.score)::int), 2) as identical_pct from votes a join votes b on a.doc_id = b.doc_id and a.item = b.item and a.judge < b.judge where a.score is not null and b.score is not null group by 1, 2""")
+@query(f"""with {PAIRS_SQL}, {_dense('pairs')} select ja as run_a, jb as run_b, count(*) as n, round({_QWK}, 6) as qwk, round(100 * avg(same::int), 2) as identical_pct from d group by 1, 2""")
 def retest_runs(spark, sf_dir):
     runs = votes(spark, sf_dir).select(F.col("judge").alias("run"), F.col("doc_id").alias("project"), "item_id", "score")
     return ag.retest(runs).withColumn("qwk", F.round("qwk", 6))
