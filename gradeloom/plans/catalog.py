@@ -606,3 +606,20 @@ def progress_counts(spark, sf_dir):
     """Events by kind and hour: an extension, in batch what the stream computes."""
     e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"))
     return progress.counts_by_window(e, "1 hour").select(F.col("window.start").alias("start"), "kind", "n")
+
+
+_EPISODES_SQL = """with e as (select cast(user_id as varchar) as evaluation_id, case when event_type = 'signup' then 'escuchar' else event_type end as kind, ts, cast(event_id as varchar) as detail from events where user_id is not null and ts is not null),
+o as (select *, coalesce(sum((kind = 'purchase')::int) over (partition by evaluation_id order by ts, kind, detail rows between unbounded preceding and 1 preceding), 0) as ends from e where kind <> 'escuchar'),
+a as (select *, lag(ts) over w as before, row_number() over w as seq from o where ends = 0 window w as (partition by evaluation_id order by ts, kind, detail)),
+p as (select *, coalesce(ts > before + interval 6 hour, false) as gap, sum(coalesce(ts > before + interval 6 hour, false)::int) over (partition by evaluation_id order by seq) as episode from a)
+select evaluation_id, 'event' as status, kind, detail, ts, cast(episode as int) as episode, cast(seq as int) as seq from p
+union all select evaluation_id, 'idle', null, null, before + interval 6 hour, cast(episode - 1 as int), cast(seq - 1 as int) from p where gap
+union all select e.evaluation_id, 'replay', p.kind, p.detail, e.ts, cast(episode as int), cast(seq as int) from e join p using (evaluation_id) where e.kind = 'escuchar' and p.kind = 'purchase' and e.ts > p.ts"""
+
+
+@query(_EPISODES_SQL)
+def progress_episodes(spark, sf_dir):
+    """Users' events as evaluations' progress: purchases end one, signups listen, six hours are a pause."""
+    kind = F.when(F.col("event_type") == "signup", progress.LISTEN).otherwise(F.col("event_type"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("evaluation_id"), kind.alias("kind"), "ts", F.col("event_id").cast("string").alias("detail"))
+    return progress.progress_log(e, ("purchase",), 6 * 3600)
