@@ -52,6 +52,11 @@ def nearest(queries: DataFrame, passages: DataFrame, k: int = 2) -> DataFrame:
     """
     scored = passages.select("passage_id", F.col("vector").alias("_v")).crossJoin(small(queries.select("query_id", F.col("vector").alias("_q"))))
     scored = scored.select("query_id", "passage_id", cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+    return best(scored, k)
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, of equals the lesser passage_id; each of 64 parts of a query keeps k first."""
     order = [F.col("similarity").desc(), F.col("passage_id")]
     local = scored.withColumn("_part", F.pmod(F.xxhash64("passage_id"), F.lit(64)))
     local = local.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_n") <= k)

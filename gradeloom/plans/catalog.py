@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as tx
 from gradeloom.operators import agreement as ag
-from gradeloom.operators import argue, library, panel, redact, segment, store, textstats, validation
+from gradeloom.operators import argue, library, panel, redact, requests, segment, store, textstats, validation, vectors
 from gradeloom.plans.inputs import BANDS_SQL, ITEMS_SQL, PAIRS_SQL, VOTES_SQL, bands, items, table, votes
+from gradeloom.session import new_folder
 from gradeloom.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,6 +495,16 @@ def passages_topk(spark, sf_dir):
     return library.nearest(q, e).select("query_id", "passage_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query()
+def passages_probed(spark, sf_dir):
+    """The same through an index of all vectors that is built first; it finds nine in ten of them and more."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vector"))
+    folder = new_folder(spark, "passages")
+    vectors.build(e.where(F.size("vector") == F.lit(64)), folder)
+    q = e.where("passage_id % 100 = 0").withColumnRenamed("passage_id", "query_id")
+    return vectors.search(spark, folder, q).select("query_id", "passage_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("select source as book, cast(count(*) as bigint) as fragments from documents group by 1")
 def fragments_per_book(spark, sf_dir):
     return library.fragments_per_book(table(spark, sf_dir, "documents").withColumnRenamed("source", "book"))
@@ -623,3 +634,28 @@ def progress_episodes(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", progress.LISTEN).otherwise(F.col("event_type"))
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("evaluation_id"), kind.alias("kind"), "ts", F.col("event_id").cast("string").alias("detail"))
     return progress.progress_log(e, ("purchase",), 6 * 3600)
+
+
+_SENT = "conv_id % 4 <> 3"
+_BATCH = "case conv_id % 5 when 0 then 'completed' when 1 then 'failed' when 2 then 'expired' when 3 then case when role = 'user' then 'in_progress' else 'completed' end else 'cancelled' end"
+_REQUESTS_SQL = f"""with q as (select *, cast(conv_id as varchar) || ':' || cast(turn as varchar) as request_id, conv_id * 1000 + turn as pos, cast(length(coalesce(text, '')) as bigint) as tokens from conversations where conv_id is not null and turn is not null),
+r as (select request_id, min_by(role, (pos, role)) as model, min_by(tokens, (pos, role)) as tokens, min(pos) as pos, bool_or({_SENT}) as went, min_by({_BATCH}, (pos, role)) as status,
+  bool_or(conv_id % 5 = 0 and turn % 3 <> 1) as replied, bool_or(conv_id % 5 = 0 and turn % 3 <> 1 and conv_id % 2 = 0) as good from q group by 1),
+s as (select *, case when replied and good then 'answered' when replied then 'failed' when went and status not in ('failed', 'expired', 'cancelled') then 'in flight' else 'pending' end as state from r),
+u as (select *, sum(tokens + 2500) over w as upto, row_number() over w as n from s where state = 'pending' and model not in (select coalesce(role, '') from q where {_SENT} and {_BATCH} = 'in_progress') window w as (partition by model order by pos, request_id))
+select s.request_id, s.model, s.state, cast(s.went::int as bigint) as attempts, coalesce(u.n = 1 or u.upto <= 1000000, false) as send from s left join u using (request_id)"""
+
+
+@query(_REQUESTS_SQL)
+def batch_requests(spark, sf_dir):
+    """Turns as requests of their role: what became of each, and which go out next."""
+    q = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    q = q.withColumns({"request_id": F.expr("concat(conv_id, ':', turn)"), "pos": F.expr("conv_id * 1000 + turn"), "tokens": F.length(F.coalesce("text", F.lit(""))).cast("long"), "_status": F.expr(_BATCH)})
+    new = q.groupBy("request_id").agg(F.min_by(F.struct(F.col("role").alias("model"), "tokens", "pos", "conv_id", "turn", "_status", F.col("role")), F.struct("pos", "role")).alias("_q")).select("request_id", "_q.*")
+    log = requests.record(spark.createDataFrame([], requests.REQUESTS), new.withColumn("body", F.lit("{}")))
+    sent = new.where(_SENT).select(F.expr("concat_ws('-', role, conv_id % 5, _status)").alias("batch_id"), "request_id", F.lit(None).cast("timestamp").alias("sent_at"))
+    batches = new.where(_SENT).select(F.expr("concat_ws('-', role, conv_id % 5, _status)").alias("batch_id"), "model", F.col("_status").alias("status")).distinct()
+    answers = new.where("conv_id % 5 = 0 and turn % 3 <> 1").select("request_id", F.expr("case when conv_id % 2 = 0 then 200 else 500 end").alias("status"), F.lit(None).cast("string").alias("error"), F.lit("{}").alias("body"))
+    known = requests.states(log, sent, batches, answers)
+    going = requests.next_batch(known, batches).select("request_id", F.lit(True).alias("send"))
+    return known.join(going, "request_id", "left").select("request_id", "model", "state", F.col("attempts").cast("long").alias("attempts"), F.coalesce("send", F.lit(False)).alias("send"))
