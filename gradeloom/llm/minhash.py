@@ -300,13 +300,22 @@ def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialise(known.join(merged.select(F.col("id").alias("label"), F.col("label").alias("_to")), "label", "left").select("doc_id", F.coalesce("_to", "label").alias("label")), "labels")
 
 
+def _tied(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` after ids that stand with several texts have joined these texts' components; ids that stand once tie nothing."""
+    texts = member.groupBy("doc_id").agg(F.min("rep").alias("_min"), F.max("rep").alias("_max"))
+    several = texts.where("_min <> _max").select("doc_id").union(texts.join(labels, "doc_id", "left_semi").select("doc_id"))
+    ties = materialise(member.join(several.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "ties")
+    return labels if ties.isEmpty() else _relabel(labels, ties)
+
+
 def near_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row of ``docs``.
 
     Documents are linked if 100 * intersection >= similarity * union of their sets of
     distinct word shingles (A-Z lower-cased; words parted by ASCII white space; a text of
     fewer words is one shingle). Null, empty and blank texts have no shingles and no links.
-    component_id is the smallest doc_id reachable. Rows without doc_id come back with null
+    component_id is the smallest doc_id reachable. Rows of one doc_id are one document of several
+    texts: links of any of them hold for the id, and all of them get its component. Rows without doc_id come back with null
     component_id and are kept. Other columns of ``docs`` are not looked at.
     """
     s, spark = settings, docs.sparkSession
@@ -340,8 +349,9 @@ def near_components(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     doubtful = materialise(_doubtful(_cells(named, s.block), sketches, s, limit), "doubtful")
     more = materialise(_joining(doubtful, sets, s), "joining")
     labels = _relabel(labels, more)
-    reps_of = member.withColumnRenamed("rep", "_rep").join(labels.select(F.col("doc_id").alias("_rep"), "label"), "_rep", "left").select("doc_id", F.coalesce("label", "_rep").alias("_component"))
-    found = materialise(reps_of.union(labels.select("doc_id", "label")).distinct(), "components")
+    labels = _tied(member, labels)
+    alone = member.join(labels, "doc_id", "left_anti").join(labels.select(F.col("doc_id").alias("rep"), "label"), "rep", "left")
+    found = materialise(alone.select("doc_id", F.coalesce("label", "rep").alias("_component")).distinct().union(labels), "components")
     out = sigs.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
