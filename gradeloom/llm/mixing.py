@@ -110,6 +110,10 @@ def passes_of(rows) -> dict:
     return out
 
 
+#: Columns of this name in a table are out of the way while it is mixed.
+WORKING = ("_source", "_block", "_base", "_part", "_cut", "_closers", "_shards", "_rank", "_at")
+
+
 def mix_counts(docs: DataFrame, *, weights: dict | None = None, share: float = 1.5, cap: float = 2.0, blocks: int = 1024, words_per_shard: int = 20_000_000, seed: int = 11) -> DataFrame:
     """All rows of ``docs`` plus size, source_size, target, copies and shards (one for each copy).
 
@@ -120,7 +124,7 @@ def mix_counts(docs: DataFrame, *, weights: dict | None = None, share: float = 1
     ``docs`` with the names above are replaced.
     """
     docs = docs.drop(*COUNTED)
-    spark = docs.sparkSession
+    docs, spark = docs.withColumnsRenamed({c: f"{c}_own" for c in WORKING if c in docs.columns}), docs.sparkSession
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("rank")), "sizes")
     blocks = max(1, min(blocks, PLAN_ROWS // max(1, sized.select("source").distinct().count())))
     sized, rows, quotas, draws, gaps, wanted, ordered = plan_mix(sized, weights=weights, share=share, cap=cap, blocks=blocks, seed=seed)
@@ -142,7 +146,8 @@ def mix_counts(docs: DataFrame, *, weights: dict | None = None, share: float = 1
     found = words.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_block")), "left")
     more = (F.coalesce(F.col("_part") & (F.col("_rank") <= F.col("_cut")), F.lit(False)) | F.coalesce(F.array_contains("_closers", F.col("_rank")), F.lit(False))).cast("int")
     found = found.withColumn("copies", F.coalesce(F.col("_base") + more, F.lit(0)))
-    return found.withColumn("shards", F.slice("_shards", F.lit(1), F.col("copies"))).select(*words.columns[:-3], "size", "source_size", "target", "copies", "shards")
+    found = found.withColumn("shards", F.slice("_shards", F.lit(1), F.col("copies"))).select(*words.columns[:-3], "size", "source_size", "target", "copies", "shards")
+    return found.withColumnsRenamed({f"{c}_own": c for c in WORKING})
 
 
 def _cut_last_blocks(spark, sized: DataFrame, rows, gaps) -> dict:

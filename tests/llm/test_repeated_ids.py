@@ -1,8 +1,8 @@
-"""Near components where ids repeat: one row for each row, one component for each id."""
+"""Near components where ids repeat; mixing beside columns of its own working names."""
 
 import random
 
-from gradeloom.llm import minhash
+from gradeloom.llm import minhash, mixing
 from tests.llm.test_operators import WORD, low
 
 A = " ".join(f"a{i}" for i in range(60))
@@ -47,3 +47,15 @@ def test_repeated_and_missing_ids_against_plain_merging(spark):
             words[rng.randrange(50)] = f"x{rng.randrange(3)}"
         rows.append((rng.choice([None, *range(40)]), rng.choice([" ".join(words), " ".join(words), None, "two words"])))
     assert got(spark, rows) == plain(rows)
+
+
+def test_columns_named_as_working_ones_stay(spark):
+    rows = [(i, f"w{i} " * (i % 7), f"s{i % 3}" if i % 5 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    named = docs
+    for c in mixing.WORKING:
+        named = named.selectExpr("*", f"doc_id as {c}")
+    got = {r.doc_id: r for r in mixing.mix_counts(named).collect()}
+    assert {i: (r.copies, r.shards) for i, r in got.items()} == {r.doc_id: (r.copies, r.shards) for r in mixing.mix_counts(docs).collect()}
+    assert all(r[c] == i for i, r in got.items() for c in mixing.WORKING)
+    assert mixing.mix(named).columns == [*named.columns, "copy", "shard"]
