@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def _folding() -> tuple[str, str]:
+    """(letters, what they are without marks) of all Latin letters that decompose; the marks themselves come last and stand for nothing."""
+    letters = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00), (0x212A, 0x212B)) for c in block]
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) for c in letters}
+    folded = {c: b for c, b in bare.items() if b != c and len(b) == 1}
+    return "".join(folded) + "".join(map(chr, range(0x300, 0x370))), "".join(folded.values())
+
+
+_ACCENTED, _PLAIN = _folding()
 #: What Python's splitlines parts at.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 ZERO_WIDTH = "\u200b"
