@@ -9,58 +9,43 @@ agree in a sample with the probability of their generalised Jaccard similarity.
 
 from __future__ import annotations
 
-from functools import lru_cache
-from math import exp, log
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import SPACE, materialise
 
-#: Samples of a fingerprint: as many groups, each worked out by one row of a term.
-GROUPS, PER_GROUP = 8, 16
+#: Samples of a fingerprint: as many groups, each worked out by one row of a term. Few samples a row
+#: keep the generated method small enough to be compiled.
+GROUPS, PER_GROUP = 32, 4
 SAMPLES = GROUPS * PER_GROUP
 #: Bits of a packed sample that hold its hash; the other bits order the keys.
 TAG_BITS = 24
+#: Keys lie between -(22 + 45 + ln w) and 5, as ln c is at least -22 and r at most 45. Keys are told apart by 2**-31.
+KEY_SHIFT, KEY_SCALE = 128.0, 2.0**31
 
 
-def _uniform(bits: Column, width: int) -> Column:
-    """A number in (0, 1) from the low ``width`` bits."""
-    return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * F.lit(2.0**-width)
-
+def _uniform(bits: Column, shift: int) -> Column:
+    """A number in (0, 1) from the 32 bits above ``shift``."""
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) * F.lit(2.0**-32)
 
-@lru_cache
-def _gamma_steps(cells: int = 256) -> list[float]:
-    """Quantiles of Gamma(2, 1) in the middle of equal cells, in units of ln 2."""
-    out = []
-    for i in range(cells):
-        low, high, at = 0.0, 64.0, (i + 0.5) / cells
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if 1 - (1 + mid) * exp(-mid) < at else (low, mid)
-        out.append(low / log(2))
-    return out
 
+def draws(term: Column, sample: Column) -> dict[str, Column]:
+    """What a term draws for a sample: r, the logarithm of c, b, and the hash that b is from.
 
-def sample_key(term: Column, log_weight: Column, sample: Column) -> Column:
-    """A long whose minimum over the terms is the sample: c * exp(-r * (t - b + 1)), then a tag of (term, t).
-
-    One hash gives b (16 bits), r (one of 256 quantiles) and c (40 bits; its quantile as a series in
-    the square root). ``log_weight`` is to base 2, as r is, so that the power is a shift and a
-    factor between 1 and a half: logarithms would take most of the time.
+    Minus the logarithm of a product of two uniform numbers is a draw from Gamma(2, 1).
     """
     h = F.xxhash64(term, sample)
-    b = _uniform(h, 16)
-    r = F.get(F.split(F.lit(",".join(map(str, _gamma_steps()))), ",").cast("array<double>"), F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(255)).cast("int"))
-    y = F.sqrt((F.shiftrightunsigned(h, 24).cast("double") + 0.5) * F.lit(2.0**-39))
-    c = y * (F.lit(1.0) + y * (F.lit(1 / 3) + y * F.lit(7 / 72)))
-    t = F.when(log_weight == 0.0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
-    power = r * (t - b + F.lit(1.0))
-    whole = F.floor(power)
-    rest = power - whole
-    part = F.lit(1.0) - rest * (F.lit(0.6565) - rest * F.lit(0.1565))
-    level = F.call_function("shiftright", (c * part * F.lit(2.0**37)).cast("long"), F.least(whole, F.lit(62)).cast("int"))
-    return F.shiftleft(level, TAG_BITS) + (h + t * F.lit(7919)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    g = F.xxhash64(h)
+    m = F.xxhash64(g)
+    return {"r": -F.ln(_uniform(h, 0) * _uniform(h, 32)), "c": F.ln(-F.ln(_uniform(g, 0) * _uniform(g, 32))), "b": _uniform(m, 32), "m": m}
+
+
+def sample_key(drawn: dict[str, Column], log_weight: Column) -> Column:
+    """A long whose minimum over the terms is the sample: the key, then a tag of (term, t); null without a weight."""
+    t = F.floor(log_weight / drawn["r"] + drawn["b"])
+    key = drawn["c"] - drawn["r"] * (t - drawn["b"] + F.lit(1.0))
+    level = ((key + F.lit(KEY_SHIFT)) * F.lit(KEY_SCALE)).cast("long")
+    return F.when(log_weight.isNotNull(), F.shiftleft(level, TAG_BITS) + (drawn["m"] + t * F.lit(7919)).bitwiseAND(F.lit((1 << TAG_BITS) - 1)))
 
 
 def with_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -72,22 +57,28 @@ def with_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     return hashed.select(*keys, F.explode(F.when(n == 1, F.col("_h")).otherwise(pairs)).alias("term"))
 
 
-def sketches(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row for each row of ``keys``: the packed minimum of every sample, null without terms.
+def sketches(texts: DataFrame, keys: list[str], text: str = "text", variants: dict[str, str] | None = None) -> DataFrame:
+    """One row for each row of ``keys`` and group of samples: part, the group's tags as hex.
 
     Counting and sampling group by ``keys`` and the term, so a table that is partitioned by
-    some of the keys already is not shuffled again.
+    some of the keys already is not shuffled again. ``variants`` names several texts of one row:
+    ``{"own": "text", "new": "edited"}`` gives columns own and new, null where that text has no term. What
+    a term draws is worked out once for all of them, as it does not depend on the weight.
     """
-    weighted = with_terms(texts, keys, text).groupBy(*keys, "term").agg(F.log2(F.count("*").cast("double")).alias("w"))
-    rows = weighted.select(*keys, "term", "w", F.explode(F.array(*[F.lit(PER_GROUP * g) for g in range(GROUPS)])).alias("first"))
-    mins = [F.min(sample_key(F.col("term"), F.col("w"), F.col("first") + F.lit(i))).alias(f"s{i}") for i in range(PER_GROUP)]
-    return rows.groupBy(*keys, "first").agg(*mins)
-
-
-def as_text() -> Column:
-    """The samples of one group as hex, six digits each."""
-    tags = [F.col(f"s{i}").bitwiseAND(F.lit((1 << TAG_BITS) - 1)) for i in range(PER_GROUP)]
-    return F.concat(*[F.lpad(F.lower(F.hex(t)), 6, "0") for t in tags])
+    variants = variants or {"part": text}
+    each = F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("text")) for i, c in enumerate(variants.values())])
+    single = texts.select(*keys, F.explode(each).alias("_t")).select(*keys, "_t.v", "_t.text")
+    # The logarithm of a count of zero is null.
+    logs = [F.ln(F.count_if(F.col("v") == i).cast("double")).alias(f"w{i}") for i in range(len(variants))]
+    weighted = with_terms(single, [*keys, "v"], "text").groupBy(*keys, "term").agg(*logs)
+    rows = weighted.withColumn("first", F.explode(F.array(*[F.lit(PER_GROUP * g) for g in range(GROUPS)])))
+    drawn = [draws(F.col("term"), F.col("first") + F.lit(i)) for i in range(PER_GROUP)]
+    rows = rows.select(*keys, "first", *[f"w{v}" for v in range(len(variants))], *[c.alias(f"{k}{i}") for i, d in enumerate(drawn) for k, c in d.items()])
+    seen = [{k: F.col(f"{k}{i}") for k in d} for i, d in enumerate(drawn)]
+    mins = [F.min(sample_key(d, F.col(f"w{v}"))).alias(f"s{v}_{i}") for v in range(len(variants)) for i, d in enumerate(seen)]
+    tag = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit((1 << TAG_BITS) - 1)))), 6, "0")
+    found = rows.groupBy(*keys, "first").agg(*mins)
+    return found.select(*keys, "first", *[F.concat(*[tag(f"s{v}_{i}") for i in range(PER_GROUP)]).alias(name) for v, name in enumerate(variants)])
 
 
 def _joined(part: Column) -> Column:
@@ -105,8 +96,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fingerprint) of column text; texts without a word have no row."""
-    parts = sketches(docs, keys).select(*keys, "first", as_text().alias("part"))
-    return parts.groupBy(*keys).agg(_joined(F.col("part")).alias("fingerprint"))
+    return sketches(docs, keys).groupBy(*keys).agg(_joined(F.col("part")).alias("fingerprint"))
 
 
 def _longs(values: list[int]) -> Column:
@@ -184,10 +174,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half))
     rows = rows.select("bucket", "pos", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     facts = rows.select("bucket", "pos", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    both = rows.select("bucket", "pos", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("_t"))
-    prints = sketches(both.select("bucket", "pos", "_t.which", "_t.text"), ["bucket", "pos", "which"]).select("bucket", "pos", "which", "first", as_text().alias("part"))
-    own, new = (_joined(F.when(F.col("which") == w, F.col("part"))) for w in (0, 1))
-    prints = prints.groupBy("bucket", "pos").agg(own.alias("own"), new.alias("new"))
+    prints = sketches(rows, ["bucket", "pos"], variants={"own": "text", "new": "edited"})
+    prints = prints.groupBy("bucket", "pos").agg(*[_joined(F.col(c)).alias(c) for c in ("own", "new")])
     found = facts.join(prints, ["bucket", "pos"], "left").withColumns({"own": F.coalesce("own", F.lit("")), "new": F.coalesce("new", F.lit(""))})
     found = found.withColumn("_next", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
     found = found.join(heads.select("bucket", "head_print"), "bucket")

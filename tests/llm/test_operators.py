@@ -2,13 +2,16 @@
 
 import hashlib
 import itertools
+import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gradeloom.llm import chat, crf, exact_dedup, fingerprints, line_dedup, minhash, mixing, pieces, pii, quality, registry, sharding
@@ -310,6 +313,53 @@ def test_likeness_is_near_the_generalised_jaccard(spark):
     assert fingerprints.SAMPLES >= 128
 
 
+def _plain_fingerprint(text):
+    """Consistent weighted sampling of one text, term by term."""
+    hashed = lambda x, kind, seed=42: xxhash.xxh64_intdigest(struct.pack(kind, x), seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text)]
+    terms = [signed(hashed(b, "<q", hashed(a, "<q"))) for a, b in itertools.pairwise(words)] or words
+    out = []
+    for i in range(fingerprints.SAMPLES if terms else 0):
+        best = None
+        for term, w in Counter(terms).items():
+            h = hashed(i, "<i", hashed(term, "<q"))
+            g = hashed(signed(h), "<q")
+            m = hashed(signed(g), "<q")
+            u = [((x >> s & 0xFFFFFFFF) + 0.5) / 2**32 for x in (h, g, m) for s in (0, 32)]
+            r, c, b = -math.log(u[0] * u[1]), -math.log(u[2] * u[3]), u[5]
+            t = math.floor(math.log(w) / r + b)
+            key = math.log(c) - r * (t - b + 1)
+            best = min(best or (math.inf, 0), (key, (m + t * 7919) & 0xFFFFFF))
+        out.append(f"{best[1]:06x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_plain_sampling(spark):
+    texts = [BASE, "a b " * 40 + BASE, "one", "", None, "é 漢 é 漢 é x", "to be or not to be " * 9, "z " * 3000 + BASE]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(rows).collect()}
+    for i, text in enumerate(texts):
+        text, other = text or "", texts[i - 1] or ""
+        half = len(text) // 2
+        assert got[i].fingerprint == _plain_fingerprint(text)
+        assert got[i].edited_fingerprint == _plain_fingerprint(text[: len(text) - half] + other[:half])
+
+
+@pytest.mark.parametrize(("heavy", "single", "other"), [(50, 100, 1), (16, 100, 1), (8, 15, 1), (2, 1, 1), (300, 40, 20)])
+def test_agreement_is_the_generalised_jaccard_for_uneven_weights(spark, heavy, single, other):
+    """One term of weight ``heavy`` beside ``single`` terms of weight 1, against a bag that has it ``other`` times."""
+    sample = spark.range(40_000).select(F.col("id").cast("int").alias("sample"))
+    won = {}
+    for name, weight in (("a", heavy), ("b", other)):
+        terms = spark.createDataFrame([(0, float(weight)), *[(k, 1.0) for k in range(1, single + 1)]], "term long, w double")
+        keyed = sample.crossJoin(F.broadcast(terms)).select("sample", fingerprints.sample_key(fingerprints.draws(F.col("term"), F.col("sample")), F.ln("w")).alias("k"))
+        won[name] = keyed.groupBy("sample").agg((F.min("k").bitwiseAND(F.lit(0xFFFFFF))).alias(name))
+    agree = won["a"].join(won["b"], "sample").agg(F.avg((F.col("a") == F.col("b")).cast("double"))).first()[0]
+    want = (min(heavy, other) + single) / (max(heavy, other) + single)
+    assert abs(agree - want) < 3 * (want * (1 - want) / 40_000) ** 0.5
+
+
 def test_sharding(spark, tmp_path):
     """Against a list of rows: every version reads as what had been appended by then."""
     root = f"file://{tmp_path}/store"
