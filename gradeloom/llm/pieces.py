@@ -404,17 +404,37 @@ def _spread(words: DataFrame) -> DataFrame:
     return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
 
 
+def _splits_alike(docs: DataFrame) -> bool:
+    """Whether the plan is a table of files, or rows of the driver, with columns chosen, so that each reading has the same partitions."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project" and plan.deterministic():
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() in ("LogicalRelation", "LocalRelation")
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` plus ids (array of ints) of column text; and decoded, their text, if asked for.
 
     A null or empty text has an empty array. U+2581 in a text is a space to the model, so it
-    decodes to one. Columns ids and decoded of ``docs`` are replaced. ``docs`` is read three times and must
-    be split alike, as a table of files is: a chunk is up to 2**CHUNK_BITS rows of one partition,
-    in whose order they stay. The distinct parts of all texts go through ``encode_words``, the most
+    decodes to one. Columns ids and decoded of ``docs`` are replaced, others may have any name; rows of equal
+    id or text each keep their own row. ``docs`` is read three times and has to be split alike each time, as
+    a table of files is; anything else (a shuffle, a join, a filter) is written to the shared folder first. A chunk
+    is up to 2**CHUNK_BITS rows of one partition, in whose order they stay. The distinct parts of all texts go through ``encode_words``, the most
     frequent ones first: these are sent to all tasks, at most COMMON_PARTS of them. The ids of
     the others are joined to the chunks they are in.
     """
     docs, spark = docs.drop("ids", "decoded"), docs.sparkSession
+    if not _splits_alike(docs):
+        docs = materialise(docs, "texts")
+    in_chunk, in_row = (_free_name(docs, n) for n in ("_chunk", "_row"))
     known = spark.sparkContext.broadcast(common_parts(docs, model))
     chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
     used = materialise(_parts(docs.select(chunk.alias("_chunk"), "text"), model, known).select("_chunk", "word"), "words")
@@ -423,13 +443,13 @@ def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame
     words = used.groupBy("word").agg(F.min("_chunk").alias("_first")).where("_first is not null").select("word")
     short = encode_words(words.where(F.length("word") <= LONG), model).select("word", "ids")
     coded = short.unionByName(_encode_long(words.where(F.length("word") > LONG), model))
-    placed = docs.select(chunk.alias("_chunk"), F.monotonically_increasing_id().alias("_row"), "*")
+    placed = docs.select(chunk.alias(in_chunk), F.monotonically_increasing_id().alias(in_row), "*")
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * and_decode]
     schema, text = T.StructType([*docs.schema.fields, *added]), placed.columns.index("text")
     names = schema.names
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        order = pc.sort_indices(rows.column("_row")).to_numpy()
+        order = pc.sort_indices(rows.column(in_row)).to_numpy()
         if (order[1:] < order[:-1]).any():
             rows = rows.take(order)
         values = pa.concat_arrays(own.column("word").chunks or [pa.array([], pa.string())])
@@ -448,7 +468,7 @@ def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame
         return pa.table(columns + [pa.array(decode_ids(ids, cuts, model), type=pa.string())] * and_decode, names=names)
 
     own = used.join(coded, "word").select("_chunk", "word", "ids")
-    return placed.groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(run, schema)
+    return placed.groupBy(in_chunk).cogroup(own.groupBy("_chunk")).applyInArrow(run, schema)
 
 
 def _encode_long(words: DataFrame, model: Model) -> DataFrame:

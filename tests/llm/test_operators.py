@@ -436,6 +436,22 @@ def test_documents_are_encoded_by_joins_and_folds(spark, monkeypatch):
     assert back == {(r.text, r.decoded) for r in pieces.encode(rows, model, and_decode=True).collect()} and (" a", " a") in back
 
 
+def test_encode_takes_shuffled_rows_and_columns_of_any_name(spark, tmp_path):
+    import sentencepiece
+
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.load()
+    texts = [f"text {i % 50} of {'many ' * (i % 7)}words{i}" if i % 11 else None for i in range(600)]
+    rows = spark.createDataFrame([(i % 40, t, i, "c", "w") for i, t in enumerate(texts)], "doc_id long, text string, _row long, _CHUNK string, word string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/rows")
+    read = spark.read.parquet(f"{tmp_path}/rows")
+    assert pieces._splits_alike(read.select("doc_id", "text"))
+    for docs in (read, read.repartition(7).where("_row % 5 <> 2"), read.join(spark.range(30).withColumnRenamed("id", "doc_id"), "doc_id"), read.withColumn("r", F.rand())):
+        assert docs is read or not pieces._splits_alike(docs)
+        got = sorted((r["_row"], r.text, r.ids) for r in pieces.encode(docs, model).collect())
+        assert got == [(r["_row"], r.text, sp.encode(r.text or "")) for r in docs.orderBy("_row").collect()]
+    assert pieces.encode(read, model).columns == [*read.columns, "ids"]
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
