@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import queue
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = "array<struct<item_id:string,level:string,score:int,evidence:string,observation:string>>"
+TRIED = "array<struct<attempt:int,error:string,seconds:double>>"
 
 
 def render(template: str, values: dict[str, Column]) -> Column:
@@ -34,32 +38,81 @@ def traceability(sections: DataFrame, keys: list[str], most: int = 1200) -> Data
     return some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["part"]), "\n\n").alias("context"))
 
 
-def invoke(requests: DataFrame, ask: Callable[[str], dict], attempts: int = 4, wait: float = 2.0) -> DataFrame:
-    """request_id, status, body, error, tokens_in and tokens_out of each prompt.
+def _within(seconds: float, ask: Callable[[str], dict], prompt: str) -> dict:
+    """What ``ask`` returns, or a TimeoutError once the seconds have gone.
 
-    ``ask`` takes a prompt and returns body, tokens_in, tokens_out. A prompt that fails every
-    attempt gives a row with its error, so one failure stops nothing else. Write the result
-    before using it twice: a task that is run again asks again.
+    Python cannot stop a call, so one that hangs is left behind in a daemon thread of its own.
     """
+    answers: queue.SimpleQueue = queue.SimpleQueue()
+
+    def call():
+        try:
+            answers.put((ask(prompt), None))
+        except Exception as e:  # noqa: BLE001  whatever a service raises counts as a failed attempt
+            answers.put((None, e))
+
+    Thread(target=call, daemon=True).start()
+    try:
+        got, error = answers.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return got
+
+
+def pause(failed: int, unit: float, least: float, most: float) -> float:
+    """Seconds to wait after that many failed attempts: doubling from ``unit``, held between two bounds."""
+    return min(most, max(least, unit * 2 ** (failed - 1)))
+
+
+def invoke(
+    requests: DataFrame, ask: Callable[[str], dict], *, attempts: int = 4, timeout: float = 120.0, at_once: int = 8,
+    waits: tuple[float, float, float] = (1.0, 2.0, 30.0), fatal: tuple[type[Exception], ...] = (),
+) -> DataFrame:
+    """request_id, status, body, error, tokens_in, tokens_out and tried of each prompt.
+
+    ``ask`` takes a prompt and returns body, tokens_in, tokens_out. At most ``at_once`` prompts of a task
+    are under way at a time, each attempt for ``timeout`` seconds (of a hanging service as many calls
+    may be left behind as attempts ran out). Between attempts it waits as ``pause`` says for ``waits``; errors of the
+    ``fatal`` kinds are not tried again. A prompt that fails for good gives a row with its last
+    error (status 504 if that was a timeout, else 500), so one failure stops nothing else. ``tried``
+    has attempt, error (null for the one that succeeded) and seconds of each attempt. A null prompt is not asked and has
+    status 400. Write the result before using it twice: a task that is run again asks again.
+    """
+
+    def one(key: str, prompt: str | None) -> tuple:
+        if prompt is None:
+            return key, 400, None, "no prompt", 0, 0, []
+        tried, status, error = [], 500, None
+        for n in range(1, attempts + 1):
+            began = time.monotonic()
+            try:
+                got, error = _within(timeout, ask, prompt), None
+                result = (key, 200, got["body"], None, got.get("tokens_in", 0), got.get("tokens_out", 0))
+            except Exception as e:  # noqa: BLE001
+                error, status, final = f"{type(e).__name__}: {e}", 504 if isinstance(e, TimeoutError) else 500, isinstance(e, fatal)
+            tried.append({"attempt": n, "error": error, "seconds": time.monotonic() - began})
+            if error is None:
+                return *result, tried
+            if final:
+                break
+            if n < attempts:
+                time.sleep(pause(n, *waits))
+        return key, status, None, error, 0, 0, tried
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, prompt in zip(pdf["request_id"], pdf["prompt"], strict=True):
-                row, error = None, None
-                for n in range(attempts):
-                    try:
-                        got = ask(prompt)
-                        row = (key, 200, got["body"], None, got.get("tokens_in", 0), got.get("tokens_out", 0))
-                        break
-                    except Exception as e:  # noqa: BLE001  whatever a service raises counts as a failed attempt
-                        error = f"{type(e).__name__}: {e}"
-                        if n + 1 < attempts:
-                            time.sleep(min(30.0, wait * 2**n))
-                rows.append(row or (key, 500, None, error, 0, 0))
-            yield pd.DataFrame(rows, columns=["request_id", "status", "body", "error", "tokens_in", "tokens_out"]).astype({"status": "int32", "tokens_in": "int64", "tokens_out": "int64"})
-
-    return requests.select("request_id", "prompt").mapInPandas(run, "request_id string, status int, body string, error string, tokens_in long, tokens_out long")
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                rows = list(pool.map(one, pdf["request_id"], pdf["prompt"]))
+                yield pd.DataFrame(rows, columns=["request_id", "status", "body", "error", "tokens_in", "tokens_out", "tried"]).astype({"status": "int32", "tokens_in": "int64", "tokens_out": "int64"})
+
+    return requests.select("request_id", "prompt").mapInPandas(run, f"request_id string, status int, body string, error string, tokens_in long, tokens_out long, tried {TRIED}")
+
+
+def attempts_of(responses: DataFrame) -> DataFrame:
+    """The log of attempts: request_id, attempt, error, seconds."""
+    return responses.select("request_id", F.explode("tried").alias("_t")).select("request_id", "_t.*")
 
 
 def votes_from(responses: DataFrame, plan: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as tx
 from gradeloom.operators import agreement as ag
-from gradeloom.operators import argue, library, panel, redact, requests, segment, store, textstats, validation, vectors
+from gradeloom.operators import analyses, argue, library, panel, redact, requests, segment, store, textstats, validation, vectors
 from gradeloom.plans.inputs import BANDS_SQL, ITEMS_SQL, PAIRS_SQL, VOTES_SQL, bands, items, table, votes
 from gradeloom.session import new_folder
 from gradeloom.streaming import progress
@@ -486,6 +486,32 @@ def batch_cost(spark, sf_dir):
     return store.batch_cost(r, spark.createDataFrame(_PRICES, "model string, usd_in double, usd_out double"))
 
 
+@query("""with prices(model, usd_in, usd_out) as (values ('user', 1, 4), ('assistant', 3, 12)), c as (select conv_id, turn, role, case when turn % 2 = 0 then 'argument' else 'coherence' end as analysis, length(coalesce(text, '')) as n, turn + 1 as tout,
+case when length(coalesce(text, '')) % 17 = 0 then 'failed at ' || turn end as error from conversations),
+calls as (select c.*, round((n * usd_in + tout * usd_out) / 1e6, 6) as usd from c left join prices on model = role),
+a as (select conv_id, analysis, bool_or(error is not null) as bad, arg_min(error, turn) filter (error is not null) as error, string_agg(n::varchar, ',' order by turn) as vals, sum(n) as ti, sum(tout) as tout, round(sum(usd), 6) as usd from calls group by 1, 2),
+s as (select conv_id, max(case when analysis = 'argument' and not bad then vals end) as argument, max(case when analysis = 'argument' then error end) as argument_error,
+max(case when analysis = 'coherence' and not bad then vals end) as coherence, max(case when analysis = 'coherence' then error end) as coherence_error,
+sum(case when bad then 0 else ti end) as ti, sum(case when bad then 0 else tout end) as tout, sum(case when not bad then usd end) as usd from a group by 1)
+select c.conv_id as eval_id, count(*) as score, cast(any_value(s.ti) + count(*) as bigint) as tokens_in, cast(any_value(s.tout) as bigint) as tokens_out, any_value(s.usd) is null as unpriced, cast(round(coalesce(any_value(s.usd), 0) * 1e6) as bigint) as micro_usd,
+any_value(argument) as argument, any_value(argument_error) as argument_error, any_value(coherence) as coherence, any_value(coherence_error) as coherence_error from c join s using (conv_id) group by 1""")
+def isolated_analyses(spark, sf_dir):
+    """Scores of all conversations with two analyses of their turns, some of whose calls failed."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    calls = rows.select(
+        F.col("conv_id").alias("eval_id"), F.when(F.col("turn") % 2 == 0, "argument").otherwise("coherence").alias("analysis"), F.col("turn").alias("pos"), F.col("role").alias("model"), n.cast("string").alias("value"),
+        F.when(n % 17 == 0, F.concat(F.lit("failed at "), F.col("turn").cast("string"))).alias("error"), n.cast("long").alias("tokens_in"), (F.col("turn") + 1).cast("long").alias("tokens_out"),
+    )
+    # Whole prices: no call costs half a millionth, which Spark and the oracle round apart.
+    prices = spark.createDataFrame([("user", 1.0, 4.0), ("assistant", 3.0, 12.0)], "model string, usd_in double, usd_out double")
+    found = analyses.outcomes(calls, prices)
+    scores = rows.groupBy(F.col("conv_id").alias("eval_id")).agg(F.count("*").alias("score"), F.count("*").alias("tokens_in"), F.lit(0).cast("long").alias("tokens_out"), F.lit(None).cast("double").alias("usd"))
+    out = analyses.attach(scores, found, ["argument", "coherence"])
+    joined = [F.when(F.col(c).isNotNull(), F.array_join(c, ",")).alias(c) for c in ("argument", "coherence")]
+    return out.select("eval_id", "score", "tokens_in", "tokens_out", F.col("usd").isNull().alias("unpriced"), F.round(F.coalesce("usd", F.lit(0.0)) * 1e6).cast("long").alias("micro_usd"), *joined, "argument_error", "coherence_error")
+
+
 @query("""with s as (select a.vec_id as query_id, b.vec_id as passage_id, list_dot_product(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a, embeddings b where a.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by similarity desc, passage_id) as rank from s) select query_id, passage_id, round(similarity, 6) as similarity, rank from r where rank <= 2""")
 def passages_topk(spark, sf_dir):
