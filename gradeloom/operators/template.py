@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import n_words, normal_line, split_lines
@@ -12,30 +12,51 @@ from gradeloom.functions.text import n_words, normal_line, split_lines
 PAGE_BREAK = "\f"
 
 
+#: White space as Unicode has it, with the separators that only some engines count.
+_BLANK = r"[\s\x1C-\x1F]+"
+
+
 def phrase_pattern(phrase: str) -> str:
     """A phrase whatever breaks, spaces or page numbers stand between its words."""
-    return r"(?iu)" + r"\s+(?:\d{1,3}\s+)?".join(re.sub(r"([^\w])", r"\\\1", w) for w in phrase.split())
+    return "(?iU)" + (_BLANK + r"(?:\d{1,3}" + _BLANK + ")?").join(re.sub(r"([^\w])", r"\\\1", w) for w in phrase.split())
+
+
+def _without(text: Column, phrase: str) -> tuple[Column, Column]:
+    """The text with each place of the phrase as a blank and the page ends that it crossed, and how many there are."""
+    places = F.regexp_extract_all(text, F.lit(phrase_pattern(phrase)), F.lit(0))
+    gaps = F.transform(places, lambda m: F.concat(F.lit(" "), F.regexp_replace(m, f"[^{PAGE_BREAK}]", "")))
+    kept = F.split(text, phrase_pattern(phrase))
+    glued = F.array_join(F.zip_with(kept, gaps, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.size(places) > 0, glued).otherwise(text), F.size(places)
+
+
+def _cleaned(rows: DataFrame, text: str, phrases: list[str]) -> DataFrame:
+    """Column ``text`` without the phrases, taken out one after another, and n_removed; lines left blank are emptied."""
+    rows = rows.withColumn("n_removed", F.lit(0))
+    for phrase in phrases:
+        rest, n = _without(F.col(text), phrase)
+        rows = rows.withColumns({text: rest, "n_removed": F.col("n_removed") + n})
+    return rows.withColumn(text, F.regexp_replace(text, r"(?dm)^[ \t\r]+$", ""))
 
 
 def strip_phrases(pages: DataFrame, phrases: list[str]) -> DataFrame:
-    """Take a template's phrases out of each document, across page ends too, and count them.
+    """Take a template's phrases out of each document, across page ends too, and count them: doc_id, page_no, text, n_removed.
 
-    pages: doc_id, page_no, text. Page ends inside a phrase stay, so pages keep their number.
-    ``phrases`` is the template's own short list, longest first where one holds another.
+    pages: doc_id, page_no, text; a null text is an empty page, a page_no that occurs twice two pages, by text.
+    Page ends inside a phrase stay, so pages keep their number. A document of which a page holds the mark of
+    a page end itself is cleaned page by page, with the count of the whole. ``phrases`` is the template's own
+    short list, longest first where one holds another; none leaves all but blank lines as it is.
     """
-    whole = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))).alias("_p"))
-    whole = whole.withColumn("_t", F.array_join(F.transform("_p", lambda p: p["text"]), PAGE_BREAK)).withColumn("n_removed", F.lit(0))
-    for phrase in phrases:
-        # Each place becomes a blank and the page ends that it crossed.
-        pieces = F.regexp_extract_all("_t", F.lit(phrase_pattern(phrase)), F.lit(0))
-        whole = whole.withColumn("_m", pieces).withColumn("n_removed", F.col("n_removed") + F.size("_m"))
-        rest = F.split("_t", phrase_pattern(phrase))
-        gaps = F.transform("_m", lambda m: F.concat(F.lit(" "), F.regexp_replace(m, "[^\f]", "")))
-        glued = F.array_join(F.zip_with(rest, gaps, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        whole = whole.withColumn("_t", F.when(F.size("_m") > 0, glued).otherwise(F.col("_t")))
-    clean = F.split(F.regexp_replace("_t", r"(?m)^[ \t\r]+$", ""), PAGE_BREAK)
-    each = whole.select("doc_id", "n_removed", F.posexplode(F.arrays_zip(F.transform("_p", lambda p: p["page_no"]).alias("page_no"), clean.alias("text"))).alias("_i", "_z"))
-    return each.select("doc_id", F.col("_z.page_no").alias("page_no"), F.col("_z.text").alias("text"), "n_removed")
+    listed = F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text"))))
+    whole = pages.groupBy("doc_id").agg(listed.alias("_p")).withColumn("_t", F.array_join(F.transform("_p", lambda p: p["text"]), PAGE_BREAK))
+    whole = _cleaned(whole, "_t", phrases).withColumn("_c", F.split("_t", PAGE_BREAK))
+    ragged = F.size("_c") != F.size("_p")
+    numbers = F.transform("_p", lambda p: p["page_no"])
+    zipped = F.arrays_zip(numbers.alias("page_no"), "_c")
+    even = whole.where(~ragged).select("doc_id", "n_removed", F.explode(zipped).alias("_z")).select("doc_id", "_z.page_no", F.col("_z._c").alias("text"), "n_removed")
+    alone = whole.where(ragged).select("doc_id", F.col("n_removed").alias("_n"), F.explode("_p").alias("_z")).select("doc_id", "_z.page_no", "_z.text", "_n")
+    alone = _cleaned(alone, "text", phrases).select("doc_id", "page_no", "text", F.col("_n").alias("n_removed"))
+    return even.unionByName(alone)
 
 
 def own_lines(sections: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as tx
 from gradeloom.operators import agreement as ag
-from gradeloom.operators import analyses, argue, library, panel, redact, requests, segment, store, textstats, validation, vectors
+from gradeloom.operators import analyses, argue, library, panel, redact, requests, segment, store, template, textstats, validation, vectors
 from gradeloom.plans.inputs import BANDS_SQL, ITEMS_SQL, PAIRS_SQL, VOTES_SQL, bands, items, table, votes
 from gradeloom.session import new_folder
 from gradeloom.streaming import progress
@@ -512,6 +512,28 @@ def isolated_analyses(spark, sf_dir):
     return out.select("eval_id", "score", "tokens_in", "tokens_out", F.col("usd").isNull().alias("unpriced"), F.round(F.coalesce("usd", F.lit(0.0)) * 1e6).cast("long").alias("micro_usd"), *joined, "argument_error", "coherence_error")
 
 
+_NOTICES = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "under the"]
+_NOTICES_SQL = ["(?i)" + r"\s+(?:\d{1,3}\s+)?".join(w.replace(".", r"\.") for w in p.split()) for p in _NOTICES]
+
+
+def _notices_sql() -> str:
+    steps = "".join(f", s{i + 1} as (select doc_id, n_pages, n_removed + len(regexp_extract_all(t, '{p}')) as n_removed, regexp_replace(t, '{p}', ' ', 'g') as t from s{i})" for i, p in enumerate(_NOTICES_SQL))
+    return f"""with p as (select doc_id, coalesce(text, '') as text, unnest(range(greatest(1, (length(coalesce(text, '')) + 299) // 300))) as i from documents),
+s0 as (select doc_id, count(*) as n_pages, 0 as n_removed, string_agg(substr(text, i * 300 + 1, 300), chr(12) order by i) as t from p group by 1){steps}
+select doc_id, n_pages, n_removed, sha256(regexp_replace(t, '[ \\t\\n\\r\\f]', '', 'g')) as rest_sha256 from s{len(_NOTICES_SQL)}"""
+
+
+@query(_notices_sql())
+def template_phrases(spark, sf_dir):
+    """Licence notices taken out of all documents, cut into pages of 300 characters that notices run across."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("text") / 300)).cast("int") - 1)).alias("page_no"))
+    pages = each.select("doc_id", "page_no", F.substring("text", F.col("page_no") * 300 + 1, F.lit(300)).alias("text"))
+    clean = template.strip_phrases(pages, _NOTICES)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "")
+    return clean.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.max("n_removed").alias("n_removed"), F.sha2(F.regexp_replace(whole, r"[ \t\n\r\f]", ""), 256).alias("rest_sha256"))
+
+
 @query("""with s as (select a.vec_id as query_id, b.vec_id as passage_id, list_dot_product(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a, embeddings b where a.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by similarity desc, passage_id) as rank from s) select query_id, passage_id, round(similarity, 6) as similarity, rank from r where rank <= 2""")
 def passages_topk(spark, sf_dir):
