@@ -51,12 +51,12 @@ def strip_phrases(pages: DataFrame, phrases: list[str]) -> DataFrame:
     whole = pages.groupBy("doc_id").agg(listed.alias("_p")).withColumn("_t", F.array_join(F.transform("_p", lambda p: p["text"]), PAGE_BREAK))
     whole = _cleaned(whole, "_t", phrases).withColumn("_c", F.split("_t", PAGE_BREAK))
     ragged = F.size("_c") != F.size("_p")
-    numbers = F.transform("_p", lambda p: p["page_no"])
-    zipped = F.arrays_zip(numbers.alias("page_no"), "_c")
-    even = whole.where(~ragged).select("doc_id", "n_removed", F.explode(zipped).alias("_z")).select("doc_id", "_z.page_no", F.col("_z._c").alias("text"), "n_removed")
-    alone = whole.where(ragged).select("doc_id", F.col("n_removed").alias("_n"), F.explode("_p").alias("_z")).select("doc_id", "_z.page_no", "_z.text", "_n")
-    alone = _cleaned(alone, "text", phrases).select("doc_id", "page_no", "text", F.col("_n").alias("n_removed"))
-    return even.unionByName(alone)
+    numbers, given = F.transform("_p", lambda p: p["page_no"]), F.transform("_p", lambda p: p["text"])
+    zipped = F.arrays_zip(numbers.alias("page_no"), F.when(ragged, given).otherwise(F.col("_c")).alias("text"))
+    each = whole.select("doc_id", F.col("n_removed").alias("_n"), ragged.alias("_ragged"), F.explode(zipped).alias("_z")).select("doc_id", "_z.page_no", "_z.text", "_n", "_ragged")
+    # Null but for pages of ragged documents, so the second pass looks at no others.
+    each = _cleaned(each.withColumn("_own", F.when(F.col("_ragged"), F.col("text"))), "_own", phrases)
+    return each.select("doc_id", "page_no", F.coalesce("_own", "text").alias("text"), F.col("_n").alias("n_removed"))
 
 
 def own_lines(sections: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:
