@@ -100,7 +100,7 @@ def spearman(pairs: DataFrame, by: list[str]) -> DataFrame:
 def interpret_kappa(value: Column) -> Column:
     """Landis and Koch's words."""
     return (
-        F.when(value.isNull() | F.isnan(value), "no calculable").when(value < 0, "pobre").when(value <= 0.20, "leve").when(value <= 0.40, "aceptable")
+        F.when(value.isNull() | F.isnan(value), "no calculable").when(value < 0, "pobre (peor que el azar)").when(value <= 0.20, "leve").when(value <= 0.40, "aceptable")
         .when(value <= 0.60, "moderado").when(value <= 0.80, "sustancial").otherwise("casi perfecto")
     )
 

@@ -9,9 +9,10 @@ from concurrent.futures import ThreadPoolExecutor
 from threading import Thread
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.functions.text import fold_accents
 ANSWER = "array<struct<item_id:string,level:string,score:int,evidence:string,observation:string>>"
 TRIED = "array<struct<attempt:int,error:string,seconds:double>>"
 
@@ -30,12 +31,43 @@ def item_list(items: DataFrame) -> DataFrame:
     return items.groupBy("section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("items"))
 
 
+def _excerpts(sections: DataFrame, title: Column, text: Column) -> DataFrame:
+    """(doc_id, context): titled texts in the order of the sections, parted by blank lines."""
+    part = F.struct("pos", F.concat(F.lit("["), title, F.lit("]\n"), text).alias("part"))
+    return sections.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["part"]), "\n\n").alias("context"))
+
+
 def traceability(sections: DataFrame, keys: list[str], most: int = 1200) -> DataFrame:
-    """(doc_id, context): first characters of the sections whose names hold one of the keys."""
-    name = F.lower("name")
+    """(doc_id, context): first characters of the sections whose names, without accents, hold one of the keys."""
+    name = fold_accents(F.lower("name"))
     some = sections.where(F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(name, k)) & (F.coalesce("text", F.lit("")) != ""))
-    part = F.struct("pos", F.concat(F.lit("### "), "name", F.lit("\n"), F.substring("text", 1, most)).alias("part"))
-    return some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["part"]), "\n\n").alias("context"))
+    return _excerpts(some, F.col("name"), F.substring("text", 1, most))
+
+
+def cross_cutting(sections: DataFrame, whole: list[str], most: int = 1500) -> DataFrame:
+    """(doc_id, context): present sections by id and name; the ids in ``whole`` in full, of others the first characters.
+
+    sections: doc_id, pos, section_id, name, present, text. A null text is empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    cut = F.when(F.col("section_id").isin(*whole), text).otherwise(F.substring(text, 1, most))
+    return _excerpts(sections.where("present"), F.concat_ws(" ", "section_id", "name"), cut)
+
+
+def judge_roles(spark: SparkSession, path: str, judges: int = 3) -> DataFrame:
+    """(judge, role) of a file with blocks headed ``## juezN``; just the judges 1 to ``judges``, or a ValueError.
+
+    Of blocks with one number the last counts.
+    """
+    texts = spark.read.text(path, wholetext=True)
+    blocks = texts.select(F.posexplode(F.split("value", r"(?m)^## juez(?=\d)")).alias("pos", "block")).where((F.col("pos") > 0) & F.col("block").rlike(r"^\d\s*\n"))
+    told = blocks.select("pos", F.substring("block", 1, 1).cast("int").alias("judge"), F.trim(F.regexp_replace(F.expr("substring(block, 2)"), r"^\s+|\s+$", "")).alias("role"))
+    roles = told.groupBy("judge").agg(F.max_by("role", "pos").alias("role"))
+    # A panel is a handful of judges.
+    found = {r.judge for r in roles.select("judge").limit(judges + 1).collect()}
+    if found != set(range(1, judges + 1)):
+        raise ValueError(f"{path} must describe the judges 1 to {judges}, but has {sorted(found)}")
+    return roles
 
 
 def _within(seconds: float, ask: Callable[[str], dict], prompt: str) -> dict:

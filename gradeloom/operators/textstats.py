@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import ease_band, letter_tokens, mean_sentence_words, n_words, readability, szigriszt, type_token_ratio
+from gradeloom.session import materialise
 
 #: How citations and entries of a reference list are written.
 SURNAME = r"[A-ZÁÉÍÓÚÑ][\p{L}\p{N}_'\-]+"
@@ -66,6 +67,32 @@ def completeness(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.round(F.count_if("present") / F.count("*"), 4).alias("completeness"), F.sum(F.when(F.col("present"), F.col("words")).otherwise(0)).alias("words"))
 
 
+def bodies(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, full_text, body, section_words, sections_present, sections, completeness), one row a document.
+
+    docs: doc_id, full_text. sections: doc_id, pos, section_id, present, words, text. The body is
+    the present sections' texts in order, parted by blank lines, or the whole text where that is
+    empty. section_words has every section, in the order of pos. Sections of a document are a
+    rubric's, so a group is small.
+    """
+    part = F.struct("pos", "section_id", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("words", F.lit(0)).cast("long").alias("words"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("_s"))
+    out = docs.select("doc_id", "full_text").join(packed, "doc_id", "left").withColumn("_s", F.coalesce("_s", F.array().cast(packed.schema["_s"].dataType)))
+    there, n = F.filter("_s", lambda s: s["present"]), F.size("_s")
+    joined = F.array_join(F.transform(there, lambda s: s["text"]), "\n\n")
+    return out.select(
+        "doc_id", "full_text", F.coalesce(F.nullif(joined, F.lit("")), "full_text", F.lit("")).alias("body"),
+        F.transform("_s", lambda s: F.struct(s["section_id"].alias("section_id"), s["words"].alias("words"))).alias("section_words"),
+        F.size(there).alias("sections_present"), n.alias("sections"), F.when(n > 0, F.round(F.size(there) / n, 4)).otherwise(0.0).alias("completeness"),
+    )
+
+
+def document_metrics(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """All deterministic measures of a document: its body's text, words by section, completeness, citations."""
+    whole = bodies(docs, sections)
+    return text_metrics(whole, "body").join(citation_report(whole), "doc_id", "left").drop("full_text", "body")
+
+
 def citations(docs: DataFrame, body: str = "body") -> DataFrame:
     """Distinct (doc_id, surname, year) that a body cites, in running text or in brackets."""
     t = F.coalesce(F.col(body), F.lit(""))
@@ -97,10 +124,13 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def citation_report(docs: DataFrame) -> DataFrame:
-    """Counts of citations and references, and both lists of what has no counterpart."""
-    cited, listed = citations(docs), references(docs)
+    """Counts of citations and references, and both lists of what has no counterpart; one row a doc_id.
+
+    Both tables are written once, as each is read three times. Texts of one doc_id count together.
+    """
+    cited, listed = materialise(citations(docs).distinct(), "cited"), materialise(references(docs).distinct(), "listed")
     shown = F.array_sort(F.collect_list(F.concat("surname", F.lit(" ("), "year", F.lit(")"))))
-    out = docs.select("doc_id")
+    out = docs.select("doc_id").distinct()
     for name, rows, agg in (("n_citations", cited, F.count("*")), ("n_references", listed, F.count("*")), ("uncited", unmatched(listed, cited), shown), ("unreferenced", unmatched(cited, listed), shown)):
         out = out.join(rows.groupBy("doc_id").agg(agg.alias(name)), "doc_id", "left")
     empty = F.array().cast("array<string>")

@@ -45,12 +45,16 @@ def total_pairs(system: DataFrame, jurors: DataFrame) -> DataFrame:
 
 
 def against_median(system: DataFrame, jurors: DataFrame) -> DataFrame:
-    """One row: agreement on items, and on totals by kappa of ranks, error, correlations and ICC(2,1)."""
+    """One row: agreement on items, and on totals by kappa of ranks, error, correlations and ICC(2,1).
+
+    Raises when it is read if no project is on both sides.
+    """
     totals = total_pairs(system, jurors).withColumn("_k", F.lit(1))
     items = item_pairs(system, jurors).agg(F.count("*").alias("n_items"), ag.qwk(F.col("a"), F.col("b"), fixed_labels=True).alias("qwk_items"), ag.exact(F.col("a"), F.col("b")).alias("exact"), ag.adjacent(F.col("a"), F.col("b")).alias("adjacent"))
     rounded = totals.select("_k", F.bround("a").alias("a"), F.bround("b").alias("b"))
     ranked = ag.dense_labels(rounded, ["_k"]).agg(ag.qwk(F.col("a"), F.col("b")).alias("qwk_totals"))
-    error = totals.agg(F.count("*").alias("n_projects"), ag.mean_error(F.col("a"), F.col("b")).alias("mae_totals"), ag.pearson(F.col("a"), F.col("b")).alias("pearson"))
+    some = F.when(F.count("*") > 0, F.count("*")).otherwise(F.raise_error(F.lit("no project has both a result and a juror")).cast("long"))
+    error = totals.agg(some.alias("n_projects"), ag.mean_error(F.col("a"), F.col("b")).alias("mae_totals"), ag.pearson(F.col("a"), F.col("b")).alias("pearson"))
     long = totals.select("project", F.explode(F.array(F.struct(F.lit("system").alias("rater"), F.col("a").alias("score")), F.struct(F.lit("median").alias("rater"), F.col("b").alias("score")))).alias("_r")).select("project", "_r.*")
     parts = [items, error, ranked, ag.spearman(totals, ["_k"]).select("spearman"), ag.icc21(long, "project").select("icc")]
     # Each part is one row.

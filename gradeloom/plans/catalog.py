@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as tx
 from gradeloom.operators import agreement as ag
-from gradeloom.operators import analyses, argue, library, panel, redact, requests, segment, store, template, textstats, validation, vectors
+from gradeloom.operators import analyses, argue, invoke, library, panel, redact, reports, requests, segment, store, template, textstats, validation, vectors
 from gradeloom.plans.inputs import BANDS_SQL, ITEMS_SQL, PAIRS_SQL, VOTES_SQL, bands, items, table, votes
 from gradeloom.session import new_folder
 from gradeloom.streaming import progress
@@ -221,7 +221,7 @@ def icc_totals(spark, sf_dir):
     return ag.icc21(_totals(spark, sf_dir).withColumnRenamed("judge", "rater"), "doc_id").select("n", "k", F.round("icc", 6).alias("icc"))
 
 
-@query("""select v as value, case when v is null then 'no calculable' when v < 0 then 'pobre' when v <= 0.20 then 'leve' when v <= 0.40 then 'aceptable' when v <= 0.60 then 'moderado'
+@query("""select v as value, case when v is null then 'no calculable' when v < 0 then 'pobre (peor que el azar)' when v <= 0.20 then 'leve' when v <= 0.40 then 'aceptable' when v <= 0.60 then 'moderado'
   when v <= 0.80 then 'sustancial' else 'casi perfecto' end as words, count(*) as n from (select round((doc_id % 130 - 20) / 100.0, 2)::double as v from documents) group by 1, 2""")
 def landis_koch(spark, sf_dir):
     v = table(spark, sf_dir, "documents").select(F.round((F.col("doc_id") % 130 - 20) / 100.0, 2).alias("value"))
@@ -707,3 +707,80 @@ def batch_requests(spark, sf_dir):
     known = requests.states(log, sent, batches, answers)
     going = requests.next_batch(known, batches).select("request_id", F.lit(True).alias("send"))
     return known.join(going, "request_id", "left").select("request_id", "model", "state", F.col("attempts").cast("long").alias("attempts"), F.coalesce("send", F.lit(False)).alias("send"))
+
+
+_SHOWN = "case when q is null then 'NA' else printf('%.3f', round_even(q, 3)) end"
+_WORDS_OF = "case when q is null then 'no calculable' when q < 0 then 'pobre (peor que el azar)' when q <= 0.20 then 'leve' when q <= 0.40 then 'aceptable' when q <= 0.60 then 'moderado' when q <= 0.80 then 'sustancial' else 'casi perfecto' end"
+
+
+@query(f"""with {VOTES_SQL}, v as (select doc_id, item, judge as rater, score from votes where score is not null),
+p as (select x.rater as ja, y.rater as jb, x.score as a, y.score as b from v x join v y on x.doc_id = y.doc_id and x.item = y.item and x.rater < y.rater),
+i as (select ja, jb, {_FIXED_QWK} as q from p group by 1, 2),
+s as (select doc_id, rater, sum(score) as t from v group by 1, 2), st as (select x.rater as ja, y.rater as jb, x.t as a, y.t as b from s x join s y on x.doc_id = y.doc_id and x.rater < y.rater), {_dense('st')},
+t as (select ja, jb, case when count(*) >= 2 then {_QWK} end as q from d group by 1, 2)
+select concat(ja, '|', jb) as par, (select {_SHOWN} from (select i.q as q)) as qwk_items_global, (select {_WORDS_OF} from (select i.q as q)) as interpretacion, (select {_SHOWN} from (select t.q as q)) as qwk_totales
+from i left join t using (ja, jb)""")
+def juror_pair_report(spark, sf_dir):
+    """The table of pairs of jurors as it is written, with all three judges as jurors."""
+    v = votes(spark, sf_dir).where("score is not null").select(F.col("doc_id").alias("project"), "item_id", F.col("judge").cast("string").alias("rater"), "score")
+    return reports.juror_pair_rows(v)
+
+
+@query(f"""with {_TOTALS_SQL}, k as (select doc_id from totals group by 1 having count(distinct judge) = (select count(distinct judge) from totals))
+select doc_id as proyecto_id, sum(score) filter (judge = 1)::double as total_corrida1, sum(score) filter (judge = 2)::double as total_corrida2, sum(score) filter (judge = 3)::double as total_corrida3,
+  round(stddev_pop(score), 3) as desviacion_estandar from totals join k using (doc_id) group by 1""")
+def retest_totals(spark, sf_dir):
+    runs = votes(spark, sf_dir).select(F.col("judge").alias("run"), F.col("doc_id").alias("project"), "item_id", F.coalesce("score", F.lit(0)).alias("score"))
+    return reports.retest_total_rows(runs, [1, 2, 3])
+
+
+_PART_SQL = f"""parts as (select doc_id, coalesce(text, '') as full_text, k as pos, 'S' || cast(k as varchar) as section_id, 'Parte ' || cast(k as varchar) as name,
+  array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l, i: (i - 1) % 3 = k), chr(10)) as text from documents, range(0, 3) r(k)),
+sections as (select *, len(list_filter(regexp_split_to_array(text, '{_ASCII}'), lambda w: w <> '')) as words from parts)"""
+_PART_WORDS = 40
+
+
+def _parts(spark, sf_dir):
+    """Each document's lines dealt out to three sections; those of 40 words and more are there."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("full_text"))
+    lines = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"), F.split("full_text", "\n").alias("lines"))
+    text = F.array_join(F.filter("lines", lambda line, i: i % 3 == F.col("pos")), "\n")
+    s = lines.select("doc_id", "pos", F.concat(F.lit("S"), F.col("pos").cast("string")).alias("section_id"), F.concat(F.lit("Parte "), F.col("pos").cast("string")).alias("name"), text.alias("text"))
+    return d, s.withColumn("words", tx.n_words(F.col("text"))).withColumn("present", F.col("words") >= _PART_WORDS)
+
+
+@query(f"""with {_PART_SQL}, b as (select doc_id, any_value(full_text) as full_text, coalesce(string_agg(text, chr(10) || chr(10) order by pos) filter (words >= {_PART_WORDS}), '') as joined,
+  string_agg(section_id || '=' || cast(words as varchar), '|' order by pos) as section_words, count(*) filter (words >= {_PART_WORDS}) as sections_present, count(*) as n from sections group by doc_id),
+f as (select *, case when joined = '' then full_text else joined end as body from b)
+select doc_id, section_words, sections_present, round(sections_present / n, 4) as completeness, sha256(body) as body_sha256, len(list_filter(regexp_split_to_array(body, '{_ASCII}'), lambda w: w <> '')) as words from f""")
+def document_bodies(spark, sf_dir):
+    """Words by section, completeness and the body that all measures of a document are taken from."""
+    shown = F.array_join(F.transform("section_words", lambda s: F.concat_ws("=", s["section_id"], s["words"].cast("string"))), "|")
+    return textstats.bodies(*_parts(spark, sf_dir)).select("doc_id", shown.alias("section_words"), "sections_present", "completeness", F.sha2("body", 256).alias("body_sha256"), tx.n_words(F.col("body")).alias("words"))
+
+
+@query(f"""with {_PART_SQL} select doc_id, sha256(string_agg('[' || section_id || ' ' || name || ']' || chr(10) || case when section_id = 'S1' then text else substring(text, 1, 1500) end, chr(10) || chr(10) order by pos)) as context_sha256
+from sections where words >= {_PART_WORDS} group by 1""")
+def cross_cutting_texts(spark, sf_dir):
+    """What judges of cross-cutting dimensions read of each document: one section whole, of the others 1500 characters."""
+    _, sections = _parts(spark, sf_dir)
+    return invoke.cross_cutting(sections, ["S1"]).select("doc_id", F.sha2("context", 256).alias("context_sha256"))
+
+
+@query(f"with {_PART_SQL} select doc_id, count(*) filter (words >= {_PART_WORDS}) as present, count(*) as sections, greatest(max(words), 1) as most_words from sections group by 1")
+def index_counts(spark, sf_dir):
+    return reports.index_counts(_parts(spark, sf_dir)[1])
+
+
+@query(f"""with {VOTES_SQL}, {_MEDIANS}, s as (select doc_id, string_agg('juez' || cast(judge as varchar) || '=' || coalesce(cast(score as varchar), 'None'), '|' order by judge) as votes, section_id, item from votes group by doc_id, section_id, item)
+select doc_id as project_id, 'r' as rubric_id, 'complete' as mode, section_id as seccion_id, 'Sección ' || section_id as seccion, 'i' || cast(item as varchar) as item_id, coalesce(cast(median as varchar), '0') as nivel_final,
+  coalesce(median, 0)::double as puntaje, 3.0::double as puntaje_max, cast(coalesce(spread >= 2, false) as int) as discrepancia, votes as niveles_jueces,
+  row_number() over (partition by doc_id order by section_id, item) as orden from m join s using (doc_id, section_id, item)""")
+def items_export(spark, sf_dir):
+    """The item table of every document; texts of judges, which the votes lack, are left out."""
+    heads = spark.createDataFrame([("r", "S01", 1, "Sección S01"), ("r", "S02", 2, "Sección S02")], "rubric_id string, section_id string, pos int, name string")
+    v = _scale_votes(spark, sf_dir)
+    evals = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("eval_id"), F.col("doc_id").alias("project_id"), F.lit("r").alias("rubric_id"), F.lit("complete").alias("mode"))
+    status = evals.select("eval_id", F.explode(F.array(F.lit("S01"), F.lit("S02"))).alias("section_id"), F.lit("open").alias("state"))
+    scored = panel.item_scores(items(spark).select("section_id", "item_id", "pos", "weight", "partial"), panel.consolidate(v, "scale"), status, "scale")
+    return reports.item_export(scored, evals, heads).drop("evidencia", "observacion")

@@ -175,5 +175,6 @@ def prompts_hash(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def shown(value, places: int = 3):
-    """A number with that many places, NA where it is undefined."""
-    return F.when(value.isNull() | F.isnan(value.cast("double")), "NA").otherwise(F.format_string(f"%.{places}f", value.cast("double")))
+    """A number with that many places, halves to even, NA where it is undefined."""
+    number = value.cast("double")
+    return F.when(number.isNull() | F.isnan(number), "NA").otherwise(F.format_string(f"%.{places}f", F.bround(number, places)))

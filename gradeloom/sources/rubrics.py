@@ -19,15 +19,52 @@ def read_rubrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rubric_tables(rubrics: DataFrame) -> dict[str, DataFrame]:
-    """sections, aliases, items, bands and conversion of a table of rubrics."""
+    """rubrics, sections, aliases, items, bands and conversion of a table of rubrics."""
+    about = rubrics.select(F.col("id").alias("rubric_id"), F.col("nombre").alias("name"), F.col("tipo").alias("kind"), F.col("escala").alias("scale"))
     sections = rubrics.select(F.col("id").alias("rubric_id"), "tipo", F.posexplode("secciones").alias("pos", "s"))
     head = sections.select("rubric_id", F.col("s.id").alias("section_id"), "pos", F.col("s.nombre").alias("name"), F.col("s.puntaje_max").alias("max"))
-    aliases = sections.select("rubric_id", F.col("s.id").alias("section_id"), "pos", F.explode("s.aliases").alias("alias"))
+    aliases = sections.select("rubric_id", F.col("s.id").alias("section_id"), "pos", F.posexplode("s.aliases").alias("alias_pos", "alias"))
     items = sections.select("rubric_id", "tipo", F.col("s.id").alias("section_id"), F.posexplode("s.items").alias("pos", "i"))
     items = items.select("rubric_id", "section_id", F.col("i.id").alias("item_id"), "pos", F.col("i.criterio").alias("criterion"), F.col("i.peso").alias("weight"), F.when(F.col("tipo") != "dicotomica", F.col("i.parcial")).alias("partial"), F.col("i.referencia").alias("reference"))
     bands = rubrics.select(F.col("id").alias("rubric_id"), F.posexplode("niveles_calidad").alias("pos", "b")).select("rubric_id", "pos", F.col("b.min").alias("min"), F.col("b.max").alias("max"), F.col("b.etiqueta").alias("label"), F.col("b.accion").alias("action"))
     conversion = rubrics.select(F.col("id").alias("rubric_id"), F.explode("conversion_vigesimal").alias("c")).select("rubric_id", F.col("c.min").alias("min"), F.col("c.max").alias("max"), F.col("c.nota").alias("grade"))
-    return {"sections": head, "aliases": aliases, "items": items, "bands": bands, "conversion": conversion}
+    return {"rubrics": about, "sections": head, "aliases": aliases, "items": items, "bands": bands, "conversion": conversion}
+
+
+def _packed(rows: DataFrame, by: list[str], order: str, name: str, fields: dict[str, str]) -> DataFrame:
+    """Rows of each key as one array of structs, in the order of a column. A rubric has some hundred rows at most."""
+    held = F.struct(F.col(order).alias("_at"), F.struct(*[F.col(c).alias(f) for f, c in fields.items()]).alias("_row"))
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(held)), lambda x: x["_row"]).alias(name))
+
+
+def rubric_documents(tables: dict[str, DataFrame]) -> DataFrame:
+    """The nested rows that ``rubric_tables`` takes apart, made of its tables again; arrays without rows are empty."""
+    at = ["rubric_id", "section_id"]
+    items = _packed(tables["items"], at, "pos", "items", {"id": "item_id", "criterio": "criterion", "peso": "weight", "parcial": "partial", "referencia": "reference"})
+    known = tables["aliases"].groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(F.struct("alias_pos", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    heads = tables["sections"].join(known, at, "left").join(items, at, "left")
+    none = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    heads = heads.select(*at, "pos", "name", "max", none(heads, "aliases"), none(heads, "items"))
+    sections = _packed(heads, ["rubric_id"], "pos", "secciones", {"id": "section_id", "nombre": "name", "puntaje_max": "max", "aliases": "aliases", "items": "items"})
+    bands = _packed(tables["bands"], ["rubric_id"], "pos", "niveles_calidad", {"min": "min", "max": "max", "etiqueta": "label", "accion": "action"})
+    grades = _packed(tables["conversion"], ["rubric_id"], "min", "conversion_vigesimal", {"min": "min", "max": "max", "nota": "grade"})
+    whole = tables["rubrics"].join(sections, "rubric_id", "left").join(bands, "rubric_id", "left").join(grades, "rubric_id", "left")
+    return whole.select(F.col("rubric_id").alias("id"), F.col("name").alias("nombre"), F.col("kind").alias("tipo"), F.col("scale").alias("escala"), none(whole, "secciones"), none(whole, "niveles_calidad"), "conversion_vigesimal")
+
+
+def write_rubrics(tables: dict[str, DataFrame], path: str) -> None:
+    """One JSON file for each rubric, without what is null; ``read_rubrics`` reads the folder."""
+    docs = rubric_documents(tables)
+    lines = docs.select(F.to_json(F.struct(*docs.columns), {"pretty": "true", "ignoreNullFields": "true"}).alias("value"))
+    lines.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def rubric_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rubric_id, name, kind, max, sections, items): what there is to choose from."""
+    heads = tables["sections"].groupBy("rubric_id").agg(F.sum("max").alias("max"), F.count("*").alias("sections"))
+    items = tables["items"].groupBy("rubric_id").agg(F.count("*").alias("items"))
+    out = tables["rubrics"].join(heads, "rubric_id", "left").join(items, "rubric_id", "left")
+    return out.select("rubric_id", "name", "kind", F.coalesce("max", F.lit(0.0)).alias("max"), F.coalesce("sections", F.lit(0)).alias("sections"), F.coalesce("items", F.lit(0)).alias("items"))
 
 
 #: How the Markdown sources of rubrics are written.
