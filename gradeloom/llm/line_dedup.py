@@ -75,9 +75,10 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     points = np.frombuffer(raw.decode().encode("utf-32-le"), dtype=np.uint32)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     rows = at[offsets]
-    begin = np.concatenate([rows[:-1], np.flatnonzero(points == 10) + 1])
-    owner = np.searchsorted(rows, begin, side="right") - 1
-    owner[: len(rows) - 1] = np.arange(len(rows) - 1)
+    breaks = np.flatnonzero(points == 10)
+    begin = np.concatenate([rows[:-1], breaks + 1])
+    # A line is its break's: behind a text's last break begins its empty last line, not the next text.
+    owner = np.concatenate([np.arange(len(rows) - 1), np.searchsorted(rows, breaks, side="right") - 1])
     order = np.lexsort((begin, owner))
     begin, owner = begin[order], owner[order]
     stop = np.append(begin[1:] - 1, len(points))
@@ -248,8 +249,11 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     zero = F.lit(0).cast("long")
     same = marked.where("not _maybe").drop("_maybe", "_key").withColumns({"n_dropped": zero, "n_near": zero})
     joined = marked.where("_maybe").join(_grown(changes), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    gone = F.transform("_gone", lambda x: x.cast("int"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_g", i)), "\n")
+    gone = F.array_sort(F.transform("_gone", lambda x: x.cast("int")))
+    # The stretches between dropped lines, so that a text of many lines takes time in proportion to
+    # them; the lines are bound to a lambda's variable, or each stretch would split the text again.
+    stretches = lambda ls: F.zip_with(F.concat(F.array(F.lit(-1)), "_g"), F.concat("_g", F.array(F.size(ls))), lambda a, b: F.slice(ls, a + 2, b - a - 1))
+    kept = F.transform(F.array(F.split("text", "\n")), lambda ls: F.array_join(F.flatten(stretches(ls)), "\n"))[0]
     joined = joined.withColumn("_g", gone).withColumn("text", F.when(F.size("_g") > 0, kept).otherwise(F.col("text")))
     joined = joined.withColumns({"n_dropped": F.coalesce(F.size("_g"), F.lit(0)).cast("long"), "n_near": F.coalesce("_near", zero)})
     return same.unionByName(joined.select(*same.columns))
