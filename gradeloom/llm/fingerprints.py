@@ -22,6 +22,9 @@ SAMPLES = GROUPS * PER_GROUP
 TAG_BITS = 24
 #: Keys lie between -(22 + 45 + ln w) and 5, as ln c is at least -22 and r at most 45. Keys are told apart by 2**-31.
 KEY_SHIFT, KEY_SCALE = 128.0, 2.0**31
+#: The smallest of exp(key) over a text's terms is exponential with the rate of its total weight, so it is above
+#: NEAR over that weight once in exp(NEAR) samples. Keys that are bound to be above are not worked out.
+NEAR = 36.0
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -48,13 +51,30 @@ def sample_key(drawn: dict[str, Column], log_weight: Column) -> Column:
     return F.when(log_weight.isNotNull(), F.shiftleft(level, TAG_BITS) + (drawn["m"] + t * F.lit(7919)).bitwiseAND(F.lit((1 << TAG_BITS) - 1)))
 
 
+def nearby(term: Column, sample: Column, light: Column, reach: Column) -> Column:
+    """False only where exp(key) times the weight is above ``reach``; found without a logarithm. light: the weight is at most 1.
+
+    As r * (t - b) is at most the logarithm of the weight, it is at least c * exp(-r), and c * exp(-r * (1 - b)) for a weight of 1.
+    """
+    h = F.xxhash64(term, sample)
+    g = F.xxhash64(h)
+    b = _uniform(F.xxhash64(g), 32)
+    power, product = _uniform(h, 0) * _uniform(h, 32), _uniform(g, 0) * _uniform(g, 32)
+    # Minus the logarithm of x is at least 1 - x, and 8 * (1 - y) / (1 + y) for its fourth root y. For a below 1, x**a is
+    # at least (1 + a * (1 / z - 1))**-8 for its eighth root z, as (1 + v)**a is at most 1 + a * v.
+    eighth = lambda x: F.sqrt(F.sqrt(F.sqrt(x)))
+    root = F.sqrt(F.sqrt(product))
+    tight = eighth(8 * (1 - root) / (reach * (1 + root))) <= 1 + F.when(light, 1 - b).otherwise(1.0) * (1 / eighth(power) - 1)
+    return (power * (1 - product) <= reach) & tight
+
+
 def with_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row for each pair of neighbouring words, as a hash; of a single word, its own."""
+    """One row for each pair of neighbouring words, as a hash, and how many there are; of a single word, its own."""
     words = F.split(F.coalesce(F.col(text), F.lit("")), SPACE)
     hashed = texts.select(*keys, F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)).alias("_h"))
     n = F.size("_h")
     pairs = F.zip_with(F.slice("_h", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_h", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return hashed.select(*keys, F.explode(F.when(n == 1, F.col("_h")).otherwise(pairs)).alias("term"))
+    return hashed.select(*keys, F.greatest(n - 1, F.lit(1)).alias("terms"), F.explode(F.when(n == 1, F.col("_h")).otherwise(pairs)).alias("term"))
 
 
 def sketches(texts: DataFrame, keys: list[str], text: str = "text", variants: dict[str, str] | None = None) -> DataFrame:
@@ -68,16 +88,24 @@ def sketches(texts: DataFrame, keys: list[str], text: str = "text", variants: di
     variants = variants or {"part": text}
     each = F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("text")) for i, c in enumerate(variants.values())])
     single = texts.select(*keys, F.explode(each).alias("_t")).select(*keys, "_t.v", "_t.text")
+    counts = [F.count_if(F.col("v") == i).cast("double").alias(f"n{i}") for i in range(len(variants))]
+    totals = [F.max(F.when(F.col("v") == i, F.col("terms"))).alias(f"of{i}") for i in range(len(variants))]
+    weighted = with_terms(single, [*keys, "v"], "text").groupBy(*keys, "term").agg(*counts, *totals)
+    share = F.greatest(*[F.col(f"n{i}") / F.col(f"of{i}") for i in range(len(variants))], F.lit(0.0))
     # The logarithm of a count of zero is null.
-    logs = [F.ln(F.count_if(F.col("v") == i).cast("double")).alias(f"w{i}") for i in range(len(variants))]
-    weighted = with_terms(single, [*keys, "v"], "text").groupBy(*keys, "term").agg(*logs)
-    rows = weighted.withColumn("first", F.explode(F.array(*[F.lit(PER_GROUP * g) for g in range(GROUPS)])))
-    drawn = [draws(F.col("term"), F.col("first") + F.lit(i)) for i in range(PER_GROUP)]
-    rows = rows.select(*keys, "first", *[f"w{v}" for v in range(len(variants))], *[c.alias(f"{k}{i}") for i, d in enumerate(drawn) for k, c in d.items()])
-    seen = [{k: F.col(f"{k}{i}") for k in d} for i, d in enumerate(drawn)]
-    mins = [F.min(sample_key(d, F.col(f"w{v}"))).alias(f"s{v}_{i}") for v in range(len(variants)) for i, d in enumerate(seen)]
+    logs = [F.ln(f"n{i}").alias(f"w{i}") for i in range(len(variants))]
+    most = F.greatest(*[F.col(f"n{i}") for i in range(len(variants))], F.lit(0.0))
+    # What does not depend on the sample comes before the samples, so that it is worked out once a term.
+    rows = weighted.select(*keys, "term", (share * NEAR).alias("reach"), (most <= 1).alias("light"), *logs)
+    rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
+    rows = rows.where(nearby(F.col("term"), F.col("sample"), F.col("light"), F.col("reach")))
+    drawn = draws(F.col("term"), F.col("sample"))
+    found = rows.select(*keys, "sample", *[f"w{v}" for v in range(len(variants))], *[c.alias(k) for k, c in drawn.items()])
+    seen = {k: F.col(k) for k in drawn}
+    sampled = found.select(*keys, F.expr(f"sample div {PER_GROUP} * {PER_GROUP}").cast("int").alias("first"), (F.col("sample") % PER_GROUP).alias("i"), *[sample_key(seen, F.col(f"w{v}")).alias(f"k{v}") for v in range(len(variants))])
+    mins = [F.min(F.when(F.col("i") == i, F.col(f"k{v}"))).alias(f"s{v}_{i}") for v in range(len(variants)) for i in range(PER_GROUP)]
     tag = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit((1 << TAG_BITS) - 1)))), 6, "0")
-    found = rows.groupBy(*keys, "first").agg(*mins)
+    found = sampled.groupBy(*keys, "first").agg(*mins)
     return found.select(*keys, "first", *[F.concat(*[tag(f"s{v}_{i}") for i in range(PER_GROUP)]).alias(name) for v, name in enumerate(variants)])
 
 

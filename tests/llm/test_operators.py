@@ -360,6 +360,19 @@ def test_agreement_is_the_generalised_jaccard_for_uneven_weights(spark, heavy, s
     assert abs(agree - want) < 3 * (want * (1 - want) / 40_000) ** 0.5
 
 
+@pytest.mark.parametrize(("weight", "total"), [(1.0, 2000.0), (40.0, 2000.0), (1.0, 3.0)])
+def test_only_keys_that_cannot_be_least_are_left_out(spark, weight, total):
+    """Every key within reach is worked out, and in a long text few others are."""
+    reach = fingerprints.NEAR * weight / total
+    rows = spark.range(200_000).select(F.col("id").alias("term"), F.lit(5).alias("sample"), F.lit(weight).alias("w"))
+    key = F.shiftright(fingerprints.sample_key(fingerprints.draws(F.col("term"), F.col("sample")), F.ln("w")), fingerprints.TAG_BITS) / F.lit(fingerprints.KEY_SCALE) - F.lit(fingerprints.KEY_SHIFT)
+    near = fingerprints.nearby(F.col("term"), F.col("sample"), F.col("w") <= 1, F.lit(reach))
+    within = F.exp(key) * F.col("w") <= reach
+    seen = rows.select(near.alias("near"), within.alias("within")).agg(F.count_if("within").alias("within"), F.count_if("near").alias("near"), F.count_if(F.col("within") & ~F.col("near")).alias("lost")).first()
+    assert seen.lost == 0 and seen.within > 0
+    assert total < 10 or weight > 1 or seen.near < 10_000
+
+
 def test_sharding(spark, tmp_path):
     """Against a list of rows: every version reads as what had been appended by then."""
     root = f"file://{tmp_path}/store"
