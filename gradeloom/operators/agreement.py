@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeloom.session import materialise
 
@@ -169,26 +170,75 @@ def numbered(values: DataFrame, name: str) -> tuple[DataFrame, int]:
     return placed.select(name, (F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).alias("k")), before
 
 
-def resampled(projects: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """(rep, project, w): as ``bootstrap_weights``, but every replicate has a generator of its own, so tasks draw side by side.
+#: Projects of a block whose weights for one replicate travel as one row.
+BLOCK = 8192
+
+
+def _drawn(n: int, replicates: int, seed: int, spark: SparkSession) -> DataFrame:
+    """(rep, block, w): how often each of n projects is drawn in each resample, BLOCK places a row, as an array.
 
-    The generator is counted by (seed, rep), the projects by their order, so the weights are the same
-    however rows are split. A task holds one replicate's numbers at a time.
+    Every replicate has a generator of its own, counted by (seed, rep). A task holds one replicate's numbers at a time.
     """
-    places, n = numbered(projects.select(F.col("project").cast("string").alias("project")), "project")
 
     def run(batches):
         for b in batches:
             for rep in b["rep"] if n else ():
                 draw = np.random.Generator(np.random.Philox(key=np.array([seed, rep], dtype=np.uint64)))
-                times = np.bincount(draw.integers(0, n, n), minlength=n)
-                for lo in range(0, n, 100_000):
-                    k = np.flatnonzero(times[lo : lo + 100_000]) + lo
-                    yield pd.DataFrame({"rep": np.full(len(k), rep, dtype=np.int32), "k": k, "w": times[k].astype(float)})
+                times = np.bincount(draw.integers(0, n, n), minlength=n).astype(np.int8)  # a project is drawn more than 127 times of n with a chance below 1e-200
+                for block in range(-(-n // BLOCK)):
+                    yield pd.DataFrame({"rep": np.array([rep], dtype=np.int32), "block": [block], "w": [times[block * BLOCK : (block + 1) * BLOCK]]})
 
-    spark = projects.sparkSession
     reps = spark.range(replicates, numPartitions=min(replicates, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))).select(F.col("id").cast("int").alias("rep"))
-    return reps.mapInPandas(run, "rep int, k long, w double").join(places, "k").select("rep", "project", "w")
+    return reps.mapInPandas(run, "rep int, block long, w array<tinyint>")
+
+
+class Resamples:
+    """The resamples of ``projects`` (project): 2000 of them unless asked otherwise, the same however rows are split.
+
+    ``sums`` adds them up by blocks of projects, so no row of a replicate and a project is ever made; ``weights`` makes them.
+    """
+
+    def __init__(self, projects: DataFrame, replicates: int = 2000, seed: int = 42):
+        self.places, self.n = numbered(projects.select(F.col("project").cast("string").alias("project")), "project")
+        self.drawn = materialise(_drawn(self.n, replicates, seed, projects.sparkSession), "drawn")
+
+    def weights(self) -> DataFrame:
+        """(rep, project, w), without zeros."""
+        each = self.drawn.select("rep", "block", F.posexplode("w").alias("_p", "w")).where("w > 0")
+        return each.select("rep", (F.col("block") * BLOCK + F.col("_p")).alias("k"), F.col("w").cast("double").alias("w")).join(self.places, "k").select("rep", "project", "w")
+
+    def sums(self, values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+        """(by, rep, columns): each column of values (by, project, columns; one row a group and project) times its weight, added up.
+
+        A block of projects meets the weights of all replicates in one task: BLOCK rows of a group of ``by``, BLOCK bytes a replicate.
+        """
+        placed = values.join(self.places, "project").select(F.expr(f"k div {BLOCK}").alias("block"), (F.col("k") % BLOCK).cast("int").alias("_p"), *by, *[F.col(c).cast("double").alias(c) for c in columns])
+        kinds = [f for f in placed.schema if f.name in by]
+        schema = T.StructType([*kinds, T.StructField("rep", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in columns]])
+
+        def added(drawn: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            for key, own in rows.groupby(by, dropna=False) if by and len(drawn) else [((), rows)] * min(1, len(drawn)):
+                at, numbers = own["_p"].to_numpy(), own[columns].to_numpy(dtype=float)
+                total = np.array([np.asarray(w)[at].astype(float) @ numbers for w in drawn["w"]])
+                part = pd.DataFrame(total, columns=columns).assign(rep=drawn["rep"].to_numpy(), **dict(zip(by, key, strict=True)))
+                parts.append(part[[*by, "rep", *columns]])
+            return pd.concat(parts) if parts else pd.DataFrame(columns=[*by, "rep", *columns])
+
+        part = self.drawn.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(added, schema)
+        return part.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def weighted_sums(values: DataFrame, weights: DataFrame | Resamples, by: list[str], columns: list[str]) -> DataFrame:
+    """As ``Resamples.sums``, also for weights that are a table (rep, project, w)."""
+    if isinstance(weights, Resamples):
+        return weights.sums(values, by, columns)
+    return values.join(weights, "project").groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
+
+
+def resampled(projects: DataFrame, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """(rep, project, w): as ``bootstrap_weights``, but drawn side by side: the weights of ``Resamples`` as a table."""
+    return Resamples(projects, replicates, seed).weights()
 
 
 def project_sums(pairs: DataFrame, by: list[str], project: str) -> DataFrame:
@@ -197,10 +247,9 @@ def project_sums(pairs: DataFrame, by: list[str], project: str) -> DataFrame:
     return pairs.groupBy(*by, F.col(project).cast("string").alias("project")).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
 
 
-def bootstrap_qwk(sums: DataFrame, weights: DataFrame, by: list[str], confidence: float = 0.95) -> DataFrame:
+def bootstrap_qwk(sums: DataFrame, weights: DataFrame | Resamples, by: list[str], confidence: float = 0.95) -> DataFrame:
     """Percentile interval of the kappa on a fixed scale over resampled projects; undefined replicates are left out."""
-    w = F.col("w")
-    each = sums.join(weights, "project").groupBy(*by, "rep").agg(*[F.sum(w * F.col(c)).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    each = weighted_sums(sums, weights, by, ["n", "sa", "sb", "saa", "sbb", "sab"])
     each = each.withColumn("q", qwk_from_sums(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")], fixed_labels=True)).where("q is not null")
     tail = (1 - confidence) / 2
     return each.groupBy(*by).agg(F.percentile("q", tail).alias("low"), F.percentile("q", 1 - tail).alias("high"), F.count("*").alias("replicates"))

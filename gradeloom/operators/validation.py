@@ -62,12 +62,12 @@ def against_median(system: DataFrame, jurors: DataFrame) -> DataFrame:
     return one.drop("_one")
 
 
-def median_intervals(system: DataFrame, jurors: DataFrame, weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+def median_intervals(system: DataFrame, jurors: DataFrame, weights: DataFrame | ag.Resamples, confidence: float = 0.95) -> DataFrame:
     """(measure, low, high): percentile intervals of the items' kappa and the totals' error over resampled projects."""
     tail = (1 - confidence) / 2
     kappa = ag.bootstrap_qwk(ag.project_sums(item_pairs(system, jurors).withColumn("measure", F.lit("qwk_items")), ["measure"], "project"), weights, ["measure"], confidence)
-    errors = total_pairs(system, jurors).select(F.col("project").cast("string").alias("project"), F.abs(F.col("a") - F.col("b")).alias("e")).join(weights, "project")
-    each = errors.groupBy("rep").agg((F.sum(F.col("e") * F.col("w")) / F.sum("w")).alias("m"))
+    errors = total_pairs(system, jurors).select(F.col("project").cast("string").alias("project"), F.abs(F.col("a") - F.col("b")).cast("double").alias("e"), F.lit(1.0).alias("one"))
+    each = ag.weighted_sums(errors, weights, [], ["e", "one"]).select("rep", (F.col("e") / F.col("one")).alias("m"))
     error = each.agg(F.lit("mae_totals").alias("measure"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
     return kappa.select("measure", "low", "high").unionByName(error)
 
@@ -96,7 +96,7 @@ def human_baseline(jurors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items.select(*by, "project", "n", "qwk"), enough.join(ranked, by)
 
 
-def report(system: DataFrame, jurors: DataFrame, votes: DataFrame, weights: DataFrame) -> DataFrame:
+def report(system: DataFrame, jurors: DataFrame, votes: DataFrame, weights: DataFrame | ag.Resamples) -> DataFrame:
     """The whole study as (part, subject, measure, value), in one table to write out."""
 
     def long(df: DataFrame, part: str, subject) -> DataFrame:

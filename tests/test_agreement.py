@@ -72,3 +72,16 @@ def test_seeded_interval_against_numpy(spark):
         values.append(1 - (aa + bb - 2 * ab) / (aa + bb - 2 * a * b / n))
     row = catalog.queries()["bootstrap_seeded"](spark, SF).where("rater_a = 1 and rater_b = 2").first()
     assert (row.low, row.high, row.replicates) == (pytest.approx(np.percentile(values, 2.5)), pytest.approx(np.percentile(values, 97.5)), 2000)
+
+
+def test_sums_by_blocks_are_those_of_the_weights(spark, monkeypatch):
+    """Over several blocks, with and without groups, and without a row for each replicate and project."""
+    monkeypatch.setattr(ag, "BLOCK", 16)
+    rows = [(g, f"p{i:03}", float(i % 7), float(i * i % 5)) for g in (1, 2) for i in range(90) if (i + g) % 4]
+    values = spark.createDataFrame(rows, "g int, project string, x double, y double")
+    drawn = ag.Resamples(values, 20, 7)
+    weights = drawn.weights()
+    for rows, by in ((values, ["g"]), (values.where("g = 1"), [])):
+        got, want = ({tuple(r) for r in ag.weighted_sums(rows, w, by, ["x", "y"]).select(*by, "rep", "x", "y").collect()} for w in (drawn, weights))
+        assert got == want and len(got) == 20 * (2 if by else 1)
+    assert drawn.drawn.count() == 20 * 6
