@@ -11,7 +11,8 @@ from gradeloom.session import materialise
 
 #: How citations and entries of a reference list are written.
 SURNAME = r"[A-ZÁÉÍÓÚÑ][\p{L}\p{N}_'\-]+"
-NARRATIVE = rf"({SURNAME})(?:\s*(?:,|y|e|&)\s*{SURNAME})*(?:\s+et\s+al\.?)?\s*\((\d{{4}})[a-z]?\)"
+#: The repeated group keeps what it has matched, as giving it back can lead to no other match; else a long list of names recurses until the stack is full.
+NARRATIVE = rf"({SURNAME})(?:\s*(?:,|y|e|&)\s*{SURNAME})*+(?:\s+et\s+al\.?)?\s*\((\d{{4}})[a-z]?\)"
 IN_BRACKETS = r"\(([^()]*\d{4}[a-z]?[^()]*)\)"
 BRACKET_ITEM = rf"^\s*({SURNAME})[^;()]*?(\d{{4}})[a-z]?"
 LIST_TITLE = r"(?im)^\s*(?:\d{1,2}[\.\)]?\s*)?(?:REFERENCIAS(?:\s+BIBLIOGR[ÁA]FICAS)?|BIBLIOGRAF[ÍI]A)\s*$"

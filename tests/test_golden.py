@@ -286,3 +286,11 @@ def test_gaps_are_filled_by_conventions(spark):
     assert got[2, "S01"] == (True, "Riego por goteo en los valles del norte") and got[2, "S02"] == (False, "")
     told = {(r.doc_id, r.section_id, r.warning) for r in warnings.collect()}
     assert (2, None, "only 1 of 2 sections found") in told and (1, "S12", "taken from: Generalidades: técnica de contrastación") in told
+
+
+def test_long_lists_of_names_are_read(spark):
+    """As long a list as a text may hold; a stack of the size that a task has must do."""
+    rows = [(1, "Zuza, " * 4000 + "Ramos (2020) dice."), (2, "Vega, " * 4000), (3, "Díaz, Vega y Ramos et al. (2019) y García-López e Ibarra (2021a)")]
+    docs = spark.createDataFrame(rows, "doc_id long, body string")
+    found = {tuple(r) for r in textstats.citations(docs).collect()}
+    assert found == {(1, "zuza", "2020"), (3, "díaz", "2019"), (3, "garcía-lópez", "2021")}
