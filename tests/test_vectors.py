@@ -63,3 +63,16 @@ def test_embedding_prefixes_batches_and_scales(spark, tmp_path):
             given = "passage: " + r.text
             assert r.vector == pytest.approx(unit(np.array([[given.count("a"), len(given), 0.0]]))[0].tolist(), abs=1e-6)
     assert len(rows) == 300 and vectors.embed(texts.limit(0), model).count() == 0
+
+
+def test_nearest_by_blocks_is_nearest_by_rows(spark):
+    """Ties, copies, odd vectors and several blocks; the rows of a pair of blocks are k a query."""
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(draw.normal(size=8))]) for i in range(1500)]
+    rows += [(2000 + i, rows[i % 3 * 100][1]) for i in range(60)] + [(3000, None), (3001, [1.0]), (3002, [float("nan")] * 8), (3003, [None] * 8), (-5, [0.0] * 8)]
+    e = spark.createDataFrame(rows, "passage_id long, vector array<float>")
+    q = e.where("passage_id % 100 = 0").withColumnRenamed("passage_id", "query_id")
+    show = lambda df: sorted(map(str, df.collect()))
+    assert show(library.nearest(q, e, 3)) == show(library.best(library._nearest_by_rows(q, e), 3))
+    own, others = np.zeros((1, 2)), np.ones((5, 2))
+    assert library._block_best(own, others, np.arange(5)[::-1], 2)[1].tolist() == [4, 3]
