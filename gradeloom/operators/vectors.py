@@ -26,6 +26,8 @@ from gradeloom.session import small
 SAMPLE, MOST_CELLS, CELL_ROWS = 20_000, 1024, 1_000_000
 #: Passages that are looked up exactly, how many neighbours of each, and the share of these that a search shall find.
 LOOKED_UP, NEIGHBOURS, WANTED = 256, 2, 0.95
+#: Rows of queries and cells that a task of a search holds at once, or one query's.
+PROBED_ROWS = 16_384
 #: What the model wants before a passage, and how many texts it is given at once.
 PASSAGE_PREFIX, EMBEDDED = "passage: ", 128
 
@@ -140,8 +142,11 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int = NEIGHB
     centroids, probes = _matrix(rows["vector"]), probes or spark.read.parquet(f"{folder}/settings").first().probes
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
+        # A query has a row for each cell that it probes, with its vector.
+        most = max(1, PROBED_ROWS // max(1, min(probes, len(centroids))))
+        for whole in parts:
+            for at in range(0, len(whole), most):
+                part = whole.iloc[at : at + most].reset_index(drop=True)
                 score = _matrix(part["_q"]) @ centroids.T
                 near = np.argsort(-score, axis=1, kind="stable")[:, :probes]
                 each = part.loc[part.index.repeat(near.shape[1])].reset_index(drop=True)

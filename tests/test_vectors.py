@@ -76,3 +76,15 @@ def test_nearest_by_blocks_is_nearest_by_rows(spark):
     assert show(library.nearest(q, e, 3)) == show(library.best(library._nearest_by_rows(q, e), 3))
     own, others = np.zeros((1, 2)), np.ones((5, 2))
     assert library._block_best(own, others, np.arange(5)[::-1], 2)[1].tolist() == [4, 3]
+
+
+def test_a_search_holds_few_rows_at_once(spark, tmp_path, monkeypatch):
+    """Queries meet their cells some at a time, with the same result."""
+    draw = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.float32(draw.normal(size=8))]) for i in range(300)]
+    e = spark.createDataFrame(rows, "passage_id long, vector array<float>")
+    folder, q = str(tmp_path / "index"), e.withColumnRenamed("passage_id", "query_id")
+    vectors.build(e, folder, cells=12)
+    want = sorted(map(str, vectors.search(spark, folder, q, probes=5).collect()))
+    monkeypatch.setattr(vectors, "PROBED_ROWS", 16)
+    assert sorted(map(str, vectors.search(spark, folder, q, probes=5).collect())) == want and len(want) == 600
