@@ -116,10 +116,10 @@ def _joined(part: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing samples of two fingerprint texts; two empty ones are alike, one is not."""
-    same = lambda i: F.substring(a, i, F.lit(6)) == F.substring(b, i, F.lit(6))
-    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(6 * SAMPLES - 5), F.lit(6)), same))
-    return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(agree / F.lit(float(SAMPLES)))
+    """Share of agreeing samples of two fingerprints as bytes; two empty ones are alike, one is not."""
+    same = lambda i: F.substring(a, i, F.lit(3)) == F.substring(b, i, F.lit(3))
+    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(3 * SAMPLES - 2), F.lit(3)), same))
+    return F.when((F.octet_length(a) == 0) | (F.octet_length(b) == 0), (a == b).cast("double")).otherwise(agree / F.lit(float(SAMPLES)))
 
 
 def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -207,9 +207,11 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     found = facts.join(prints, ["bucket", "pos"], "left").withColumns({"own": F.coalesce("own", F.lit("")), "new": F.coalesce("new", F.lit(""))})
     found = found.withColumn("_next", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
     found = found.join(heads.select("bucket", "head_print"), "bucket")
+    # As bytes, in which a sample is found without walking through those before it.
+    found = found.withColumns({"_own": F.unhex("own"), "_new": F.unhex("new"), "_after": F.unhex(F.coalesce("_next", "head_print"))})
     return found.select(
         "doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("new").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.coalesce("_next", "head_print")).alias("near_next"),
+        likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_after")).alias("near_next"),
     )
 
 

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from gradeloom.llm import fingerprints
 from gradeloom.operators import redact, segment
 
 
@@ -43,3 +46,12 @@ def test_segmenting_writes_lines_only_of_documents_with_a_candidate(spark, monke
     assert {(r.section_id, r.line_idx, r.words) for r in out.where("present").collect()} == {("S01", 1, 2), ("S02", 3, 40)}
     assert out.count() == 42
     assert [r.line_idx for r in written["lines"].orderBy("line_idx").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_likeness_looks_samples_up_in_bytes(spark):
+    """In a text every sample was found by walking through those before it, the square of their number."""
+    own = "".join(f"{i * 7919 % (1 << 24):06x}" for i in range(fingerprints.SAMPLES))
+    moved = own[1:] + own[0]
+    cases = [(own, own, 1.0), (own, "ffffff" + own[6:-6] + "eeeeee", 126 / 128), (own, moved, 1 / 128), ("", "", 1.0), (own, "", 0.0)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", F.unhex("a").alias("a"), F.unhex("b").alias("b"))
+    assert [r.x for r in rows.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()] == [x for *_, x in cases]
