@@ -9,6 +9,10 @@ agree in a sample with the probability of their generalised Jaccard similarity.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,9 @@ TAG_BITS = 24
 #: Keys lie between -(22 + 45 + ln w) and 5, as ln c is at least -22 and r at most 45. Keys are told apart by 2**-31.
 KEY_SHIFT, KEY_SCALE = 128.0, 2.0**31
 #: The smallest of exp(key) over a text's terms is exponential with the rate of its total weight, so it is above
-#: NEAR over that weight once in exp(NEAR) samples. Keys that are bound to be above are not worked out.
-NEAR = 36.0
+#: NEAR over that weight once in exp(NEAR) samples. Keys that are bound to be above are not worked out; where
+#: no other key is below, the text is walked through anew (see exact_print).
+NEAR = 16.0
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -68,17 +73,44 @@ def nearby(term: Column, sample: Column, light: Column, reach: Column) -> Column
     return (power * (1 - product) <= reach) & tight
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), ""), lambda w: F.xxhash64(w))
+
+
+def _terms(hashes: Column) -> Column:
+    """Hashes of pairs of neighbouring words; of a single word, its own."""
+    n = F.size(hashes)
+    pairs = F.zip_with(F.slice(hashes, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(hashes, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return F.when(n == 1, hashes).otherwise(pairs)
+
+
 def with_terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row for each pair of neighbouring words, as a hash, and how many there are; of a single word, its own."""
-    words = F.split(F.coalesce(F.col(text), F.lit("")), SPACE)
-    hashed = texts.select(*keys, F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)).alias("_h"))
-    n = F.size("_h")
-    pairs = F.zip_with(F.slice("_h", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_h", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return hashed.select(*keys, F.greatest(n - 1, F.lit(1)).alias("terms"), F.explode(F.when(n == 1, F.col("_h")).otherwise(pairs)).alias("term"))
+    hashed = texts.select(*keys, _hashes(F.col(text)).alias("_h"))
+    return hashed.select(*keys, F.greatest(F.size("_h") - 1, F.lit(1)).alias("terms"), F.explode(_terms(F.col("_h"))).alias("term"))
+
+
+def _tag(sample: Column) -> Column:
+    return F.lpad(F.lower(F.hex(sample.bitwiseAND(F.lit((1 << TAG_BITS) - 1)))), 6, "0")
+
+
+def exact_print(text: Column) -> Column:
+    """The whole fingerprint of one text, from every term for every sample; empty without a word.
+
+    For the few texts that ``sketches`` leaves open: it is interpreted, some microseconds a term and sample.
+    """
+    bound: Callable[[Column, Callable], Column] = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    # Sorted, a term's weight is how far the next one begins behind it.
+    begins = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: ~F.get(a, i).eqNullSafe(F.get(a, i - 1)))
+    weighed = lambda a, at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(a))), lambda i, j: F.struct(F.get(a, i).alias("term"), F.ln((j - i).cast("double")).alias("w")))
+    least = lambda bag, sample: F.array_min(F.transform(bag, lambda t: sample_key(draws(t["term"], sample), t["w"])))
+    joined = lambda bag: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: _tag(least(bag, i))), "")
+    of_terms = lambda a: F.when(F.size(a) == 0, F.lit("")).otherwise(bound(bound(begins(a), lambda at: weighed(a, at)), joined))
+    return bound(bound(_hashes(text), lambda h: F.sort_array(_terms(h))), of_terms)
 
 
 def sketches(texts: DataFrame, keys: list[str], text: str = "text", variants: dict[str, str] | None = None) -> DataFrame:
-    """One row for each row of ``keys`` and group of samples: part, the group's tags as hex.
+    """One row for each row of ``keys`` and group of samples: part, the group's tags as hex; null where a least key may have been left out.
 
     Counting and sampling group by ``keys`` and the term, so a table that is partitioned by
     some of the keys already is not shuffled again. ``variants`` names several texts of one row:
@@ -95,22 +127,25 @@ def sketches(texts: DataFrame, keys: list[str], text: str = "text", variants: di
     # The logarithm of a count of zero is null.
     logs = [F.ln(f"n{i}").alias(f"w{i}") for i in range(len(variants))]
     most = F.greatest(*[F.col(f"n{i}") for i in range(len(variants))], F.lit(0.0))
+    # Samples below are found for sure: what is left out has a key above the logarithm of NEAR over the text's terms.
+    below = [F.shiftleft(((F.lit(math.log(NEAR) + KEY_SHIFT - 1e-6) - F.ln(f"of{i}")) * F.lit(KEY_SCALE)).cast("long"), TAG_BITS).alias(f"below{i}") for i in range(len(variants))]
     # What does not depend on the sample comes before the samples, so that it is worked out once a term.
-    rows = weighted.select(*keys, "term", (share * NEAR).alias("reach"), (most <= 1).alias("light"), *logs)
+    rows = weighted.select(*keys, "term", (share * NEAR).alias("reach"), (most <= 1).alias("light"), *logs, *below)
     rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
     rows = rows.where(nearby(F.col("term"), F.col("sample"), F.col("light"), F.col("reach")))
     drawn = draws(F.col("term"), F.col("sample"))
-    found = rows.select(*keys, "sample", *[f"w{v}" for v in range(len(variants))], *[c.alias(k) for k, c in drawn.items()])
+    limits = [f"below{v}" for v in range(len(variants))]
+    found = rows.select(*keys, "sample", *limits, *[f"w{v}" for v in range(len(variants))], *[c.alias(k) for k, c in drawn.items()])
     seen = {k: F.col(k) for k in drawn}
-    sampled = found.select(*keys, F.expr(f"sample div {PER_GROUP} * {PER_GROUP}").cast("int").alias("first"), (F.col("sample") % PER_GROUP).alias("i"), *[sample_key(seen, F.col(f"w{v}")).alias(f"k{v}") for v in range(len(variants))])
+    sampled = found.select(*keys, *limits, F.expr(f"sample div {PER_GROUP} * {PER_GROUP}").cast("int").alias("first"), (F.col("sample") % PER_GROUP).alias("i"), *[sample_key(seen, F.col(f"w{v}")).alias(f"k{v}") for v in range(len(variants))])
     mins = [F.min(F.when(F.col("i") == i, F.col(f"k{v}"))).alias(f"s{v}_{i}") for v in range(len(variants)) for i in range(PER_GROUP)]
-    tag = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit((1 << TAG_BITS) - 1)))), 6, "0")
-    found = sampled.groupBy(*keys, "first").agg(*mins)
-    return found.select(*keys, "first", *[F.concat(*[tag(f"s{v}_{i}") for i in range(PER_GROUP)]).alias(name) for v, name in enumerate(variants)])
+    found = sampled.groupBy(*keys, "first").agg(*mins, *[F.max(c).alias(c) for c in limits])
+    sure = [reduce(lambda a, b: a & b, [F.col(f"s{v}_{i}") < F.col(f"below{v}") for i in range(PER_GROUP)]) for v in range(len(variants))]
+    return found.select(*keys, "first", *[F.when(sure[v], F.concat(*[_tag(F.col(f"s{v}_{i}")) for i in range(PER_GROUP)])).alias(name) for v, name in enumerate(variants)])
 
 
 def _joined(part: Column) -> Column:
-    """The groups of one text in order; null without any."""
+    """The groups of one text in order; null if one of them is, or is not there."""
     whole = [F.max(F.when(F.col("first") == PER_GROUP * g, part)) for g in range(GROUPS)]
     return F.concat(*whole)
 
@@ -122,9 +157,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.octet_length(a) == 0) | (F.octet_length(b) == 0), (a == b).cast("double")).otherwise(agree / F.lit(float(SAMPLES)))
 
 
-def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fingerprint) of column text; texts without a word have no row."""
-    return sketches(docs, keys).groupBy(*keys).agg(_joined(F.col("part")).alias("fingerprint"))
+def fingerprints(texts: DataFrame, keys: list[str], variants: dict[str, str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, carried columns, texts, fingerprints): ``variants`` names the fingerprints of several texts of one row of ``keys``.
+
+    Texts without a word have an empty fingerprint. The rows are put to their groups of samples by a union, which
+    moves none of both if the table is partitioned by some of the keys, as a join by all of them would.
+    """
+    kept = [*carried, *variants.values()]
+    both = texts.select(*keys, *kept).unionByName(sketches(texts, keys, variants=variants), allowMissingColumns=True)
+    whole = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in kept], *[_joined(F.col(c)).alias(c) for c in variants])
+    return whole.withColumns({name: F.coalesce(name, exact_print(F.col(text))) for name, text in variants.items()})
 
 
 def _longs(values: list[int]) -> Column:
@@ -182,9 +224,11 @@ def with_next(docs: DataFrame, **options: int) -> tuple[DataFrame, DataFrame]:
     first = docs.join(heads_at, (F.col("bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
     first = first.groupBy("bucket").agg(F.min("text").alias("text"))
     first = materialise(first, "heads")
-    printed = first.select(F.col("bucket").alias("_after"), F.col("text").alias("head_text")).join(fingerprints(first, ["bucket"]).withColumnsRenamed({"bucket": "_after", "fingerprint": "head_print"}), "_after", "left")
-    heads = materialise(follows.join(printed, "_after").select("bucket", "head_text", F.coalesce("head_print", F.lit("")).alias("head_print")), "heads")
+    printed = fingerprints(first, ["bucket"], {"head_print": "text"}).withColumnsRenamed({"bucket": "_after", "text": "head_text"})
+    heads = materialise(follows.join(printed, "_after").select("bucket", "head_text", "head_print"), "heads")
     inside = Window.partitionBy("bucket").orderBy(*order)
+    # By a number of its own, so that all that reads the rows has the same partitions.
+    docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
     placed = docs.select("bucket", F.row_number().over(inside).alias("pos"), "doc_id", "text", F.lead("text").over(inside).alias("_next"))
     return placed.join(heads.select("bucket", "head_text"), "bucket").select("bucket", "pos", "doc_id", "text", F.coalesce("_next", "head_text").alias("next_text")), heads
 
@@ -200,11 +244,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half))
-    rows = rows.select("bucket", "pos", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    facts = rows.select("bucket", "pos", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    prints = sketches(rows, ["bucket", "pos"], variants={"own": "text", "new": "edited"})
-    prints = prints.groupBy("bucket", "pos").agg(*[_joined(F.col(c)).alias(c) for c in ("own", "new")])
-    found = facts.join(prints, ["bucket", "pos"], "left").withColumns({"own": F.coalesce("own", F.lit("")), "new": F.coalesce("new", F.lit(""))})
+    rows = rows.select("bucket", "pos", "doc_id", "text", edited.alias("edited"))
+    found = fingerprints(rows, ["bucket", "pos"], {"own": "text", "new": "edited"}, carried=("doc_id",))
+    found = found.select("bucket", "pos", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "new")
     found = found.withColumn("_next", F.lead("own").over(Window.partitionBy("bucket").orderBy("pos")))
     found = found.join(heads.select("bucket", "head_print"), "bucket")
     # As bytes, in which a sample is found without walking through those before it.

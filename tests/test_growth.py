@@ -1,6 +1,7 @@
 """What steps move and how they are dealt, which grows with the input."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,23 @@ def test_likeness_looks_samples_up_in_bytes(spark):
     cases = [(own, own, 1.0), (own, "ffffff" + own[6:-6] + "eeeeee", 126 / 128), (own, moved, 1 / 128), ("", "", 1.0), (own, "", 0.0)]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", F.unhex("a").alias("a"), F.unhex("b").alias("b"))
     assert [r.x for r in rows.select("i", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()] == [x for *_, x in cases]
+
+
+def test_fingerprints_move_texts_once_and_nothing_after_them(spark):
+    """Fingerprints were moved twice, to the rows of their texts and to those of the next ones."""
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(40)], "doc_id long, text string")
+    found = fingerprints.compare_with_next(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = {x for x in re.findall(r"Exchange (\w+\(.*?\)), \w+", plan) if x.startswith("hashpartitioning")}
+    assert len(found.collect()) == 40 and {re.sub(r"#\w+", "", x) for x in moved} == {"hashpartitioning(bucket, 4)"}
+
+
+def test_samples_without_a_near_key_are_worked_out_from_all_terms(spark, monkeypatch):
+    """With a reach that most least keys are beyond, the same fingerprints; texts were left without one."""
+    texts = ["a b c d e f g h " * 3, "one", "", None, "é 漢 é 漢 é x", "z " * 300 + "to be or not to be"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(fingerprints.compare_with_next(docs).collect())
+    monkeypatch.setattr(fingerprints, "NEAR", 0.5)
+    assert sorted(fingerprints.compare_with_next(docs).collect()) == want
+    exact = docs.select("doc_id", fingerprints.exact_print(F.col("text")).alias("p")).collect()
+    assert {r.doc_id: r.p for r in exact} == {r.doc_id: r.fingerprint for r in want}
