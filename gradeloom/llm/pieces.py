@@ -40,6 +40,8 @@ LONG = 96
 STRETCH = batch.WINDOW // 2
 #: Rows of a chunk, as a power of two: a task holds one chunk's texts at once.
 CHUNK_BITS = 11
+#: Level of zstd at which texts move to their chunks.
+PACKED_LEVEL = 3
 #: Parts whose ids are sent to all tasks; they are looked for in a share of the rows, and so many at most.
 COMMON_PARTS, SAMPLED_SHARE, SAMPLED_ROWS = 1 << 20, 0.25, 60_000
 
@@ -412,12 +414,30 @@ def _splits_alike(docs: DataFrame) -> bool:
     return plan.getClass().getSimpleName() in ("LogicalRelation", "LocalRelation")
 
 
-def _free_name(docs: DataFrame, name: str) -> str:
-    """The name, with underscores behind it until no column of ``docs`` has it."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
+def _packed(docs: DataFrame) -> DataFrame:
+    """(_chunk, _first, rows) of docs: runs of its rows as compressed Arrow streams, which are smaller to move than rows are."""
+
+    def run(batches):
+        for b in batches:
+            at, table = b.column(0).to_numpy(), pa.Table.from_batches([b]).drop_columns(["_at"])
+            cuts = [0, *np.flatnonzero(np.diff(at >> CHUNK_BITS)) + 1, len(at)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACKED_LEVEL))) as stream:
+                    stream.write_table(table.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array([at[lo] >> CHUNK_BITS]), pa.array([at[lo]]), pa.array([out.getvalue().to_pybytes()], type=pa.binary())], names=["_chunk", "_first", "rows"])
+
+    # Its columns have names of their own, as those of docs may be any.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(F.monotonically_increasing_id().alias("_at"), "*")
+    return numbered.mapInArrow(run, "_chunk long, _first long, rows binary")
+
+
+def _unpacked(packed: pa.Table) -> pa.Table:
+    """The rows of a chunk in order."""
+    order = pc.sort_indices(packed.column("_first"))
+    return pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in packed.column("rows").take(order)])
 
 
 def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame:
@@ -429,12 +449,11 @@ def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame
     a table of files is; anything else (a shuffle, a join, a filter) is written to the shared folder first. A chunk
     is up to 2**CHUNK_BITS rows of one partition, in whose order they stay. The distinct parts of all texts go through ``encode_words``, the most
     frequent ones first: these are sent to all tasks, at most COMMON_PARTS of them. The ids of
-    the others are joined to the chunks they are in.
+    the others are joined to the chunks they are in, and the chunks' rows move there as compressed batches.
     """
     docs, spark = docs.drop("ids", "decoded"), docs.sparkSession
     if not _splits_alike(docs):
         docs = materialise(docs, "texts")
-    in_chunk, in_row = (_free_name(docs, n) for n in ("_chunk", "_row"))
     known = spark.sparkContext.broadcast(common_parts(docs, model))
     chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
     used = materialise(_parts(docs.select(chunk.alias("_chunk"), "text"), model, known).select("_chunk", "word"), "words")
@@ -443,15 +462,12 @@ def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame
     words = used.groupBy("word").agg(F.min("_chunk").alias("_first")).where("_first is not null").select("word")
     short = encode_words(words.where(F.length("word") <= LONG), model).select("word", "ids")
     coded = short.unionByName(_encode_long(words.where(F.length("word") > LONG), model))
-    placed = docs.select(chunk.alias(in_chunk), F.monotonically_increasing_id().alias(in_row), "*")
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * and_decode]
-    schema, text = T.StructType([*docs.schema.fields, *added]), placed.columns.index("text")
+    schema, text = T.StructType([*docs.schema.fields, *added]), docs.columns.index("text")
     names = schema.names
 
-    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        order = pc.sort_indices(rows.column(in_row)).to_numpy()
-        if (order[1:] < order[:-1]).any():
-            rows = rows.take(order)
+    def run(packed: pa.Table, own: pa.Table) -> pa.Table:
+        rows = _unpacked(packed)
         values = pa.concat_arrays(own.column("word").chunks or [pa.array([], pa.string())])
         flat, at = _lists(own.column("ids"))
 
@@ -464,11 +480,11 @@ def encode(docs: DataFrame, model: Model, and_decode: bool = False) -> DataFrame
             return flat[batch.ragged(at[where], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
         ids, cuts = encode_texts(rows.column(text), model, known.value, look_up)
-        columns = [*rows.columns[2:], pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(ids, type=pa.int32()))]
+        columns = [*rows.columns, pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(ids, type=pa.int32()))]
         return pa.table(columns + [pa.array(decode_ids(ids, cuts, model), type=pa.string())] * and_decode, names=names)
 
     own = used.join(coded, "word").select("_chunk", "word", "ids")
-    return placed.groupBy(in_chunk).cogroup(own.groupBy("_chunk")).applyInArrow(run, schema)
+    return _packed(docs).groupBy("_chunk").cogroup(own.groupBy("_chunk")).applyInArrow(run, schema)
 
 
 def _encode_long(words: DataFrame, model: Model) -> DataFrame:

@@ -1,11 +1,13 @@
 """What steps move and how they are dealt, which grows with the input."""
 
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import fingerprints
+from gradeloom.llm import fingerprints, pieces
 from gradeloom.operators import redact, segment
 
 
@@ -76,3 +78,17 @@ def test_samples_without_a_near_key_are_worked_out_from_all_terms(spark, monkeyp
     assert sorted(fingerprints.compare_with_next(docs).collect()) == want
     exact = docs.select("doc_id", fingerprints.exact_print(F.col("text")).alias("p")).collect()
     assert {r.doc_id: r.p for r in exact} == {r.doc_id: r.fingerprint for r in want}
+
+
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no tokenizer files here")
+def test_texts_move_compressed_to_the_ids_of_their_parts(spark, tmp_path):
+    """Whole texts were moved as they are; now as compressed batches, also where one holds rows of two chunks."""
+    draw = random.Random(5)
+    words = [f"{draw.choice(['the', 'and', 'of', 'under'])}{draw.choice(['', 'er', 'ing', 's'])}" for _ in range(200)]
+    texts = [" ".join(draw.choices(words, k=100)) if i % 50 else None for i in range(5000)]
+    rows = spark.createDataFrame([(i, t, t and t[:3]) for i, t in enumerate(texts)], "doc_id long, text string, _chunk string").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/rows")
+    found = pieces.encode(spark.read.parquet(f"{tmp_path}/rows"), pieces.load(), and_decode=True)
+    got = {r.doc_id: (r.text, r["_chunk"], r.decoded) for r in found.collect()}
+    assert got == {i: (t, t and t[:3], t or "") for i, t in enumerate(texts)}
+    assert moved(found) < sum(len(t or "") for t in texts) / 2
